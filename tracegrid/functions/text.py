@@ -99,9 +99,9 @@ def word_count(c) -> Column:
 
 
 def label(key, cols: Sequence) -> Column:
-    """Non-blank fields joined by a bar, or the key where all are blank."""
-    joined = F.concat_ws(" | ", *[filled(c) for c in cols])
-    return F.when(joined == "", _col(key).cast("string")).otherwise(joined)
+    """Non-empty fields joined by a bar, or the key where all are empty."""
+    joined = F.concat_ws(" | ", *[F.nullif(_col(c).cast("string"), F.lit("")) for c in cols])
+    return F.coalesce(F.nullif(joined, F.lit("")), _col(key).cast("string"))
 
 
 def numbered_groups(pattern: str) -> tuple[str, dict[str, int]]:
