@@ -45,7 +45,7 @@ from events
 """
 
 
-# A wide sparse export: each parent's id and name stand on the first row of its group only.
+# A wide sparse export: the ids and names above a wordstring stand on a supplier's first row only.
 FIXTURES["flat_rows"] = """
 select n_regionkey as reg, s_nationkey as nat, l_suppkey as sup, l_orderkey as ord, l_linenumber as line,
        min(l_partkey) as pk, min(l_quantity) as qty, min(r_name) as r_name, min(n_name) as n_name, min(s_name) as s_name
@@ -55,19 +55,20 @@ group by n_regionkey, s_nationkey, l_suppkey, l_orderkey, l_linenumber
 """
 
 FIXTURES["flat_marked"] = """
-select *, case when reg is distinct from lag(reg) over w then 1 else 0 end as new_reg,
-       case when nat is distinct from lag(nat) over w then 1 else 0 end as new_nat,
-       case when sup is distinct from lag(sup) over w then 1 else 0 end as new_sup,
-       case when sup is distinct from lag(sup) over w or ord is distinct from lag(ord) over w then 1 else 0 end as new_ws
-from flat_rows window w as (order by reg, nat, sup, ord, line)
+select r.*, case when r.ord * 100 + r.line = s.first_line then 1 else 0 end as new_sup,
+       case when r.line = w.first_word then 1 else 0 end as new_ws
+from flat_rows r
+     join (select sup as s_sup, min(ord * 100 + line) as first_line from flat_rows group by sup) s on r.sup = s.s_sup
+     join (select sup as w_sup, ord as w_ord, min(line) as first_word from flat_rows group by sup, ord) w
+       on r.sup = w.w_sup and r.ord = w.w_ord
 """
 
 FIXTURES["flat_export"] = """
 select reg, nat, sup, ord, line,
-       case when new_reg = 1 then concat('S', cast(reg as varchar(20))) end as sys_id,
-       case when new_reg = 1 then r_name end as sys_name,
-       case when new_nat = 1 then concat('P', cast(nat as varchar(20))) end as phys_id,
-       case when new_nat = 1 then n_name end as phys_name,
+       case when new_sup = 1 then concat('S', cast(reg as varchar(20))) end as sys_id,
+       case when new_sup = 1 then r_name end as sys_name,
+       case when new_sup = 1 then concat('P', cast(nat as varchar(20))) end as phys_id,
+       case when new_sup = 1 then n_name end as phys_name,
        case when new_sup = 1 then concat('O', cast(sup as varchar(20))) else '  ' end as out_id,
        case when new_sup = 1 then s_name else '' end as out_name,
        case when new_ws = 1 then concat('W', cast(ord as varchar(20)), '-', cast(sup as varchar(20))) end as ws_id,
@@ -80,6 +81,7 @@ from flat_marked
 
 FIXTURES["req_base"] = """
 select doc_id as d, doc_id % 4 as dm, cast(floor(doc_id / 4) as int) as q, text, lang, source,
+       case when doc_id % 37 = 5 and doc_id >= 8 then doc_id - 4 else doc_id end as rid,
        concat(cast(cast(floor(floor(doc_id / 4) / 64) as int) + 1 as varchar(20)), '.',
               cast(cast(floor(floor(doc_id / 4) / 8) as int) % 8 + 1 as varchar(20))) as sec
 from documents
@@ -102,10 +104,10 @@ select concat('D', cast(dm as varchar(20))) as doc_name, d,
 from req_base
 """
 
-# Normalised requirements, written directly so that views over them have their own input.
+# Normalised requirements, written directly so that views over them have their own input. Some ids repeat.
 FIXTURES["reqs"] = """
 select d as row_idx,
-       concat('REQ-', case when d < 10000 then lpad(cast(d as varchar(20)), 5, '0') else cast(d as varchar(20)) end) as Req_ID,
+       concat('REQ-', case when rid < 10000 then lpad(cast(rid as varchar(20)), 5, '0') else cast(rid as varchar(20)) end) as Req_ID,
        case when d % 13 = 0 then concat('ALT-', cast(d as varchar(20))) else '' end as Aliases,
        concat('D', cast(dm as varchar(20))) as Doc_Name,
        case dm when 0 then 'FCSS' when 1 then 'FCSRD' when 2 then 'CCSRD' else 'SRS' end as Doc_Type,

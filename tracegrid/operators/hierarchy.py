@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tracegrid.functions.text import label
 from tracegrid.operators.hierarchy_columns import DEFAULT_COLUMNS, KEYS
 from tracegrid.operators.ordered import distinct_first, fill_columns, fill_down
+from tracegrid.operators.storage import materialize
 from tracegrid.sources.flat import clean_header, clean_headers
 
 TABLES = tuple(KEYS)
@@ -44,7 +45,8 @@ def normalize_tables(
     """Fill down, then one table per level: first row per key, sorted by key.
 
     ``mapping`` names the raw column of each canonical one, per table. ``fill``
-    takes canonical or raw names; ``defaults`` adds every mapped column.
+    takes canonical or raw names; ``defaults`` adds every mapped column. The
+    filled table is written once, since every level is read from it.
     """
     maps = {t: dict(cols) for t, cols in (mapping or DEFAULT_COLUMNS).items()}
     if clean:
@@ -63,7 +65,7 @@ def normalize_tables(
     candidates = [*wanted, *(raw_of[c] for c in HIERARCHY if c in raw_of)]
     inferred = fill_columns(df, candidates, order_by) if infer else []
     wanted = [c for c in dict.fromkeys([*wanted, *inferred]) if c not in order_by]
-    flat = fill_down(df, wanted, order_by)
+    flat = materialize(fill_down(df, wanted, order_by))
 
     tables: dict[str, DataFrame] = {}
     order = [f"__o{i}" for i, _ in enumerate(order_by)]

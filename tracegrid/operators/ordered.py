@@ -22,6 +22,8 @@ from tracegrid.functions.text import blank_to_null
 RANGE = "__range"
 # Spark's own range partitioner also samples some twenty keys per output range.
 SAMPLE_PER_RANGE = 20
+# Fewer rows than this are not worth a range of their own.
+MIN_ROWS_PER_RANGE = 2000
 
 
 def _shuffle_partitions(df: DataFrame) -> int:
@@ -34,11 +36,11 @@ def assign_ranges(df: DataFrame, order_by: Sequence[str], ranges: int | None = N
     The boundaries come from a sample of bounded size chosen by a hash of the
     key, and each row finds its slice by binary search among them.
     """
-    wanted = ranges or _shuffle_partitions(df)
     key = F.struct(*[F.col(c) for c in order_by])
     keys = df.select(key.alias("key"))
     total = keys.count()
-    if wanted <= 1 or total <= wanted:
+    wanted = ranges or min(_shuffle_partitions(df), total // MIN_ROWS_PER_RANGE)
+    if wanted <= 1:
         return df.withColumn(RANGE, F.lit(0))
     keep_one_in = max(1, total // (wanted * SAMPLE_PER_RANGE))
     sample = keys.where(F.pmod(F.xxhash64("key"), F.lit(keep_one_in)) == 0).distinct()

@@ -12,7 +12,6 @@ from tracegrid.functions import ids as I
 from tracegrid.functions.text import (
     BLANK_CLASS,
     BLANKS,
-    blank_to_null,
     clean_str,
     filled,
     first_filled,
@@ -20,6 +19,7 @@ from tracegrid.functions.text import (
     text,
 )
 from tracegrid.operators.ordered import distinct_first, ordered_scan, row_number
+from tracegrid.operators.storage import materialize
 
 # Requirement types read as section headers, and object types never kept.
 HEADER_WORDS = (
@@ -345,7 +345,8 @@ def normalize_traceable(
     reason = F.when(~header & (I.primary_id(id_cell) == ""), "missing_requirement_id").when(
         ~header & (number == ""), "missing_object_number"
     )
-    marked = ctx.withColumn("__reason", reason)
+    # Both results read the scanned sheet, so it is kept.
+    marked = materialize(ctx.withColumn("__reason", reason))
     rejected = _reject(marked, doc, id_cell, number)
 
     names = doc.columns()
@@ -551,7 +552,7 @@ def normalize_guideline(
     reason = F.when(I.primary_id(id_cell) == "", F.lit("missing_requirement_id")).when(
         dropped, F.concat(F.lit("filtered_object_type:"), object_type)
     )
-    marked = numbered.withColumn("__reason", reason)
+    marked = materialize(numbered.withColumn("__reason", reason))
     names = doc.columns()
     aliases = I.alias_ids(id_cell)
     optional = [c for c in kind.optional if c in df.columns]
