@@ -106,11 +106,3 @@ def natural_key(c) -> Column:
             F.when(r.rlike(r"^\d"), F.lit("")).otherwise(F.lower(r)).alias("word"),
         ),
     )
-
-
-def section_number_key(c, depth: int = 8) -> Column:
-    """Dotted number as an integer array padded with zeros; null where there is none."""
-    lead = F.regexp_extract(clean_str(c), r"^(\d+(?:\.\d+)*)", 1)
-    parts = F.transform(F.split(lead, r"\."), lambda p: F.coalesce(p.try_cast("decimal(38,0)"), F.lit(0).cast("decimal(38,0)")))
-    zeros = F.array_repeat(F.lit(0).cast("decimal(38,0)"), F.greatest(F.lit(depth) - F.size(parts), F.lit(0)))
-    return F.when(lead != "", F.concat(parts, zeros))
