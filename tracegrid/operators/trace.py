@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from tracegrid.functions import ids as I
 from tracegrid.functions.text import clean_str, heading_block, text, truncate_text, value_or_na
+from tracegrid.operators.ordered import union_all
+from tracegrid.operators.storage import materialize
 
 
 def req_index(reqs: DataFrame, order_by: Sequence[str], fields: Sequence[str], last: bool = False) -> DataFrame:
@@ -158,48 +160,50 @@ def trace_neighbourhood(
     """Nodes and edges around the core requirements, up to two hops.
 
     A related page is one node per core (or per parent for the second hop), so
-    node ids are made of the page and its role.
+    node ids are made of the page and its role. The links and the steps taken
+    are kept, as nodes and edges are both read from them.
     """
     cores = reqs.where(core) if core is not None else reqs
     pages = cores.select(F.col(key).alias("core"))
-
-    def node(page: str, role: str, around: str | None = None) -> Column:
-        tail = [F.lit(f"|{role}")] + ([F.lit(":"), F.col(around).cast("string")] if around else [])
+    hops: list[DataFrame] = []
+    sides = (("Parent_Req_IDs", max_parents, max_grandparents), ("Child_Req_IDs", max_children, max_grandchildren))
+    for side, (column, cap, far_cap) in enumerate(sides):
+        if depth < 1:
+            break
+        links = materialize(resolved_links(reqs, key, column))
+        first = links.where(F.col("rank") <= cap).join(pages, F.col("page") == F.col("core"))
+        first = first.select(F.lit(side).alias("side"), "core", F.col("target").alias("near"))
+        hops.append(first.withColumn("far", F.lit(None).cast(reqs.schema[key].dataType)))
+        if depth >= 2:
+            second = links.where(F.col("rank") <= far_cap).select(F.col("page").alias("near"), F.col("target").alias("far"))
+            hops.append(first.join(second, "near").select("side", "core", "near", "far"))
+
+    def node(page: str, role: Column, around: str | None = None) -> Column:
+        tail = [F.lit("|"), role] + ([F.lit(":"), F.col(around).cast("string")] if around else [])
         return F.concat(F.col(page).cast("string"), *tail)
 
-    nodes = [pages.select(node("core", "core").alias("node_id"), F.col("core").alias("page"), F.lit("core").alias("role"))]
-    edges: list[DataFrame] = []
-
-    def hop(side: str, near: str, far: str, cap: int, far_cap: int, outward: bool) -> None:
-        links = resolved_links(reqs, key, side)
-        first = links.where(F.col("rank") <= cap).join(pages, F.col("page") == F.col("core"))
-        first = first.select("core", F.col("target").alias("near"))
-        nodes.append(first.select(node("near", near, "core").alias("node_id"), F.col("near").alias("page"), F.lit(near).alias("role")))
-        inner, outer = node("core", "core"), node("near", near, "core")
-        ends = (inner, outer) if outward else (outer, inner)
-        edges.append(first.select(ends[0].alias("source"), ends[1].alias("target")))
-        if depth < 2:
-            return
-        second = links.where(F.col("rank") <= far_cap).select(F.col("page").alias("near"), F.col("target").alias("far"))
-        two = first.join(second, "near")
-        nodes.append(two.select(node("far", far, "near").alias("node_id"), F.col("far").alias("page"), F.lit(far).alias("role")))
-        inner, outer = node("near", near, "core"), node("far", far, "near")
-        ends = (inner, outer) if outward else (outer, inner)
-        edges.append(two.select(ends[0].alias("source"), ends[1].alias("target")))
-
-    if depth >= 1:
-        hop("Parent_Req_IDs", "parent", "grandparent", max_parents, max_grandparents, outward=False)
-        hop("Child_Req_IDs", "child", "grandchild", max_children, max_grandchildren, outward=True)
-
-    def union(frames: list[DataFrame]) -> DataFrame:
-        out = frames[0]
-        for f in frames[1:]:
-            out = out.unionByName(f)
-        return out.distinct()
-
-    if not edges:
-        edges = [pages.select(node("core", "core").alias("source"), node("core", "core").alias("target")).where(F.lit(False))]
-    return union(nodes), union(edges)
+    core_id = node("core", F.lit("core"))
+    nodes = pages.select(core_id.alias("node_id"), F.col("core").alias("page"), F.lit("core").alias("role")).distinct()
+    if not hops:
+        return nodes, pages.select(core_id.alias("source"), core_id.alias("target")).where(F.lit(False))
+
+    steps = materialize(union_all(hops))
+    outward = F.col("side") == 1
+    near_role = F.when(outward, "child").otherwise("parent")
+    far_role = F.when(outward, "grandchild").otherwise("grandparent")
+    near_id, far_id = node("near", near_role, "core"), node("far", far_role, "near")
+    one_hop = F.col("far").isNull()
+    around = steps.select(
+        F.when(one_hop, near_id).otherwise(far_id).alias("node_id"),
+        F.coalesce("far", "near").alias("page"),
+        F.when(one_hop, near_role).otherwise(far_role).alias("role"),
+    ).distinct()
+    inner = F.when(one_hop, core_id).otherwise(near_id)
+    outer = F.when(one_hop, near_id).otherwise(far_id)
+    edges = steps.select(
+        F.when(outward, inner).otherwise(outer).alias("source"), F.when(outward, outer).otherwise(inner).alias("target")
+    ).distinct()
+    return nodes.unionByName(around), edges
 
 
 def related_with_block(
