@@ -271,12 +271,14 @@ def chunk_documents(
     overlap: int = 200,
     joiner: str = " > ",
     ingest_timestamp: str | None = None,
+    keep_empty: bool = False,
 ) -> DataFrame:
-    """Chunks of every document with their metadata.
+    """Chunks of every document with their metadata and the hash of all chunk texts together.
 
     Blocks, their metadata and their fragments stay arrays within a document's
     row until the final explode, so nothing is shuffled and the chunk index is
-    the array position.
+    the array position. ``keep_empty`` gives a document without chunks one row
+    with a null id.
     """
     front, body = front_matter(text_col)
     path = _col(path_col)
@@ -309,7 +311,11 @@ def chunk_documents(
 
     # A block is described before it is cut, so its text is searched once.
     parts = F.flatten(F.transform(F.transform("blocks", described), of_block))
-    pieces = docs.select("source_path", "front", "doc_sha256", F.posexplode(parts).alias("chunk_index", "p"))
+    explode = F.posexplode_outer if keep_empty else F.posexplode
+    whole = F.array_join(F.transform("parts", lambda x: x["text"]), "\n\n")
+    pieces = docs.select("source_path", "front", "doc_sha256", parts.alias("parts")).select(
+        "source_path", "front", "doc_sha256", content_sha(whole).alias("content_sha256"), explode("parts").alias("chunk_index", "p")
+    )
     p = {n: F.col("p")[n] for n in ("text", "start_char", "end_char", "heading_path", "heading_text", "about")}
     known = {n: p["about"][n] for n in (*FIELDS, "doc_level")}
     above = F.coalesce(F.nullif(p["heading_text"], F.lit("")), p["heading_path"])
@@ -317,7 +323,7 @@ def chunk_documents(
     named = {*BASE_KEYS, *FIELDS}
     source = F.col("source_path")
     return pieces.select(
-        chunk_id(source, F.col("chunk_index")).alias("id"),
+        F.when(F.col("chunk_index").isNotNull(), chunk_id(source, F.col("chunk_index"))).alias("id"),
         p["text"].alias("text"),
         "source_path",
         file_name(source).alias("file_name"),
@@ -327,6 +333,7 @@ def chunk_documents(
         meta["doc_level"].alias("doc_level"),
         F.lit(ingest_timestamp).cast("string").alias("ingest_timestamp_utc"),
         "doc_sha256",
+        "content_sha256",
         F.col("front")["tags"].alias("tags"),
         p["heading_path"].alias("heading_path"),
         meta["section_id"].alias("section_id"),
@@ -335,7 +342,7 @@ def chunk_documents(
         "chunk_index",
         p["start_char"].alias("start_char"),
         p["end_char"].alias("end_char"),
-        content_sha(p["text"]).alias("chunk_sha256"),
+        F.when(F.col("chunk_index").isNotNull(), content_sha(p["text"])).alias("chunk_sha256"),
         F.map_filter("front", lambda k, _: ~k.isin(*named)).alias("extra"),
     )
 
