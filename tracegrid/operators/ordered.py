@@ -30,18 +30,19 @@ def _shuffle_partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
-def assign_ranges(df: DataFrame, order_by: Sequence[str], ranges: int | None = None) -> DataFrame:
+def assign_ranges(df: DataFrame, order_by: Sequence[str], ranges: int | None = None) -> DataFrame | None:
     """Add ``__range``: which of about ``ranges`` equal slices of the order a row is in.
 
     The boundaries come from a sample of bounded size chosen by a hash of the
-    key, and each row finds its slice by binary search among them.
+    key, and each row finds its slice by binary search among them. None where
+    one slice is enough.
     """
     key = F.struct(*[F.col(c) for c in order_by])
     keys = df.select(key.alias("key"))
     total = keys.count()
     wanted = ranges or min(_shuffle_partitions(df), total // MIN_ROWS_PER_RANGE)
     if wanted <= 1:
-        return df.withColumn(RANGE, F.lit(0))
+        return None
     keep_one_in = max(1, total // (wanted * SAMPLE_PER_RANGE))
     sample = keys.where(F.pmod(F.xxhash64("key"), F.lit(keep_one_in)) == 0).distinct()
     rows = sample.orderBy("key").select(F.to_json("key", {"ignoreNullFields": "false"}).alias("j")).collect()
@@ -49,7 +50,7 @@ def assign_ranges(df: DataFrame, order_by: Sequence[str], ranges: int | None = N
     cuts = [rows[math.floor(i * step)].j for i in range(1, wanted) if len(rows) > 1]
     cuts = list(dict.fromkeys(cuts))
     if not cuts:
-        return df.withColumn(RANGE, F.lit(0))
+        return None
     schema = T.ArrayType(keys.schema["key"].dataType)
     bounds = F.from_json(F.lit("[" + ",".join(cuts) + "]"), schema)
     steps = [1 << b for b in reversed(range(len(cuts).bit_length()))]
@@ -75,7 +76,8 @@ def ordered_scan(
 
     ``fills``: the last non-null value so far. ``sums``: the running total so far
     (null counts as zero). ``order_by`` must be unique within a group. No group
-    is ever handled by one task, however large.
+    is ever handled by one task, however large. The input is read several
+    times: keep it first (``materialize``) where it is costly to compute.
     """
     fills, sums = dict(fills or {}), dict(sums or {})
     part, order = list(partition_by), list(order_by)
@@ -86,7 +88,16 @@ def ordered_scan(
         *[e.alias(raw[n]) for n, e in fills.items()],
         *[F.coalesce(e, F.lit(0)).alias(raw[n]) for n, e in sums.items()],
     )
+    kept = [F.col(c) for c in df.columns if c not in names]
     ranged = assign_ranges(ready, part + order, ranges)
+    if ranged is None:
+        # Few rows in all: a plain window.
+        whole = Window.partitionBy(*part).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+        return ready.select(
+            *kept,
+            *[F.last(raw[n], ignorenulls=True).over(whole).alias(n) for n in fills],
+            *[F.sum(raw[n]).over(whole).alias(n) for n in sums],
+        )
 
     group = F.struct(*[F.col(c) for c in part], F.lit(0).alias("__all"))
     key = F.struct(*[F.col(c) for c in order])
@@ -128,7 +139,6 @@ def ordered_scan(
     done |= {
         n: F.col(f"__local_{n}") + F.coalesce(F.when(inherits, F.col(f"__carry_{n}")), F.lit(0)) for n in sums
     }
-    kept = [F.col(c) for c in df.columns if c not in names]
     return joined.select(*kept, *[e.alias(n) for n, e in done.items()])
 
 

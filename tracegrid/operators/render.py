@@ -26,6 +26,7 @@ from tracegrid.functions.text import (
     word_count,
 )
 from tracegrid.operators import ordered
+from tracegrid.operators.storage import materialize
 from tracegrid.operators.trace import (
     link_context,
     own_title,
@@ -122,10 +123,13 @@ def _placed(reqs: DataFrame, order_by: Sequence[str], hierarchical: bool, extens
         )
     else:
         slugged = slugged.withColumn("folder", F.col("doc_slug"))
-    numbered = ordered.row_number(slugged, order_by, "__row")
-    stem = slugify(F.coalesce(filled("Req_ID"), F.concat(L("row_"), F.col("__row").cast("string"))))
-    named = unique_names(numbered, ["folder"], stem, order_by, "__name", MAX_STEM if extension == "md" else 100_000)
-    return named.withColumn("file_name", F.concat("__name", L(f".{extension}"))).drop("__name")
+    # Row numbers and names are worked out on ids and folders, not on the texts.
+    slim = materialize(slugged.select(*order_by, "folder", "doc_slug", filled("Req_ID").alias("__id")))
+    slim = ordered.row_number(slim, order_by, "__row")
+    stem = slugify(F.coalesce("__id", F.concat(L("row_"), F.col("__row").cast("string"))))
+    named = unique_names(slim, ["folder"], stem, order_by, "__name", MAX_STEM if extension == "md" else 100_000)
+    file_name = F.concat("__name", L(f".{extension}")).alias("file_name")
+    return reqs.join(named.select(*order_by, "doc_slug", "folder", "__row", file_name), list(order_by))
 
 
 FILE_COLUMNS = ("doc_slug", "folder", "file_name", "content")
@@ -233,6 +237,11 @@ def rag_text(reqs: DataFrame, order_by: Sequence[str]) -> DataFrame:
     return df.select(*order_by, "doc_slug", "folder", "file_name", F.concat(body, L("\n")).alias("content"))
 
 
+def _numbered(side: int):
+    """Link entries of one side, with their place in the list."""
+    return lambda rid, i: F.struct(L(side).alias("side"), i.alias("pos"), rid.alias("rid"))
+
+
 def trace_snippets(reqs: DataFrame, order_by: Sequence[str], include_text: bool) -> DataFrame:
     """Add ``parent_snippets`` and ``child_snippets``: linked ids, with their text where asked."""
     sides = {"parent_snippets": I.split_ids("Parent_Req_IDs"), "child_snippets": I.split_ids("Child_Req_IDs")}
@@ -240,8 +249,7 @@ def trace_snippets(reqs: DataFrame, order_by: Sequence[str], include_text: bool)
         return reqs.withColumns(sides)
     order = list(order_by)
     entries = [
-        F.transform(e, lambda rid, i, n=n: F.struct(L(n).alias("side"), i.alias("pos"), rid.alias("rid")))
-        for n, e in enumerate(sides.values())
+        F.transform(e, _numbered(n)) for n, e in enumerate(sides.values())
     ]
     links = reqs.select(*order, F.inline(F.concat(*entries)))
     index = req_index(reqs, order, ["Requirement_Text"]).withColumnRenamed("Req_ID", "__id")
@@ -252,10 +260,10 @@ def trace_snippets(reqs: DataFrame, order_by: Sequence[str], include_text: bool)
     lists = found.groupBy(*order).agg(F.array_sort(F.collect_list(F.struct("side", "pos", "line"))).alias("l"))
     joined = reqs.join(lists, order, "left")
     none = F.array().cast("array<string>")
-    for n, name in enumerate(sides):
-        mine = F.transform(F.filter("l", lambda x, n=n: x["side"] == n), lambda x: x["line"])
-        joined = joined.withColumn(name, F.coalesce(mine, none))
-    return joined.drop("l")
+    parents = F.transform(F.filter("l", lambda x: x["side"] == 0), lambda x: x["line"])
+    children = F.transform(F.filter("l", lambda x: x["side"] == 1), lambda x: x["line"])
+    mine = {"parent_snippets": F.coalesce(parents, none), "child_snippets": F.coalesce(children, none)}
+    return joined.withColumns(mine).drop("l")
 
 
 def neighbour_markdown(
@@ -268,9 +276,8 @@ def neighbour_markdown(
     include_text: bool = False,
 ) -> DataFrame:
     """Each requirement with the ones around it in its section and what it traces to."""
-    titled = with_section_title(reqs, order_by)
-    around = section_neighbours(titled, order_by, k_prev, k_next)
-    df = _placed(trace_snippets(around, order_by, include_trace_text), order_by, hierarchical, "md")
+    around = with_section_title(section_neighbours(reqs, order_by, k_prev, k_next), order_by)
+    df = _placed(materialize(trace_snippets(around, order_by, include_trace_text)), order_by, hierarchical, "md")
     get = lambda *names: cell(df, *names)
     req_id = F.coalesce(filled("Req_ID"), F.concat(L("row_"), F.col("__row").cast("string")))
     doc = F.coalesce(filled("Doc_Name"), L("UNKNOWN"))
@@ -394,6 +401,8 @@ def section_documents(
     key = ["anchor_doc", "anchor_type", "anchor_base"]
     rows = titled.withColumns({**anchor(titled), "__header": _flag(titled, "Is_Section_Header")})
     rows = rows.where(F.col("anchor_base") != "").withColumn("__at", F.struct(*order_by))
+    used = ("Level", "Combined_Text", "Requirement_Text", "Object_Number", "Req_ID", "resolved_title", *INTRO_FIELDS)
+    rows = materialize(rows.select(*key, "__header", "__at", *[F.col(f"`{c}`") for c in used if c in rows.columns]))
     level = cell(rows, "Level")
     heads = rows.groupBy(*key).agg(
         F.min("__at").alias("__first"),
@@ -419,7 +428,7 @@ def section_documents(
     heads = heads.withColumns(
         {"title": title, "level": shown_level, "anchor_id": anchor_id, "doc_slug": slugify("anchor_doc"), "version": version}
     )
-    heads = unique_names(heads, ["doc_slug"], stem, ["__first"], "__name", MAX_STEM)
+    heads = materialize(unique_names(materialize(heads), ["doc_slug"], stem, ["__first"], "__name", MAX_STEM))
     count = F.col("n").cast("string")
     doc, kind, base, version = F.col("anchor_doc"), F.col("anchor_type"), F.col("anchor_base"), F.col("version")
     head_text = lines(
@@ -500,7 +509,7 @@ def section_documents(
         out += [line_rows(members, 6, line, row_sort_key(rows), F.col("__at")), line_rows(heads.where("n = 0"), 6, empty)]
     else:
         out.append(line_rows(heads, 6, empty))
-    documents = _joined_parts(ordered.union_all(out), key, ["stage", "sort", "at", "sub"], part_lines)
+    documents = _joined_parts(materialize(ordered.union_all(out)), key, ["stage", "sort", "at", "sub"], part_lines)
     return documents.join(heads.select(*key, "doc_slug", "__name"), key).select(
         "doc_slug",
         F.col("doc_slug").alias("folder"),
@@ -592,7 +601,7 @@ def rag_blocks(
 
 def merged_sections(blocks: DataFrame, order_by: Sequence[str], max_per: int = 250) -> DataFrame:
     """Blocks of a document merged per section bucket, at most ``max_per`` in each."""
-    bucketed = bucket_blocks(blocks, order_by, ["Doc_Name"], max_per)
+    bucketed = bucket_blocks(materialize(blocks), order_by, ["Doc_Name"], max_per)
     gathered = bucketed.groupBy("Doc_Name", "bucket").agg(
         F.count("*").alias("blocks"),
         F.array_sort(F.collect_list(F.struct(F.struct(*order_by).alias("o"), "block"))).alias("b"),
@@ -690,7 +699,8 @@ def printable_export(
     members = rows.join(firsts.select("group_title", F.col("f.__key").alias("__group")), "group_title").select(
         "group_title", "__group", L(1).alias("__kind"), "__key", "line"
     )
-    placed = ordered.row_number(heads.unionByName(members), ["__group", "__kind", "__key"], "position")
+    every = materialize(heads.unionByName(members))
+    placed = ordered.row_number(every, ["__group", "__kind", "__key"], "position")
     top = reqs.agg(
         F.concat(L("# Requirements Export (Printable)\n\n- Total: **"), F.count("*").cast("string"), L("**\n")).alias("line")
     ).select(L(0).cast("long").alias("position"), "line")

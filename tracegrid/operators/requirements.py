@@ -478,7 +478,7 @@ def normalize_merged(
     titles = [c for c in sheet if "title" in c.lower() and "ole" not in c.lower()]
     optional = [c for c in kind.optional if c in df.columns]
     group = ["__Doc_Name", *[c for c in (section_col, number_col, text_col) if c in df.columns]]
-    named = numbered.withColumns({f"__{n}": e for n, e in names.items()})
+    named = materialize(numbered.withColumns({f"__{n}": e for n, e in names.items()}))
     merged = merge_duplicates(
         named, group, ["Row_Index"], [*kind.parents, *kind.children], list(dict.fromkeys([*titles, *optional]))
     )
@@ -599,7 +599,7 @@ def flag_header_types(reqs: DataFrame) -> DataFrame:
 def build_star(reqs: DataFrame, order_by: Sequence[str]) -> dict[str, DataFrame]:
     """Documents, requirements and traces with ids in order of first appearance."""
     order = list(order_by)
-    first_docs = distinct_first(reqs.select("Doc_Name", "Doc_Type", "Level", *order), ["Doc_Name"], order)
+    first_docs = materialize(distinct_first(reqs.select("Doc_Name", "Doc_Type", "Level", *order), ["Doc_Name"], order))
     documents = row_number(first_docs, order, "id").select(
         "id", F.col("Doc_Name").alias("doc_name"), F.col("Doc_Type").alias("doc_type"), F.col("Level").alias("level")
     )
@@ -616,7 +616,7 @@ def build_star(reqs: DataFrame, order_by: Sequence[str]) -> dict[str, DataFrame]
     slim = reqs.where(F.col("Req_ID").isNotNull()).select(
         F.col("Req_ID").alias("req_id"), F.col("Doc_Name").alias("doc_name"), *cells, *order
     )
-    unique = row_number(distinct_first(slim, ["req_id", "doc_name"], order), order, "id")
+    unique = row_number(materialize(distinct_first(slim, ["req_id", "doc_name"], order)), order, "id")
     requirements = unique.join(
         documents.select(F.col("id").alias("doc_id"), "doc_name"), "doc_name"
     ).select("id", "req_id", "doc_id", *wanted)
@@ -635,7 +635,7 @@ def build_star(reqs: DataFrame, order_by: Sequence[str]) -> dict[str, DataFrame]
     edges = reqs.select(at.alias("at"), F.inline(links)).groupBy("source_req_id", "target_req_id").agg(
         F.min(F.struct("at", "side", "pos")).alias("first")
     )
-    traces = row_number(edges, ["first"], "id").select(
+    traces = row_number(materialize(edges), ["first"], "id").select(
         "id", "source_req_id", "target_req_id", F.lit("parent").alias("trace_type")
     )
     return {"documents": documents, "requirements": requirements, "traces": traces}

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracegrid.functions import ids as I
-from tracegrid.functions.text import BLANK_CLASS, _col, clean_str, py_strip, slugify, text
+from tracegrid.functions.text import BLANK_CLASS, clean_str, py_strip, text
 from tracegrid.operators import ordered
+from tracegrid.operators.storage import materialize
 from tracegrid.operators.trace import resolve_number
 
 HEADER, ROW = "Header", "Requirement"
@@ -219,9 +220,10 @@ def unique_names(
     A stem that is itself of the form ``name-3`` is never taken by a generated
     name: the j-th repeat of ``name`` gets the j-th number not held by such a
     stem, found by one running count over repeats and held numbers together.
+    Names are worked out on the stems alone and joined back by ``order_by``.
     """
-    keys = [*scope, "__stem"]
-    stemmed = df.withColumn("__stem", F.substring(stem, 1, max_length))
+    keys, order = [*scope, "__stem"], list(order_by)
+    stemmed = materialize(df.select(*scope, *order, F.substring(stem, 1, max_length).alias("__stem")))
     numbered = ordered.row_number(stemmed, order_by, "__nth", keys)
     first = F.col("__nth") == 1
 
@@ -246,18 +248,21 @@ def unique_names(
     named = counted.withColumn(
         out, F.concat("__stem", F.lit("-"), (F.col("__j") + F.col("__held")).cast("string"))
     )
-    return numbered.where(first).withColumn(out, F.col("__stem")).select(*df.columns, out).unionByName(
-        named.select(*df.columns, out)
-    )
+    names = numbered.where(first).select(*order, F.col("__stem").alias(out)).unionByName(named.select(*order, out))
+    return df.join(names, order).select(*df.columns, out)
 
 
 def bucket_blocks(
     reqs: DataFrame, order_by: Sequence[str], scope: Sequence[str] = ("Doc_Name",), max_per: int = 250
 ) -> DataFrame:
     """Add ``bucket``: the major section; the minor one where a major is too large; else numbered parts."""
-    keyed = reqs.withColumn("__major", I.major_key("Object_Number")).withColumn("__minor", I.minor_key("Object_Number"))
+    order = list(order_by)
+    numbers = reqs.select(
+        *scope, *order, I.major_key("Object_Number").alias("__major"), I.minor_key("Object_Number").alias("__minor")
+    )
     finer = F.when(F.col("__minor") != "N/A", F.col("__minor")).otherwise(F.col("__major"))
-    keyed = keyed.withColumn("__finer", finer)
+    # Buckets are worked out on the numbers alone and joined back by the order.
+    keyed = materialize(numbers.withColumn("__finer", finer))
     minors = keyed.groupBy(*scope, "__major", "__finer").agg(F.count("*").alias("__in_minor"))
     majors = minors.groupBy(*scope, "__major").agg(F.sum("__in_minor").alias("__in_major"))
     large = minors.join(majors, [*scope, "__major"]).where(F.col("__in_major") > max_per)
@@ -270,7 +275,7 @@ def bucket_blocks(
         .when(F.col("__in_minor") <= max_per, F.col("__finer"))
         .otherwise(F.concat("__finer", F.lit("__part"), part))
     )
-    return placed.withColumn("bucket", bucket).drop("__major", "__minor", "__finer", "__in_minor", "__in_major", "__nth")
+    return reqs.join(placed.select(*order, bucket.alias("bucket")), order).select(*reqs.columns, "bucket")
 
 
 # --- summaries ---------------------------------------------------------------------
@@ -313,11 +318,10 @@ def section_rollup(reqs: DataFrame, doc_type: str, order_by: Sequence[str], list
     lists = parts.groupBy(*group, "part").agg(
         F.array_sort(F.collect_list(F.struct("Req_ID", "__tie"))).alias("r"), F.count("*").alias("requirements_in_part")
     )
-    totals = lists.groupBy(*group).agg(F.sum("requirements_in_part").alias("total"))
-    named = lists.withColumn("requirements", F.transform("r", lambda x: x["Req_ID"])).drop("r")
-    keys = [named[c].eqNullSafe(totals[c]) for c in group]
-    return named.join(totals, keys[0] & keys[1]).select(
-        *[named[c] for c in group], "part", "requirements_in_part", "total", "requirements"
+    # One row per part here, so the window over a group is short.
+    total = F.sum("requirements_in_part").over(Window.partitionBy(*group))
+    return lists.select(
+        *group, "part", "requirements_in_part", total.alias("total"), F.transform("r", lambda x: x["Req_ID"]).alias("requirements")
     )
 
 
