@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from tracegrid.functions.text import _col, clean_str, text
 from tracegrid.operators.ordered import row_number, union_all
@@ -96,6 +97,8 @@ def _pass(corpus: DataFrame, queries: list, n: int, id_type: T.DataType, query_t
         [T.StructField("query_id", query_type), T.StructField("id", id_type), T.StructField("distance", T.DoubleType())]
     )
 
+    arrow_query = to_arrow_type(query_type)
+
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         q = shared.value
         kept: list[tuple[np.ndarray, np.ndarray]] | None = None
@@ -119,7 +122,7 @@ def _pass(corpus: DataFrame, queries: list, n: int, id_type: T.DataType, query_t
         for key, (ids, distances) in zip(keys, kept or []):
             yield pa.RecordBatch.from_pydict(
                 {
-                    "query_id": pa.array([key] * len(ids)),
+                    "query_id": pa.array([key] * len(ids), type=arrow_query),
                     "id": pa.array(ids.tolist(), type=arrow_id),
                     "distance": pa.array(distances),
                 }

@@ -11,7 +11,7 @@ from __future__ import annotations
 from collections.abc import Mapping
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -70,16 +70,20 @@ def stream_ingest(
     options: Mapping | None = None,
     fmt: str = "parquet",
     max_files_per_trigger: int | None = None,
+    path: Column | None = None,
 ):
-    """Ingest every new file of ``(source_path, text)`` rows once, then stop.
+    """Ingest every new file of documents once, then stop.
+
+    Rows carry ``text`` and ``source_path``, or what ``path`` is made of.
 
     Started again with the same checkpoint it goes on where it stopped.
     """
     reader = spark.readStream.format(fmt).schema(schema)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
+    source_path = F.col("source_path") if path is None else path
     files = reader.load(src_dir).select(
-        "source_path", "text", F.col("_metadata.file_modification_time").alias("file_time"), F.col("_metadata.file_path").alias("file_path")
+        source_path.alias("source_path"), "text", F.col("_metadata.file_modification_time").alias("file_time"), F.col("_metadata.file_path").alias("file_path")
     )
     query = (
         files.writeStream.foreachBatch(lambda df, batch: ingest_batch(df, batch, store, rules, options))
