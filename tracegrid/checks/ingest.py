@@ -10,7 +10,7 @@ from tracegrid.checks.hierarchy import TABLES_SQL, normalized
 from tracegrid.fixtures import fixture
 from tracegrid.operators import ingest as i
 from tracegrid.operators.matching import fuzzy_best_match
-from tracegrid.operators.storage import shared_folder
+from tracegrid.operators.storage import empty_frame, shared_folder
 from tracegrid.plans.compare import diff_and_report
 from tracegrid.sources import flat, sinks
 from tracegrid.streaming.ingest import current_chunks, stream_ingest
@@ -37,7 +37,7 @@ def _(spark, sf):
 
 def ingested(spark, sf):
     first = fixture(spark, sf, "docs_manifest").withColumnRenamed("old_text", "text")
-    empty = spark.createDataFrame([], i.MANIFEST)
+    empty = empty_frame(spark, i.MANIFEST)
     store, manifest, _ = i.incremental_ingest(first, empty)
     return i.incremental_ingest(fixture(spark, sf, "docs_current"), manifest, store, prune=True)
 

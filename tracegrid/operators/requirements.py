@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -98,10 +99,14 @@ def missing_columns(df: DataFrame, kind: DocKind) -> list[str]:
     return [c for c in kind.required if c not in df.columns]
 
 
-def validate_columns(sheets: Sequence[tuple[str, DataFrame, DocKind]], spark) -> DataFrame:
-    """One row per document and required column it lacks."""
-    rows = [(name, c) for name, df, kind in sheets for c in missing_columns(df, kind)]
-    return spark.createDataFrame(rows, "Doc_Name string, missing_column string")
+def validate_columns(sheets: Sequence[tuple[str, DataFrame, DocKind]]) -> DataFrame:
+    """One row per document and required column it lacks, with the rows left unread for it."""
+    reports = []
+    for name, df, kind in sheets:
+        lacking = F.array(*[F.lit(c) for c in missing_columns(df, kind)]).cast("array<string>")
+        counted = df.agg(F.count("*").alias("rows")).where(F.size(lacking) > 0)
+        reports.append(counted.select(F.lit(name).alias("Doc_Name"), F.explode(lacking).alias("missing_column"), "rows"))
+    return reduce(DataFrame.unionByName, reports)
 
 
 # --- section context -------------------------------------------------------

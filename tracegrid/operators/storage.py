@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -20,6 +21,12 @@ def shared_folder(spark: SparkSession) -> str:
     return named
 
 
+def empty_frame(spark: SparkSession, schema: str) -> DataFrame:
+    """No rows of the given schema, without a Python job."""
+    nulls = F.from_json(F.lit(None).cast("string"), schema)
+    return spark.range(0).select(nulls.alias("r")).select("r.*")
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write once, read as often as needed.
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tracegrid.operators import render
 from tracegrid.operators import requirements as r
 from tracegrid.operators.ordered import row_number, union_all
-from tracegrid.operators.storage import materialize
+from tracegrid.operators.storage import empty_frame, materialize
 
 
 @dataclass(frozen=True)
@@ -109,8 +109,7 @@ def build_requirements(
     sheets: Sequence[Sheet], version: str = "", registry: dict[str, Normalizer] = NORMALIZERS
 ) -> Requirements:
     """Normalise each complete sheet and stack the results; incomplete ones are reported."""
-    spark = sheets[0].rows.sparkSession
-    missing = r.validate_columns([(s.name, s.rows, s.kind) for s in sheets], spark)
+    missing = r.validate_columns([(s.name, s.rows, s.kind) for s in sheets])
     accepted, rejected, collapsed, totals = [], [], [], []
     for number, s in enumerate(sheets):
         if r.missing_columns(s.rows, s.kind):
@@ -127,8 +126,8 @@ def build_requirements(
     stacked = r.flag_header_types(union_all(accepted)).withColumn("Schema_Version", F.lit(version))
     numbered = row_number(stacked, ["doc_seq", "Row_Index"], "row_idx").withColumn("row_idx", F.col("row_idx") - 1)
     rows = materialize(numbered.drop("doc_seq"))
-    none = rows.sparkSession.createDataFrame(
-        [],
+    none = empty_frame(
+        rows.sparkSession,
         "Doc_Name string, Doc_Type string, Level string, Reason string, Raw_Requirement_ID string, "
         "Object_Number string, Section_Number string, Row_Index bigint",
     )

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tracegrid.functions.text import blank_to_null, clean_str, py_strip
 from tracegrid.operators.ordered import ordered_scan
+from tracegrid.operators.storage import empty_frame
 
 
 def clean_header(name: str) -> str:
@@ -114,7 +115,7 @@ def widen_numeric(df: DataFrame, order_by: Sequence[str], sample_rows: int = 200
         if c in wide
     ]
     if not lost:
-        return cast, df.sparkSession.createDataFrame([], "column_name string, cast_errors bigint")
+        return cast, empty_frame(df.sparkSession, "column_name string, cast_errors bigint")
     return cast, df.agg(F.array(*lost).alias("r")).select(F.inline("r"))
 
 

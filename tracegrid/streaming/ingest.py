@@ -17,6 +17,7 @@ from pyspark.sql.types import StructType
 
 from tracegrid.operators.chunks import DEFAULT_RULES
 from tracegrid.operators.ingest import MANIFEST, manifest_rows, plan_ingest, stored_chunks
+from tracegrid.operators.storage import empty_frame
 
 
 def _versions(spark: SparkSession, store: str, kind: str) -> DataFrame | None:
@@ -30,7 +31,7 @@ def current_manifest(spark: SparkSession, store: str, before: int | None = None)
     """Manifest rows of each document's newest version (below ``before``)."""
     rows = _versions(spark, store, "manifest")
     if rows is None:
-        return spark.createDataFrame([], MANIFEST + ", v bigint")
+        return empty_frame(spark, MANIFEST + ", v bigint")
     rows = rows.withColumn("v", F.col("v").cast("long"))
     if before is not None:
         rows = rows.where(F.col("v") < before)
