@@ -7,21 +7,28 @@ from tracegrid.checks.text import BL, sql_strip
 from tracegrid.fixtures import fixture
 from tracegrid.operators import chunks as c
 
+def sql_cut(source: str, keys: str) -> str:
+    """The chunking rule as a recursive query over (keys, t): one step per fragment."""
+
+    def end(at: str) -> str:
+        window = f"translate(substr(t, {at} + 1, 1200), chr(10), ' ')"
+        soft = f"1200 - strpos(reverse({window}), ' ') + 1"
+        return (
+            f"cast(case when length(t) <= {at} + 1200 then length(t) when contains({window}, ' ') and {soft} > 200 "
+            f"then {at} + {soft} else {at} + 1200 end as bigint)"
+        )
+
+    return f"""cut as (
+  select {keys}, t, 0 as idx, cast(0 as bigint) as s, {end('0')} as e from {source} where t <> ''
+  union all select {keys}, t, idx + 1, e - 200, {end('(e - 200)')} from cut where e < length(t)),
+pieces as (select {keys}, idx, trim(substr(t, s + 1, e - s), '{BL}') as chunk, cast(s as int) as s, cast(e as int) as e from cut)"""
+
+
 @check(
     "chunk_text",
     f"""with recursive src as (select doc_id, {sql_strip('text')} as t from documents),
-cut as (
-  select doc_id, t, 0 as idx, cast(0 as bigint) as s, cast(case when length(t) <= 1200 then length(t) else
-           case when 1200 - strpos(translate(reverse(substr(t, 1, 1200)), chr(10), ' '), ' ') + 1 - 200 > 0 and contains(translate(substr(t, 1, 1200), chr(10), ' '), ' ')
-                then 1200 - strpos(translate(reverse(substr(t, 1, 1200)), chr(10), ' '), ' ') + 1 else 1200 end end as bigint) as e
-  from src where t <> ''
-  union all
-  select doc_id, t, idx + 1, e - 200, cast(case when length(t) <= e - 200 + 1200 then length(t) else
-           case when contains(translate(substr(t, e - 200 + 1, 1200), chr(10), ' '), ' ')
-                 and 1200 - strpos(translate(reverse(substr(t, e - 200 + 1, 1200)), chr(10), ' '), ' ') + 1 - 200 > 0
-                then e - 200 + 1200 - strpos(translate(reverse(substr(t, e - 200 + 1, 1200)), chr(10), ' '), ' ') + 1 else e - 200 + 1200 end end as bigint)
-  from cut where e < length(t))
-select doc_id, idx as chunk_index, trim(substr(t, s + 1, e - s), '{BL}') as chunk, cast(s as int) as start_char, cast(e as int) as end_char from cut""",
+{sql_cut('src', 'doc_id')}
+select doc_id, idx as chunk_index, chunk, s as start_char, e as end_char from pieces""",
 )
 def _(spark, sf):
     return c.chunk_text(fixture(spark, sf, "documents").select("doc_id", "text"), "text")
@@ -43,19 +50,30 @@ def _(spark, sf):
     )
 
 
-@check("markdown_blocks")
-def _(spark, sf):
-    return c.markdown_blocks(fixture(spark, sf, "md_docs").select("doc_id", "md"), "md")
+# The blocks of the documents, written out from the pieces they are made of.
+BLOCKS = """
+raw as (select doc_id, path, md, '# Title ' || doc_id || chr(10) || 'Req_ID: REQ-' || doc_id || chr(10) || 'Object_Number: 2.' || (doc_id % 9) || chr(10) || text as p0,
+               '## Part two' || chr(10) || text || chr(10) || '### Deep' || chr(10) || 'x' as p1, '# Last' || chr(10) || 'tail' as p2
+        from md_docs join documents using (doc_id)),
+spans as (
+  select doc_id, path, md, 0 as n, p0 as body, 'Title ' || doc_id as head, 'Title ' || doc_id as trail, 0 as s, length(p0) + 1 as e from raw
+  union all select doc_id, path, md, 1, p1, 'Deep', 'Title ' || doc_id || ' > Part two > Deep', length(p0) + 5, length(p0) + length(p1) + 6 from raw
+  union all select doc_id, path, md, 2, p2, 'Last', 'Last', length(p0) + length(p1) + 14, length(p0) + length(p1) + length(p2) + 15 from raw)
+"""
 
 
-@check("chunk_documents")
+@check(
+    "markdown_blocks",
+    f"""with {BLOCKS} select doc_id, trim(body, '{BL}') as block, trail as heading_path, head as heading_text, cast(s as int) as start_char,
+       cast(e as int) as end_char, n as index from spans""",
+)
 def _(spark, sf):
-    return c.chunk_documents(fixture(spark, sf, "md_docs"), "path", "md")
+    return c.markdown_blocks(fixture(spark, sf, "md_docs").select("doc_id", "md"), "md")
 
 
-def _first(*patterns: str) -> str:
+def _first(*patterns: str, within: tuple[str, ...] = ("body", "head")) -> str:
     """The first match in the body, else in the heading."""
-    found = [f"nullif(regexp_extract({c}, '{p}', 1), '')" for c in ("body", "head") for p in patterns]
+    found = [f"nullif(regexp_extract({c}, '{p}', 1), '')" for c in within for p in patterns]
     return f"coalesce({', '.join(found)})"
 
 
@@ -75,6 +93,31 @@ SEC = (
 )
 
 
+LEVEL = " ".join(
+    f"when regexp_matches({c}, '(?i)\\b{w}\\b') then '{w}'" for c in ("trail", "body", "chunk") for w in ("System", "HLR", "LLR")
+)
+
+
+@check(
+    "chunk_documents",
+    f"""with recursive {BLOCKS},
+src as (select doc_id, path, md, n, head, trail, s as block_start, trim(body, '{BL}') as body, trim(body, '{BL}') as t from spans),
+{sql_cut('src', 'doc_id, path, md, n, head, trail, block_start, body')},
+placed as (select *, row_number() over (partition by doc_id order by n, idx) - 1 as pos, sha256(string_agg(chunk, chr(10) || chr(10)) over (partition by doc_id
+             order by n, idx rows between unbounded preceding and unbounded following)) as content from pieces)
+select path as source_path, doc_id || '.md' as file_name, '.md' as file_ext, 'md' as doc_type, 'Doc ' || doc_id as doc_name, 'alpha' as tags,
+       cast(pos as int) as chunk_index, chunk as text, trail as heading_path, block_start + s as start_char, block_start + e as end_char,
+       {_first(*REQ, within=('body', 'head', 'chunk'))} as req_id, {_first(*OBJ, within=('body', 'head', 'chunk'))} as object_number,
+       {_first(*SEC, within=('body', 'head', 'chunk'))} as section_id, case {LEVEL} end as doc_level, sha256(md) as doc_sha256, sha256(chunk) as chunk_sha256,
+       content as content_sha256, (doc_id % 9 + 1) || '.' || (doc_id % 4) || '-1' as front_section
+from placed""",
+)
+def _(spark, sf):
+    done = c.chunk_documents(fixture(spark, sf, "md_docs"), "path", "md")
+    section = F.col("extra")["Section_Number"].alias("front_section")
+    return done.select("*", section).drop("id", "extra", "ingest_timestamp_utc")
+
+
 @check(
     "regex_metadata",
     f"""with t as (select doc_id, case when doc_id % 2 = 0 then text else md end as body, 'Part A-12 of 3.4' as head,

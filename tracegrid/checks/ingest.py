@@ -5,8 +5,10 @@ import uuid
 from pyspark.sql import functions as F
 
 from tracegrid.checks import check
+from tracegrid.checks.chunks import sql_cut
 from tracegrid.checks.diffs import DIFF_SQL, KEYS, MAPPING, orders_diff
 from tracegrid.checks.hierarchy import TABLES_SQL, normalized
+from tracegrid.checks.text import sql_strip
 from tracegrid.fixtures import fixture
 from tracegrid.operators import ingest as i
 from tracegrid.operators.matching import fuzzy_best_match
@@ -47,13 +49,27 @@ def _(spark, sf):
     return ingested(spark, sf)[2]
 
 
-@check("ingest_store")
+# Chunks of the current documents: plain texts are one block each.
+CURRENT = f"""
+src as (select source_path, {sql_strip('text')} as t from docs_current),
+{sql_cut('src', 'source_path')}"""
+
+
+@check(
+    "ingest_store",
+    f"with recursive {CURRENT} select source_path, count(*) as chunks, max(e) as last_char from pieces group by 1",
+)
 def _(spark, sf):
     store = ingested(spark, sf)[0]
     return store.groupBy("source_path").agg(F.count("*").alias("chunks"), F.max("end_char").alias("last_char"))
 
 
-@check("stream_ingest")
+@check(
+    "stream_ingest",
+    f"""with recursive src as (select '/docs/' || doc_id as source_path, {sql_strip('text')} as t from documents),
+{sql_cut('src', 'source_path')}
+select source_path, idx as chunk_index, chunk as text, sha256(chunk) as chunk_sha256 from pieces""",
+)
 def _(spark, sf):
     base = folder(spark, "stream")
     path = F.concat(F.lit("/docs/"), F.col("doc_id").cast("string"))
@@ -61,7 +77,9 @@ def _(spark, sf):
     stream_ingest(
         spark, f"{base}/in", "doc_id bigint, text string", f"{base}/store", f"{base}/checkpoint", path=path
     )
-    return current_chunks(spark, f"{base}/store").select("source_path", "id", "chunk_index", "text")
+    return current_chunks(spark, f"{base}/store").select(
+        "source_path", "chunk_index", "text", "chunk_sha256"
+    )
 
 
 def two_chunks(df, text, second):

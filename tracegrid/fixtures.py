@@ -154,7 +154,8 @@ select doc_id, concat('/docs/', cast(doc_id as varchar(20)), '.md') as path,
               'Section_Number: ', cast(doc_id % 9 + 1 as varchar(20)), '.', cast(doc_id % 4 as varchar(20)), '-1', chr(10),
               '---', chr(10), '# Title ', cast(doc_id as varchar(20)), chr(10),
               'Req_ID: REQ-', cast(doc_id as varchar(20)), chr(10), 'Object_Number: 2.', cast(doc_id % 9 as varchar(20)), chr(10),
-              text, chr(10), '---', chr(10), '## Part two', chr(10), text) as md
+              text, chr(10), '---', chr(10), '## Part two', chr(10), text, chr(10), '### Deep', chr(10), 'x', chr(10),
+              '---', chr(10), '---', chr(10), '# Last', chr(10), 'tail') as md
 from documents
 """
 
@@ -197,7 +198,10 @@ def with_fixtures(sql: str) -> str:
         return sql
     head = ",\n".join(f"{n} as ({FIXTURES[n].strip()})" for n in ordered)
     body = sql.strip()
-    return f"with {head},\n{body[5:]}" if body[:5].lower() == "with " else f"with {head}\n{body}"
+    for opening in ("with recursive ", "with "):
+        if body.startswith(opening):
+            return f"{opening}{head},\n{body[len(opening):]}"
+    return f"with {head}\n{body}"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
