@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tracegrid.functions.text import BLANKS, _col, chunk_id, content_sha, numbered_groups, py_strip, text
 from tracegrid.operators.ordered import ordered_scan
+from tracegrid.operators.storage import spread
 
 FRAGMENTS = "array<struct<text:string,start:int,end:int>>"
 BLOCKS = (
@@ -55,8 +56,9 @@ def fragments_of(c, max_chars: int = 1200, overlap: int = 200) -> Column:
 def chunk_text(df: DataFrame, text_col: str, max_chars: int = 1200, overlap: int = 200) -> DataFrame:
     """One row per fragment: the other columns, ``chunk_index``, ``chunk``, ``start_char``, ``end_char``."""
     rest = [c for c in df.columns if c != text_col]
-    exploded = df.select(*rest, F.posexplode(fragments_of(text_col, max_chars, overlap)).alias("chunk_index", "f"))
-    return exploded.select(
+    # The outer form: the plain one would add a filter that cuts every text a second time.
+    pieces = F.posexplode_outer(fragments_of(text_col, max_chars, overlap)).alias("chunk_index", "f")
+    return spread(df).select(*rest, pieces).where("chunk_index is not null").select(
         *rest,
         "chunk_index",
         F.col("f.text").alias("chunk"),
@@ -156,8 +158,8 @@ def markdown_blocks(df: DataFrame, text_col: str, joiner: str = " > ") -> DataFr
     """One row per block; offsets count in the body after the front matter."""
     rest = [c for c in df.columns if c != text_col]
     _, body = front_matter(text_col)
-    exploded = df.select(*rest, F.inline(blocks_of(body, joiner, chunked=False)))
-    return exploded.drop("fragments").withColumnRenamed("text", "block")
+    exploded = spread(df).select(*rest, F.inline_outer(blocks_of(body, joiner, chunked=False)))
+    return exploded.where("index is not null").drop("fragments").withColumnRenamed("text", "block")
 
 
 # --- what a chunk is about -------------------------------------------------------------
@@ -282,7 +284,7 @@ def chunk_documents(
     """
     front, body = front_matter(text_col)
     path = _col(path_col)
-    docs = df.select(
+    docs = spread(df).select(
         path.alias("source_path"),
         front.alias("front"),
         content_sha(text_col).alias("doc_sha256"),
@@ -311,11 +313,13 @@ def chunk_documents(
 
     # A block is described before it is cut, so its text is searched once.
     parts = F.flatten(F.transform(F.transform("blocks", described), of_block))
-    explode = F.posexplode_outer if keep_empty else F.posexplode
     whole = F.array_join(F.transform("parts", lambda x: x["text"]), "\n\n")
     pieces = docs.select("source_path", "front", "doc_sha256", parts.alias("parts")).select(
-        "source_path", "front", "doc_sha256", content_sha(whole).alias("content_sha256"), explode("parts").alias("chunk_index", "p")
+        "source_path", "front", "doc_sha256", content_sha(whole).alias("content_sha256"),
+        F.posexplode_outer("parts").alias("chunk_index", "p"),
     )
+    if not keep_empty:
+        pieces = pieces.where("chunk_index is not null")
     p = {n: F.col("p")[n] for n in ("text", "start_char", "end_char", "heading_path", "heading_text", "about")}
     known = {n: p["about"][n] for n in (*FIELDS, "doc_level")}
     above = F.coalesce(F.nullif(p["heading_text"], F.lit("")), p["heading_path"])
@@ -414,7 +418,7 @@ def parse_pipe_tables(df: DataFrame, text_col: str) -> DataFrame:
 
     # Texts without a bar hold no table and never leave the JVM.
     holding = df.where(F.contains(text(text_col), F.lit("|")))
-    tables = holding.select(*rest, F.posexplode(find(text(text_col))).alias("table_index", "t"))
-    return tables.select(
+    tables = holding.select(*rest, F.posexplode_outer(find(text(text_col))).alias("table_index", "t"))
+    return tables.where("table_index is not null").select(
         *rest, "table_index", F.col("t.headers").alias("headers"), F.posexplode("t.rows").alias("row_index", "cells")
     )

@@ -51,14 +51,14 @@ def own_title(reqs: DataFrame) -> Column:
 
 def with_section_title(reqs: DataFrame, order_by: Sequence[str], per_document: bool = False) -> DataFrame:
     """Add ``resolved_number`` and ``resolved_title``: the mapped title, else the row's own."""
-    titles = section_titles(reqs, order_by, per_document)
+    titles = section_titles(reqs, order_by, per_document).withColumnsRenamed({"section": "__section", "title": "__title"})
     keyed = reqs.withColumn("resolved_number", resolve_number(reqs)).withColumn("__own", own_title(reqs))
-    on = [F.col("resolved_number") == titles["section"]]
+    on = [F.col("resolved_number") == F.col("__section")]
     if per_document:
         titles = titles.withColumnRenamed("Doc_Name", "__doc")
         on.append(F.col("Doc_Name") == F.col("__doc"))
     joined = keyed.join(titles, on, "left")
-    return joined.select(*reqs.columns, "resolved_number", F.coalesce("title", "__own").alias("resolved_title"))
+    return joined.select(*reqs.columns, "resolved_number", F.coalesce("__title", "__own").alias("resolved_title"))
 
 
 def link_context(
