@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 
 from tracegrid.functions.text import BLANKS, _col, chunk_id, content_sha, numbered_groups, py_strip, text
 from tracegrid.operators.ordered import ordered_scan
-from tracegrid.operators.storage import spread
 
 FRAGMENTS = "array<struct<text:string,start:int,end:int>>"
 BLOCKS = (
@@ -58,7 +57,7 @@ def chunk_text(df: DataFrame, text_col: str, max_chars: int = 1200, overlap: int
     rest = [c for c in df.columns if c != text_col]
     # The outer form: the plain one would add a filter that cuts every text a second time.
     pieces = F.posexplode_outer(fragments_of(text_col, max_chars, overlap)).alias("chunk_index", "f")
-    return spread(df).select(*rest, pieces).where("chunk_index is not null").select(
+    return df.select(*rest, pieces).where("chunk_index is not null").select(
         *rest,
         "chunk_index",
         F.col("f.text").alias("chunk"),
@@ -158,7 +157,7 @@ def markdown_blocks(df: DataFrame, text_col: str, joiner: str = " > ") -> DataFr
     """One row per block; offsets count in the body after the front matter."""
     rest = [c for c in df.columns if c != text_col]
     _, body = front_matter(text_col)
-    exploded = spread(df).select(*rest, F.inline_outer(blocks_of(body, joiner, chunked=False)))
+    exploded = df.select(*rest, F.inline_outer(blocks_of(body, joiner, chunked=False)))
     return exploded.where("index is not null").drop("fragments").withColumnRenamed("text", "block")
 
 
@@ -284,7 +283,7 @@ def chunk_documents(
     """
     front, body = front_matter(text_col)
     path = _col(path_col)
-    docs = spread(df).select(
+    docs = df.select(
         path.alias("source_path"),
         front.alias("front"),
         content_sha(text_col).alias("doc_sha256"),
@@ -314,9 +313,11 @@ def chunk_documents(
     # A block is described before it is cut, so its text is searched once.
     parts = F.flatten(F.transform(F.transform("blocks", described), of_block))
     whole = F.array_join(F.transform("parts", lambda x: x["text"]), "\n\n")
-    pieces = docs.select("source_path", "front", "doc_sha256", parts.alias("parts")).select(
-        "source_path", "front", "doc_sha256", content_sha(whole).alias("content_sha256"),
-        F.posexplode_outer("parts").alias("chunk_index", "p"),
+    cut = docs.select("source_path", "front", "doc_sha256", parts.alias("parts"))
+    # Hashed before the explode, else every piece would hash the whole document.
+    hashed = cut.withColumn("content_sha256", content_sha(whole))
+    pieces = hashed.select(
+        "source_path", "front", "doc_sha256", "content_sha256", F.posexplode_outer("parts").alias("chunk_index", "p")
     )
     if not keep_empty:
         pieces = pieces.where("chunk_index is not null")

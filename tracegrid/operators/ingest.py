@@ -137,7 +137,11 @@ def plan_ingest(
     tracked = manifest.groupBy("source_path").agg(
         F.max("file_sha256").alias("old_file"), F.max("content_sha256").alias("old_content")
     )
-    hashed = docs.select("source_path", "text").withColumn("new_file", content_sha("text"))
+    # The shuffle the join needs anyway, with a fixed number of partitions: chunking
+    # costs far more than its input's size tells, so small partitions are not merged.
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread_out = docs.select("source_path", "text").repartition(parts, "source_path")
+    hashed = spread_out.withColumn("new_file", content_sha("text"))
     seen = hashed.join(tracked.withColumn("known", F.lit(True)), "source_path", "left")
     same_file = F.coalesce(F.col("new_file") == F.col("old_file"), F.lit(False))
     chunked = _chunked(seen.where(~same_file), rules, options or {})

@@ -46,7 +46,7 @@ from tracegrid.operators.views import (
 
 # Length limits of names.
 MAX_STEM, MAX_FOLDER = 100, 80
-PART_LINES = 2000
+PART_LINES = 1000
 SHORT_TEXT = 100
 
 L = F.lit

@@ -93,7 +93,8 @@ def link_context(
 
     linked = F.array_union(F.col("in_ids"), F.col("out_ids"))
     every = F.concat(entries(0, "in", "in_ids"), entries(1, "out", "out_ids"), entries(2, "text", "inline_ids"))
-    links = lists.select(*order, linked.alias("linked"), F.inline(every))
+    # The outer form: the plain one would add a filter that searches every text twice.
+    links = lists.select(*order, linked.alias("linked"), F.inline_outer(every)).where("rid is not null")
     index = req_index(reqs, order, ["Requirement_Text", "Doc_Name", "resolved_title"]).withColumnRenamed("Req_ID", "__id")
     found = links.join(index, F.col("rid") == F.col("__id"), "left")
     snippet = truncate_text(value_or_na("Requirement_Text"), limit)
