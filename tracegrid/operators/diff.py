@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracegrid.functions.text import BLANK_CLASS
 from tracegrid.operators.ordered import fill_down as fill
+from tracegrid.operators.ordered import union_all
 
 IN_LEFT, IN_RIGHT = "_in_left", "_in_right"
 
@@ -17,13 +19,20 @@ def full_outer(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFr
     """Full outer equi-join as an inner join and two anti joins.
 
     Adaptive execution splits a hot key's partition in inner and anti joins but
-    not in a full outer join, where also every null key meets in one task. The
-    wide shuffles of both sides are shared by the joins that read them.
+    not in a full outer join. Rows with a null key never match and go round the
+    joins. All joins read the same two filtered inputs, so each side is
+    shuffled once in full and reused, and once more for its keys alone.
     """
-    both = left.join(right, list(keys), "inner")
-    only_left = left.join(right.select(*keys), list(keys), "left_anti")
-    only_right = right.join(left.select(*keys), list(keys), "left_anti")
-    return both.unionByName(only_left, allowMissingColumns=True).unionByName(only_right, allowMissingColumns=True)
+    some_null = reduce(Column.__or__, [F.col(k).isNull() for k in keys])
+    l, r = left.where(~some_null), right.where(~some_null)
+    frames = [
+        l.join(r, list(keys), "inner"),
+        l.join(r.select(*keys), list(keys), "left_anti"),
+        r.join(l.select(*keys), list(keys), "left_anti"),
+        left.where(some_null),
+        right.where(some_null),
+    ]
+    return union_all(frames)
 
 
 def _require(df: DataFrame, cols: Sequence[str], what: str) -> None:

@@ -203,6 +203,11 @@ def incremental_ingest(
     return new_store, new_manifest, status.unionByName(deleted)
 
 
+def delete_chunks(store: DataFrame, ids: DataFrame) -> DataFrame:
+    """The store without the chunks of these ids."""
+    return store.join(ids.select("id"), "id", "left_anti")
+
+
 # --- resumable stages ------------------------------------------------------------------------------
 
 
