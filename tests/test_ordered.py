@@ -55,7 +55,7 @@ def test_blank_number_is_carried_as_a_value(spark):
     assert [r["f"] for r in rows(done, "i")] == ["a", "a", "", ""]
 
 
-def test_fill_reference_case(spark):
+def test_fill_typed_columns(spark):
     df = spark.createDataFrame([(0, "", 1), (1, "", None), (2, "x", 2), (3, "", None)], "i int, A string, B int")
     done = rows(o.fill_down(df, ["A", "B", "unknown"], ["i"]), "i")
     assert [r["A"] for r in done] == [None, None, "x", "x"]

@@ -172,7 +172,7 @@ def _(spark, sf):
 select 3 - (grouping(sys_id) + grouping(phys_id) + grouping(out_id)) as level, sys_id as System_LOID,
        phys_id as PhysicalPort_LOID, out_id as OutputPort_LOID,
        case 3 - (grouping(sys_id) + grouping(phys_id) + grouping(out_id)) when 1 then min(sys_name) when 2 then min(phys_name) else min(out_name) end as label,
-       count(*) as wordstrings, sum(word_count) as words, sum(parameter_count) as parameters
+       count(*) as wordstrings, cast(sum(word_count) as bigint) as words, cast(sum(parameter_count) as bigint) as parameters
 from idx group by grouping sets ((sys_id), (sys_id, phys_id), (sys_id, phys_id, out_id))""",
 )
 def _(spark, sf):

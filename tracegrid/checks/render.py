@@ -319,11 +319,12 @@ def _(spark, sf):
 @check(
     "block_size_stats",
     f"""with s as (select source, len(list_filter(regexp_split_to_array(text, '{BC}+'), lambda x: x <> '')) as w from documents)
-select source, count(*) as blocks, avg(w) as avg_words, cast(min(w) as int) as min_words, quantile_cont(w, 0.5) as p50, quantile_cont(w, 0.9) as p90,
-       quantile_cont(w, 0.95) as p95, cast(max(w) as int) as max_words from s group by 1""",
+select source, count(*) as blocks, round(avg(w), 6) as avg_words, cast(min(w) as int) as min_words, round(quantile_cont(w, 0.5), 6) as p50, round(quantile_cont(w, 0.9), 6) as p90,
+       round(quantile_cont(w, 0.95), 6) as p95, cast(max(w) as int) as max_words from s group by 1""",
 )
 def _(spark, sf):
-    return render.block_size_stats(fixture(spark, sf, "documents"), ["source"], "text")
+    stats = render.block_size_stats(fixture(spark, sf, "documents"), ["source"], "text")
+    return stats.withColumns({c: F.round(c, 6) for c in ("avg_words", "p50", "p90", "p95")})
 
 
 ENTRY = J(

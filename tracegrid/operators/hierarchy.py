@@ -100,10 +100,11 @@ def normalization_report(done: Normalized) -> DataFrame:
     counts = table_counts({"raw": done.raw, **done.tables}).select(
         F.concat(F.lit("rows:"), "table_name").alias("item"), "rows", F.lit("").alias("columns")
     )
-    spark = done.raw.sparkSession
-    listed = spark.createDataFrame(
-        [(k, len(v), ", ".join(v)) for k, v in notes.items()], "item string, rows bigint, columns string"
-    )
+    entries = [
+        F.struct(F.lit(k).alias("item"), F.lit(len(v)).cast("long").alias("rows"), F.lit(", ".join(v)).alias("columns"))
+        for k, v in notes.items()
+    ]
+    listed = done.raw.sparkSession.range(1).select(F.inline(F.array(*entries)))
     return counts.unionByName(listed)
 
 
