@@ -38,14 +38,27 @@ def parse_id_list(c) -> Column:
     return F.array_distinct(F.filter(ids, lambda t: t != ""))
 
 
+def normalized_ids(c) -> Column:
+    """Every id of a cell in normal form, repeats included."""
+    return F.transform(split_ids(c), normalize_req_id)
+
+
+def first_id(ids) -> Column:
+    """The first id of a list, else the empty string."""
+    return F.coalesce(F.get(_col(ids), F.lit(0)), F.lit(""))
+
+
+def other_ids(ids) -> Column:
+    """Every id after the first, not deduplicated, joined by a comma."""
+    return F.array_join(F.slice(_col(ids), 2, F.greatest(F.size(_col(ids)), F.lit(1))), ", ")
+
+
 def primary_id(c) -> Column:
-    return F.coalesce(F.get(F.transform(split_ids(c), normalize_req_id), F.lit(0)), F.lit(""))
+    return first_id(normalized_ids(c))
 
 
 def alias_ids(c) -> Column:
-    """Every id after the first, not deduplicated, joined by a comma."""
-    ids = F.transform(split_ids(c), normalize_req_id)
-    return F.array_join(F.slice(ids, 2, F.greatest(F.size(ids), F.lit(1))), ", ")
+    return other_ids(normalized_ids(c))
 
 
 def extract_link_ids(c) -> Column:

@@ -52,7 +52,7 @@ def assign_ranges(df: DataFrame, order_by: Sequence[str], ranges: int | None = N
     if not cuts:
         return None
     schema = T.ArrayType(keys.schema["key"].dataType)
-    bounds = F.from_json(F.lit("[" + ",".join(cuts) + "]"), schema)
+    bounds = F.sort_array(F.from_json(F.lit("[" + ",".join(cuts) + "]"), schema))
     steps = [1 << b for b in reversed(range(len(cuts).bit_length()))]
     found = F.aggregate(
         F.array(*[F.lit(s) for s in steps]),

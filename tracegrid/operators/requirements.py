@@ -347,20 +347,24 @@ def normalize_traceable(
     number_known = rule.object_number_column in df.columns
     number = clean_str(rule.object_number_column) if number_known else F.lit("")
     header = F.col("ctx_is_header")
-    reason = F.when(~header & (I.primary_id(id_cell) == ""), "missing_requirement_id").when(
+    reason = F.when(~header & (F.size("__ids") == 0), "missing_requirement_id").when(
         ~header & (number == ""), "missing_object_number"
     )
-    # Both results read the scanned sheet, so it is kept.
-    marked = materialize(ctx.withColumn("__reason", reason))
+    parsed = {
+        "__ids": I.normalized_ids(id_cell),
+        "__parents": _id_list(df, kind.parents, dedupe_links),
+        "__children": _id_list(df, kind.children, dedupe_links),
+    }
+    # Both results read the scanned sheet, so it is kept, with its id lists parsed once.
+    marked = materialize(ctx.withColumns(parsed).withColumn("__reason", reason))
     rejected = _reject(marked, doc, id_cell, number)
 
     names = doc.columns()
     raw_type = [c for c in ("Requirement_Type", "Requirement Type") if c in df.columns][:1]
     req_type = clean_str(raw_type[0]) if raw_type else F.lit("")
-    parents = F.array_join(_id_list(df, kind.parents, dedupe_links), ", ")
-    children = F.array_join(_id_list(df, kind.children, dedupe_links), ", ")
+    parents, children = F.array_join("__parents", ", "), F.array_join("__children", ", ")
     body = _joined_texts(df, kind.texts)
-    aliases = I.alias_ids(id_cell)
+    primary, aliases = I.first_id("__ids"), I.other_ids("__ids")
     optional = [c for c in kind.optional if c in df.columns]
     of_document = F.concat(F.lit("Document: "), names["Doc_Name"], F.lit(" ("), names["Doc_Type"], F.lit(")"))
     of_level = F.concat(F.lit("Level: "), names["Level"])
@@ -375,7 +379,7 @@ def normalize_traceable(
     )
     row_text = combined_text(
         [
-            F.concat(F.lit("Requirement ID: "), I.primary_id(id_cell)),
+            F.concat(F.lit("Requirement ID: "), primary),
             of_document,
             of_level,
             _line("Section Title", F.col("ctx_title")),
@@ -398,7 +402,7 @@ def normalize_traceable(
         return F.when(header, F.lit("")).otherwise(c)
 
     accepted = marked.where(F.col("__reason").isNull()).select(
-        F.when(header, header_id).otherwise(I.primary_id(id_cell)).alias("Req_ID"),
+        F.when(header, header_id).otherwise(primary).alias("Req_ID"),
         unless_header(aliases).alias("Aliases"),
         *[e.alias(n) for n, e in names.items()],
         number.alias("Object_Number"),
@@ -554,21 +558,21 @@ def normalize_guideline(
     dropped = (object_type != "") & F.lower(object_type).isin(*skipped)
     if any(t == "" for t in skip_object_types):
         dropped = dropped | (object_type == "")
-    reason = F.when(I.primary_id(id_cell) == "", F.lit("missing_requirement_id")).when(
+    reason = F.when(F.size("__ids") == 0, F.lit("missing_requirement_id")).when(
         dropped, F.concat(F.lit("filtered_object_type:"), object_type)
     )
-    marked = materialize(numbered.withColumn("__reason", reason))
+    marked = materialize(numbered.withColumn("__ids", I.normalized_ids(id_cell)).withColumn("__reason", reason))
     names = doc.columns()
-    aliases = I.alias_ids(id_cell)
+    primary, aliases = I.first_id("__ids"), I.other_ids("__ids")
     optional = [c for c in kind.optional if c in df.columns]
     accepted = marked.where(F.col("__reason").isNull()).select(
-        I.primary_id(id_cell).alias("Req_ID"),
+        primary.alias("Req_ID"),
         aliases.alias("Aliases"),
         *[e.alias(n) for n, e in names.items()],
         body.alias("Requirement_Text"),
         combined_text(
             [
-                F.concat(F.lit("Requirement ID: "), I.primary_id(id_cell)),
+                F.concat(F.lit("Requirement ID: "), primary),
                 F.concat(F.lit("Document: "), names["Doc_Name"], F.lit(" ("), names["Doc_Type"], F.lit(")")),
                 F.concat(F.lit("Level: "), names["Level"]),
                 _line("Aliases", aliases),
