@@ -105,6 +105,15 @@ def test_traceable_sheet(spark):
     assert rows(twice, "Row_Index")[1]["Parent_Req_IDs"] == "P-00001, P-00001"
 
 
+def test_dots_in_column_names(spark):
+    kind = r.DocKind("T", "generic", ids=("Req. ID",), texts=("Text v1.0",), optional=("Opt. A",), sections=r.SectionRule(("Text v1.0",), "Obj. No"))
+    df = spark.createDataFrame(
+        [(0, "r-1", "1-1", "First", "a"), (1, "r-2", "1-2", "Second", "")], "n int, `Req. ID` string, `Obj. No` string, `Text v1.0` string, `Opt. A` string"
+    )
+    got = rows(r.normalize_traceable(df, kind, r.Document("D", "T"), ["n"])[0], "Row_Index")
+    assert [(x["Req_ID"], x["Object_Number"], x["Opt._A"]) for x in got] == [("R-00001", "1-1", "a"), ("R-00002", "1-2", "")]
+
+
 def test_section_columns_override(spark):
     schema = "n int, `Object Number` string, `Requirement Text` string, `Section Title` string, `OLE Title` string, `Section Type` string"
     df = spark.createDataFrame(

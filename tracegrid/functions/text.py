@@ -31,8 +31,15 @@ def text(c) -> Column:
     return F.coalesce(_col(c).cast("string"), F.lit(""))
 
 
+def named(column: str) -> Column:
+    """A column by its exact name, whatever characters the name has."""
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
 def _col(c) -> Column:
-    return F.col(c) if isinstance(c, str) else c
+    if not isinstance(c, str):
+        return c
+    return F.col(c) if c.startswith("`") else named(c)
 
 
 def py_strip(c) -> Column:

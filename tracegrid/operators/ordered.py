@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracegrid.functions.text import blank_to_null
+from tracegrid.functions.text import blank_to_null, named
 
 RANGE = "__range"
 # Spark's own range partitioner also samples some twenty keys per output range.
@@ -88,27 +88,27 @@ def ordered_scan(
         *[e.alias(raw[n]) for n, e in fills.items()],
         *[F.coalesce(e, F.lit(0)).alias(raw[n]) for n, e in sums.items()],
     )
-    kept = [F.col(c) for c in df.columns if c not in names]
+    kept = [named(c) for c in df.columns if c not in names]
     ranged = assign_ranges(ready, part + order, ranges)
     if ranged is None:
         # Few rows in all: a plain window.
         whole = Window.partitionBy(*part).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
         return ready.select(
             *kept,
-            *[F.last(raw[n], ignorenulls=True).over(whole).alias(n) for n in fills],
-            *[F.sum(raw[n]).over(whole).alias(n) for n in sums],
+            *[F.last(named(raw[n]), ignorenulls=True).over(whole).alias(n) for n in fills],
+            *[F.sum(named(raw[n])).over(whole).alias(n) for n in sums],
         )
 
     group = F.struct(*[F.col(c) for c in part], F.lit(0).alias("__all"))
     key = F.struct(*[F.col(c) for c in order])
     per_group = ranged.groupBy(RANGE, group.alias("grp")).agg(
-        *[F.max_by(raw[n], F.when(F.col(raw[n]).isNotNull(), key)).alias(n) for n in fills],
-        *[F.sum(raw[n]).alias(n) for n in sums],
+        *[F.max_by(named(raw[n]), F.when(named(raw[n]).isNotNull(), key)).alias(n) for n in fills],
+        *[F.sum(named(raw[n])).alias(n) for n in sums],
     )
     tails = per_group.groupBy(RANGE).agg(
         F.min("grp").alias("first_grp"),
         F.max("grp").alias("last_grp"),
-        F.max_by(F.struct(*names), "grp").alias("tail"),
+        F.max_by(F.struct(*[named(n) for n in names]), "grp").alias("tail"),
     )
     # One row per range from here on: at most `ranges` rows, whatever the input.
     within = Window.partitionBy("last_grp").orderBy(RANGE).rowsBetween(Window.unboundedPreceding, 0)
@@ -124,20 +124,20 @@ def ordered_scan(
         F.col(RANGE).alias("__carry_range"),
         F.col("first_grp").alias("__first_grp"),
         F.lag("last_grp").over(following).alias("__prev_grp"),
-        *[F.lag(n).over(following).alias(f"__carry_{n}") for n in names],
+        *[F.lag(named(n)).over(following).alias(f"__carry_{n}") for n in names],
     )
 
     local = Window.partitionBy(RANGE, *part).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     scanned = ranged.select(
-        *[c for c in ranged.columns if c not in raw.values()],
-        *[F.last(raw[n], ignorenulls=True).over(local).alias(f"__local_{n}") for n in fills],
-        *[F.sum(raw[n]).over(local).alias(f"__local_{n}") for n in sums],
+        *[named(c) for c in ranged.columns if c not in raw.values()],
+        *[F.last(named(raw[n]), ignorenulls=True).over(local).alias(f"__local_{n}") for n in fills],
+        *[F.sum(named(raw[n])).over(local).alias(f"__local_{n}") for n in sums],
     )
     joined = scanned.join(F.broadcast(carry), F.col(RANGE) == F.col("__carry_range"), "left")
     inherits = group.eqNullSafe(F.col("__first_grp")) & group.eqNullSafe(F.col("__prev_grp"))
-    done = {n: F.coalesce(f"__local_{n}", F.when(inherits, F.col(f"__carry_{n}"))) for n in fills}
+    done = {n: F.coalesce(named(f"__local_{n}"), F.when(inherits, named(f"__carry_{n}"))) for n in fills}
     done |= {
-        n: F.col(f"__local_{n}") + F.coalesce(F.when(inherits, F.col(f"__carry_{n}")), F.lit(0)) for n in sums
+        n: named(f"__local_{n}") + F.coalesce(F.when(inherits, named(f"__carry_{n}")), F.lit(0)) for n in sums
     }
     return joined.select(*kept, *[e.alias(n) for n, e in done.items()])
 
@@ -154,7 +154,7 @@ def fill_down(
     if not known:
         return df
     done = ordered_scan(df, order_by, partition_by, fills={f"__f_{c}": blank_to_null(c) for c in known}, ranges=ranges)
-    return done.select(*[F.col(f"__f_{c}").alias(c) if c in known else F.col(c) for c in df.columns])
+    return done.select(*[named(f"__f_{c}").alias(c) if c in known else named(c) for c in df.columns])
 
 
 def infer_fill_down(df: DataFrame, candidates: Sequence[str], order_by: Sequence[str], sample_rows: int = 400) -> DataFrame:
@@ -164,7 +164,7 @@ def infer_fill_down(df: DataFrame, candidates: Sequence[str], order_by: Sequence
     top-k, so it is never a full sort.
     """
     known = [c for c in dict.fromkeys(candidates) if c in df.columns]
-    head = df.select(*order_by, *[c for c in known if c not in order_by]).orderBy(*order_by).limit(sample_rows)
+    head = df.select(*order_by, *[named(c) for c in known if c not in order_by]).orderBy(*order_by).limit(sample_rows)
     key = F.struct(*order_by)
     seen = head.agg(
         *[F.min(F.when(blank_to_null(c).isNotNull(), key)).alias(f"v_{i}") for i, c in enumerate(known)],
@@ -204,8 +204,9 @@ def distinct_first(df: DataFrame, keys: Sequence[str], order_by: Sequence[str])
     An aggregate, so duplicates collapse before the shuffle and a hot key is cheap.
     """
     rest = [c for c in df.columns if c not in keys]
-    picked = df.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.struct(*order_by)).alias("first"))
-    return picked.select(*[F.col(c) if c in keys else F.col("first")[c].alias(c) for c in df.columns])
+    row = F.struct(*[named(c) for c in rest])
+    picked = df.groupBy(*[named(c) for c in keys]).agg(F.min_by(row, F.struct(*order_by)).alias("first"))
+    return picked.select(*[named(c) if c in keys else F.col("first")[c].alias(c) for c in df.columns])
 
 
 def parts_of_group(

@@ -17,6 +17,7 @@ from tracegrid.functions.text import (
     filled,
     first_filled,
     is_blank,
+    named,
     text,
 )
 from tracegrid.operators.ordered import distinct_first, ordered_scan, row_number
@@ -183,7 +184,7 @@ def section_context(
         df, fills["ctx_type"] = _type_runs(df, header, parts["type"], type_columns, order_by, partition_by)
     done = ordered_scan(df.withColumn("ctx_is_header", header), order_by, partition_by, fills, sums)
     return done.select(
-        *[c for c in done.columns if not c.startswith("ctx_") and c not in ("__type", "__before")],
+        *[named(c) for c in done.columns if not c.startswith("ctx_") and c not in ("__type", "__before")],
         *[F.coalesce(c, F.lit("")).alias(c) for c in ("ctx_title", "ctx_number", "ctx_type")],
         "ctx_is_header",
         "ctx_headers",
@@ -450,7 +451,7 @@ def merge_duplicates(
     if texts:
         lists.append(F.array(*[entry(f"t:{c}", F.lit(0), clean_str(f"`{c}`")) for c in texts]))
     base = keyed.groupBy("__gid").agg(
-        F.min_by(F.struct(*df.columns), F.struct(*order_by)).alias("first"), F.count("*").alias("group_rows")
+        F.min_by(F.struct(*[named(c) for c in df.columns]), F.struct(*order_by)).alias("first"), F.count("*").alias("group_rows")
     )
     if lists:
         values = keyed.select("__gid", F.struct(*order_by).alias("o"), F.inline(F.concat(*lists))).where("value <> ''")
@@ -487,9 +488,9 @@ def normalize_merged(
     titles = [c for c in sheet if "title" in c.lower() and "ole" not in c.lower()]
     optional = [c for c in kind.optional if c in df.columns]
     group = ["__Doc_Name", *[c for c in (section_col, number_col, text_col) if c in df.columns]]
-    named = materialize(numbered.withColumns({f"__{n}": e for n, e in names.items()}))
+    prepared = materialize(numbered.withColumns({f"__{n}": e for n, e in names.items()}))
     merged = merge_duplicates(
-        named, group, ["Row_Index"], [*kind.parents, *kind.children], list(dict.fromkeys([*titles, *optional]))
+        prepared, group, ["Row_Index"], [*kind.parents, *kind.children], list(dict.fromkeys([*titles, *optional]))
     )
     section, number, body = (clean_str(f"`{c}`") for c in (section_col, number_col, text_col))
     title = F.coalesce(*[filled(F.col("texts")[c]) for c in titles], F.lit("")) if titles else F.lit("")
