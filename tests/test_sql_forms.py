@@ -4,6 +4,7 @@ import check
 import pytest
 
 import __spark_entry__ as entry
+from tracegrid import checks
 
 SF = "/root/testdata/sf0.001"
 SHARE = [
@@ -25,7 +26,7 @@ def test_equals_sql(spark, con, name):
 
 
 def test_every_query_has_sql():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(checks.QUERIES) == set(checks.SQL)
 
 
 def test_entry(spark):
