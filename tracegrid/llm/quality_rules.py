@@ -22,11 +22,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracegrid.functions.text import named
-from tracegrid.llm.words import SPACES, count_chars, words
+from tracegrid.llm.words import SPACES, words
 from tracegrid.operators.storage import materialize
 
-SYMBOLS = "#*$%&|<>"
-UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_upper", "n_lines")
 
 MIN_WORDS = 50
@@ -58,30 +56,25 @@ def document_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """Add the counts of each document's whole text (see ``COUNTS``)."""
     kept = [named(c) for c in docs.columns if c not in COUNTS]
     text = F.coalesce(named(text_col), F.lit(""))
-    has_word = lambda line: F.length(F.translate(line, SPACES, "")) > 0
     # Each step is a projection of its own, so that no list is worked out twice.
     lists = docs.select(
         *kept,
         words(text).alias("__words"),
-        F.filter(F.split(text, "\n", -1), has_word).alias("__lines"),
-        (F.length(text) - count_chars(text, SPACES)).cast("long").alias("word_chars"),
-        count_chars(text, SYMBOLS).alias("n_symbols"),
-        count_chars(text, UPPER).alias("n_upper"),
+        F.filter(F.split(text, "\n", -1), lambda line: F.ltrim(line, F.lit(SPACES)) != "").alias("__lines"),
+        # What is left after one pass is short, so that counting in it is cheap.
+        F.regexp_replace(text, r"[^#*$%&|<>A-Z]++", "").alias("__marks"),
     )
     word = lambda i: F.get("__words", i)
-    windows = F.when(
-        F.size("__words") > 3,
-        F.transform(F.sequence(F.lit(0), F.size("__words") - 3), lambda i: F.xxhash64(word(i), word(i + 1), word(i + 2))),
-    ).otherwise(F.array().cast("array<bigint>"))
+    hashes = F.transform("__words", lambda w, i: F.xxhash64(w, word(i + 1), word(i + 2)))
     counted = lists.select(
         *kept,
-        "word_chars",
-        "n_symbols",
-        "n_upper",
+        F.length(F.array_join("__words", "")).cast("long").alias("word_chars"),
+        F.length(F.regexp_replace("__marks", "[A-Z]+", "")).cast("long").alias("n_symbols"),
+        F.length(F.regexp_replace("__marks", "[^A-Z]+", "")).cast("long").alias("n_upper"),
         F.size("__words").cast("long").alias("n_words"),
         F.size("__lines").cast("long").alias("n_lines"),
         (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long").alias("n_dup_lines"),
-        windows.alias("__windows"),
+        F.when(F.size("__words") > 3, F.slice(hashes, 1, F.size("__words") - 2)).alias("__windows"),
     )
     placed = F.sort_array(F.transform("__windows", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
     repeats = F.size(F.array_distinct("__windows")) < F.size("__windows")

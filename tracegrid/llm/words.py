@@ -9,20 +9,18 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-WORD = r"[^\x20\x09-\x0D]+"
 SPACES = " \t\n\x0b\x0c\r"
 
 
 def words(text: Column) -> Column:
-    """The words in order; an empty list for a null text."""
-    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(WORD), F.lit(0))
+    """The words in order; an empty list for a null text.
+
+    Splitting at one plain character needs no regular expression and is the fastest of Spark's ways.
+    """
+    spaced = F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x09-\x0D]", " ")
+    return F.array_remove(F.split(spaced, " "), "")
 
 
 def word_count(text: Column) -> Column:
     """Number of words, as a long."""
-    return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(WORD)).cast("long")
-
-
-def count_chars(text: Column, chars: str) -> Column:
-    """How many characters of the text are among ``chars``."""
-    return (F.length(text) - F.length(F.translate(text, chars, ""))).cast("long")
+    return F.size(words(text)).cast("long")
