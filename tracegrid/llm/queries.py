@@ -8,7 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracegrid.llm import sql
+from tracegrid.llm.bit_sliced import top_k
+from tracegrid.llm.jaccard_join import near_duplicates
+from tracegrid.llm.mixing import mix, taken
 from tracegrid.llm.quality_rules import quality_rules
+from tracegrid.llm.sharding import shard_by_bytes
+from tracegrid.llm.url_filter import url_filter
+from tracegrid.llm.words import word_count
+from tracegrid.operators.storage import materialize
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -36,3 +43,46 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(docs, carry=["doc_id", "lang", "source"]).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
     )
+
+
+@query("op1_mix_sources", sql.MIX_SOURCES)
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the mix takes of every document."""
+    docs = table(spark, sf_dir, "documents")
+    sized = materialize(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")))
+    mixed = mix(sized, text_col=None, size_col="size")
+    return mixed.select("doc_id", "size", "source_size", "target", taken("draws").alias("taken"))
+
+
+@query("op2_jaccard_join", sql.JACCARD_JOIN)
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Number of shingles and component of near copies of every document."""
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query("op3_shard_by_bytes")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shard and place of every document."""
+    placed = shard_by_bytes(table(spark, sf_dir, "documents"))
+    return placed.select(
+        "doc_id",
+        "size",
+        "text_crc32",
+        F.lit("bytes").alias("law"),
+        "shard",
+        "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
+@query("op6_bit_sliced_top_k", sql.TOP_K)
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 best rows for every twentieth vector."""
+    vectors = table(spark, sf_dir, "embeddings")
+    return top_k(vectors, F.col("vec_id") % 20 == 0, 20).select("query_id", "rank", "vec_id", "score")
+
+
+@query("op7_url_filter", sql.URL_FILTER)
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rule and verdict of every page."""
+    return url_filter(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")

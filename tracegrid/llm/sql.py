@@ -58,3 +58,120 @@ select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
     true) as kept
 from s left join lim on s.lang is not distinct from lim.lang and s.source is not distinct from lim.source
 """
+
+MIX_SOURCES = rf"""
+with d as (
+  select doc_id, source, len({WORDS})::bigint as size from documents),
+s as (
+  select source, sum(size)::bigint as size, row_number() over (order by source nulls last) as rank from d group by source),
+w as (
+  select *, 3 * size as cap, ((rank - 1) % 3 + 1)::double as weight, sum(size) over () as total, count(*) over () as n from s),
+l as (
+  select *, (total - coalesce(sum(cap) over (order by cap / weight, rank rows between unbounded preceding and 1 preceding), 0))
+    / sum(weight) over (order by cap / weight, rank rows between current row and unbounded following) as level from w),
+t as (
+  select *, least(cap, coalesce((select min_by(level, cap / weight) from l where cap / weight > level), 0) * weight)::double
+    as target, greatest(1, total // 65536) as block from l),
+q as (
+  select rank, target / (2 * k - 1) as quotient, k from (
+    select rank, target, unnest(range(1, (cap // block + 1)::bigint)) as k from t where size > 0)),
+a as (
+  select rank, count(*) as seats from (
+    select rank, row_number() over (order by quotient desc, rank, k) as place from q)
+  where place <= (select max(total // block) from t) group by rank),
+o as (
+  select d.*, s.rank, coalesce(sum(d.size) over (partition by d.source
+    order by md5(concat_ws('|', 'mix-1', doc_id::varchar, d.size::varchar)), doc_id, d.size
+    rows between unbounded preceding and 1 preceding), 0)::bigint as start
+  from d join s on d.source is not distinct from s.source)
+select doc_id, o.size, t.size as source_size, target,
+  (greatest(0, least(coalesce(seats, 0) * block - start, o.size))
+  + greatest(0, least(coalesce(seats, 0) * block - start - t.size, o.size))
+  + greatest(0, least(coalesce(seats, 0) * block - start - 2 * t.size, o.size)))::bigint as taken
+from o join t using (rank) left join a using (rank)
+"""
+
+JACCARD_JOIN = rf"""
+with recursive d as (
+  select row_number() over () as r, doc_id,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[^\x20\x09-\x0D]+') as w
+  from documents),
+g as (
+  select distinct r, doc_id, case when len(w) < 5 then array_to_string(w, ' ')
+    else array_to_string(w[i : i + 4], ' ') end as t
+  from (select *, unnest(range(1, greatest(len(w) - 4, 1) + 1)) as i from d where len(w) > 0)),
+n as (select r, doc_id, count(*) as n from g group by r, doc_id),
+s as (select r, n.doc_id, n, list_sort(list(hash(t))) as k from g join n using (r) group by r, n.doc_id, n),
+c as (select k, n, min(doc_id) as rep from s group by k, n),
+m as (select s.r, s.doc_id, c.rep from s join c on s.k = c.k and s.n = c.n),
+f as (select x.rep, g.t, n.n from (select distinct rep from m) x join n on n.doc_id = x.rep join g on g.r = n.r),
+p as (
+  select a.rep as a, b.rep as b from f a join f b on a.t = b.t and a.rep <> b.rep
+  group by a.rep, b.rep, a.n, b.n having 100 * count(*) >= 75 * (a.n + b.n - count(*))),
+reach(a, b) as (
+  select rep, rep from (select distinct rep from m) union select reach.a, p.b from reach join p on reach.b = p.a),
+o as (select a, min(b) as component_id from reach group by a)
+select d.doc_id, coalesce(n.n, 0)::bigint as n_shingles, coalesce(o.component_id, d.doc_id) as component_id
+from d left join n using (r) left join m using (r) left join o on o.a = m.rep
+"""
+
+TOP_K = """
+with v as (
+  select vec_id, list_transform(embedding, lambda x: floor(64 * x::double)) as e from embeddings
+  where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (
+  select q.vec_id as query_id, c.vec_id, list_dot_product(q.e, c.e)::bigint as score
+  from v q join v c on q.vec_id <> c.vec_id where q.vec_id % 20 = 0)
+select query_id, row_number() over (partition by query_id order by score desc, vec_id)::int as rank, vec_id, score
+from s qualify rank <= 20
+"""
+
+_RULED = """
+  case when (host = 'example.org' or host like '%.example.org') and starts_with(path, '/en/1') then 'example.org/en/1'
+    when (host = 'example.org' or host like '%.example.org') and starts_with(path, '/es/') then 'example.org/es/'
+    when (host = 'com' or host like '%.com') and starts_with(path, '/fr/') then 'com/fr/'
+    when (host = 'com' or host like '%.com') and starts_with(path, '/de/') then 'com/de/'
+    when (host = 'org' or host like '%.org') and starts_with(path, '/') then 'org/' end
+"""
+
+_ROUNDS = ",".join(
+    f"""
+r{i} as materialized (
+  select kind, host, sum(m) as m from (
+    select e.kind, e.dst as host, 0.85 * e.share * r.m as m from e join r{i - 1} r on r.kind = e.kind and r.host = e.src
+    union all select * from r0) group by kind, host)"""
+    for i in range(1, 16)
+)
+
+URL_FILTER = rf"""
+with u as (
+  select page_id, html, translate(regexp_extract(coalesce(url, ''), '://([^/?#]*)', 1),
+      'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
+    regexp_extract(coalesce(url, ''), '://[^/?#]*([^?#]*)', 1) as path from pages),
+p as (select *, {_RULED} as rule from u),
+v as (select *, case when rule in ('org/', 'com/fr/') then 'allow' when rule is not null then 'block' end as ruled from p),
+h as (select host, count(*) filter (ruled = 'allow') as good, count(*) filter (ruled = 'block') as bad from v group by host),
+a as (
+  select host as src, unnest(regexp_extract_all(html, '(?i)<a\s(?:[^>]*?\s)?href\s*=\s*["'']?([^"''\s>]+)', 1)) as link from v),
+w as (
+  select src, translate(regexp_extract(case when starts_with(link, '//') then 'http:' || link else link end, '://([^/?#]*)', 1),
+      'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as dst
+  from a where starts_with(link, '//') or regexp_matches(link, '^[A-Za-z][A-Za-z0-9+.\-]*://')),
+up as (
+  select b.host as src, c.host as dst from h b join h c on b.host like '%.' || c.host and c.host <> ''
+  qualify row_number() over (partition by b.host order by length(c.host) desc) = 1),
+l as (
+  select src, dst, count(*) as n from (
+    select src, dst from w where src <> dst and src <> '' and dst <> '' and dst in (select host from h)
+    union all select src, dst from up union all select dst, src from up) group by src, dst),
+k as (select 'trust' as kind, src, dst, n from l union all select 'distrust', dst, src, n from l),
+e as materialized (select kind, src, dst, n / sum(n) over (partition by kind, src) as share from k),
+r0 as materialized (
+  select 'trust' as kind, host, 0.15::double * good as m from h where good > 0
+  union all select 'distrust', host, 0.15::double * bad from h where bad > 0),{_ROUNDS},
+j as (select host, sum(m) filter (kind = 'distrust') / sum(m) as share from r15 group by host)
+select page_id, v.host, path, rule,
+  coalesce(ruled, case when coalesce(share, 0) >= 0.8 then 'block' else 'allow' end) as verdict
+from v left join j using (host)
+"""
