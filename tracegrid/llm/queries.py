@@ -11,6 +11,7 @@ from tracegrid.llm import sql
 from tracegrid.llm.bit_sliced import top_k
 from tracegrid.llm.jaccard_join import near_duplicates
 from tracegrid.llm.mixing import mix, taken
+from tracegrid.llm.quality_classifier import quality_scores
 from tracegrid.llm.quality_rules import quality_rules
 from tracegrid.llm.sharding import shard_by_bytes
 from tracegrid.llm.url_filter import url_filter
@@ -86,3 +87,9 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rule and verdict of every page."""
     return url_filter(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
+
+
+@query("op4_quality_classifier")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document."""
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
