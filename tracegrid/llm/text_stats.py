@@ -24,6 +24,8 @@ FEATURES = (
     "top_word_share",
 )
 
+PRIOR_CHARS, PRIOR_WORDS = 100, 20
+
 
 def _classes() -> np.ndarray:
     """Byte -> 0 space, 1 lower, 2 upper, 3 digit, 4 symbol, 5 punctuation, 6 above ASCII, 7 rest."""
@@ -67,7 +69,7 @@ def text_features(texts: pa.Array) -> np.ndarray:
         hashes = word_hashes(raw, starts, ends)
         text_of = np.repeat(np.arange(n), np.diff(offsets))
         per_kind = np.bincount(text_of * 8 + kind[raw], minlength=n * 8).reshape(n, 8).astype(float)
-        solid = np.maximum(per_kind[:, 1:].sum(axis=1), 1)
+        solid = per_kind[:, 1:].sum(axis=1)
         words = np.bincount(owner, minlength=n).astype(float)
         some = np.maximum(words, 1)
         lengths = (ends - starts).astype(float)
@@ -77,7 +79,7 @@ def text_features(texts: pa.Array) -> np.ndarray:
         pair = owner[1:] == owner[:-1]
         pairs = scramble(hashes[:-1] * np.uint64(3) + hashes[1:] * np.uint64(7))[pair] if len(hashes) > 1 else np.zeros(0, np.uint64)
         pair_owner = owner[1:][pair] if len(hashes) > 1 else np.zeros(0, np.int64)
-        n_pairs = np.maximum(np.bincount(pair_owner, minlength=n), 1)
+        n_pairs = np.bincount(pair_owner, minlength=n)
         distinct_pairs = _distinct(pairs, pair_owner, n)
         # A line is told by the sum of its words' hashes at their places.
         breaks = np.cumsum(raw == 10)
@@ -91,23 +93,25 @@ def text_features(texts: pa.Array) -> np.ndarray:
             text_line = owner[heads]
         lines = np.bincount(text_line, minlength=n).astype(float)
         distinct_lines = _distinct(line_hash, text_line, n)
-        share = lambda a, b: np.sqrt(a / b)
+        # Shares of a few words say little: each starts from a usual text of so many characters and words.
+        chars = lambda k, usual: np.sqrt((per_kind[:, k] + PRIOR_CHARS * usual) / (solid + PRIOR_CHARS))
+        of = lambda a, n, usual: (a + PRIOR_WORDS * usual) / (n + PRIOR_WORDS)
         rows.append(
             np.column_stack(
                 [
                     np.log1p(words),
                     np.log1p(lines) - 0.5 * np.log1p(words),
-                    np.log1p(mean),
-                    np.log1p(spread),
-                    share(per_kind[:, 2], solid),
-                    share(per_kind[:, 3], solid),
-                    share(per_kind[:, 4], solid),
-                    share(per_kind[:, 5], solid),
-                    share(per_kind[:, 6], solid),
-                    np.log((distinct + 1) / (words + 1)) + 0.25 * np.log1p(words),
-                    distinct_pairs / n_pairs,
-                    np.where(lines > 0, distinct_lines / np.maximum(lines, 1), 1.0),
-                    share(top, some),
+                    np.log(of(mean * words, words, 5.5)),
+                    np.log(of(spread**2 * words, words, 9.0)),
+                    chars(2, 0.03),
+                    chars(3, 0.005),
+                    chars(4, 0.001),
+                    chars(5, 0.03),
+                    chars(6, 0.03),
+                    np.log(of(distinct, words, 1.0)) + 0.25 * np.log(words + PRIOR_WORDS),
+                    of(distinct_pairs, n_pairs, 1.0),
+                    (distinct_lines + 4) / (lines + 4),
+                    np.sqrt(of(top, words, 0.1)),
                 ]
             )
         )
