@@ -109,12 +109,12 @@ def fences(counted: DataFrame, lang_col: str = "lang", source_col: str = "source
     merged = lambda rows, *keys: rows.groupBy(*keys).agg(
         F.sum("n").alias("n"), *[F.kll_merge_agg_double(n, SKETCH_SIZE).alias(n) for n in stats]
     )
-    group = materialize(group)
+    group = materialize(group.withColumn("__all", F.lit(0)))
     # One row per language, then one row: aggregates of sketches, not of documents.
-    lang = materialize(merged(group, "__lang"))
-    every = merged(lang, F.lit(1).alias("__one"))
+    lang = materialize(merged(group, "__lang", "__all"))
+    every = materialize(merged(lang, "__all"))
     a, b, c = group.alias("a"), lang.alias("b"), every.alias("c")
-    rows = a.join(b, F.col("a.__lang").eqNullSafe(F.col("b.__lang"))).join(c, F.col("c.__one") == 1)
+    rows = a.join(b, F.col("a.__lang").eqNullSafe(F.col("b.__lang"))).join(c, F.col("a.__all") == F.col("c.__all"))
     chosen = lambda n: (
         F.when(F.col("a.n") >= MIN_GROUP, F.col(f"a.{n}"))
         .when(F.col("b.n") >= MIN_GROUP, F.col(f"b.{n}"))
