@@ -20,7 +20,7 @@ rows score alike; no rows give no rows.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -46,20 +46,18 @@ def held_out(id_col: Column, folds: int, fold: int) -> Column:
     return F.coalesce(F.crc32(id_col.cast("string").cast("binary")) % folds == fold, F.lit(False))
 
 
-def with_features(docs: DataFrame, text_col: str = "text", name: str = "features") -> DataFrame:
-    """The documents with an array of ``FEATURES``; other columns pass through the Arrow batches untouched."""
-    kept = [c for c in docs.columns if c != name]
-    schema = T.StructType([docs.schema[c] for c in kept] + [T.StructField(name, T.ArrayType(T.DoubleType(), False))])
-    at = kept.index(text_col)
+def with_features(docs: DataFrame, carry: Sequence[str], text_col: str = "text", name: str = "features") -> DataFrame:
+    """The ``carry`` columns of the documents and an array of ``FEATURES``."""
+    schema = T.StructType([docs.schema[c] for c in carry] + [T.StructField(name, T.ArrayType(T.DoubleType(), False))])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            stats = text_features(batch.column(at))
+            stats = text_features(batch.column(len(carry)))
             bounds = pa.array(np.arange(len(stats) + 1, dtype=np.int32) * len(FEATURES))
             lists = pa.ListArray.from_arrays(bounds, pa.array(stats.ravel()))
-            yield pa.RecordBatch.from_arrays([*batch.columns, lists], names=[*kept, name])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], lists], names=[*carry, name])
 
-    return docs.select(*map(named, kept)).mapInArrow(add, schema)
+    return docs.select(*map(named, carry), named(text_col).alias("__text")).mapInArrow(add, schema)
 
 
 @dataclass(frozen=True)
@@ -146,19 +144,16 @@ def quality_scores(
     label_col: str = "quality",
     folds: int = 5,
     fold: int = 0,
-    carry: list[str] | None = None,
+    carry: Sequence[str] = (),
 ) -> DataFrame:
-    """The ``carry`` columns (by default the id) with ``held_out``, ``score`` and ``predicted``."""
-    carried = [c for c in (carry or [id_col]) if c not in ("held_out", "score", "predicted")]
-    features = with_features(docs.select(*{c: named(c) for c in [*carried, id_col, text_col]}.values()), text_col, "__features")
-    stats = materialize(features.select(*map(named, dict.fromkeys([*carried, id_col])), "__features"))
+    """The id and the ``carry`` columns of each document with ``held_out``, ``score`` and ``predicted``."""
+    carried = [c for c in dict.fromkeys([id_col, *carry]) if c not in ("held_out", "score", "predicted")]
+    stats = materialize(with_features(docs, carried, text_col, "__features"))
+    out = held_out(named(id_col), folds, fold)
     known = labels.select(named(id_col).alias("__id"), named(label_col).alias("__label"))
-    learned = stats.where(~held_out(named(id_col), folds, fold)).join(known, named(id_col) == F.col("__id"))
-    model = fit(learned.select("__label", "__features"), "__label", "__features")
+    learned = stats.where(~out).select(named(id_col).alias("__own"), "__features").join(known, F.col("__own") == F.col("__id"))
+    model = fit(learned, "__label", "__features")
     scored = with_score(stats, model, "__features", "score")
     return scored.select(
-        *map(named, carried),
-        held_out(named(id_col), folds, fold).alias("held_out"),
-        "score",
-        (F.col("score") >= THRESHOLD).cast("int").alias("predicted"),
+        *map(named, carried), out.alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted")
     )

@@ -11,9 +11,12 @@ from tracegrid.llm import sql
 from tracegrid.llm.bit_sliced import top_k
 from tracegrid.llm.jaccard_join import near_duplicates
 from tracegrid.llm.mixing import mix, taken
-from tracegrid.llm.quality_classifier import quality_scores
+from tracegrid.llm.packing import best_fit
+from tracegrid.llm.quality_classifier import held_out, quality_scores
 from tracegrid.llm.quality_rules import quality_rules
 from tracegrid.llm.sharding import shard_by_bytes
+from tracegrid.llm.token_counts import token_counts
+from tracegrid.llm.toxicity import THRESHOLD, toxicity_scores
 from tracegrid.llm.url_filter import url_filter
 from tracegrid.llm.words import word_count
 from tracegrid.operators.storage import materialize
@@ -93,3 +96,23 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality score of every document."""
     return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op8_token_counts")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every document, counted in flat token files."""
+    return token_counts(table(spark, sf_dir, "documents"))
+
+
+@query("op9_best_fit_packing")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bin and place of every piece of every document."""
+    return best_fit(table(spark, sf_dir, "documents"))
+
+
+@query("op10_toxicity")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document."""
+    out = held_out(F.col("doc_id"), 3, 1)
+    scored = toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), ~out)
+    return scored.select("doc_id", out.alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
