@@ -32,7 +32,7 @@ def small_network(seed=0):
 def test_gradients_are_right():
     """Against finite differences of the loss, also with windows shorter than full ones."""
     net = small_network()
-    words = gru.Words(np.array([3, 5, 9, 77], np.uint64), np.array([11, 12, 11, 99], np.uint64), np.array([0, 2, 3, 3, 4]))
+    words = net.known(gru.Words(np.array([3, 5, 9, 77], np.uint64), np.array([11, 12, 11, 99], np.uint64), np.array([0, 2, 3, 3, 4])))
     at = np.array([0, 1, 2, 3, 2, 1, 0] * 6)
     first, lengths = np.array([0, 5, 20]), np.array([gru.WINDOW, 3, 9])
     target = np.array([1.0, -0.5, 0.3])
@@ -52,8 +52,7 @@ def test_gradients_are_right():
             for step in (1e-3, -1e-3):
                 value[i] = old + step
                 place, live = gru.window_places(at, first, lengths)
-                vectors, *_ = net.inputs(words)
-                losses.append(loss_of(net._logits(vectors @ net.p["W"] + net.p["b"], place, live))[0])
+                losses.append(loss_of(net._logits(net.vectors(words) @ net.p["W"] + net.p["b"], place, live))[0])
             value[i] = old
             assert (losses[0] - losses[1]) / 2e-3 == pytest.approx(g[i], rel=0.05, abs=2e-3), name
 

@@ -1,8 +1,9 @@
 """A small bidirectional gated recurrent network with attention pooling, in numpy.
 
 Input: windows of word numbers into a table of distinct words. A word's vector
-is its own (for words known from training) beside the mean of those of its
-character n-grams (prefixes and inner runs). Output: a logit per window.
+is its own (for words known from training) beside the sum of those of its
+character n-grams (prefixes and inner runs), over the square root of their number.
+Output: a logit per window.
 """
 
 from __future__ import annotations
@@ -21,6 +22,8 @@ RUNS = (4, 5)
 WORD_DIM, CHAR_DIM, HIDDEN = 8, 8, 8
 # Windows worked on at once: their states stay in the processor's cache.
 BATCH = 2048
+# Steps of training at least, however few the texts.
+LEAST_STEPS = 200
 
 
 def letters() -> np.ndarray:
@@ -83,6 +86,15 @@ def distinct_words(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tup
     return Words(hashes, flat[order], bounds), at
 
 
+@dataclass
+class Known:
+    """The same words as rows of the network's tables: each word's, and those of its known n-grams, in order."""
+
+    word: np.ndarray
+    gram: np.ndarray
+    many: np.ndarray  # n-grams per word
+
+
 class Lookup:
     """Numbers of known hashes from a table addressed by their low bits; 0 for all others."""
 
@@ -127,8 +139,8 @@ def _parameters(words: int, grams: int, rng: np.random.Generator) -> dict[str, n
     h = HIDDEN
     normal = lambda *shape, s: rng.normal(0, s, shape).astype(np.float32)
     return {
-        "word": normal(words + 1, WORD_DIM, s=0.1),
-        "gram": normal(grams + 1, CHAR_DIM, s=0.1),
+        "word": normal(words + 1, WORD_DIM, s=0.02),
+        "gram": normal(grams + 1, CHAR_DIM, s=0.02),
         "W": normal(WORD_DIM + CHAR_DIM, 6 * h, s=0.3),
         "b": np.zeros(6 * h, np.float32),
         "Uf": normal(h, 3 * h, s=0.3),
@@ -147,18 +159,19 @@ class Network:
     moments: dict[str, tuple[np.ndarray, np.ndarray]] = field(default_factory=dict)
     steps: int = 0
 
-    def inputs(self, words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Word vectors, and what they were made of."""
+    def known(self, words: Words) -> Known:
         w, g = self.known_words(words.hashes), self.known_grams(words.grams)
         owner = np.repeat(np.arange(len(words.hashes)), np.diff(words.bounds))
         use = g > 0
-        g, owner = g[use], owner[use]
-        n = np.bincount(owner, minlength=len(w))
-        chars = np.zeros((len(w), CHAR_DIM), dtype=np.float32)
-        if len(g):
-            some = np.flatnonzero(n)
-            chars[some] = np.add.reduceat(self.p["gram"][g], (np.cumsum(n) - n)[some]) / n[some, None]
-        return np.concatenate([self.p["word"][w], chars], axis=1), w, g, owner
+        return Known(w, g[use], np.bincount(owner[use], minlength=len(w)))
+
+    def vectors(self, words: Known) -> np.ndarray:
+        chars = np.zeros((len(words.word), CHAR_DIM), dtype=np.float32)
+        if len(words.gram):
+            some = np.flatnonzero(words.many)
+            heads = (np.cumsum(words.many) - words.many)[some]
+            chars[some] = np.add.reduceat(self.p["gram"][words.gram], heads) / np.sqrt(words.many[some, None], dtype=np.float32)
+        return np.concatenate([self.p["word"][words.word], chars], axis=1)
 
     def _pass(self, x: np.ndarray, at: np.ndarray, live: np.ndarray | None, u: np.ndarray, back: bool, keep: list | None):
         """One direction over windows ``at`` (time x window) into projected inputs ``x``."""
@@ -205,8 +218,7 @@ class Network:
 
     def window_logits(self, words: Words, at: np.ndarray, first: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         """The logit of every window; ``at`` numbers the words in order of occurrence."""
-        vectors, *_ = self.inputs(words)
-        x = vectors @ self.p["W"] + self.p["b"]
+        x = self.vectors(self.known(words)) @ self.p["W"] + self.p["b"]
         out = np.empty(len(first), dtype=np.float32)
         full = lengths == WINDOW
         for group in (np.flatnonzero(full), np.flatnonzero(~full)):
@@ -232,10 +244,10 @@ class Network:
             out.append(1 / (1 + np.exp(-np.clip(best, -40, 40))))
         return np.concatenate(out) if out else np.zeros(0)
 
-    def gradients(self, words: Words, at: np.ndarray, first: np.ndarray, lengths: np.ndarray, loss_of) -> tuple[float, dict]:
+    def gradients(self, words: Known, at: np.ndarray, first: np.ndarray, lengths: np.ndarray, loss_of) -> tuple[float, dict]:
         """Loss and gradients over some windows; ``loss_of`` turns logits into (loss, gradient of the logits)."""
         p, h = self.p, HIDDEN
-        vectors, w, g, owner = self.inputs(words)
+        vectors = self.vectors(words)
         x = vectors @ p["W"] + p["b"]
         place, live = window_places(at, first, lengths)
         k: dict = {}
@@ -265,9 +277,8 @@ class Network:
         grad["W"] = vectors.T @ dx
         grad["b"] = dx.sum(axis=0)
         dv = dx @ p["W"].T
-        n = np.maximum(np.bincount(owner, minlength=len(w)), 1)
-        grad["word"] = _row_sums(w, dv[:, :WORD_DIM])
-        grad["gram"] = _row_sums(g, (dv[:, WORD_DIM:] / n[:, None])[owner])
+        grad["word"] = _row_sums(words.word, dv[:, :WORD_DIM])
+        grad["gram"] = _row_sums(words.gram, np.repeat(dv[:, WORD_DIM:] / np.sqrt(np.maximum(words.many, 1))[:, None], words.many, axis=0))
         return loss, grad
 
     def step(self, grad: dict, rate: float) -> None:
@@ -303,22 +314,21 @@ def train(
     """Learn window scores from labels of whole texts.
 
     A text's logit is the mean of its windows', weighted towards the highest, so
-    what is learned from a toxic text comes from the windows that stand out.
-    """
+    what is learned from a toxic text comes from the windows that stand out. Of a
+        """
     rng = np.random.default_rng(seed)
     y_all = np.asarray(labels, dtype=np.float32)
-    prepared = list(_prepared(texts))
-    seen_words: dict[int, int] = {}
-    seen_grams: dict[int, int] = {}
-    for words, *_ in prepared:
-        for h in words.hashes.tolist():
-            seen_words[h] = seen_words.get(h, 0) + 1
-        for h in np.unique(words.grams).tolist():
-            seen_grams[h] = seen_grams.get(h, 0) + 1
-    known = [np.array(sorted(h for h, n in seen.items() if n >= min_count), dtype=np.uint64) for seen in (seen_words, seen_grams)]
+    found = list(_prepared(texts))
+    known = [
+        _frequent([p[0].hashes for p in found], min_count),
+        _frequent([np.unique(p[0].grams) for p in found], min_count),
+    ]
     net = Network(_parameters(len(known[0]), len(known[1]), rng), Lookup(known[0]), Lookup(known[1]))
+    prepared = [(net.known(words), *rest) for words, *rest in found]
+    del found
     weight = np.where(y_all > 0, 0.5 / max(y_all.mean(), 1e-6), 0.5 / max(1 - y_all.mean(), 1e-6)) if len(y_all) else y_all
-    usable = [i for i, (words, *_) in enumerate(prepared) if len(words.hashes)]
+    usable = [i for i, p in enumerate(prepared) if len(p[0].word)]
+    epochs = max(epochs, LEAST_STEPS // max(1, -(-len(usable) // 32)))
     total = epochs * -(-len(usable) // 32)
     for _ in range(epochs):
         rng.shuffle(usable)
@@ -341,6 +351,12 @@ def train(
     return net
 
 
+def _frequent(sets: list[np.ndarray], least: int) -> np.ndarray:
+    """Values that are in at least so many of the sets."""
+    values, n = np.unique(np.concatenate(sets) if sets else np.zeros(0, np.uint64), return_counts=True)
+    return values[n >= least]
+
+
 def _prepared(texts: Sequence[str]) -> Iterator[tuple]:
     for text in texts:
         raw = np.frombuffer((text or "").encode(), dtype=np.uint8)
@@ -352,14 +368,9 @@ def _prepared(texts: Sequence[str]) -> Iterator[tuple]:
 
 def _joined(parts: list[tuple]) -> tuple:
     """Several texts as one: their words side by side."""
-    sizes = np.cumsum([0] + [len(p[0].hashes) for p in parts])
+    sizes = np.cumsum([0] + [len(p[0].word) for p in parts])
     places = np.cumsum([0] + [len(p[1]) for p in parts])
-    grams = np.cumsum([0] + [len(p[0].grams) for p in parts])
-    words = Words(
-        np.concatenate([p[0].hashes for p in parts]),
-        np.concatenate([p[0].grams for p in parts]),
-        np.concatenate([[0], *[p[0].bounds[1:] + g for p, g in zip(parts, grams, strict=False)]]),
-    )
+    words = Known(*(np.concatenate([getattr(p[0], name) for p in parts]) for name in ("word", "gram", "many")))
     at = np.concatenate([p[1] + s for p, s in zip(parts, sizes, strict=False)])
     first = np.concatenate([p[2] + s for p, s in zip(parts, places, strict=False)])
     lengths = np.concatenate([p[3] for p in parts])

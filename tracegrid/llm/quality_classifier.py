@@ -57,7 +57,12 @@ def with_features(docs: DataFrame, carry: Sequence[str], text_col: str = "text",
             lists = pa.ListArray.from_arrays(bounds, pa.array(stats.ravel()))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], lists], names=[*carry, name])
 
-    return docs.select(*map(named, carry), named(text_col).alias("__text")).mapInArrow(add, schema)
+    return _numbered(docs, [*carry, text_col]).mapInArrow(add, schema)
+
+
+def _numbered(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """The columns under plain names: ``mapInArrow`` takes no dots in those of its input."""
+    return rows.select(*[named(c).alias(f"c{i}") for i, c in enumerate(columns)])
 
 
 @dataclass(frozen=True)
@@ -133,7 +138,7 @@ def with_score(rows: DataFrame, model: Discriminant, features_col: str = "featur
             scores = model.score(flat.reshape(len(batch), len(FEATURES)))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(scores)], names=[*rest, name])
 
-    return rows.select(*map(named, rest), named(features_col)).mapInArrow(add, schema)
+    return _numbered(rows, [*rest, features_col]).mapInArrow(add, schema)
 
 
 def quality_scores(

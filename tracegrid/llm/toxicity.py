@@ -28,7 +28,7 @@ from tracegrid.llm.gru import Network, train
 
 # Bounds of the training sample.
 PER_CLASS = 1000
-TRAIN_CHARS = 6000
+TRAIN_CHARS = 12000
 THRESHOLD = 0.7
 
 
@@ -50,18 +50,16 @@ def training_sample(
     return [r["__text"] for r in rows], [r["__label"] for r in rows]
 
 
-def with_toxicity(docs: DataFrame, network: Network | None, text_col: str = "text", name: str = "score") -> DataFrame:
-    """Add the score of each whole text; the text itself is not passed on."""
-    rest = [c for c in docs.columns if c not in (text_col, name)]
-    schema = T.StructType([docs.schema[c] for c in rest] + [T.StructField(name, T.DoubleType())])
+def with_toxicity(docs: DataFrame, network: Network | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The id and the score of each whole text."""
+    schema = T.StructType([docs.schema[id_col], T.StructField("score", T.DoubleType())])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch.column(len(rest))
+        for ids, texts in batches:
             scores = network.score_texts(texts) if network else np.zeros(len(texts))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(scores, pa.float64())], names=[*rest, name])
+            yield pa.RecordBatch.from_arrays([ids, pa.array(scores, pa.float64())], names=[id_col, "score"])
 
-    return docs.select(*map(named, rest), named(text_col)).mapInArrow(add, schema)
+    return docs.select(named(id_col).alias("id"), named(text_col).alias("text")).mapInArrow(add, schema)
 
 
 def toxicity_scores(
@@ -76,4 +74,4 @@ def toxicity_scores(
     """One row per document: its id and ``score``. ``learn``: the documents whose labels may be used."""
     texts, known = training_sample(docs, labels, learn, id_col, text_col, label_col, per_class)
     network = train(texts, known) if len(set(known)) == 2 else None
-    return with_toxicity(docs.select(named(id_col), named(text_col)), network, text_col)
+    return with_toxicity(docs, network, id_col, text_col)
