@@ -396,12 +396,12 @@ RULE = packaging.PackageRule(
 @check(
     "package_documents",
     f"""with m as (select doc_id, path, md, doc_id || '.md' as name, regexp_replace(substr(md, strpos(md, '# Title')), '\\n\\z', '') as body,
-    'FINGERPRINT::' || sha1(path) || sha1(left(md, 2048)) as fp from md_docs),
+    'FINGERPRINT::' || sha1(path) || sha1(md) as fp from md_docs),
 t as (select *, {J("'<document_metadata>'", "'source: filesystem'", "'safety: unclassified'", "'doc_name: Doc ' || doc_id", "'number: ' || doc_id",
     "'first: ' || left(cast(doc_id as varchar), 1)", "'rest: ' || nullif(substr(cast(doc_id as varchar), 2), '')", "'tags: alpha'",
     "'Section_Number: ' || (doc_id % 9 + 1) || '.' || (doc_id % 4) || '-1'", "'filename: ' || name", "'fingerprint: ' || fp", "'</document_metadata>'")} as head from m),
 d as (select *, head || {NL} || {NL} || '## Content' || {NL} || {NL} || body || {NL} || {NL} || fp as packaged from t),
-c as (select *, 'Companion summary for ' || name || {NL} || {NL} || 'Fingerprint: ' || fp || {NL} || {NL} || 'Excerpt:' || {NL} || left(packaged, 1200) as brief from d)
+c as (select *, 'Companion summary for ' || name || {NL} || {NL} || 'Fingerprint: ' || fp || {NL} || {NL} || 'Excerpt:' || {NL} || packaged as brief from d)
 select path, packaged as text, fp as fingerprint, sha256(md) as original_sha256, 'document' as kind, sha256(packaged) as packaged_sha256, '' as title from c
 union all select path, brief, fp, sha256(brief), 'summary', sha256(brief), doc_id || ' (summary)' from c""",
 )

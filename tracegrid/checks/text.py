@@ -183,7 +183,7 @@ def _(spark, sf):
 
 @check(
     "fingerprint",
-    """select doc_id, 'FINGERPRINT::' || case when doc_id % 2 = 0 then 'REQ-' || doc_id else sha1(path) || sha1(left(md, 2048)) end as fp,
+    """select doc_id, 'FINGERPRINT::' || case when doc_id % 2 = 0 then 'REQ-' || doc_id else sha1(path) || sha1(md) end as fp,
        sha256(md) as sha,
        substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' ||
        substr('89ab', (strpos('0123456789abcdef', substr(h, 17, 1)) - 1) % 4 + 1, 1) ||

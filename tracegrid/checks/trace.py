@@ -34,7 +34,7 @@ check("section_title_map", f"with {TITLES} select num as section, title from tit
 
 def sql_links(c: str) -> str:
     found = f"regexp_extract_all(coalesce({c}, ''), '[A-Za-z]+-[0-9]+[A-Za-z0-9]*')"
-    return f"{sql_dedupe(f'list_transform({found}, lambda x: ' + sql_norm_id('x') + ')')}[1:5]"
+    return f"{sql_dedupe(f'list_transform({found}, lambda x: ' + sql_norm_id('x') + ')')}"
 
 
 # Every row points at its parents; inline ids come from the texts themselves.
@@ -50,7 +50,7 @@ l as (
 f as (
   select l.*, id, doc, ttl, coalesce(nullif(trim(body, '{BL}'), ''), 'N/A') as b, list_contains(ins, rid) or list_contains(outs, rid) as already
   from l left join idx on rid = id join base using (row_idx)),
-s as (select *, case when length(b) <= 300 then b else rtrim(left(b, 300), '{BL}') || '...' end as snip from f)
+s as (select *, b as snip from f)
 """
 
 
@@ -87,16 +87,16 @@ GRAPH = f"""
 lastpage as (select Req_ID, max(row_idx) as target from reqs group by 1),
 {_resolved('par', 'Parent_Req_IDs')}, {_resolved('kid', 'Child_Req_IDs')},
 cores as (select row_idx as core from reqs where Doc_Type <> 'SRS'),
-p1 as (select core, target as near from par join cores on page = core where rank <= 1),
-c1 as (select core, target as near from kid join cores on page = core where rank <= 4),
-p2 as (select core, near, target as far from p1 join par on page = near where rank <= 2),
-c2 as (select core, near, target as far from c1 join kid on page = near where rank <= 2)
+p1 as (select core, target as near from par join cores on page = core),
+c1 as (select core, target as near from kid join cores on page = core),
+p2 as (select core, near, target as far from p1 join par on page = near),
+c2 as (select core, near, target as far from c1 join kid on page = near)
 """
 
 
 def graph(spark, sf):
     return t.trace_neighbourhood(
-        reqs(spark, sf), "row_idx", depth=2, max_parents=1, core=F.col("Doc_Type") != "SRS"
+        reqs(spark, sf), "row_idx", depth=2, core=F.col("Doc_Type") != "SRS"
     )
 
 

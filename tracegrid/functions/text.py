@@ -147,8 +147,8 @@ def content_sha(c) -> Column:
 
 
 def fingerprint(path, body, req_id) -> Column:
-    """``FINGERPRINT::<id>`` where an id is known, else the hashes of path and head of body."""
-    hashed = F.concat(F.sha1(text(path)), F.sha1(F.substring(text(body), 1, 2048)))
+    """``FINGERPRINT::<id>`` where an id is known, else the hashes of path and body."""
+    hashed = F.concat(F.sha1(text(path)), F.sha1(text(body)))
     known = F.coalesce(F.nullif(_col(req_id).cast("string"), F.lit("")), hashed)
     return F.concat(F.lit("FINGERPRINT::"), known)
 

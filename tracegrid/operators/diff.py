@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracegrid.functions.text import BLANK_CLASS
+from tracegrid.functions.text import BLANK_CLASS, named
 from tracegrid.operators.ordered import fill_down as fill
 from tracegrid.operators.ordered import union_all
 
@@ -16,23 +16,18 @@ IN_LEFT, IN_RIGHT = "_in_left", "_in_right"
 
 
 def full_outer(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Full outer equi-join as an inner join and two anti joins.
+    """Full outer equi-join as a left join and an anti join.
 
-    Adaptive execution splits a hot key's partition in inner and anti joins but
-    not in a full outer join. Rows with a null key never match and go round the
-    joins. All joins read the same two filtered inputs, so each side is
-    shuffled once in full and reused, and once more for its keys alone.
+    Adaptive execution splits a hot key's partition in those but not in a full
+    outer join. Null keys match nothing: the left join keeps such rows of the left
+    side, the anti join those of the right.
     """
-    some_null = reduce(Column.__or__, [F.col(k).isNull() for k in keys])
-    l, r = left.where(~some_null), right.where(~some_null)
-    frames = [
-        l.join(r, list(keys), "inner"),
-        l.join(r.select(*keys), list(keys), "left_anti"),
-        r.join(l.select(*keys), list(keys), "left_anti"),
-        left.where(some_null),
-        right.where(some_null),
-    ]
-    return union_all(frames)
+    ours = [f"__k{i}" for i, _ in enumerate(keys)]
+    keyed = right.select(*[named(k).alias(o) for k, o in zip(keys, ours)], *[named(c) for c in right.columns if c not in keys])
+    matched = left.join(keyed, reduce(Column.__and__, [named(k) == F.col(o) for k, o in zip(keys, ours)]), "left").drop(*ours)
+    held = left.select(*[named(k).alias(o) for k, o in zip(keys, ours)])
+    alone = right.join(held, reduce(Column.__and__, [named(k) == F.col(o) for k, o in zip(keys, ours)]), "left_anti")
+    return union_all([matched, alone])
 
 
 def _require(df: DataFrame, cols: Sequence[str], what: str) -> None:
@@ -74,20 +69,20 @@ def table_diff(
     compared = [c for c in mapping if c not in keys]
     joined = full_outer(
         left.withColumn(IN_LEFT, F.lit(True)),
-        right.select(*[F.col(c).alias(right_name(c)) for c in right.columns]).withColumn(IN_RIGHT, F.lit(True)),
+        right.select(*[named(c).alias(right_name(c)) for c in right.columns]).withColumn(IN_RIGHT, F.lit(True)),
         keys,
     )
     in_left, in_right = (F.coalesce(F.col(c), F.lit(False)) for c in (IN_LEFT, IN_RIGHT))
     both = in_left & in_right
-    differs = {c: both & ~F.col(c).eqNullSafe(F.col(f"{c}_right")) for c in compared}
+    differs = {c: both & ~named(c).eqNullSafe(named(f"{c}_right")) for c in compared}
     flagged = joined.select(
-        *left.columns,
-        *[right_name(c) for c in right.columns if right_name(c) not in left.columns],
+        *map(named, left.columns),
+        *[named(right_name(c)) for c in right.columns if right_name(c) not in left.columns],
         in_left.alias(IN_LEFT),
         in_right.alias(IN_RIGHT),
         *[d.alias(f"_diff_{c}") for c, d in differs.items()],
     )
-    changed = F.concat_ws(", ", *[F.when(F.col(f"_diff_{c}"), F.lit(c)) for c in compared]) if compared else F.lit("")
+    changed = F.concat_ws(", ", *[F.when(named(f"_diff_{c}"), F.lit(c)) for c in compared]) if compared else F.lit("")
     status = (
         F.when(F.col(IN_LEFT) & F.col(IN_RIGHT), F.when(F.col("changed_columns") != "", "changed").otherwise("equal"))
         .when(F.col(IN_LEFT), "left_only")
@@ -104,10 +99,10 @@ def row_diff(left: DataFrame, right: DataFrame, mapping: Mapping[str, str]) -> D
     _require(left, list(mapping), "left table")
     _require(right, list(mapping.values()), "right table")
     cols = list(mapping)
-    side = left.select(*cols, F.lit(1).alias("l"), F.lit(0).alias("r")).unionByName(
-        right.select(*[F.col(r).alias(l) for l, r in mapping.items()], F.lit(0).alias("l"), F.lit(1).alias("r"))
+    side = left.select(*map(named, cols), F.lit(1).alias("l"), F.lit(0).alias("r")).unionByName(
+        right.select(*[named(r).alias(l) for l, r in mapping.items()], F.lit(0).alias("l"), F.lit(1).alias("r"))
     )
-    counted = side.groupBy(*cols).agg(F.sum("l").alias("l"), F.sum("r").alias("r"))
+    counted = side.groupBy(*map(named, cols)).agg(F.sum("l").alias("l"), F.sum("r").alias("r"))
     outcome = F.filter(
         F.array(
             F.struct(F.lit("equal").alias("_merge"), F.least("l", "r").alias("rows")),
@@ -116,7 +111,7 @@ def row_diff(left: DataFrame, right: DataFrame, mapping: Mapping[str, str]) -> D
         ),
         lambda x: x["rows"] > 0,
     )
-    return counted.select(*cols, F.inline(outcome))
+    return counted.select(*map(named, cols), F.inline(outcome))
 
 
 def compare_columns(
@@ -143,15 +138,18 @@ def hybrid_diff(
 ) -> DataFrame:
     """Changed, deleted and inserted rows, values compared as text with null as empty."""
     cols = compare_columns(old, new, keys, diff_cols, hybrid, row_col, name_col)
+    # Names that differ only in case stay apart as they are.
+    low = [c.lower() for c in cols]
+    shown = {c: c.lower() if low.count(c.lower()) == 1 else c for c in cols}
 
     def side(df: DataFrame, tag: str) -> DataFrame:
         def value(c: str) -> Column:
-            return F.col(c) if c in df.columns else F.lit(None).cast("string")
+            return named(c) if c in df.columns else F.lit(None).cast("string")
 
         return df.select(
-            *keys,
+            *map(named, keys),
             value(row_col).alias(f"{tag}_row_number"),
-            *[value(c).alias(f"{tag}_{c.lower()}") for c in cols],
+            *[value(c).alias(f"{tag}__{i}") for i, c in enumerate(cols)],
             F.lit(True).alias(f"__in_{tag}"),
         )
 
@@ -161,9 +159,7 @@ def hybrid_diff(
         return F.regexp_replace(v, BLANK_CLASS + "+", "") if ignore_ws else v
 
     joined = full_outer(side(old, "old"), side(new, "new"), keys)
-    fields = F.concat_ws(
-        ", ", *[F.when(norm(f"old_{c.lower()}") != norm(f"new_{c.lower()}"), F.lit(c)) for c in cols]
-    )
+    fields = F.concat_ws(", ", *[F.when(norm(f"old__{i}") != norm(f"new__{i}"), F.lit(c)) for i, c in enumerate(cols)])
     in_old, in_new = F.col("__in_old").isNotNull(), F.col("__in_new").isNotNull()
     change = (
         F.when(in_old & in_new & (F.col("changed_fields") != ""), "Modified")
@@ -171,27 +167,28 @@ def hybrid_diff(
         .when(in_new & ~in_old, "Inserted")
         .otherwise("Unchanged")
     )
-    out = ["change_type", *keys, "old_row_number", "new_row_number"]
-    out += [f"{tag}_{c.lower()}" for c in cols for tag in ("old", "new")]
+    values = [F.col(f"{tag}__{i}").alias(f"{tag}_{shown[c]}") for i, c in enumerate(cols) for tag in ("old", "new")]
     marked = joined.withColumn("changed_fields", fields if cols else F.lit("")).withColumn("change_type", change)
-    return marked.where(F.col("change_type") != "Unchanged").select(*out, "changed_fields")
+    return marked.where(F.col("change_type") != "Unchanged").select(
+        "change_type", *map(named, keys), "old_row_number", "new_row_number", *values, "changed_fields"
+    )
 
 
 def diff_side_by_side(diff: DataFrame, keys: Sequence[str], mapping: Mapping[str, str]) -> DataFrame:
     compared = [c for c in mapping if c not in keys]
-    pairs = [p for c in compared for p in (F.col(c).alias(f"{c}_old"), F.col(f"{c}_right").alias(f"{c}_new"))]
-    return diff.where(F.col("_merge") == "changed").select(*keys, *pairs)
+    pairs = [p for c in compared for p in (named(c).alias(f"{c}_old"), named(f"{c}_right").alias(f"{c}_new"))]
+    return diff.where(F.col("_merge") == "changed").select(*map(named, keys), *pairs)
 
 
 def diff_cells(diff: DataFrame, keys: Sequence[str], mapping: Mapping[str, str]) -> DataFrame:
     """One row per changed cell, shown as ``old -> new``."""
 
     def shown(c: str) -> Column:
-        return F.coalesce(F.col(c).cast("string"), F.lit("NULL"))
+        return F.coalesce(named(c).cast("string"), F.lit("NULL"))
 
     cells = [
         F.when(
-            F.col(f"_diff_{c}"),
+            named(f"_diff_{c}"),
             F.struct(
                 F.lit(c).alias("column_name"),
                 F.concat(shown(c), F.lit(" -> "), shown(f"{c}_right")).alias("change"),
@@ -201,7 +198,7 @@ def diff_cells(diff: DataFrame, keys: Sequence[str], mapping: Mapping[str, str])
         if c not in keys
     ]
     changed = diff.where(F.col("_merge") == "changed")
-    return changed.select(*keys, F.inline(F.filter(F.array(*cells), lambda x: x.isNotNull())))
+    return changed.select(*map(named, keys), F.inline(F.filter(F.array(*cells), lambda x: x.isNotNull())))
 
 
 def _status_counts(status: str) -> list[Column]:
@@ -218,7 +215,7 @@ def change_type_counts(diff: DataFrame) -> DataFrame:
 
 
 def hierarchy_value(diff: DataFrame, c: str) -> Column:
-    sides = [F.col(n).cast("string") for n in (c, f"{c}_right") if n in diff.columns]
+    sides = [named(n).cast("string") for n in (c, f"{c}_right") if n in diff.columns]
     return F.coalesce(*sides, F.lit("N/A"))
 
 

@@ -157,16 +157,14 @@ def fill_down(
     return done.select(*[named(f"__f_{c}").alias(c) if c in known else named(c) for c in df.columns])
 
 
-def infer_fill_down(df: DataFrame, candidates: Sequence[str], order_by: Sequence[str], sample_rows: int = 400) -> DataFrame:
-    """One row per candidate: does a blank follow a value among the first rows?
+def infer_fill_down(df: DataFrame, candidates: Sequence[str], order_by: Sequence[str]) -> DataFrame:
+    """One row per candidate: does a blank follow a value anywhere in the order?
 
-    The reach of ``sample_rows`` is the rule itself; the head of the order is a
-    top-k, so it is never a full sort.
+    One aggregate over all rows: the first filled place against the last blank one.
     """
     known = [c for c in dict.fromkeys(candidates) if c in df.columns]
-    head = df.select(*order_by, *[named(c) for c in known if c not in order_by]).orderBy(*order_by).limit(sample_rows)
-    key = F.struct(*order_by)
-    seen = head.agg(
+    key = F.struct(*map(named, order_by))
+    seen = df.agg(
         *[F.min(F.when(blank_to_null(c).isNotNull(), key)).alias(f"v_{i}") for i, c in enumerate(known)],
         *[F.max(F.when(blank_to_null(c).isNull(), key)).alias(f"b_{i}") for i, c in enumerate(known)],
     )
@@ -185,11 +183,11 @@ def infer_fill_down(df: DataFrame, candidates: Sequence[str], order_by: Sequence
     )
 
 
-def fill_columns(df: DataFrame, candidates: Sequence[str], order_by: Sequence[str], sample_rows: int = 400) -> list[str]:
+def fill_columns(df: DataFrame, candidates: Sequence[str], order_by: Sequence[str]) -> list[str]:
     """The inferred columns as a list: one row per column comes to the driver."""
     if not [c for c in candidates if c in df.columns]:
         return []
-    rows = infer_fill_down(df, candidates, order_by, sample_rows).where("fill_down").collect()
+    rows = infer_fill_down(df, candidates, order_by).where("fill_down").collect()
     return [r.column_name for r in rows]
 
 

@@ -26,6 +26,7 @@ class PackageRule:
     prefix: str = ""
     suffix: str = ""
     companion: bool = False
+    excerpt_chars: int | None = None  # of the companion; by default the whole text
 
 
 def _entry(key, value) -> Column:
@@ -112,7 +113,7 @@ def package_documents(docs: DataFrame, path_col: str, text_col: str, rule: Packa
     title = F.concat(F.coalesce(F.col("metadata")["title"], file_stem(F.col("path"))), F.lit(" (summary)"))
     excerpt = F.concat(
         F.lit("Companion summary for "), file_name(F.col("path")), F.lit("\n\nFingerprint: "), "fingerprint",
-        F.lit("\n\nExcerpt:\n"), F.substring("text", 1, 1200),
+        F.lit("\n\nExcerpt:\n"), F.col("text") if rule.excerpt_chars is None else F.substring("text", 1, rule.excerpt_chars),
     )
     rest = F.map_filter("metadata", lambda k, _: k != "title")
     summary = done.select(

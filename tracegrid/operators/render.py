@@ -534,8 +534,8 @@ def rag_blocks(
     order_by: Sequence[str],
     in_links: Sequence[str] = IN_LINK_FIELDS,
     out_links: Sequence[str] = OUT_LINK_FIELDS,
-    max_links: int = 5,
-    limit: int = 300,
+    max_links: int | None = None,
+    limit: int | None = None,
 ) -> DataFrame:
     """Each requirement as one block with its statement, context and linked texts."""
     titled = with_section_title(reqs, order_by)

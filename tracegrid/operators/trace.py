@@ -66,22 +66,27 @@ def link_context(
     order_by: Sequence[str],
     in_links: Column,
     out_links: Column,
-    max_links: int = 5,
-    limit: int = 300,
+    max_links: int | None = None,
+    limit: int | None = None,
 ) -> DataFrame:
     """Per requirement the texts its links point at.
 
-    Adds the id lists ``in_ids``, ``out_ids`` and ``inline_ids`` (first
-    ``max_links`` each), the lines ``linked_lines`` (an inline id that is
+    Adds the id lists ``in_ids``, ``out_ids`` and ``inline_ids`` (where asked, the
+    first ``max_links`` each), the lines ``linked_lines`` (an inline id that is
     already linked is not repeated) and ``referenced_lines``. ``reqs`` must
-    carry ``resolved_title``.
+    carry ``resolved_title``. Texts are whole unless a ``limit`` in characters is
+    given; they are cut before they are joined.
     """
     order = list(order_by)
+
+    def first_links(ids: Column) -> Column:
+        return ids if max_links is None else F.slice(ids, 1, max_links)
+
     lists = reqs.withColumns(
         {
-            "in_ids": F.slice(I.extract_link_ids(in_links), 1, max_links),
-            "out_ids": F.slice(I.extract_link_ids(out_links), 1, max_links),
-            "inline_ids": F.slice(I.extract_link_ids("Requirement_Text"), 1, max_links),
+            "in_ids": first_links(I.extract_link_ids(in_links)),
+            "out_ids": first_links(I.extract_link_ids(out_links)),
+            "inline_ids": first_links(I.extract_link_ids("Requirement_Text")),
         }
     )
 
@@ -95,9 +100,11 @@ def link_context(
     every = F.concat(entries(0, "in", "in_ids"), entries(1, "out", "out_ids"), entries(2, "text", "inline_ids"))
     # The outer form: the plain one would add a filter that searches every text twice.
     links = lists.select(*order, linked.alias("linked"), F.inline_outer(every)).where("rid is not null")
-    index = req_index(reqs, order, ["Requirement_Text", "Doc_Name", "resolved_title"]).withColumnRenamed("Req_ID", "__id")
+    shown_text = value_or_na("Requirement_Text")
+    cut = reqs.withColumn("Requirement_Text", shown_text if limit is None else truncate_text(shown_text, limit))
+    index = req_index(cut, order, ["Requirement_Text", "Doc_Name", "resolved_title"]).withColumnRenamed("Req_ID", "__id")
     found = links.join(index, F.col("rid") == F.col("__id"), "left")
-    snippet = truncate_text(value_or_na("Requirement_Text"), limit)
+    snippet = F.coalesce("Requirement_Text", F.lit("N/A"))
     where = F.concat(
         F.lit(" ("), value_or_na("Doc_Name"), F.lit(", "), value_or_na("resolved_title"), F.lit("): "), snippet
     )
@@ -152,14 +159,16 @@ def trace_neighbourhood(
     reqs: DataFrame,
     key: str,
     depth: int = 1,
-    max_parents: int = 4,
-    max_children: int = 4,
-    max_grandparents: int = 2,
-    max_grandchildren: int = 2,
+    max_parents: int | None = None,
+    max_children: int | None = None,
+    max_grandparents: int | None = None,
+    max_grandchildren: int | None = None,
     core: Column | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Nodes and edges around the core requirements, up to two hops.
 
+    All related pages, or as many of each kind as the caller asks for.
+
     A related page is one node per core (or per parent for the second hop), so
     node ids are made of the page and its role. The links and the steps taken
     are kept, as nodes and edges are both read from them.
@@ -167,16 +176,20 @@ def trace_neighbourhood(
     cores = reqs.where(core) if core is not None else reqs
     pages = cores.select(F.col(key).alias("core"))
     hops: list[DataFrame] = []
+
+    def within(cap: int | None) -> Column:
+        return F.lit(True) if cap is None else F.col("rank") <= cap
+
     sides = (("Parent_Req_IDs", max_parents, max_grandparents), ("Child_Req_IDs", max_children, max_grandchildren))
     for side, (column, cap, far_cap) in enumerate(sides):
         if depth < 1:
             break
         links = materialize(resolved_links(reqs, key, column))
-        first = links.where(F.col("rank") <= cap).join(pages, F.col("page") == F.col("core"))
+        first = links.where(within(cap)).join(pages, F.col("page") == F.col("core"))
         first = first.select(F.lit(side).alias("side"), "core", F.col("target").alias("near"))
         hops.append(first.withColumn("far", F.lit(None).cast(reqs.schema[key].dataType)))
         if depth >= 2:
-            second = links.where(F.col("rank") <= far_cap).select(F.col("page").alias("near"), F.col("target").alias("far"))
+            second = links.where(within(far_cap)).select(F.col("page").alias("near"), F.col("target").alias("far"))
             hops.append(first.join(second, "near").select("side", "core", "near", "far"))
 
     def node(page: str, role: Column, around: str | None = None) -> Column:

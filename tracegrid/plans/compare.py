@@ -6,13 +6,23 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
+from tracegrid.functions.text import named, py_strip
 from tracegrid.operators import diff as d
 from tracegrid.operators.storage import materialize
 from tracegrid.sources.flat import widen_numeric
 from tracegrid.sources.sinks import write_grouped_json
 
 
+DOUBLE = T.DoubleType()
+
+
+def _as_numbers(df: DataFrame, wide: set[str]) -> DataFrame:
+    texts = {c for c, t in df.dtypes if t == "string"}
+    return df.select(*[py_strip(c).try_cast("double").alias(c) if c in wide & texts else named(c) for c in df.columns])
+
+
 @dataclass(frozen=True)
 class Comparison:
     """The compared rows, kept once, and the views over them."""
@@ -50,9 +60,11 @@ def diff_and_report(
     numeric: bool = True,
 ) -> Comparison:
     """Type, fill and compare two flat tables; ``order_by`` names the left row order."""
-    right_order = [mapping.get(c, c) for c in order_by]
     if numeric:
-        left, _ = widen_numeric(left, order_by)
-        right, _ = widen_numeric(right, right_order)
+        # A column is compared as a number only where both sides hold nothing but numbers.
+        wide_left, wide_right = widen_numeric(left, order_by)[0], widen_numeric(right)[0]
+        both = {c: r for c, r in mapping.items() if (wide_left.schema[c].dataType, wide_right.schema[r].dataType) == (DOUBLE, DOUBLE)}
+        left = _as_numbers(left, set(both))
+        right = _as_numbers(right, set(both.values()))
     rows = d.table_diff(left, right, mapping, keys, fill_down, order_by)
     return Comparison(materialize(rows), list(keys), dict(mapping), list(hierarchy))

@@ -10,7 +10,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracegrid.functions.text import blank_to_null, clean_str, py_strip
+from tracegrid.functions.text import blank_to_null, clean_str, named, py_strip
 from tracegrid.operators.ordered import ordered_scan
 from tracegrid.operators.storage import empty_frame
 
@@ -72,51 +72,46 @@ def read_flat(spark: SparkSession, path: str, header_row: int = 1, schema: Seque
     return first.unionByName(rest).where("value <> ''").select(parsed).select("r.*").toDF(*names)
 
 
-# What counts as a number in a sample, and what parses as one.
-WHOLE_NUMBER = r"^-?\d+$"
+# Fixed value: what parses as a number.
 ANY_NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
 
 
-def _number_like(c: str) -> Column:
-    v = clean_str(c)
-    marked = F.contains(v, F.lit(".")) | F.contains(F.lower(v), F.lit("e")) | v.rlike(WHOLE_NUMBER)
-    return v.rlike(ANY_NUMBER) & marked
+def _parses(c: str) -> Column:
+    return clean_str(c).rlike(ANY_NUMBER)
 
 
-def numeric_columns(df: DataFrame, order_by: Sequence[str], sample_rows: int = 200) -> list[str]:
-    """Text columns with a numeric-looking value among the first rows (one row comes back)."""
-    texts = [c for c, t in df.dtypes if t == "string" and c not in order_by]
-    if not texts:
-        return []
-    head = df.orderBy(*order_by).limit(sample_rows)
-    seen = head.agg(*[F.coalesce(F.max(_number_like(f"`{c}`")), F.lit(False)).alias(c) for c in texts]).first()
-    return [c for c in texts if seen[c]]
-
-
-def widen_numeric(df: DataFrame, order_by: Sequence[str], sample_rows: int = 200) -> tuple[DataFrame, DataFrame]:
-    """Numeric-looking text columns as doubles, and how many values did not parse.
+def widen_numeric(df: DataFrame, keep: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
+    """Text columns that hold numbers and nothing else as doubles, and the columns left as text.
 
-    The sample decides the type, as a reader's type inference does; a later
-    value that is no number becomes null and is counted in the second frame.
+    One aggregate over all rows decides: a column is a number where each filled
+    cell is one. A column with numbers and other text stays text, so that no value
+    is lost; the second frame counts what kept it from being a number. ``keep``
+    names columns never to touch.
     """
-    wide = set(numeric_columns(df, order_by, sample_rows))
-
-    def cell(c: str) -> Column:
-        v = py_strip(f"`{c}`")
-        return F.when(v.rlike(ANY_NUMBER), v.try_cast("double"))
-
-    cast = df.select(*[cell(c).alias(c) if c in wide else F.col(f"`{c}`") for c in df.columns])
-    lost = [
-        F.struct(
-            F.lit(c).alias("column_name"),
-            F.count_if((clean_str(f"`{c}`") != "") & cell(c).isNull()).alias("cast_errors"),
-        )
-        for c in df.columns
-        if c in wide
-    ]
-    if not lost:
+    texts = [c for c, t in df.dtypes if t == "string" and c not in keep]
+    if not texts:
+        return df, empty_frame(df.sparkSession, "column_name string, cast_errors bigint")
+    filled = lambda c: clean_str(c) != ""
+    counts = df.agg(
+        F.array(
+            *[
+                F.struct(
+                    F.lit(c).alias("column_name"),
+                    F.count_if(_parses(c)).alias("numbers"),
+                    F.count_if(filled(c) & ~_parses(c)).alias("cast_errors"),
+                )
+                for c in texts
+            ]
+        ).alias("r")
+    )
+    found = {r.column_name: r for r in counts.select(F.inline("r")).collect()}  # a row per column
+    wide = {c for c, r in found.items() if r.numbers and not r.cast_errors}
+    cast = df.select(*[py_strip(c).try_cast("double").alias(c) if c in wide else named(c) for c in df.columns])
+    report = [(c, r.cast_errors) for c, r in found.items() if r.numbers]
+    rows = [F.struct(F.lit(c).alias("column_name"), F.lit(n).cast("long").alias("cast_errors")) for c, n in report]
+    if not rows:
         return cast, empty_frame(df.sparkSession, "column_name string, cast_errors bigint")
-    return cast, df.agg(F.array(*lost).alias("r")).select(F.inline("r"))
+    return cast, df.sparkSession.range(1).select(F.inline(F.array(*rows)))
 
 
 def ingest_with_carry(
