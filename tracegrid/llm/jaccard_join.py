@@ -55,6 +55,8 @@ CLUSTER = 4000
 # Odd, so that the size changes every key.
 BASE_OF_SIZE = 0xD1342543DE82EF95
 
+# Rows are either texts (id, key, n) or packs of tokens: for the classes ``keys`` of ``sizes``, ``counts`` tokens each.
+PACKED = ("keys", "sizes", "counts", "tokens", "held")
 PACK = "pack int, id {id}, key bigint, n int, keys binary, sizes binary, counts binary, tokens binary"
 
 
@@ -102,9 +104,8 @@ def _packs(batches: Iterator[pa.RecordBatch], packs: int, width: int, schema: pa
             pack = ((tokens >> np.uint64(11)) % np.uint64(packs)).astype(np.int32)
             order = np.argsort(pack, kind="stable")  # within a pack still by text
             tokens, owner, pack = tokens[order], owner[order], pack[order]
-            edges = np.concatenate([[0], np.flatnonzero(pack[1:] != pack[:-1]) + 1, [len(pack)]])
             rows: list[list] = [[], [], [], [], []]
-            for a, b in zip(edges[:-1], edges[1:], strict=True):
+            for a, b in _runs(pack):
                 texts_in, counts = np.unique(owner[a:b], return_counts=True)
                 rows[0].append(int(pack[a]))
                 rows[1].append(_binary(signed[texts_in], "<i8"))
@@ -120,75 +121,80 @@ def _joined(columns: list[bytes], kind: str) -> np.ndarray:
     return np.frombuffer(b"".join(columns), dtype=kind)
 
 
-def _shared(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
-    """Texts as they came, and for each class the tokens of this task that it shares, with their counts."""
-    parts: dict[str, list[bytes]] = {"keys": [], "sizes": [], "counts": [], "tokens": []}
+def _shared(batches: Iterator[pa.RecordBatch], packs: int, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Texts as they came, and the tokens of this task that classes share, with their counts, in packs by class."""
+    parts: dict[str, list[bytes]] = {name: [] for name in PACKED[:-1]}
     for batch in batches:
         texts = batch.filter(pc.is_valid(batch.column("key")))
         if len(texts):
-            none = pa.nulls(len(texts), pa.binary())
-            yield pa.RecordBatch.from_arrays(
-                [pa.nulls(len(texts), pa.int32()), texts.column("id"), texts.column("key"), texts.column("n"), none, none],
-                schema=schema,
-            )
-        packs = batch.filter(pc.is_null(batch.column("key")))
+            none = [pa.nulls(len(texts), pa.binary())] * len(PACKED)
+            row = [pa.nulls(len(texts), pa.int32()), texts.column("id"), texts.column("key"), texts.column("n")]
+            yield pa.RecordBatch.from_arrays(row + none, schema=schema)
+        held_here = batch.filter(pc.is_null(batch.column("key")))
         for name, got in parts.items():
-            got.extend(x for x in packs.column(name).to_pylist())
-    tokens = _joined(parts.pop("tokens"), "<u8")
+            got.extend(held_here.column(name).to_pylist())
+    tokens = _joined(parts["tokens"], "<u8")
     if not len(tokens):
         return
-    counts = _joined(parts["counts"], "<i4")
-    keys = np.repeat(_joined(parts["keys"], "<i8"), counts)
-    sizes = np.repeat(_joined(parts["sizes"], "<i4"), counts)
+    keys, sizes = _unpacked(parts)
     del parts
     order = np.lexsort((keys, tokens))
     tokens, keys, sizes = tokens[order], keys[order], sizes[order]
     new = np.ones(len(tokens), dtype=bool)
     new[1:] = (tokens[1:] != tokens[:-1]) | (keys[1:] != keys[:-1])
     tokens, keys, sizes = tokens[new], keys[new], sizes[new]
-    heads = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]]))
-    held = np.diff(np.concatenate([heads, [len(tokens)]]))
+    held = np.diff(np.append(_heads(tokens), len(tokens)))
     held = np.repeat(held, held)
     use = held > 1
     tokens, keys, sizes, held = tokens[use], keys[use], sizes[use], held[use]
-    if not len(tokens):
-        return
-    order = np.argsort(keys, kind="stable")
-    tokens, keys, sizes, held = tokens[order], keys[order], sizes[order], held[order]
-    edges = np.concatenate([[0], np.flatnonzero(keys[1:] != keys[:-1]) + 1, [len(keys)]])
-    for a in range(0, len(edges) - 1, 20_000):
-        bounds = edges[a : a + 20_001]
-        m = len(bounds) - 1
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array(np.diff(bounds).astype(np.int32)),
-                pa.nulls(m, schema.field(1).type),
-                pa.array(keys[bounds[:-1]]),
-                pa.array(sizes[bounds[:-1]]),
-                pa.array([_binary(tokens[x:y], "<u8") for x, y in zip(bounds[:-1], bounds[1:], strict=True)], pa.binary()),
-                pa.array([_binary(held[x:y], "<u4") for x, y in zip(bounds[:-1], bounds[1:], strict=True)], pa.binary()),
-            ],
-            schema=schema,
-        )
+    pack = (keys.view(np.uint64) % np.uint64(packs)).astype(np.int32)
+    order = np.lexsort((keys, pack))
+    tokens, keys, sizes, held, pack = tokens[order], keys[order], sizes[order], held[order], pack[order]
+    for a, b in _runs(pack):
+        heads = _heads(keys[a:b]) + a
+        counts = np.diff(np.append(heads, b))
+        arrays = [_binary(x, k) for x, k in ((keys[heads], "<i8"), (sizes[heads], "<i4"), (counts, "<i4"), (tokens[a:b], "<u8"), (held[a:b], "<u4"))]
+        row = [pa.array([int(pack[a])], pa.int32()), *(pa.nulls(1, schema.field(i).type) for i in (1, 2, 3))]
+        yield pa.RecordBatch.from_arrays(row + [pa.array([x], pa.binary()) for x in arrays], schema=schema)
+
+
+def _heads(values: np.ndarray) -> np.ndarray:
+    """Where each run of equal values begins."""
+    return np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]])) if len(values) else np.zeros(0, np.int64)
 
 
-def _ordered(tokens: list[bytes], held: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """A class's shared tokens and their counts, rarest first."""
-    t, h = _joined(tokens, "<u8"), _joined(held, "<u4")
-    order = np.lexsort((t, h))
-    return t[order], h[order]
+def _runs(values: np.ndarray) -> list[tuple[int, int]]:
+    """The runs of equal values."""
+    heads = _heads(values)
+    return list(zip(heads.tolist(), np.append(heads, len(values))[1:].tolist(), strict=True))
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The classes' shared tokens, put in the global order."""
+def _unpacked(parts: dict[str, list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
+    """Key and size of each token of some packs."""
+    counts = _joined(parts["counts"], "<i4")
+    return np.repeat(_joined(parts["keys"], "<i8"), counts), np.repeat(_joined(parts["sizes"], "<i4"), counts)
+
+
+def _sets(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[pa.RecordBatch]:
+    """The classes of this task that share enough tokens, with these in the global order, rarest first."""
+    parts: dict[str, list[bytes]] = {name: [] for name in PACKED}
     for batch in batches:
-        got = [_ordered([x["tokens"] for x in p], [x["held"] for x in p]) for p in batch.column("parts").to_pylist()]
+        for name, got in parts.items():
+            got.extend(batch.column(name).to_pylist())
+    tokens, held = _joined(parts["tokens"], "<u8"), _joined(parts["held"], "<u4")
+    keys, sizes = _unpacked(parts)
+    del parts
+    order = np.lexsort((tokens, held, keys))
+    tokens, held, keys, sizes = tokens[order], held[order], keys[order], sizes[order]
+    runs = [(a, b) for a, b in _runs(keys) if den * (b - a) >= num * int(sizes[a])]
+    for i in range(0, len(runs), 1000):
+        some = runs[i : i + 1000]
         yield pa.RecordBatch.from_arrays(
             [
-                batch.column("key"),
-                batch.column("n"),
-                pa.array([_binary(t, "<u8") for t, _ in got], pa.binary()),
-                pa.array([_binary(h, "<u4") for _, h in got], pa.binary()),
+                pa.array([int(keys[a]) for a, _ in some], pa.int64()),
+                pa.array([int(sizes[a]) for a, _ in some], pa.int32()),
+                pa.array([_binary(tokens[a:b], "<u8") for a, b in some], pa.binary()),
+                pa.array([_binary(held[a:b], "<u4") for a, b in some], pa.binary()),
             ],
             names=["key", "n", "tokens", "held"],
         )
@@ -209,8 +215,7 @@ def _prefix_packs(batches: Iterator[pa.RecordBatch], packs: int, num: int, den:
         pack = ((tokens >> np.uint64(11)) % np.uint64(packs)).astype(np.int32)
         order = np.argsort(pack, kind="stable")
         tokens, keys, pack = tokens[order], keys[order], pack[order]
-        edges = np.concatenate([[0], np.flatnonzero(pack[1:] != pack[:-1]) + 1, [len(pack)]]) if len(pack) else [0]
-        spans = list(zip(edges[:-1], edges[1:], strict=True))
+        spans = _runs(pack)
         yield pa.RecordBatch.from_arrays(
             [
                 pa.array([int(pack[a]) for a, _ in spans], pa.int32()),
@@ -341,16 +346,16 @@ def similar_links(sets: DataFrame, num: int = NUM, den: int = DEN, every: bool =
 
 
 def shingle_classes(docs: DataFrame, id_col: str, text_col: str, width: int = WIDTH) -> DataFrame:
-    """Texts and shared tokens in one written table: rows with an ``id`` column, or with ``tokens`` and ``held``."""
+    """Texts and shared tokens in one written table: rows with a ``key``, and packs of tokens by class."""
     kind = docs.schema[id_col].dataType
     schema = T.StructType.fromDDL(PACK.format(id=kind.simpleString()))
     packed = to_arrow_schema(schema)
-    out = T.StructType.fromDDL(f"c int, id {kind.simpleString()}, key bigint, n int, tokens binary, held binary")
+    out = T.StructType.fromDDL(PACK.format(id=kind.simpleString()) + ", held binary")
     shared = to_arrow_schema(out)
     packs = PACKS * _shuffles(docs)
     texts = docs.select(named(id_col).alias("id"), named(text_col).alias("text"))
     dealt = texts.mapInArrow(lambda b: _packs(b, packs, width, packed), schema).repartition(_shuffles(docs), "pack")
-    return materialize(dealt.mapInArrow(lambda b: _shared(b, shared), out))
+    return materialize(dealt.mapInArrow(lambda b: _shared(b, packs, shared), out))
 
 
 def near_duplicates(
@@ -358,13 +363,10 @@ def near_duplicates(
 ) -> DataFrame:
     """One row per document: its id, ``n_shingles`` and ``component_id``."""
     both = shingle_classes(docs, id_col, text_col, width)
-    texts = both.where(F.col("c").isNull()).select("id", "key", "n")
-    parts = both.where(F.col("c").isNotNull()).select("key", "n", "c", F.struct("tokens", "held").alias("part"))
-    grouped = parts.groupBy("key").agg(
-        F.first("n").alias("n"), F.sum("c").alias("shared"), F.collect_list("part").alias("parts")
-    )
-    candidates = grouped.where(den * F.col("shared") >= num * F.col("n"))
-    sets = materialize(candidates.select("key", "n", "parts").mapInArrow(_sets, "key bigint, n int, tokens binary, held binary"))
+    texts = both.where(F.col("key").isNotNull()).select("id", "key", "n")
+    packs = both.where(F.col("key").isNull()).select("pack", *PACKED).repartition(_shuffles(docs), "pack")
+    schema = "key bigint, n int, tokens binary, held binary"
+    sets = materialize(packs.mapInArrow(lambda b: _sets(b, num, den), schema))
     linked = components(similar_links(sets, num, den)).select(F.col("node").alias("key"), "component")
     classes = texts.where("n > 0").groupBy("key").agg(F.min("id").alias("least"))
     named_classes = classes.join(linked, "key", "left").withColumn("component", F.coalesce("component", "key"))
