@@ -20,7 +20,6 @@ documents of their own; no rows give no rows.
 
 from __future__ import annotations
 
-import functools
 import os
 from collections.abc import Iterator
 
@@ -43,14 +42,18 @@ BLOCK_TOKENS = 1 << 18
 STRETCH = 4096
 
 
-@functools.lru_cache(maxsize=1)
+# Tokenizers loaded in this process, by path.
+LOADED: dict[str, object] = {}
+
+
 def _tokenizer(path: str):
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a task per core already
-    from tokenizers import Tokenizer
+    if path not in LOADED:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a task per core already
+        from tokenizers import Tokenizer
 
-    found = Tokenizer.from_file(path)
-    found.encode_special_tokens = True  # a separator's name in a text is ordinary text
-    return found
+        LOADED[path] = Tokenizer.from_file(path)
+        LOADED[path].encode_special_tokens = True  # a separator's name in a text is ordinary text
+    return LOADED[path]
 
 
 def write_token_stream(
