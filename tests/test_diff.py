@@ -2,6 +2,7 @@ from conftest import rows
 
 from tracegrid.operators import diff as d
 from tracegrid.plans.compare import diff_and_report
+from tracegrid.sources.flat import widen_numeric
 
 MAPPING = {"id": "id", "val": "val_r"}
 
@@ -92,3 +93,32 @@ def test_cells_and_report(spark, tmp_path):
     assert tree == {"A": 1, "B": 1, "C": 1, "D": 1}
     done.write_json(str(tmp_path / "json"))
     assert spark.read.json(str(tmp_path / "json")).count() == 4
+
+
+def test_mixed_columns_stay_text(spark):
+    """One number at the head of a column of texts hides no change."""
+    left = spark.createDataFrame([(i, "7" if i == 0 else f"old {i}", f"{i}.50") for i in range(300)], "k int, v string, n string")
+    right = spark.createDataFrame([(i, "7" if i == 0 else f"new {i}", f"{i}.5") for i in range(300)], "k int, v string, n string")
+    done = diff_and_report(left, right, {"k": "k", "v": "v", "n": "n"}, ["k"], ["k"])
+    assert done.summary().first().asDict() == {"total": 300, "changed": 299, "left_only": 0, "right_only": 0, "equal": 1}
+    wide, report = widen_numeric(left)
+    assert wide.dtypes == [("k", "int"), ("v", "string"), ("n", "double")]
+    assert {r.column_name: r.cast_errors for r in report.collect()} == {"v": 299, "n": 0}
+
+
+def test_any_column_name(spark):
+    """Dots, quotes, back ticks and names that differ in case only."""
+    names = ["Sect. No", "Calc'd", "Rate `ms`", "a"]
+    left = spark.createDataFrame([(1, "x", 2.0, "p"), (2, "y", 3.0, "q"), (None, "n", 1.0, "r")], ["k", "c", "r", "a"]).toDF(*names)
+    right = spark.createDataFrame([(1, "x", 2.5, "p"), (3, "z", 3.0, "q"), (None, "n", 1.0, "r")], ["k", "c", "r", "a"]).toDF(*names)
+    diff = d.table_diff(left, right, {n: n for n in names}, ["Sect. No"])
+    got = {(r["Sect. No"], r._merge, r.changed_columns) for r in diff.collect()}
+    assert got == {(1, "changed", "Rate `ms`"), (2, "left_only", ""), (3, "right_only", ""), (None, "left_only", ""), (None, "right_only", "")}
+    assert d.diff_cells(diff, ["Sect. No"], {n: n for n in names}).first().column_name == "Rate `ms`"
+    assert d.diff_side_by_side(diff, ["Sect. No"], {n: n for n in names}).count() == 1
+    assert {r["h1"] for r in d.diff_tree_stats(diff, ["Calc'd"]).collect()} >= {"x", "y"}
+    assert d.row_diff(left, right, {n: n for n in names}).count() == 5
+    hybrid = d.hybrid_diff(left, right, ["Sect. No"], names[1:])
+    assert {(r["Sect. No"], r.change_type, r.changed_fields) for r in hybrid.collect() if r["Sect. No"]} == {
+        (1, "Modified", "Rate `ms`"), (2, "Deleted", ""), (3, "Inserted", ""),
+    }

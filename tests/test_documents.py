@@ -130,14 +130,36 @@ def test_nearest_with_copies_and_zero_vectors(spark):
     assert [g["id"] for g in got if g["query_id"] == "z"] == list(range(45))
 
 
-def test_more_queries_than_one_pass(spark, monkeypatch):
-    monkeypatch.setattr(t, "QUERIES_PER_PASS", 2)
+def test_several_chunks_and_blocks(spark, monkeypatch):
+    monkeypatch.setattr(t, "QUERIES_PER_CHUNK", 2)
+    monkeypatch.setattr(t, "LEAST_ROWS", 3)
     corpus = spark.range(20).selectExpr("id", "array(cast(cos(id) as float), cast(sin(id) as float)) as embedding")
     queries = corpus.where("id < 5").withColumnRenamed("id", "query_id")
     got = rows(t.vector_top_k(corpus, queries, 1), "query_id")
     assert [(g["query_id"], g["id"]) for g in got] == [(n, n) for n in range(5)]
 
 
+def test_vectors_of_several_widths(spark):
+    """A query meets the vectors of its own width; null vectors and components take no part."""
+    vectors = [(1, [1.0, 0.0]), (2, [1.0, 0.0, 0.0]), (3, [0.0, 1.0]), (4, None), (5, [None, 1.0]), (6, [0.0, 0.0, 2.0])]
+    corpus = spark.createDataFrame(vectors, "id int, embedding array<float>")
+    queries = spark.createDataFrame([("a", [3.0, 0.0]), ("b", [0.0, 0.0, 1.0]), ("c", [1.0])], "query_id string, embedding array<float>")
+    got = rows(t.vector_top_k(corpus, queries, 9), "query_id", "rank")
+    assert [(g["query_id"], g["id"]) for g in got] == [("a", 1), ("a", 3), ("b", 6), ("b", 2)]
+
+
+def test_front_matter_lists(spark):
+    md = "---\ntags:\n- alpha\n  - 'be ta'\nother: [x, \"y\", ]\nplain: v\ntags2: []\n---\n# T\nbody"
+    front, body = c.front_matter("text")
+    got = docs(spark, md).select(front.alias("f"), body.alias("b")).first()
+    assert got.f == {"tags": '["alpha","be ta"]', "other": '["x","y"]', "plain": "v", "tags2": "[]"} and got.b == "# T\nbody"
+    chunk = c.chunk_documents(docs(spark, md), "source_path", "text")
+    assert t.local_filter(chunk, tags="be ta").count() == 1 and t.local_filter(chunk, tags="be").count() == 0
+    loose = docs(spark, "---- title\nk: v\n---\nrest")
+    assert loose.select(c.front_matter("text")[0].alias("f")).first().f == {}
+    assert loose.select(c.front_matter("text", loose=True)[0].alias("f")).first().f == {"k": "v"}
+
+
 def test_fuzzy_matches_brute_force(spark):
     left = ["System Name", "Port Lane", "Bus", "Rate ms", "identical", "", "zzz"]
     right = ["System_Name", "Port Lanes", "Bas", "Rate_ms", "identical", "Unrelated Column", "Bux", "a"]

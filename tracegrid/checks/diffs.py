@@ -145,3 +145,40 @@ from leaf group by rollup(h1, h2)""",
 )
 def _(spark, sf):
     return d.diff_tree_stats(orders_diff(spark, sf), ["o_orderpriority", "o_orderstatus"])
+
+
+NAMES = {"o_orderkey": "Sect. No", "o_custkey": "Calc'd", "o_orderstatus": "Rate (ms)", "o_totalprice": "Start Bit + Length - 1"}
+
+
+def _free_names(spark, sf):
+    """Both sides of the orders under header texts as people write them."""
+    left = fixture(spark, sf, "orders_left").select(*NAMES).toDF(*NAMES.values())
+    return left, fixture(spark, sf, "orders_right").select(*MAPPING.values()).toDF(*NAMES.values())
+
+
+@check(
+    "table_diff_names",
+    f"""with {DIFF_SQL}
+select o_orderkey as "Sect. No", o_custkey as "Calc'd", o_custkey_right as "Calc'd_right", o_totalprice as "Start Bit + Length - 1",
+       replace(replace(replace(changed_columns, 'o_custkey', 'Calc''d'), 'o_orderstatus', 'Rate (ms)'), 'o_totalprice', 'Start Bit + Length - 1') as changed_columns,
+       _merge from diffed""",
+)
+def _(spark, sf):
+    left, right = _free_names(spark, sf)
+    done = d.table_diff(left, right, {n: n for n in NAMES.values()}, ["Sect. No"])
+    return done.select("`Sect. No`", "`Calc'd`", "`Calc'd_right`", "`Start Bit + Length - 1`", "changed_columns", "_merge")
+
+
+@check(
+    "hybrid_diff_names",
+    """with joined as (
+  select coalesce(l.o_orderkey, r.r_key) as k, l.o_orderstatus as a, r.r_status as b, l.o_orderkey is not null as in_l, r.r_key is not null as in_r
+  from orders_left l full join orders_right r on l.o_orderkey = r.r_key)
+select k as "Sect. No", case when in_l and in_r then 'Modified' when in_l then 'Deleted' else 'Inserted' end as change_type,
+       a as "old_rate (ms)", b as "new_rate (ms)", case when coalesce(a, '') <> coalesce(b, '') then 'Rate (ms)' else '' end as changed_fields
+from joined where not (in_l and in_r) or coalesce(a, '') <> coalesce(b, '')""",
+)
+def _(spark, sf):
+    left, right = _free_names(spark, sf)
+    done = d.hybrid_diff(left, right, ["Sect. No"], ["Rate (ms)"], hybrid=False)
+    return done.select("`Sect. No`", "change_type", "`old_rate (ms)`", "`new_rate (ms)`", "changed_fields")

@@ -338,3 +338,25 @@ def _(spark, sf):
         hierarchy=["o_orderpriority"],
     )
     return done.tree()
+
+
+@check(
+    "diff_and_report_rows",
+    """with l as (select o_orderkey, case when o_orderkey <= 200 then cast(o_custkey as varchar) else 'c' || o_custkey end as mixed, o_orderstatus from orders_left),
+r as (select r_key, case when r_key <= 200 then cast(r_cust as varchar) else 'c' || r_cust end as r_mixed, r_status from orders_right)
+select coalesce(o_orderkey, r_key) as o_orderkey, mixed, r_mixed as mixed_right, o_orderstatus, r_status as o_orderstatus_right,
+       case when r_key is null then 'left_only' when o_orderkey is null then 'right_only'
+            when mixed is distinct from r_mixed or o_orderstatus is distinct from r_status then 'changed' else 'equal' end as _merge
+from l full join r on o_orderkey = r_key""",
+)
+def _(spark, sf):
+    """Every row and cell, with a column that looks numeric in its first rows only."""
+
+    def mixed(key, customer):
+        return F.when(F.col(key) <= 200, F.col(customer).cast("string")).otherwise(F.concat(F.lit("c"), F.col(customer).cast("string")))
+
+    left = fixture(spark, sf, "orders_left").select("o_orderkey", mixed("o_orderkey", "o_custkey").alias("mixed"), "o_orderstatus")
+    right = fixture(spark, sf, "orders_right").select("r_key", mixed("r_key", "r_cust").alias("r_mixed"), "r_status")
+    mapping = {"o_orderkey": "r_key", "mixed": "r_mixed", "o_orderstatus": "r_status"}
+    done = diff_and_report(left, right, mapping, ["o_orderkey"], ["o_orderkey"])
+    return done.rows.select("o_orderkey", "mixed", "mixed_right", "o_orderstatus", "o_orderstatus_right", "_merge")

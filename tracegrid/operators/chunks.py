@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Mapping, Sequence
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -21,23 +23,30 @@ BLOCKS = (
 # --- chunking --------------------------------------------------------------------
 
 
+BREAK = re.compile(r"[\n ]")
+
+
 def _fragments(body: str, size: int, overlap: int) -> list[dict]:
     """Windows of ``size`` characters ending at the last blank or line break in them.
 
     Where such a break would not move the next window forward, the window is
     cut at its full size.
     """
-    clean, out, at = body.strip(), [], 0
-    while at < len(clean):
-        end = min(len(clean), at + size)
-        if end < len(clean):
-            soft = max(clean.rfind("\n", at, end), clean.rfind(" ", at, end)) + 1
-            end = soft if soft - overlap > at else end
-        out.append({"text": clean[at:end].strip(), "start": at, "end": end})
-        if end == len(clean):
-            break
-        at = end - overlap
-    return out
+    clean = body.strip()
+    after_break = [m.end() for m in BREAK.finditer(clean)] if len(clean) > size else []
+
+    def window(start: int) -> tuple[int, int]:
+        full = start + size
+        if full >= len(clean):
+            return start, len(clean)
+        nearest = bisect_right(after_break, full)
+        soft = after_break[nearest - 1] if nearest else 0
+        return start, soft if soft > start + overlap else full
+
+    spans = [window(0)] if clean else []
+    while spans and spans[-1][1] < len(clean):
+        spans.append(window(spans[-1][1] - overlap))
+    return [{"text": clean[x:y].strip(), "start": x, "end": y} for x, y in spans]
 
 
 def fragments_of(c, max_chars: int = 1200, overlap: int = 200) -> Column:
@@ -69,72 +78,96 @@ def chunk_text(df: DataFrame, text_col: str, max_chars: int = 1200, overlap: int
 # --- front matter and blocks --------------------------------------------------------
 
 _LINE_BLANKS = "[" + BLANKS.replace("\n", "") + "]*"
-_FRONT = rf"(?smd)\A---.*?$\n(.*?)^{_LINE_BLANKS}---{_LINE_BLANKS}$\n?(.*)\z"
+# The first line is ``---`` alone, or (loose) begins with it.
+_FRONT = rf"(?smd)\A{_LINE_BLANKS}---{_LINE_BLANKS}$\n(.*?)^{_LINE_BLANKS}---{_LINE_BLANKS}$\n?(.*)\z"
+_LOOSE_FRONT = rf"(?smd)\A---.*?$\n(.*?)^{_LINE_BLANKS}---{_LINE_BLANKS}$\n?(.*)\z"
+_ITEM = rf"\A{_LINE_BLANKS}-[ \t]+"
+_FLOW_LIST = r"(?s)\A\[(.*)\]\z"
 
 
-def front_matter(c) -> tuple[Column, Column]:
-    """The ``key: value`` lines between two ``---`` lines as a map, and the body after them.
+def _unquoted(c: Column) -> Column:
+    return F.btrim(F.btrim(py_strip(c), F.lit('"')), F.lit("'"))
 
-    Quotes around values are dropped, a key said twice keeps its last value,
-    and an unclosed block is no front matter.
+
+def front_matter(c, loose: bool = False) -> tuple[Column, Column]:
+    """What stands between two ``---`` lines as a map, and the body after them.
+
+    Entries are ``key: value`` lines. A list, as ``- item`` lines under its key or
+    as ``[a, b]``, is kept as a JSON array. Quotes around values are dropped, a key
+    said twice keeps its last value, and an unclosed block is no front matter.
     """
     whole = text(c)
-    has = whole.rlike(_FRONT)
-    lines = F.filter(F.split(F.regexp_extract(whole, _FRONT, 1), "\n"), lambda x: F.contains(x, F.lit(":")))
+    pattern = _LOOSE_FRONT if loose else _FRONT
+    has = whole.rlike(pattern)
+    is_item = lambda x: x.rlike(_ITEM)
+    lines = F.filter(F.split(F.regexp_extract(whole, pattern, 1), "\n"), lambda x: is_item(x) | F.contains(x, F.lit(":")))
 
     def entry(line: Column) -> Column:
         key = py_strip(F.split_part(line, F.lit(":"), F.lit(1)))
-        value = py_strip(F.regexp_replace(line, r"(?s)\A[^:]*:", ""))
-        return F.struct(key.alias("key"), F.btrim(F.btrim(value, F.lit('"')), F.lit("'")).alias("value"))
-
-    entries = F.transform(lines, entry)
-    keys = F.transform(entries, lambda e: e["key"])
-    last = F.filter(
+        value = _unquoted(F.regexp_replace(line, r"(?s)\A[^:]*:", ""))
+        flow = F.regexp_extract(value, _FLOW_LIST, 1)
+        listed = F.when(value.rlike(_FLOW_LIST), F.filter(F.transform(F.split(flow, ","), _unquoted), lambda x: x != ""))
+        return F.struct(key.alias("key"), value.alias("value"), listed.alias("items"))
+
+    def with_item(e: Column, line: Column) -> Column:
+        none = F.array().cast("array<string>")
+        item = _unquoted(F.regexp_replace(line, _ITEM, ""))
+        return F.struct(e["key"].alias("key"), e["value"].alias("value"), F.concat(F.coalesce(e["items"], none), F.array(item)).alias("items"))
+
+    def step(done: Column, line: Column) -> Column:
+        before, last = F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))), F.element_at(done, -1)
+        taken = F.when(F.size(done) > 0, F.concat(before, F.array(with_item(last, line)))).otherwise(done)
+        return F.when(is_item(line), taken).otherwise(F.concat(done, F.array(entry(line))))
+
+    start = F.array().cast("array<struct<key:string,value:string,items:array<string>>>")
+    # Without items every line is an entry of its own, which is cheaper than a step per line.
+    entries = F.when(F.exists(lines, is_item), F.aggregate(lines, start, step)).otherwise(F.transform(lines, entry))
+    shown = F.transform(
         entries,
+        lambda e: F.struct(e["key"].alias("key"), F.coalesce(F.to_json(e["items"]), e["value"]).alias("value")),
+    )
+    keys = F.transform(shown, lambda e: e["key"])
+    last = F.filter(
+        shown,
         lambda e, i: ~F.array_contains(F.slice(keys, i + 2, F.greatest(F.size(keys), F.lit(1))), e["key"]),
     )
-    body = F.regexp_replace(F.regexp_extract(whole, _FRONT, 2), r"\n\z", "")
+    body = F.regexp_replace(F.regexp_extract(whole, pattern, 2), r"\n\z", "")
     none = F.create_map().cast("map<string,string>")
     return F.when(has, F.map_from_entries(last)).otherwise(none), F.when(has, body).otherwise(whole)
 
 
+RULE_LINE = "---"
+
+
 def _blocks(body: str, joiner: str) -> list[dict]:
-    """Blocks between ``---`` lines, each with the last heading above its end."""
-    out: list[dict] = []
-    lines: list[str] = []
-    trail: list[str] = []
-    heading, start, at = "", 0, 0
-
-    def close(end: int) -> None:
-        block = "\n".join(lines).strip()
+    """Blocks between ``---`` lines, each with the last heading above its end.
+
+    Works on line numbers: where lines start, which are rules, which are headings,
+    and the path of titles that holds after each heading.
+    """
+    lines = body.splitlines()
+    bare = [line.strip() for line in lines]
+    starts = list(accumulate((len(line) + 1 for line in lines), initial=0))
+    rules = [n for n, line in enumerate(bare) if line == RULE_LINE]
+    headings = [n for n, line in enumerate(bare) if line.startswith("#")]
+    titles = [(len(bare[n]) - len(bare[n].lstrip("#")), bare[n].lstrip("#").strip()) for n in headings]
+    paths = list(accumulate(titles, lambda path, title: (*path[: title[0] - 1], title[1]), initial=()))
+    found = []
+    for first, end in zip([0, *(n + 1 for n in rules)], [*rules, len(lines)]):
+        block = "\n".join(lines[first:end]).strip()
+        above = bisect_left(headings, end)
         if block:
-            out.append(
+            found.append(
                 {
                     "text": block,
-                    "heading_path": joiner.join(trail),
-                    "heading_text": heading,
-                    "start_char": start,
-                    "end_char": end,
-                    "index": len(out),
+                    "heading_path": joiner.join(paths[above]),
+                    "heading_text": titles[above - 1][1] if above else "",
+                    "start_char": starts[first],
+                    "end_char": starts[end],
+                    "index": len(found),
                 }
             )
-        lines.clear()
-
-    for line in body.splitlines():
-        bare = line.strip()
-        marks = len(bare) - len(bare.lstrip("#"))
-        if marks:
-            heading = bare[marks:].strip()
-            del trail[marks - 1 :]
-            trail.append(heading)
-        if bare == "---":
-            close(at)
-            start = at + len(line) + 1
-        else:
-            lines.append(line)
-        at += len(line) + 1
-    close(at)
-    return out
+    return found
 
 
 def blocks_of(c, joiner: str = " > ", max_chars: int = 1200, overlap: int = 200, chunked: bool = True) -> Column:

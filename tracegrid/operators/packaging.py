@@ -74,7 +74,7 @@ def package_documents(docs: DataFrame, path_col: str, text_col: str, rule: Packa
     """
     path, raw = F.col(path_col), text(text_col)
     name = file_name(path)
-    front, body = front_matter(raw) if rule.read_front_matter else (F.create_map().cast("map<string,string>"), raw)
+    front, body = front_matter(raw, loose=True) if rule.read_front_matter else (F.create_map().cast("map<string,string>"), raw)
     named = [_entry(k, v) for k, v in metadata_from_name(name, rule.name_patterns).items()]
     found = F.filter(F.array(*named), lambda e: e["value"].isNotNull()) if named else None
     defaults = F.array(*[_entry(k, v) for k, v in rule.defaults.items()]) if rule.defaults else None

@@ -2,20 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.pandas.types import to_arrow_type
 
-from tracegrid.functions.text import _col, clean_str, text
-from tracegrid.operators.ordered import row_number, union_all
+from tracegrid.functions.text import _col, clean_str, named, text
+from tracegrid.operators.storage import materialize
 
-# Queries compared in one pass over the corpus; more are taken in further passes.
-QUERIES_PER_PASS = 512
+# Bounds of what meets in one task, and the rows below which a block is not worth a task.
+QUERIES_PER_CHUNK = 512
+BLOCK_ROWS = 65536
+LEAST_ROWS = 256
 # Distances are rounded so that copies of a vector are equal whatever the batch.
 DISTANCE_DIGITS = 12
 MERGE_FANOUT = 32
@@ -47,7 +48,11 @@ def pre_filter(
 def _has_tag(chunks: DataFrame, tag: str) -> Column:
     if isinstance(chunks.schema["tags"].dataType, T.ArrayType):
         return F.array_contains("tags", F.lit(tag))
-    return F.contains("tags", F.lit(tag))
+    # A list from the front matter is kept as JSON: its items are compared whole.
+    listed = F.from_json("tags", "array<string>")
+    return F.when(F.startswith("tags", F.lit("[")) & listed.isNotNull(), F.array_contains(listed, F.lit(tag))).otherwise(
+        F.contains("tags", F.lit(tag))
+    )
 
 
 def local_filter(
@@ -86,50 +91,32 @@ def _nearest(ids: np.ndarray, distances: np.ndarray, n: int) -> tuple[np.ndarray
     return ids[order], distances[order]
 
 
-def _pass(corpus: DataFrame, queries: list, n: int, id_type: T.DataType, query_type: T.DataType) -> DataFrame:
-    """Best n per query within each partition, kept batch by batch."""
-    keys = [q[0] for q in queries]
-    matrix = np.array([q[1] for q in queries], dtype=np.float64)
-    norms = np.linalg.norm(matrix, axis=1)
-    units = np.divide(matrix, norms[:, None], out=np.zeros_like(matrix), where=norms[:, None] > 0)
-    shared = corpus.sparkSession.sparkContext.broadcast(units)
-    schema = T.StructType(
-        [T.StructField("query_id", query_type), T.StructField("id", id_type), T.StructField("distance", T.DoubleType())]
+def _units(table: pa.Table, column: str) -> np.ndarray:
+    """The vectors of a column as rows of length one; a zero vector stays zero."""
+    vectors = np.array(table.column(column).to_pylist(), dtype=np.float64).reshape(table.num_rows, -1)
+    sizes = np.linalg.norm(vectors, axis=1)
+    return np.divide(vectors, sizes[:, None], out=np.zeros_like(vectors), where=sizes[:, None] > 0)
+
+
+def _best_of_block(queries: pa.Table, block: pa.Table, n: int) -> pa.Table:
+    """The n nearest rows of one block for each query of one chunk."""
+    kind = block.column("id").type
+    ids = block.column("id").to_numpy() if pa.types.is_integer(kind) else np.array(block.column("id").to_pylist())
+    held = _units(block, "v")
+    names, kept_ids, kept = [], [], []
+    for key, query in zip(queries.column("q").to_pylist(), _units(queries, "v"), strict=True):
+        near, distances = _nearest(ids, np.round(1.0 - held @ query, DISTANCE_DIGITS), n)
+        names += [key] * len(near)
+        kept_ids += near.tolist()
+        kept.append(distances)
+    return pa.table(
+        {
+            "query_id": pa.array(names, queries.column("q").type),
+            "id": pa.array(kept_ids, kind),
+            "distance": pa.array(np.concatenate(kept) if kept else [], pa.float64()),
+        }
     )
 
-    arrow_query = to_arrow_type(query_type)
-
-    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        q = shared.value
-        kept: list[tuple[np.ndarray, np.ndarray]] | None = None
-        arrow_id = None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            arrow_id = batch.column(0).type
-            ids = np.array(batch.column(0).to_pylist()) if not pa.types.is_integer(arrow_id) else batch.column(0).to_numpy()
-            vectors = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-            vectors = vectors.reshape(batch.num_rows, -1)
-            sizes = np.linalg.norm(vectors, axis=1)
-            unit = np.divide(vectors, sizes[:, None], out=np.zeros_like(vectors), where=sizes[:, None] > 0)
-            distances = np.round(1.0 - unit @ q.T, DISTANCE_DIGITS)
-            found = [_nearest(ids, distances[:, j], n) for j in range(len(q))]
-            if kept is not None:
-                found = [
-                    _nearest(np.concatenate((a[0], b[0])), np.concatenate((a[1], b[1])), n) for a, b in zip(kept, found)
-                ]
-            kept = found
-        for key, (ids, distances) in zip(keys, kept or []):
-            yield pa.RecordBatch.from_pydict(
-                {
-                    "query_id": pa.array([key] * len(ids), type=arrow_query),
-                    "id": pa.array(ids.tolist(), type=arrow_id),
-                    "distance": pa.array(distances),
-                }
-            )
-
-    return corpus.mapInArrow(best, schema)
-
 
 def vector_top_k(
     corpus: DataFrame,
@@ -142,26 +129,43 @@ def vector_top_k(
 ) -> DataFrame:
     """The ``n`` nearest vectors per query by cosine distance: (query_id, id, distance, rank).
 
-    Exact. Query vectors go to the executors in passes of bounded size; each
-    partition keeps its own best, and those meet in two rounds, so no task sees
-    more than a share of them. A zero vector is at distance 1. Ties by id.
+    Exact. Blocks of vectors meet chunks of queries, both of bounded size, by an
+    equal join on their numbers; each block keeps its own best, and those meet in
+    two rounds, so no task sees more than a share of them. A query is compared
+    with the vectors of its own width; null vectors and null components take no
+    part. A zero vector is at distance 1. Ties by id.
     """
-    wanted = queries.select(F.col(query_id).alias("q"), F.col(query_vector).alias("v"))
-    placed = row_number(wanted, ["q"], "at")
-    total = wanted.count()
-    id_type, query_type = corpus.schema[id_col].dataType, wanted.schema["q"].dataType
-    frames = []
-    for start in range(0, total, QUERIES_PER_PASS):
-        block = placed.where(F.col("at").between(start + 1, start + QUERIES_PER_PASS)).select("q", "v").collect()
-        size = len(block[0].v)
-        usable = corpus.where(F.size(vector_col) == size).select(id_col, vector_col)
-        frames.append(_pass(usable, block, n, id_type, query_type))
-    if not frames:
-        empty = corpus.select(F.lit(None).cast(query_type).alias("query_id"), F.col(id_col).alias("id"), F.lit(0.0).alias("distance"))
-        return empty.withColumn("rank", F.lit(1)).where(F.lit(False))
+
+    def usable(df: DataFrame, key: str, vector: str, name: str) -> DataFrame:
+        rows = df.select(named(key).alias(name), named(vector).cast("array<double>").alias("v"))
+        return rows.where(F.forall("v", lambda x: x.isNotNull())).withColumn("width", F.size("v"))
+
+    held, asked = usable(corpus, id_col, vector_col, "id"), usable(queries, query_id, query_vector, "q")
+    rows, questions = held.count(), asked.count()
+    tasks = int(corpus.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    blocks = max(1, -(-rows // BLOCK_ROWS), min(tasks, rows // LEAST_ROWS))
+    chunks = max(1, -(-questions // QUERIES_PER_CHUNK))
+    numbers = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
+    dealt = held.withColumn("block", F.pmod(F.xxhash64("id", "v"), F.lit(blocks))).withColumn("chunk", numbers(chunks))
+    placed = asked.withColumn("chunk", F.pmod(F.xxhash64("q", "v"), F.lit(chunks)).cast("int")).withColumn("block", numbers(blocks))
+    schema = T.StructType(
+        [
+            T.StructField("query_id", asked.schema["q"].dataType),
+            T.StructField("id", held.schema["id"].dataType),
+            T.StructField("distance", T.DoubleType()),
+        ]
+    )
+    meet = ("width", "block", "chunk")
+
+    def best(queries_here: pa.Table, block: pa.Table) -> pa.Table:
+        return _best_of_block(queries_here, block, n)
+
+    found = (
+        placed.withColumn("block", F.col("block").cast("long")).groupBy(*meet).cogroup(dealt.groupBy(*meet)).applyInArrow(best, schema)
+    )
     share = F.pmod(F.xxhash64("id"), F.lit(MERGE_FANOUT))
     nearest = ("distance", "id")
-    first = union_all(frames).withColumn("__r", F.row_number().over(Window.partitionBy("query_id", share).orderBy(*nearest)))
+    first = found.withColumn("__r", F.row_number().over(Window.partitionBy("query_id", share).orderBy(*nearest)))
     second = first.where(F.col("__r") <= n).drop("__r")
     ranked = second.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*nearest)))
     return ranked.where(F.col("rank") <= n)
@@ -199,8 +203,10 @@ def retrieve_all(
 ) -> DataFrame:
     """All that pass both filters: what a reranker is given."""
     filters = filters or {}
-    near = vector_top_k(pre_filter(corpus, **filters), queries, top_n, id_col, vector_col, query_id, query_vector)
-    about = corpus.drop(vector_col).withColumnRenamed(id_col, "id")
+    near = materialize(vector_top_k(pre_filter(corpus, **filters), queries, top_n, id_col, vector_col, query_id, query_vector))
+    # The few ids found pick their rows before any text is carried along.
+    wanted = near.select("id").distinct()
+    about = corpus.drop(vector_col).withColumnRenamed(id_col, "id").join(wanted, "id", "left_semi")
     return local_filter(near.join(about, "id"), **filters)
 
 
