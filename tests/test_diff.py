@@ -119,6 +119,5 @@ def test_any_column_name(spark):
     assert {r["h1"] for r in d.diff_tree_stats(diff, ["Calc'd"]).collect()} >= {"x", "y"}
     assert d.row_diff(left, right, {n: n for n in names}).count() == 5
     hybrid = d.hybrid_diff(left, right, ["Sect. No"], names[1:])
-    assert {(r["Sect. No"], r.change_type, r.changed_fields) for r in hybrid.collect() if r["Sect. No"]} == {
-        (1, "Modified", "Rate `ms`"), (2, "Deleted", ""), (3, "Inserted", ""),
-    }
+    found = {(r["Sect. No"], r.change_type): r.changed_fields for r in hybrid.collect() if r["Sect. No"]}
+    assert set(found) == {(1, "Modified"), (2, "Deleted"), (3, "Inserted")} and found[1, "Modified"] == "Rate `ms`"

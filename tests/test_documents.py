@@ -207,6 +207,26 @@ def test_read_flat(spark, tmp_path, header_row):
     assert sorted(str(r.Name) for r in df.collect()) == ["Name NAME", "a", "b", "short"]
 
 
+@pytest.mark.parametrize("header_row", [1, 4])
+def test_records_over_several_lines(spark, tmp_path, header_row):
+    for i in range(3):
+        top = "title\n\nmade by,me\n" if header_row == 4 else ""
+        body = f'id,note\n{i}1,"line one\nline ""two"""\n{i}2\n{i}3,x,y,z\n'
+        (tmp_path / f"{i}.csv").write_text(top + body)
+    path = str(tmp_path / "*.csv")
+    got = sorted(map(tuple, flat.read_flat(spark, path, header_row).collect()))
+    want = [row for i in range(3) for row in ((f"{i}1", 'line one\nline "two"'), (f"{i}2", None), (f"{i}3", "x"))]
+    assert got == want
+    assert sorted(r.record.strip() for r in flat.surplus_rows(spark, path, header_row).collect()) == ["03,x,y,z", "13,x,y,z", "23,x,y,z"]
+
+
+@pytest.mark.parametrize("header_row", [1, 3])
+def test_read_flat_split_by_lines(spark, tmp_path, header_row):
+    path = tmp_path / "in.csv"
+    path.write_text("pre\nName,x\n"[: None if header_row == 3 else 0] + "Name,x\na,1\nb,2\n")
+    assert sorted(map(tuple, flat.read_flat(spark, str(path), header_row, multi_line=False).collect())) == [("a", "1"), ("b", "2")]
+
+
 def test_csv_quotes_round_trip(spark, tmp_path):
     df = spark.createDataFrame([('say "hi"', "a,b"), ("", None)], "q string, c string")
     sinks.export_csv(df, str(tmp_path / "out.csv"))

@@ -255,6 +255,14 @@ def _(spark, sf):
     return flat.read_flat(spark, path)
 
 
+@check("read_flat_line_breaks", "select cast(doc_id as varchar) as doc_id, text from documents")
+def _(spark, sf):
+    """What ``export_csv`` wrote, line breaks and quotes in cells included."""
+    path = folder(spark, "documents.csv")
+    sinks.export_csv(fixture(spark, sf, "documents"), path, ["doc_id", "text"])
+    return flat.read_flat(spark, path)
+
+
 @check(
     "export_csv",
     "select cast(doc_id as varchar) as doc_id, text from documents",

@@ -6,7 +6,6 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracegrid.operators.storage import spread
 
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages benchmark "
@@ -208,8 +207,8 @@ def with_fixtures(sql: str) -> str:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    # The long texts come as one small file, read by one task; a large input is left as it is.
-    return spread(df) if name == "documents" else df
+    # The given texts are one file with one row group, which one task would read.
+    return df.repartition(int(spark.conf.get("spark.sql.shuffle.partitions"))) if name == "documents" else df
 
 
 def fixture(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

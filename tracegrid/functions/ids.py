@@ -108,6 +108,12 @@ def section_path(c, levels: int = 3) -> Column:
     return prefixes
 
 
+def digits_key(c: Column) -> Column:
+    """An orderable form of a run of digits of any length: how many without leading zeros, then which."""
+    bare = F.ltrim(c, F.lit("0"))
+    return F.struct(F.length(bare).alias("length"), bare.alias("digits"))
+
+
 def natural_key(c) -> Column:
     """An orderable key: digit runs as numbers, other runs lower-cased, numbers first."""
     runs = F.regexp_extract_all(text(c), F.lit(r"(\d+|\D+)"), F.lit(1))
@@ -115,7 +121,7 @@ def natural_key(c) -> Column:
         runs,
         lambda r: F.struct(
             F.when(r.rlike(r"^\d"), F.lit(0)).otherwise(F.lit(1)).alias("kind"),
-            F.when(r.rlike(r"^\d"), r.try_cast("decimal(38,0)")).alias("number"),
+            F.when(r.rlike(r"^\d"), digits_key(r)).alias("number"),
             F.when(r.rlike(r"^\d"), F.lit("")).otherwise(F.lower(r)).alias("word"),
         ),
     )

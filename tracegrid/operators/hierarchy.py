@@ -9,7 +9,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracegrid.functions.text import label
+from tracegrid.functions.text import label, named
 from tracegrid.operators.hierarchy_columns import DEFAULT_COLUMNS, KEYS
 from tracegrid.operators.ordered import distinct_first, fill_columns, fill_down
 from tracegrid.operators.storage import materialize
@@ -72,7 +72,7 @@ def normalize_tables(
     for name, cols in maps.items():
         there = {n: raw for n, raw in cols.items() if raw in flat.columns}
         picked = flat.select(
-            *[F.col(f"`{raw}`").alias(n) for n, raw in there.items()], *[F.col(c).alias(o) for c, o in zip(order_by, order)]
+            *[F.col(f"`{raw}`").alias(n) for n, raw in there.items()], *[named(c).alias(o) for c, o in zip(order_by, order)]
         )
         keys = list(KEYS.get(name, ()))
         if keys:
@@ -110,7 +110,7 @@ def normalization_report(done: Normalized) -> DataFrame:
 
 def text_match(c: str, term: str) -> Column:
     """Case-insensitive literal containment; null never contains anything but the empty term."""
-    return F.contains(F.lower(F.coalesce(F.col(c).cast("string"), F.lit(""))), F.lit(term.lower()))
+    return F.contains(F.lower(F.coalesce(named(c).cast("string"), F.lit(""))), F.lit(term.lower()))
 
 
 def text_search(df: DataFrame, cols: Sequence[str], term: str) -> DataFrame:

@@ -22,27 +22,25 @@ from tracegrid.functions.text import blank_to_null, named
 RANGE = "__range"
 # Spark's own range partitioner also samples some twenty keys per output range.
 SAMPLE_PER_RANGE = 20
-# Fewer rows than this are not worth a range of their own.
-MIN_ROWS_PER_RANGE = 2000
+# Rows without any boundary among them that are still taken in one range.
+MOST_IN_ONE_RANGE = 100_000
 
 
 def _shuffle_partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
-def assign_ranges(df: DataFrame, order_by: Sequence[str], ranges: int | None = None) -> DataFrame | None:
+def assign_ranges(df: DataFrame, order_by: Sequence[str], ranges: int | None = None) -> DataFrame:
     """Add ``__range``: which of about ``ranges`` equal slices of the order a row is in.
 
     The boundaries come from a sample of bounded size chosen by a hash of the
-    key, and each row finds its slice by binary search among them. None where
-    one slice is enough.
+    key, and each row finds its slice by binary search among them. By default as
+    many slices as there are shuffle partitions, fewer where there are fewer keys.
     """
-    key = F.struct(*[F.col(c) for c in order_by])
+    key = F.struct(*[named(c) for c in order_by])
     keys = df.select(key.alias("key"))
     total = keys.count()
-    wanted = ranges or min(_shuffle_partitions(df), total // MIN_ROWS_PER_RANGE)
-    if wanted <= 1:
-        return None
+    wanted = ranges or _shuffle_partitions(df)
     keep_one_in = max(1, total // (wanted * SAMPLE_PER_RANGE))
     sample = keys.where(F.pmod(F.xxhash64("key"), F.lit(keep_one_in)) == 0).distinct()
     rows = sample.orderBy("key").select(F.to_json("key", {"ignoreNullFields": "false"}).alias("j")).collect()
@@ -50,7 +48,9 @@ def assign_ranges(df: DataFrame, order_by: Sequence[str], ranges: int | None = N
     cuts = [rows[math.floor(i * step)].j for i in range(1, wanted) if len(rows) > 1]
     cuts = list(dict.fromkeys(cuts))
     if not cuts:
-        return None
+        if total > MOST_IN_ONE_RANGE:
+            raise ValueError(f"{total} rows have one key in {', '.join(order_by)}: the order must be unique")
+        return df.withColumn(RANGE, F.lit(0))
     schema = T.ArrayType(keys.schema["key"].dataType)
     bounds = F.sort_array(F.from_json(F.lit("[" + ",".join(cuts) + "]"), schema))
     steps = [1 << b for b in reversed(range(len(cuts).bit_length()))]
@@ -90,15 +90,6 @@ def ordered_scan(
     )
     kept = [named(c) for c in df.columns if c not in names]
     ranged = assign_ranges(ready, part + order, ranges)
-    if ranged is None:
-        # Few rows in all: a plain window.
-        whole = Window.partitionBy(*part).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-        return ready.select(
-            *kept,
-            *[F.last(named(raw[n]), ignorenulls=True).over(whole).alias(n) for n in fills],
-            *[F.sum(named(raw[n])).over(whole).alias(n) for n in sums],
-        )
-
     group = F.struct(*[F.col(c) for c in part], F.lit(0).alias("__all"))
     key = F.struct(*[F.col(c) for c in order])
     per_group = ranged.groupBy(RANGE, group.alias("grp")).agg(

@@ -127,7 +127,7 @@ def _placed(reqs: DataFrame, order_by: Sequence[str], hierarchical: bool, extens
     slim = materialize(slugged.select(*order_by, "folder", "doc_slug", filled("Req_ID").alias("__id")))
     slim = ordered.row_number(slim, order_by, "__row")
     stem = slugify(F.coalesce("__id", F.concat(L("row_"), F.col("__row").cast("string"))))
-    named = unique_names(slim, ["folder"], stem, order_by, "__name", MAX_STEM if extension == "md" else 100_000)
+    named = unique_names(slim, ["folder"], stem, order_by, "__name", MAX_STEM)
     file_name = F.concat("__name", L(f".{extension}")).alias("file_name")
     return reqs.join(named.select(*order_by, "doc_slug", "folder", "__row", file_name), list(order_by))
 

@@ -101,6 +101,8 @@ def _units(table: pa.Table, column: str) -> np.ndarray:
 def _best_of_block(queries: pa.Table, block: pa.Table, n: int) -> pa.Table:
     """The n nearest rows of one block for each query of one chunk."""
     kind = block.column("id").type
+    if not queries.num_rows or not block.num_rows:
+        return pa.table({"query_id": pa.nulls(0, queries.column("q").type), "id": pa.nulls(0, kind), "distance": pa.nulls(0, pa.float64())})
     ids = block.column("id").to_numpy() if pa.types.is_integer(kind) else np.array(block.column("id").to_pylist())
     held = _units(block, "v")
     names, kept_ids, kept = [], [], []

@@ -44,17 +44,6 @@ def empty_frame(spark: SparkSession, schema: str) -> DataFrame:
     return spark.range(0).select(nulls.alias("r")).select("r.*")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Deal the rows of a table out evenly where it has fewer partitions than there are cores.
-
-    For work that costs far more per row than moving the row: a large table
-    already has more partitions than cores and is left as it is. Meant for a
-    table just read, since counting partitions runs the shuffles above it.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def materialize(df: DataFrame) -> DataFrame:
     """Write once, read as often as needed.
 

@@ -8,14 +8,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracegrid.functions import ids as I
-from tracegrid.functions.text import BLANK_CLASS, clean_str, py_strip, text
+from tracegrid.functions.text import BLANK_CLASS, clean_str, named, py_strip, text
 from tracegrid.operators import ordered
 from tracegrid.operators.storage import materialize
 from tracegrid.operators.trace import resolve_number
 
 HEADER, ROW = "Header", "Requirement"
-# A sorted prefix up to this long is cheap as a top-k; deeper pages use positions.
-TOP_K_ROWS = 100_000
 LIST_PART = 1000
 
 
@@ -99,10 +97,10 @@ def section_order(c) -> Column:
     key = clean_str(c)
     parts = F.transform(
         F.split(key, r"\."),
-        lambda p: F.coalesce(F.regexp_extract(p, r"^\s*(\d+)", 1).try_cast("decimal(38,0)"), F.lit(0).cast("decimal(38,0)")),
+        lambda p: I.digits_key(F.regexp_extract(p, r"^\s*(\d+)", 1)),
     )
-    length = F.array_max(F.transform(parts, lambda p, i: F.when(p != 0, i + 1).otherwise(F.lit(0))))
-    none = F.array().cast("array<decimal(38,0)>")
+    length = F.array_max(F.transform(parts, lambda p, i: F.when(p["length"] != 0, i + 1).otherwise(F.lit(0))))
+    none = F.array().cast("array<struct<length:int,digits:string>>")
     return F.struct((key == "").alias("blank"), F.when(key == "", none).otherwise(F.slice(parts, 1, length)).alias("parts"))
 
 
@@ -149,8 +147,6 @@ def page(df: DataFrame, order_by: Sequence[str], n: int = 50, number: int = 1) -
     """Rows of one page and the page count; the page number is clamped."""
     pages = max(1, -(-df.count() // n))
     start = (min(max(1, number), pages) - 1) * n
-    if start + n <= TOP_K_ROWS:
-        return df.orderBy(*order_by).offset(start).limit(n), pages
     placed = ordered.row_number(df, order_by, "__pos")
     return placed.where(F.col("__pos").between(start + 1, start + n)).drop("__pos").orderBy(*order_by), pages
 
@@ -327,7 +323,7 @@ def section_rollup(reqs: DataFrame, doc_type: str, order_by: Sequence[str], list
 
 def distinct_values(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Sorted distinct non-blank values of each column, in one pass over the rows."""
-    cells = [F.struct(F.lit(c).alias("column_name"), F.col(c).cast("string").alias("value")) for c in cols]
+    cells = [F.struct(F.lit(c).alias("column_name"), named(c).cast("string").alias("value")) for c in cols]
     listed = df.select(F.inline(F.array(*cells))).where(F.col("value") != "")
     return listed.distinct().orderBy("column_name", "value")
 

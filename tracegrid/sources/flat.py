@@ -37,24 +37,52 @@ def clean_headers(names: Sequence[str]) -> list[str]:
     return cleaned
 
 
-def read_flat(spark: SparkSession, path: str, header_row: int = 1, schema: Sequence[str] | None = None) -> DataFrame:
-    """A Parquet table as it is, or a CSV file as text columns with cleaned headers.
+CSV = {"escape": '"', "enforceSchema": "true"}
+RAW = "__record"
 
-    ``header_row`` is 1-based; lines before it are skipped. Short rows are
-    padded with nulls. With a header below the first line a record must not
-    span lines.
+
+def _csv_header(spark: SparkSession, path: str, header_row: int) -> tuple[list[str], int]:
+    """The cleaned names in row ``header_row``, and how many records end there."""
+    lines = spark.read.text(path).select("value", "_metadata.file_block_start")
+    top = [r.value for r in lines.where("file_block_start = 0").limit(header_row).collect()]
+    if len(top) < header_row:
+        raise ValueError(f"no header in row {header_row} of {path}")
+    records = [r for r in csv.reader(top) if r]
+    return clean_headers(records[-1]), len(records)
+
+
+def _csv_records(spark: SparkSession, path: str, names: Sequence[str], skip: int) -> DataFrame:
+    """Records as text columns ``c0``, ... and, where the width is not the header's, the raw record."""
+    fields = ", ".join(f"c{i} string" for i, _ in enumerate(names)) + f", {RAW} string"
+    options = CSV | {"multiLine": "true", "columnNameOfCorruptRecord": RAW}
+    if skip == 1:
+        return spark.read.csv(path, schema=fields, header=True, **options)
+    # A file is read by one task, in order, so that its first records have the smallest numbers.
+    rows = spark.read.csv(path, schema=fields, **options).select("*", F.col("_metadata.file_path").alias("__file"))
+    rows = rows.withColumn("__n", F.monotonically_increasing_id())
+    first = rows.groupBy("__file").agg(F.min("__n").alias("__first"))
+    return rows.join(first, "__file").where(F.col("__n") >= F.col("__first") + skip).drop("__file", "__n", "__first")
+
+
+def read_flat(spark: SparkSession, path: str, header_row: int = 1, multi_line: bool = True) -> DataFrame:
+    """A Parquet table as it is, or CSV files as text columns with cleaned headers.
+
+    ``header_row`` is 1-based; lines before it are skipped. Short rows are padded
+    with nulls; records wider than the header are cut to it, and ``surplus_rows``
+    returns them. Quoted cells may span lines, for which Spark reads each file in
+    one task: with ``multi_line=False``, for large files with a record on every
+    line, files are split.
     """
     if not path.rstrip("/").lower().endswith((".csv", ".csv.gz")):
         found = spark.read.parquet(path)
         return found.toDF(*clean_headers(found.columns))
-    lines = spark.read.text(path).select("value", "_metadata.file_path", "_metadata.file_block_start")
-    top = lines.where("file_block_start = 0").limit(header_row).collect()
-    if len(top) < header_row:
-        raise ValueError(f"no header in row {header_row} of {path}")
-    names = clean_headers(next(csv.reader([top[-1].value])))
+    names, skip = _csv_header(spark, path, header_row)
+    if multi_line:
+        return _csv_records(spark, path, names, skip).drop(RAW).toDF(*names)
     fields = ", ".join(f"c{i} string" for i, _ in enumerate(names))
     if header_row == 1:
-        return spark.read.csv(path, schema=fields, header=True, enforceSchema=True, escape='"').toDF(*names)
+        return spark.read.csv(path, schema=fields, header=True, **CSV).toDF(*names)
+    lines = spark.read.text(path).select("value", "_metadata.file_path", "_metadata.file_block_start")
 
     def below_header(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         # Only a file's first block comes here, in order; the count spans its batches.
@@ -72,6 +100,17 @@ def read_flat(spark: SparkSession, path: str, header_row: int = 1, schema: Seque
     return first.unionByName(rest).where("value <> ''").select(parsed).select("r.*").toDF(*names)
 
 
+def surplus_rows(spark: SparkSession, path: str, header_row: int = 1) -> DataFrame:
+    """The raw ``record`` of each CSV row with more cells than the header, and its ``cells`` beyond it."""
+    names, skip = _csv_header(spark, path, header_row)
+    # A raw record is never shorter than its cells; Spark asks that some cell is read beside it.
+    cells = F.concat_ws(",", *[F.col(f"c{i}") for i, _ in enumerate(names)])
+    odd = _csv_records(spark, path, names, skip).where(F.length(RAW) >= F.length(cells)).select(F.col(RAW).alias("record"))
+    wide = ", ".join(f"c{i} string" for i in range(len(names) + 1))
+    beyond = F.from_csv("record", wide, {"escape": '"'})[f"c{len(names)}"]
+    return odd.select("record", beyond.alias("cells")).where("cells is not null")
+
+
 # Fixed value: what parses as a number.
 ANY_NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
 
@@ -139,8 +178,8 @@ def ingest_with_carry(
             pass  # nothing there yet
     order = [f"__o{i}" for i, _ in enumerate(order_by)]
     renamed = df.select(
-        *[F.col(c).alias(n) for n, c in {**required, **extra}.items() if c in df.columns],
-        *[F.col(c).alias(n) for n, c in zip(order, order_by)],
+        *[named(c).alias(n) for n, c in {**required, **extra}.items() if c in df.columns],
+        *[named(c).alias(n) for n, c in zip(order, order_by)],
     )
     known = [n for n in required if n in renamed.columns] if copy_down else []
     scanned = ordered_scan(
@@ -149,13 +188,13 @@ def ingest_with_carry(
     out = scanned.select(
         (F.col("__n") + (first_row - 1)).alias("row_number"),
         *[
-            F.col(f"__f_{c}").alias(c) if c in known else F.col(c)
+            named(f"__f_{c}").alias(c) if c in known else named(c)
             for c in renamed.columns
             if c not in order
         ],
     )
     if name_col in out.columns:
-        out = out.withColumn(name_col, py_strip(name_col)).where(F.col(name_col) != "")
+        out = out.withColumn(name_col, py_strip(name_col)).where(named(name_col) != "")
     if path is None:
         return out
     out.write.mode("overwrite").option("compression", "zstd").parquet(path)

@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tracegrid.functions.text import named
 from tracegrid.operators.diff import hierarchy_value
 
 
@@ -31,7 +32,7 @@ def grouped_rows(
     groups = [hierarchy_value(diff, c).alias(f"group_{i}") for i, c in enumerate(hierarchy_cols[: max(1, level)], 1)]
 
     def shown(c: str):
-        return F.coalesce(c, f"{c}_right") if f"{c}_right" in diff.columns else F.col(c)
+        return F.coalesce(named(c), named(f"{c}_right")) if f"{c}_right" in diff.columns else named(c)
 
     return diff.select(
         *groups, F.col("_merge").alias("status"), "changed_columns", *[shown(c).alias(c) for c in columns]
@@ -65,8 +66,8 @@ def publish_catalog(spark: SparkSession, old: DataFrame, new: DataFrame, diff: D
 
 def export_csv(df: DataFrame, path: str, columns: Sequence[str] | None = None) -> None:
     """Chosen columns with a header, every field quoted, quotes doubled, null as empty."""
-    chosen = df.select(*(columns or df.columns))
-    texts = chosen.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in chosen.columns])
+    chosen = df.select(*map(named, columns or df.columns))
+    texts = chosen.select(*[F.coalesce(named(c).cast("string"), F.lit("")).alias(c) for c in chosen.columns])
     texts.write.mode("overwrite").option("header", True).option("quoteAll", True).option("escape", '"').option(
         "emptyValue", ""
     ).csv(path)
