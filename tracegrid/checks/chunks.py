@@ -109,13 +109,16 @@ select path as source_path, doc_id || '.md' as file_name, '.md' as file_ext, 'md
        cast(pos as int) as chunk_index, chunk as text, trail as heading_path, block_start + s as start_char, block_start + e as end_char,
        {_first(*REQ, within=('body', 'head', 'chunk'))} as req_id, {_first(*OBJ, within=('body', 'head', 'chunk'))} as object_number,
        {_first(*SEC, within=('body', 'head', 'chunk'))} as section_id, case {LEVEL} end as doc_level, sha256(md) as doc_sha256, sha256(chunk) as chunk_sha256,
-       content as content_sha256, (doc_id % 9 + 1) || '.' || (doc_id % 4) || '-1' as front_section
-from placed""",
+       content as content_sha256, (doc_id % 9 + 1) || '.' || (doc_id % 4) || '-1' as front_section, 'Section_Number' as extra_keys,
+       substr(u, 1, 8) || '-' || substr(u, 9, 4) || '-5' || substr(u, 14, 3) || '-' || substr('89ab', (strpos('0123456789abcdef', substr(u, 17, 1)) - 1) % 4 + 1, 1)
+         || substr(u, 18, 3) || '-' || substr(u, 21, 12) as id
+from (select *, sha1(unhex('6ba7b8119dad11d180b400c04fd430c8') || encode(path || '::' || pos)) as u from placed)""",
 )
 def _(spark, sf):
     done = c.chunk_documents(fixture(spark, sf, "md_docs"), "path", "md")
     section = F.col("extra")["Section_Number"].alias("front_section")
-    return done.select("*", section).drop("id", "extra", "ingest_timestamp_utc")
+    keys = F.array_join(F.array_sort(F.map_keys("extra")), ",").alias("extra_keys")
+    return done.select("*", section, keys).drop("extra", "ingest_timestamp_utc")
 
 
 @check(

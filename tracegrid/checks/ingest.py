@@ -14,6 +14,7 @@ from tracegrid.operators import ingest as i
 from tracegrid.operators.matching import fuzzy_best_match
 from tracegrid.operators.storage import empty_frame, shared_folder
 from tracegrid.plans.compare import diff_and_report
+from tracegrid.plans.retrieval import rag_ingest
 from tracegrid.sources import flat, sinks
 from tracegrid.streaming.ingest import current_chunks, stream_ingest
 
@@ -64,6 +65,40 @@ def _(spark, sf):
     return store.groupBy("source_path").agg(F.count("*").alias("chunks"), F.max("end_char").alias("last_char"))
 
 
+@check(
+    "ingest_store_texts",
+    f"with recursive {CURRENT} select source_path, idx as chunk_index, chunk as text, sha256(chunk) as chunk_sha256 from pieces",
+)
+def _(spark, sf):
+    """Every stored text, and that store and manifest hold the same chunks."""
+    store, manifest, _ = ingested(spark, sf)
+    held = manifest.select("source_path", "chunk_index", "chunk_sha256", F.col("chunk_id").alias("id"))
+    return store.join(held, ["source_path", "chunk_index", "chunk_sha256", "id"]).select(
+        "source_path", "chunk_index", "text", "chunk_sha256"
+    )
+
+
+@check(
+    "delete_chunks",
+    f"with recursive {CURRENT} select source_path, idx as chunk_index from pieces where idx % 2 = 0",
+)
+def _(spark, sf):
+    store = ingested(spark, sf)[0]
+    return i.delete_chunks(store, store.where("chunk_index % 2 = 1").select("id")).select("source_path", "chunk_index")
+
+
+@check(
+    "rag_ingest",
+    """select c.source_path, case when m.source_path is null then 'not_tracked' when c.text <> m.old_text then 'content_changed' else 'ok' end as status
+from docs_current c left join docs_manifest m on c.source_path = m.source_path""",
+)
+def _(spark, sf):
+    """The metadata-only way: which documents may take new metadata without new texts."""
+    first = fixture(spark, sf, "docs_manifest").withColumnRenamed("old_text", "text")
+    store, manifest, _ = rag_ingest(first, empty_frame(spark, i.MANIFEST))
+    return rag_ingest(fixture(spark, sf, "docs_current"), manifest, store, metadata_only=True)[2]
+
+
 @check(
     "stream_ingest",
     f"""with recursive src as (select '/docs/' || doc_id as source_path, {sql_strip('text')} as t from documents),

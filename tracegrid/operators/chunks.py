@@ -17,7 +17,7 @@ from tracegrid.operators.ordered import ordered_scan
 FRAGMENTS = "array<struct<text:string,start:int,end:int>>"
 BLOCKS = (
     "array<struct<text:string,heading_path:string,heading_text:string,start_char:int,end_char:int,index:int,"
-    f"fragments:{FRAGMENTS}>>"
+    f"fragments:{FRAGMENTS},first_chunk:int>>"
 )
 
 # --- chunking --------------------------------------------------------------------
@@ -176,9 +176,11 @@ def blocks_of(c, joiner: str = " > ", max_chars: int = 1200, overlap: int = 200,
     @F.pandas_udf(BLOCKS)
     def split(bodies: pd.Series) -> pd.Series:
         def one(body: str) -> list[dict]:
-            found = _blocks(body, joiner)
+            found, before = _blocks(body, joiner), 0
             for block in found:
                 block["fragments"] = _fragments(block["text"], max_chars, overlap) if chunked else []
+                block["first_chunk"] = before
+                before += len(block["fragments"])
             return found
 
         return bodies.map(one)
@@ -191,7 +193,7 @@ def markdown_blocks(df: DataFrame, text_col: str, joiner: str = " > ") -> DataFr
     rest = [c for c in df.columns if c != text_col]
     _, body = front_matter(text_col)
     exploded = df.select(*rest, F.inline_outer(blocks_of(body, joiner, chunked=False)))
-    return exploded.where("index is not null").drop("fragments").withColumnRenamed("text", "block")
+    return exploded.where("index is not null").drop("fragments", "first_chunk").withColumnRenamed("text", "block")
 
 
 # --- what a chunk is about -------------------------------------------------------------
@@ -309,10 +311,10 @@ def chunk_documents(
 ) -> DataFrame:
     """Chunks of every document with their metadata and the hash of all chunk texts together.
 
-    Blocks, their metadata and their fragments stay arrays within a document's
-    row until the final explode, so nothing is shuffled and the chunk index is
-    the array position. ``keep_empty`` gives a document without chunks one row
-    with a null id.
+    A document's blocks are exploded first, so that each rule runs once per block
+    on plain columns; the fragments follow. Nothing is shuffled: a block brings
+    the number of its first chunk. ``keep_empty`` gives a document without chunks
+    one row with a null id.
     """
     front, body = front_matter(text_col)
     path = _col(path_col)
@@ -322,40 +324,28 @@ def chunk_documents(
         content_sha(text_col).alias("doc_sha256"),
         blocks_of(body, joiner, max_chars, overlap).alias("blocks"),
     )
-
-    def described(b: Column) -> Column:
-        known = {n: F.col("front")[n] for n in (*FIELDS, "doc_level")}
-        meta = regex_metadata(b["text"], b["heading_text"], b["heading_path"], rules, known)
-        about = F.struct(*[c.alias(n) for n, c in meta.items()])
-        kept = [b[n].alias(n) for n in ("fragments", "start_char", "heading_path", "heading_text")]
-        return F.struct(*kept, about.alias("about"))
-
-    def of_block(b: Column) -> Column:
-        return F.transform(
-            b["fragments"],
-            lambda f: F.struct(
-                f["text"].alias("text"),
-                (b["start_char"] + f["start"]).alias("start_char"),
-                (b["start_char"] + f["end"]).alias("end_char"),
-                b["heading_path"].alias("heading_path"),
-                b["heading_text"].alias("heading_text"),
-                b["about"].alias("about"),
-            ),
-        )
-
-    # A block is described before it is cut, so its text is searched once.
-    parts = F.flatten(F.transform(F.transform("blocks", described), of_block))
-    whole = F.array_join(F.transform("parts", lambda x: x["text"]), "\n\n")
-    cut = docs.select("source_path", "front", "doc_sha256", parts.alias("parts"))
+    texts = F.flatten(F.transform("blocks", lambda b: F.transform(b["fragments"], lambda f: f["text"])))
     # Hashed before the explode, else every piece would hash the whole document.
-    hashed = cut.withColumn("content_sha256", content_sha(whole))
-    pieces = hashed.select(
-        "source_path", "front", "doc_sha256", "content_sha256", F.posexplode_outer("parts").alias("chunk_index", "p")
-    )
+    hashed = docs.withColumn("content_sha256", content_sha(F.array_join(texts, "\n\n")))
+    about_doc = ("source_path", "front", "doc_sha256", "content_sha256")
+    blocks = hashed.select(*about_doc, F.explode_outer("blocks").alias("b")).select(*about_doc, "b.*")
+    known = {n: F.col("front")[n] for n in (*FIELDS, "doc_level")}
+    meta = regex_metadata(F.col("text"), F.col("heading_text"), F.col("heading_path"), rules, known)
+    about_block = ("heading_path", "heading_text", "start_char", "first_chunk")
+    described = blocks.select(*about_doc, *about_block, "fragments", *[c.alias(f"block_{n}") for n, c in meta.items()])
+    pieces = described.select(
+        *about_doc, *about_block, *[f"block_{n}" for n in meta], F.posexplode_outer("fragments").alias("at", "f")
+    ).withColumn("chunk_index", F.col("first_chunk") + F.col("at"))
     if not keep_empty:
         pieces = pieces.where("chunk_index is not null")
-    p = {n: F.col("p")[n] for n in ("text", "start_char", "end_char", "heading_path", "heading_text", "about")}
-    known = {n: p["about"][n] for n in (*FIELDS, "doc_level")}
+    p = {
+        "text": F.col("f.text"),
+        "start_char": F.col("start_char") + F.col("f.start"),
+        "end_char": F.col("start_char") + F.col("f.end"),
+        "heading_path": F.col("heading_path"),
+        "heading_text": F.col("heading_text"),
+    }
+    known = {n: F.col(f"block_{n}") for n in (*FIELDS, "doc_level")}
     above = F.coalesce(F.nullif(p["heading_text"], F.lit("")), p["heading_path"])
     meta = regex_metadata(p["text"], p["heading_text"], p["heading_path"], rules, known, section_heading=above)
     named = {*BASE_KEYS, *FIELDS}

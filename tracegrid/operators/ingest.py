@@ -137,15 +137,18 @@ def plan_ingest(
     tracked = manifest.groupBy("source_path").agg(
         F.max("file_sha256").alias("old_file"), F.max("content_sha256").alias("old_content")
     )
-    # The shuffle the join needs anyway, with a fixed number of partitions: chunking
-    # costs far more than its input's size tells, so small partitions are not merged.
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    spread_out = docs.select("source_path", "text").repartition(parts, "source_path")
-    hashed = spread_out.withColumn("new_file", content_sha("text"))
-    seen = hashed.join(tracked.withColumn("known", F.lit(True)), "source_path", "left")
+    # Only paths and hashes are joined. The paths to chunk are written down, so that
+    # their true size decides how they pick their texts from the scan.
+    hashed = docs.select("source_path", content_sha("text").alias("new_file"))
     same_file = F.coalesce(F.col("new_file") == F.col("old_file"), F.lit(False))
-    chunked = _chunked(seen.where(~same_file), rules, options or {})
-    judged = chunked.join(tracked.select("source_path", "old_content", F.lit(True).alias("known")), "source_path", "left")
+    seen = materialize(
+        hashed.join(tracked.withColumn("known", F.lit(True)), "source_path", "left").select(
+            "source_path", "known", "old_content", same_file.alias("same")
+        )
+    )
+    read = materialize(seen.where("not same").select("source_path", "known", "old_content").distinct())
+    texts = docs.select("source_path", "text").join(read.select("source_path"), "source_path", "left_semi")
+    judged = _chunked(texts, rules, options or {}).join(read, "source_path")
     same_text = F.coalesce(F.col("content_sha256") == F.col("old_content"), F.lit(False))
     fresh = materialize(judged.where(~same_text).drop("old_content"))
     written = fresh.groupBy("source_path").agg(F.max("known").alias("k")).select(

@@ -97,6 +97,14 @@ class Requirements:
     def blocks(self, **options) -> DataFrame:
         return render.rag_blocks(self.rows, ["row_idx"], **options)
 
+    def merged(self, max_per: int = 250, **options) -> DataFrame:
+        """The blocks of each section in files of at most ``max_per``."""
+        return render.merged_sections(self.blocks(**options), ["row_idx"], max_per)
+
+    def block_sizes(self, **options) -> DataFrame:
+        """Sizes of the blocks of each document."""
+        return render.block_size_stats(self.blocks(**options))
+
 
 def normalizer_of(kind: r.DocKind, registry: dict[str, Normalizer]) -> Normalizer:
     for name in (kind.normalizer, kind.doc_type.lower()):

@@ -6,10 +6,28 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 
-from tracegrid.operators.ingest import incremental_ingest
+from tracegrid.operators.chunks import chunk_documents
+from tracegrid.operators.ingest import incremental_ingest, metadata_only_update, stored_chunks
 from tracegrid.operators.retrieval import build_context, rerank, retrieve_all
 
-rag_ingest = incremental_ingest
+
+def rag_ingest(
+    docs: DataFrame, manifest: DataFrame, store: DataFrame | None = None, metadata_only: bool = False, **options
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """New store, new manifest and (path, status).
+
+    With ``metadata_only`` no text is stored anew: the chunks of documents whose
+    content is as stored take the metadata worked out now; the status is the
+    verdict per document, and the manifest stays as it is.
+    """
+    if not metadata_only:
+        return incremental_ingest(docs, manifest, store, **options)
+    chunks = chunk_documents(docs, "source_path", "text", **options)
+    updates, verdicts = metadata_only_update(chunks, manifest)
+    fresh = stored_chunks(updates)
+    if store is not None:
+        fresh = store.join(fresh.select("id"), "id", "left_anti").unionByName(fresh, allowMissingColumns=True)
+    return fresh, manifest, verdicts.withColumnRenamed("verdict", "status")
 
 
 def rag_query(
