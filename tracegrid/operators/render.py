@@ -364,6 +364,7 @@ def neighbour_markdown(
 
 # --- one document per section ------------------------------------------------------------
 
+# Header texts the fields come under.
 INTRO_FIELDS = (
     "Section_Intro",
     "Section Intro",
@@ -521,6 +522,7 @@ def section_documents(
 
 # --- blocks for retrieval -----------------------------------------------------------------
 
+# Header texts the links come under.
 IN_LINK_FIELDS = (
     "In-links (Control System Requirements)",
     "In-links_(Control_System_Requirements)",

@@ -17,7 +17,7 @@ from pyspark.sql.types import StructType
 
 from tracegrid.operators.chunks import DEFAULT_RULES
 from tracegrid.operators.ingest import MANIFEST, manifest_rows, plan_ingest, stored_chunks
-from tracegrid.operators.storage import empty_frame
+from tracegrid.operators.storage import empty_frame, materialize
 
 
 def _versions(spark: SparkSession, store: str, kind: str) -> DataFrame | None:
@@ -27,14 +27,19 @@ def _versions(spark: SparkSession, store: str, kind: str) -> DataFrame | None:
         return None  # nothing written yet
 
 
-def current_manifest(spark: SparkSession, store: str, before: int | None = None) -> DataFrame:
-    """Manifest rows of each document's newest version (below ``before``)."""
+def current_manifest(
+    spark: SparkSession, store: str, before: int | None = None, paths: DataFrame | None = None
+) -> DataFrame:
+    """Manifest rows of each document's newest version (below ``before``), of some ``paths`` only where given."""
     rows = _versions(spark, store, "manifest")
     if rows is None:
         return empty_frame(spark, MANIFEST + ", v bigint")
     rows = rows.withColumn("v", F.col("v").cast("long"))
     if before is not None:
         rows = rows.where(F.col("v") < before)
+    if paths is not None:
+        # Before anything is shuffled: a small batch meets the manifest's scan.
+        rows = rows.join(paths, "source_path", "left_semi")
     newest = rows.groupBy("source_path").agg(F.max("v").alias("v"))
     return rows.join(newest, ["source_path", "v"], "left_semi")
 
@@ -53,8 +58,10 @@ def ingest_batch(
 ) -> None:
     """One micro-batch; of several versions of a path in it the newest file's counts."""
     spark = docs.sparkSession
-    latest = docs.groupBy("source_path").agg(F.max_by("text", F.struct("file_time", "file_path", "text")).alias("text"))
-    manifest = current_manifest(spark, store, before=batch_id).drop("v")
+    newest = docs.groupBy("source_path").agg(F.max_by("text", F.struct("file_time", "file_path", "text")).alias("text"))
+    latest = materialize(newest)
+    paths = materialize(latest.select("source_path"))
+    manifest = materialize(current_manifest(spark, store, batch_id, paths).drop("v"))
     fresh, _ = plan_ingest(latest, manifest, rules, options)
     stored_chunks(fresh).write.mode("overwrite").parquet(f"{store}/chunks/v={batch_id}")
     # Written last: a version counts once its manifest is there.
