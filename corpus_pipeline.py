@@ -7,7 +7,8 @@ are called: a document travels as one struct beside what a stage works out.
 
 No stage needs ids to be unique or filled: the near-duplicate stage, the only one
 that looks documents up again, tells rows apart by their place in the Parquet files
-it reads. Documents without words are removed by the quality rules.
+it reads. Documents without words are removed by the quality rules. The two quality
+stages read texts twice rather than write them a second time.
 """
 
 from __future__ import annotations
@@ -39,14 +40,14 @@ def _documents(rows: DataFrame, keep: Column) -> DataFrame:
 
 def by_quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rule and the fences of their language and source let pass."""
-    judged = quality_rules(_beside(docs, "text", "lang", "source"), carry=["__doc", "lang", "source"])
+    judged = quality_rules(_beside(docs, "text", "lang", "source"), carry=["__doc", "lang", "source"], keep_counts=False)
     return _documents(judged, F.col("kept"))
 
 
 def by_quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, learned from the labels of the documents here, takes for good ones."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    scored = quality_scores(_beside(docs, "doc_id", "text"), labels, carry=["__doc"])
+    scored = quality_scores(_beside(docs, "doc_id", "text"), labels, carry=["__doc"], keep_stats=False)
     return _documents(scored, F.col("predicted") == 1)
 
 

@@ -150,15 +150,22 @@ def quality_scores(
     folds: int = 5,
     fold: int = 0,
     carry: Sequence[str] = (),
+    keep_stats: bool = True,
 ) -> DataFrame:
-    """The id and the ``carry`` columns of each document with ``held_out``, ``score`` and ``predicted``."""
+    """The id and the ``carry`` columns of each document with ``held_out``, ``score`` and ``predicted``.
+
+    Those columns are written with the statistics in the shared folder, so that
+    texts are read once; without ``keep_stats`` only ids and statistics are, and
+    texts are read again to be scored.
+    """
     carried = [c for c in dict.fromkeys([id_col, *carry]) if c not in ("held_out", "score", "predicted")]
-    stats = materialize(with_features(docs, carried, text_col, "__features"))
+    stats = materialize(with_features(docs, carried if keep_stats else [id_col], text_col, "__features"))
     out = held_out(named(id_col), folds, fold)
     known = labels.select(named(id_col).alias("__id"), named(label_col).alias("__label"))
     learned = stats.where(~out).select(named(id_col).alias("__own"), "__features").join(known, F.col("__own") == F.col("__id"))
     model = fit(learned, "__label", "__features")
-    scored = with_score(stats, model, "__features", "score")
+    rows = stats if keep_stats else with_features(docs, carried, text_col, "__features")
+    scored = with_score(rows, model, "__features", "score")
     return scored.select(
         *map(named, carried), out.alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted")
     )

@@ -163,15 +163,20 @@ def quality_rules(
     lang_col: str = "lang",
     source_col: str = "source",
     carry: Sequence[str] | None = None,
+    keep_counts: bool = True,
 ) -> DataFrame:
     """The documents with their counts, ``base_failed`` and ``kept``.
 
-    Texts are read once: documents and counts are kept in the shared folder
-    (``carry``: the document columns to keep, by default all), the fences come
-    from the counts, and the table of fences is written so that its true size
-    decides how it is joined.
+    ``carry``: the document columns to return, by default all. They are written
+    with the counts in the shared folder, so that texts are read once; without
+    ``keep_counts`` nothing as large as the texts is written, and texts are counted
+    twice. The table of fences is written so that its true size decides how it is
+    joined.
     """
     carried = [c for c in (docs.columns if carry is None else carry) if c not in COUNTS]
-    counted = materialize(document_counts(docs, text_col).select(*map(named, carried), *COUNTS))
+    counted = document_counts(docs, text_col).select(*map(named, carried), *COUNTS)
+    # Counts are not to be worked out again inside a filter on them: a written table, or
+    # a node that filters are not moved below, stands between.
+    counted = materialize(counted) if keep_counts else counted.observe("counted", F.count(F.lit(1)).alias("documents"))
     limits = materialize(fences(counted, lang_col, source_col))
     return judge(counted, limits, lang_col, source_col)
