@@ -11,8 +11,8 @@ head when the stream is used up.
 
 Scale: only one row per source passes through a single task (targets, awards).
 The place of a document in its source's stream is the sum of whole slices of the
-stream before it plus a running sum within its slice; a source is cut into
-``SLICES`` slices, so a source with a third of all rows is spread like the rest.
+stream before it plus a running sum within its slice; a source is cut into 4096
+slices, so a source with a third of all rows is spread like the rest.
 
 Defined results: a null text has no words and is never taken; null sources form
 one source, ranked last; repeated rows are documents of their own; no rows give
@@ -184,14 +184,3 @@ def mix(
 def taken(draws: Column) -> Column:
     """Words taken in all passes."""
     return F.aggregate(draws, F.lit(0).cast("long"), lambda n, d: n + d["words"])
-
-
-def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """The mix as documents: one row for each pass that takes at least half of a document.
-
-    Same columns as the input. Cutting whole documents leaves each source within
-    half a document of its quota, plus the same for every output shard.
-    """
-    drawn = mix(docs, **options).withColumn("__draw", F.explode("draws"))
-    whole = drawn.where(2 * F.col("__draw.words") >= F.col("size"))
-    return whole.select(*[named(c) for c in docs.columns])
