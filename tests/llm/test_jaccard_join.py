@@ -56,6 +56,16 @@ def test_clusters_in_parts(spark, monkeypatch):
     assert got == plain_components(messy_rows(3))
 
 
+@pytest.mark.parametrize("cluster", [4, 4000])
+def test_every_link(spark, monkeypatch, cluster):
+    """All links between different sets, each once."""
+    monkeypatch.setattr(jaccard_join, "CLUSTER", cluster)
+    classes = jaccard_join.shingle_classes(messy(spark, 6), "doc_id", "text")
+    links = jaccard_join.similar_links(jaccard_join.candidate_sets(classes), every=True).collect()
+    sets = list({frozenset(plain_set(r[1])) for r in messy_rows(6)})
+    assert len(links) == len(set(links)) == sum(similar(a, b) for a, b in combinations(sets, 2)) > 10
+
+
 def test_every_link_in_a_trie():
     rng = np.random.default_rng(5)
     base = [np.unique(rng.integers(0, 60, 25)) for _ in range(6)]

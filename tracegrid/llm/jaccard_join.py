@@ -136,8 +136,16 @@ def _shared(batches: Iterator[pa.RecordBatch], packs: int, schema: pa.Schema) ->
     tokens = _joined(parts["tokens"], "<u8")
     if not len(tokens):
         return
-    keys, sizes = _unpacked(parts)
-    del parts
+    # Most tokens stand alone: only the others are given their classes.
+    order = np.argsort(tokens)
+    tokens = tokens[order]
+    again = tokens[1:] == tokens[:-1]
+    several = np.append(again, False) | np.append(False, again)
+    tokens, order = tokens[several], order[several]
+    counts = _joined(parts["counts"], "<i4")
+    owner = np.repeat(np.arange(len(counts), dtype=np.int32), counts)[order]
+    keys, sizes = _joined(parts["keys"], "<i8")[owner], _joined(parts["sizes"], "<i4")[owner]
+    del parts, order, owner
     order = np.lexsort((keys, tokens))
     tokens, keys, sizes = tokens[order], keys[order], sizes[order]
     new = np.ones(len(tokens), dtype=bool)
@@ -342,7 +350,9 @@ def similar_links(sets: DataFrame, num: int = NUM, den: int = DEN, every: bool =
             .where("lo < hi")
         )
         rest = rest.join(open_clusters, F.col("component") == F.col("cluster"), "left_semi")
-    return links.unionByName(materialize(_task_links(rest.select(*columns), num, den, every)))
+    both = links.unionByName(materialize(_task_links(rest.select(*columns), num, den, every)))
+    # Part 0 meets itself once per part.
+    return both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct() if every else both
 
 
 def shingle_classes(docs: DataFrame, id_col: str, text_col: str, width: int = WIDTH) -> DataFrame:
@@ -358,16 +368,19 @@ def shingle_classes(docs: DataFrame, id_col: str, text_col: str, width: int = WI
     return materialize(dealt.mapInArrow(lambda b: _shared(b, packs, shared), out))
 
 
+def candidate_sets(classes: DataFrame, num: int = NUM, den: int = DEN) -> DataFrame:
+    """The classes that share enough tokens to have a similar one: ``key``, ``n``, ``tokens``, ``held``."""
+    packs = classes.where(F.col("key").isNull()).select("pack", *PACKED).repartition(_shuffles(classes), "pack")
+    return materialize(packs.mapInArrow(lambda b: _sets(b, num, den), "key bigint, n int, tokens binary, held binary"))
+
+
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, num: int = NUM, den: int = DEN
 ) -> DataFrame:
     """One row per document: its id, ``n_shingles`` and ``component_id``."""
     both = shingle_classes(docs, id_col, text_col, width)
     texts = both.where(F.col("key").isNotNull()).select("id", "key", "n")
-    packs = both.where(F.col("key").isNull()).select("pack", *PACKED).repartition(_shuffles(docs), "pack")
-    schema = "key bigint, n int, tokens binary, held binary"
-    sets = materialize(packs.mapInArrow(lambda b: _sets(b, num, den), schema))
-    linked = components(similar_links(sets, num, den)).select(F.col("node").alias("key"), "component")
+    linked = components(similar_links(candidate_sets(both, num, den), num, den)).select(F.col("node").alias("key"), "component")
     classes = texts.where("n > 0").groupBy("key").agg(F.min("id").alias("least"))
     named_classes = classes.join(linked, "key", "left").withColumn("component", F.coalesce("component", "key"))
     smallest = named_classes.groupBy("component").agg(F.min("least").alias("component_id"))
