@@ -45,9 +45,12 @@ def by_quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def by_quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier, learned from the labels of the documents here, takes for good ones."""
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    scored = quality_scores(_beside(docs, "doc_id", "text"), labels, carry=["__doc"], keep_stats=False)
+    """Documents that the classifier takes for good ones.
+
+    It learns from the labelled rows of the whole table: the rules before it leave few bad ones.
+    """
+    table, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    scored = quality_scores(_beside(docs, "doc_id", "text"), labels, carry=["__doc"], keep_stats=False, learn_from=table)
     return _documents(scored, F.col("predicted") == 1)
 
 

@@ -87,3 +87,15 @@ def test_mix_stage(spark, docs):
     largest = max(len(words(r.text)) for r in docs.collect())
     for s, t in target.items():
         assert abs(taken.get(s, 0) - t) <= largest / 2 + 2
+
+
+def test_classifier_stage_without_bad_labels(spark, docs, tmp_path):
+    """Bad documents go even where none of those that reach the stage is labelled as bad."""
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    bad = docs.join(labels.where("quality = 0"), "doc_id").select(docs.columns)
+    good = docs.join(labels.where("quality = 1"), "doc_id").select(docs.columns)
+    path = str(tmp_path / "d")
+    bad.withColumn("doc_id", F.col("doc_id") + 10**9).unionByName(good).write.parquet(path)
+    kept = {r.doc_id for r in pipeline.by_quality_classifier(spark, spark.read.parquet(path), SF).select("doc_id").collect()}
+    left = sum(i >= 10**9 for i in kept)
+    assert bad.count() >= 10 and left <= 0.2 * bad.count() and len(kept) - left >= 0.8 * good.count()

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.llm.helpers import clashing, empty, messy, messy_rows, messy_texts
-from tracegrid.llm.quality_classifier import TEMPERATURE, TO_IDENTITY, TO_POOLED, fit, quality_scores
+from tracegrid.llm.quality_classifier import TEMPERATURE, THRESHOLD, TO_IDENTITY, TO_POOLED, fit, quality_scores
 from tracegrid.llm.text_stats import FEATURES, text_features
 
 SF = "/root/testdata/sf0.01"
@@ -64,3 +64,15 @@ def test_edges(spark):
     named = quality_scores(clashing(spark), labels, carry=["n.words", "kept", "id"])
     assert named.columns == ["doc_id", "n.words", "kept", "id", "held_out", "score", "predicted"]
     assert named.count() == len(messy_rows(1, 60))
+
+
+def test_few_rows_of_a_class(spark):
+    """From one row of each class on the model tells classes apart; more rows change it little by little."""
+    rng = np.random.default_rng(5)
+    n = len(FEATURES)
+    test = [rng.normal(3 * y, 1, (200, n)) for y in (0, 1)]
+    for bad, good in ((1, 1), (1, 500), (n - 1, 500), (n, 500), (n + 1, 500), (6, 6)):
+        rows = [(y, [float(v) for v in r]) for y, k in ((0, bad), (1, good)) for r in rng.normal(3 * y, 1, (k, n))]
+        model = fit(spark.createDataFrame(rows, "y int, f array<double>"), "y", "f")
+        right = [(model.score(test[y]) >= THRESHOLD) == bool(y) for y in (0, 1)]
+        assert min(r.mean() for r in right) >= 0.9, (bad, good)

@@ -2,8 +2,8 @@
 
 Each document becomes a row of transformed statistics (``text_stats``). Of each
 class the mean and the covariance are learned; covariances are shrunk towards the
-pooled one and towards a multiple of the identity, so that they can be factored
-whatever the class looks like. A score is the difference of the classes' Mahalanobis
+pooled one and towards a multiple of the identity, the more the fewer rows there are,
+so that they can be factored whatever the class looks like. A score is the difference of the classes' Mahalanobis
 log densities, from Cholesky factors that are worked out once, plus the difference
 of the log priors, flattened by a temperature, as a probability.
 
@@ -36,6 +36,8 @@ from tracegrid.operators.storage import materialize
 # Shrinkage of a class's covariance: towards the pooled one, then towards the identity.
 TO_POOLED = 0.3
 TO_IDENTITY = 0.05
+# Rows per statistic from which the shrinkage stays as above; with fewer it grows as they get fewer.
+ENOUGH = 4
 # Densities of many related statistics are overconfident: log odds are divided by this.
 TEMPERATURE = 4.0
 THRESHOLD = 0.3
@@ -90,6 +92,10 @@ class Discriminant:
         return 1 / (1 + np.exp(-np.clip(self.log_odds(x) / TEMPERATURE, -40, 40)))
 
 
+def _shrinkage(least: float, rows: int) -> float:
+    return min(1.0, least * max(1.0, ENOUGH * len(FEATURES) / rows))
+
+
 def fit(rows: DataFrame, label_col: str, features_col: str = "features") -> Discriminant:
     """Learn from all rows whose label is 0 or 1: one aggregate, combined before the shuffle."""
     n = len(FEATURES)
@@ -102,8 +108,8 @@ def fit(rows: DataFrame, label_col: str, features_col: str = "features") -> Disc
     )
     found = {r.y: r for r in sums.collect()}  # two rows at most
     counts = {y: found[y].n if y in found else 0 for y in (0, 1)}
-    if min(counts.values()) <= n:
-        total = sum(counts.values())
+    total = counts[0] + counts[1]
+    if not min(counts.values()):
         return Discriminant(np.zeros(n), np.ones(n), flat=counts[1] / total if total else 0.5)
     means, covariances = [], []
     for y in (0, 1):
@@ -113,14 +119,18 @@ def fit(rows: DataFrame, label_col: str, features_col: str = "features") -> Disc
             second[i, j] = second[j, i] = v / counts[y]
         means.append(mean)
         covariances.append(second - np.outer(mean, mean))
-    total = counts[0] + counts[1]
+    to_identity = _shrinkage(TO_IDENTITY, total)
+    few = to_identity - TO_IDENTITY
     pooled = sum(counts[y] * covariances[y] for y in (0, 1)) / total
     centre = sum(counts[y] * means[y] for y in (0, 1)) / total
-    scale = np.sqrt(np.maximum(np.diag(pooled), 1e-9))
+    # A few rows may agree in a statistic by chance: they get some of the spread between the classes.
+    pooled = pooled + few * np.diag((means[1] - means[0]) ** 2 / 4)
+    scale = np.sqrt(np.maximum(np.diag(pooled), 1e-9 + few * 1e-4))
     factors, offsets = [], []
     for y in (0, 1):
-        shrunk = ((1 - TO_POOLED) * covariances[y] + TO_POOLED * pooled) / np.outer(scale, scale)
-        shrunk = (1 - TO_IDENTITY) * shrunk + TO_IDENTITY * np.eye(n) * max(np.trace(shrunk) / n, 1e-6)
+        to_pooled = _shrinkage(TO_POOLED, counts[y])
+        shrunk = ((1 - to_pooled) * covariances[y] + to_pooled * pooled) / np.outer(scale, scale)
+        shrunk = (1 - to_identity) * shrunk + to_identity * np.eye(n) * max(np.trace(shrunk) / n, 1e-6)
         lower = np.linalg.cholesky(shrunk)
         factors.append(np.linalg.inv(lower))
         offsets.append(float(np.log(counts[y] / total) - np.log(np.diag(lower)).sum()))
@@ -151,18 +161,23 @@ def quality_scores(
     fold: int = 0,
     carry: Sequence[str] = (),
     keep_stats: bool = True,
+    learn_from: DataFrame | None = None,
 ) -> DataFrame:
     """The id and the ``carry`` columns of each document with ``held_out``, ``score`` and ``predicted``.
 
     Those columns are written with the statistics in the shared folder, so that
     texts are read once; without ``keep_stats`` only ids and statistics are, and
-    texts are read again to be scored.
+    texts are read again to be scored. The model learns from the labelled rows of
+    ``learn_from``, by default of ``docs``.
     """
     carried = [c for c in dict.fromkeys([id_col, *carry]) if c not in ("held_out", "score", "predicted")]
-    stats = materialize(with_features(docs, carried if keep_stats else [id_col], text_col, "__features"))
+    stats = materialize(with_features(docs, carried, text_col, "__features")) if keep_stats else None
+    seen = stats
+    if learn_from is not None or not keep_stats:
+        seen = materialize(with_features(docs if learn_from is None else learn_from, [id_col], text_col, "__features"))
     out = held_out(named(id_col), folds, fold)
     known = labels.select(named(id_col).alias("__id"), named(label_col).alias("__label"))
-    learned = stats.where(~out).select(named(id_col).alias("__own"), "__features").join(known, F.col("__own") == F.col("__id"))
+    learned = seen.where(~out).select(named(id_col).alias("__own"), "__features").join(known, F.col("__own") == F.col("__id"))
     model = fit(learned, "__label", "__features")
     rows = stats if keep_stats else with_features(docs, carried, text_col, "__features")
     scored = with_score(rows, model, "__features", "score")
