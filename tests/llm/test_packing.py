@@ -3,6 +3,8 @@ import random
 from pyspark.sql import functions as F
 
 from tests.llm.helpers import DOCS, clashing, empty, messy, messy_rows, words
+from tests.llm.test_jaccard_join import plain_set, similar
+from tracegrid.llm import queries
 from tracegrid.llm.packing import best_fit, pack
 
 
@@ -81,3 +83,25 @@ def test_edges(spark):
     assert best_fit(clashing(spark)).select("doc_id").distinct().count() == len({r[0] for r in messy_rows(1, 60)})
     none = best_fit(messy(spark).where("text is null or trim(text) = ''")).where(F.col("bin").isNotNull())
     assert none.where("n_words = 0").count() == 0
+
+
+def test_near_copies_never_share_a_bin(spark, tmp_path):
+    rng = random.Random(11)
+    rows, base = [], []
+    for i in range(160):
+        if i % 4 == 0:
+            base = [f"w{rng.randrange(500)}" for _ in range(60)]
+        text = [*base[:-1], f"last{i}"]  # near copies, no equal ones
+        rows.append((i, " ".join(text), "en", [None, f"s{i}"][i % 2], 1))
+    rows += rows[8:12] + [(8, "another text of the same id", "en", None, 1), (None, rows[0][1], "en", None, 1)]
+    spark.createDataFrame(rows, DOCS).write.parquet(str(tmp_path / "documents.parquet"))
+    pieces = queries.QUERIES["op9_best_fit_packing"](spark, str(tmp_path)).collect()
+    assert len(pieces) == len(rows)
+    texts = {}
+    for r in rows:
+        texts.setdefault((r[0], len(words(r[1]))), plain_set(r[1]))
+    bins = {}
+    for p in pieces:
+        bins.setdefault(p.bin, []).append(texts[p.doc_id, p.n_words])
+    assert not any(similar(a, b) for own in bins.values() for i, a in enumerate(own) for b in own[:i])
+    assert max(map(len, bins.values())) > 1

@@ -10,7 +10,8 @@ bin fills whole bins alone; what is left over is packed like any other piece.
 
 Scale: documents are dealt at random to groups of about ``GROUP`` and each group is
 packed by itself: a task holds a few thousand narrow rows whatever the corpus, and
-a source or cluster with a third of all rows is spread over all groups.
+a source or cluster with a third of all rows is spread over all groups. Clusters of
+near copies are worked out over the whole corpus and meet narrow rows without texts.
 
 Defined results: a document without words has one row without a bin; a null source
 or cluster conflicts with nothing; repeated rows are documents of their own (and of
@@ -27,6 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracegrid.functions.text import named
+from tracegrid.llm.jaccard_join import near_duplicates
 from tracegrid.llm.words import word_count
 
 CAPACITY = 2048
@@ -96,17 +98,31 @@ def _pack_group(table: pa.Table, capacity: int) -> pa.Table:
     )
 
 
+def _text_key(id_col: str, text_col: str) -> Column:
+    """A document's id and the hash of its text: the same in every scan, and equal for equal texts only."""
+    return F.struct(named(id_col).alias("id"), F.xxhash64(named(text_col)).alias("text"))
+
+
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The cluster of near copies of each distinct ``key`` (id and text)."""
+    keyed = docs.select(_text_key(id_col, text_col).alias("key"), named(text_col).alias("text"))
+    found = near_duplicates(keyed, "key", "text")
+    return found.groupBy("key").agg(F.min(F.xxhash64("component_id")).alias("cluster"))
+
+
 def best_fit(
     docs: DataFrame,
     id_col: str = "doc_id",
     text_col: str = "text",
     source_col: str = "source",
     cluster: Column | None = None,
+    copies: DataFrame | None = None,
     capacity: int = CAPACITY,
 ) -> DataFrame:
     """One row per piece: the document's id, ``piece``, ``from_word``, ``n_words``, ``bin``, ``place`` (words before it).
 
-    ``cluster`` tells duplicates apart; by default equal texts form one.
+    ``cluster`` tells duplicates apart; by default equal texts form one. ``copies``
+    (``near_copies``) gives the clusters instead.
     """
     cluster = F.xxhash64(named(text_col)) if cluster is None else cluster
     groups = max(1, -(-docs.count() // GROUP))
@@ -117,7 +133,10 @@ def best_fit(
         F.when(named(text_col).isNotNull(), cluster).alias("cluster"),
         word_count(named(text_col)).alias("size"),
         drawn.alias("drawn"),
+        *([] if copies is None else [_text_key(id_col, text_col).alias("key")]),
     ).withColumn("group", F.pmod("drawn", F.lit(groups)).cast("long"))
+    if copies is not None:
+        rows = rows.drop("cluster").join(copies, "key", "left").select("id", "source", "cluster", "size", "drawn", "group")
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"id {kind}, piece int, from_word bigint, n_words bigint, bin bigint, place bigint"
     packed = rows.groupBy("group").applyInArrow(lambda t: _pack_group(t, capacity), schema)

@@ -11,7 +11,7 @@ from tracegrid.llm import sql
 from tracegrid.llm.bit_sliced import top_k
 from tracegrid.llm.jaccard_join import near_duplicates
 from tracegrid.llm.mixing import mix, taken
-from tracegrid.llm.packing import best_fit
+from tracegrid.llm.packing import best_fit, near_copies
 from tracegrid.llm.quality_classifier import held_out, quality_scores
 from tracegrid.llm.quality_rules import quality_rules
 from tracegrid.llm.sharding import shard_by_bytes
@@ -106,8 +106,9 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op9_best_fit_packing")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bin and place of every piece of every document."""
-    return best_fit(table(spark, sf_dir, "documents"))
+    """Bin and place of every piece of every document; near copies never share a bin."""
+    docs = table(spark, sf_dir, "documents")
+    return best_fit(docs, copies=near_copies(docs))
 
 
 @query("op10_toxicity")
