@@ -6,7 +6,7 @@ All stages but the last return the columns of ``docs`` as they came, whatever th
 are called: a document travels as one struct beside what a stage works out.
 
 No stage needs ids to be unique or filled: the near-duplicate stage, the only one
-that looks documents up again, tells rows apart by their place in the Parquet files
+that looks documents up again, tells rows apart by file and row in the Parquet files
 it reads. Documents without words are removed by the quality rules. The two quality
 stages read texts twice rather than write them a second time.
 """
@@ -15,6 +15,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,6 +35,20 @@ def _beside(docs: DataFrame, *columns: str) -> DataFrame:
     return docs.select(F.struct(*map(named, docs.columns)).alias("__doc"), *map(named, columns))
 
 
+def _placed(docs: DataFrame) -> DataFrame:
+    """The documents with ``__row``: file and row in it, the same in every scan however files are split.
+
+    Documents that are not read straight from files are written first.
+    """
+    try:
+        place = docs.metadataColumn("_metadata")
+    except AnalysisException:
+        docs = materialize(docs)
+        place = docs.metadataColumn("_metadata")
+    row = F.struct(F.xxhash64(place["file_path"]).alias("file"), place["row_index"].alias("at"))
+    return docs.select(F.struct(*map(named, docs.columns)).alias("__doc"), named("doc_id"), named("text"), row.alias("__row"))
+
+
 def _documents(rows: DataFrame, keep: Column) -> DataFrame:
     return rows.where(keep).select("__doc.*")
 
@@ -56,7 +71,7 @@ def by_quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies the document with the smallest id."""
-    rows = _beside(docs, "doc_id", "text").withColumn("__row", F.monotonically_increasing_id())
+    rows = _placed(docs)
     found = near_duplicates(rows.select(F.struct("doc_id", "__row").alias("id"), "text"), "id")
     others = materialize(found.where(F.col("id") != F.col("component_id")).select(F.col("id.__row").alias("__other")))
     return _documents(rows.join(others, F.col("__row") == F.col("__other"), "left_anti"), F.lit(True))

@@ -99,3 +99,22 @@ def test_classifier_stage_without_bad_labels(spark, docs, tmp_path):
     kept = {r.doc_id for r in pipeline.by_quality_classifier(spark, spark.read.parquet(path), SF).select("doc_id").collect()}
     left = sum(i >= 10**9 for i in kept)
     assert bad.count() >= 10 and left <= 0.2 * bad.count() and len(kept) - left >= 0.8 * good.count()
+
+
+def test_groups_do_not_depend_on_splits(spark, tmp_path):
+    """Files may be dealt to tasks in another way between finding copies and removing them."""
+    path = str(tmp_path / "d")
+    messy(spark, 5).repartition(12).write.parquet(path)
+    kept = as_rows(pipeline.one_of_each_group(spark, spark.read.parquet(path), SF))
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "1g")
+        spark.conf.set("spark.sql.files.openCostInBytes", "128m")
+        stage = pipeline.one_of_each_group(spark, spark.read.parquet(path), SF)
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "2k")
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
+        assert as_rows(stage) == kept
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert as_rows(pipeline.one_of_each_group(spark, messy(spark, 5), SF)) == kept
