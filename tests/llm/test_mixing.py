@@ -101,3 +101,21 @@ def test_edges(spark):
     assert "n.words" in out.columns and out.count() == len(messy_rows(1, 60))
     plan = mix(messy(spark))._jdf.queryExecution().toString()
     assert not any(x in plan for x in ("Python", "Arrow", "Pandas", "Cartesian"))
+
+
+def test_small_sources_beside_a_huge_one(spark):
+    """Each source comes within a word of its target, however large the corpus."""
+    rows = [(i, "huge", 5_000_000) for i in range(1000)] + [(i, "large", 300_000) for i in range(1000, 1010)]
+    for s, size in enumerate([1, 2, 70, 900, 4000, 24_000, 26_000, 99_999]):
+        rows += [(2000 + 10 * s + k, f"tiny{s}", size // 2 + k * (size % 2)) for k in range(2)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, source string, words bigint")
+    mixed = mix(docs, text_col=None, size_col="words").withColumn("taken", taken("draws"))
+    found = mixed.groupBy("source").agg(F.sum("taken").alias("taken"), F.first("target").alias("target")).collect()
+    sizes = {}
+    for _, s, n in rows:
+        sizes[s] = sizes.get(s, 0) + n
+    want = plain_targets(sizes)
+    assert {r.source for r in found} == set(want)
+    for r in found:
+        assert r.target == pytest.approx(float(want[r.source]))
+        assert abs(r.taken - r.target) <= 1 + 1e-9 * r.target, r

@@ -1,6 +1,7 @@
 """Mixing sources to target weights by Sainte-Lague apportionment (native).
 
-The corpus is cut into blocks of equally many words. The blocks of the mix are
+The corpus is cut into blocks of equally many words, or into single words where a
+source is too small for such blocks. The blocks of the mix are
 awarded to sources one after another by the highest quotient target / (2k - 1),
 k being the number of the award within its source. A highest-quotient method is
 monotone in the number of awards, so the awards up to the end of output shard j
@@ -31,6 +32,8 @@ from tracegrid.llm.words import word_count
 
 # Awards in all: a target is met to within one award.
 BLOCKS = 65536
+# Blocks that the smallest target must come to; where it does not, an award is one word.
+LEAST_BLOCKS = 64
 SHARDS = 16
 MAX_EPOCHS = 3
 SEED = "mix-1"
@@ -71,9 +74,10 @@ def source_targets(
     return leveled.select("source", "size", "rank", F.coalesce(target, F.lit(0.0)).alias("target"), "cap")
 
 
-def block_quotas(targets: DataFrame, blocks: int = BLOCKS, shards: int = SHARDS) -> DataFrame:
+def block_quotas(targets: DataFrame, blocks: int = BLOCKS, shards: int = SHARDS, least_blocks: int = 0) -> DataFrame:
     """Awards up to the end of each shard: ``source``, ``size``, ``target``, ``block``, ``ends`` (words, one per shard).
 
+    Where some positive target is under ``least_blocks`` blocks, a block is one word.
     Rounding each source's exact share misses the number of awards by less than
     one per source, spread over the sources by their shares; so only the
     quotients around the exact share are compared, some four rows per source.
@@ -83,7 +87,10 @@ def block_quotas(targets: DataFrame, blocks: int = BLOCKS, shards: int = SHARDS)
         "*",
         F.sum("size").over(total).alias("total"),
         F.count("*").over(total).alias("sources"),
+        F.min(F.when(F.col("target") > 0, F.col("target"))).over(total).alias("smallest"),
     ).withColumn("block", F.greatest(F.lit(1).cast("long"), F.floor(F.col("total") / blocks)))
+    fits = F.coalesce(F.col("smallest") >= least_blocks * F.col("block"), F.lit(True))
+    base = base.withColumn("block", F.when(fits, F.col("block")).otherwise(F.lit(1).cast("long")))
     awards = F.floor(F.col("total") / F.col("block"))
     houses = base.withColumn("most", F.floor(F.col("cap") / F.col("block"))).select(
         "*", F.explode(F.sequence(F.lit(1), F.lit(shards))).alias("shard")
@@ -147,6 +154,7 @@ def mix(
         source_targets(slices.select(F.col("__source").alias("source"), F.col("__words").alias("size")), weight),
         blocks,
         shards,
+        LEAST_BLOCKS,
     )
     before = Window.partitionBy("__source").orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
     heads = slices.select(
