@@ -11,7 +11,7 @@ sys.path.insert(0, {root!r})
 from pyspark.sql import SparkSession
 spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2").getOrCreate()
 import __spark_entry__ as entry
-for name in ("op2_jaccard_join", "op4_quality_classifier", "op6_bit_sliced_top_k", "op8_token_counts", "op9_best_fit_packing", "op10_toxicity", "chunk_text", "vector_top_k"):
+for name in ("op2_jaccard_join", "op4_quality_classifier", "op6_bit_sliced_top_k", "op8_token_counts", "op9_best_fit_packing", "op10_toxicity", "op11_align_tokens", "op12_fill_in_middle", "op13_embedding_dedup", "chunk_text", "vector_top_k"):
     assert entry.queries()[name](spark, "/root/testdata/sf0.001").count(), name
 print("all ran")
 """

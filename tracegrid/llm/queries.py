@@ -8,7 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracegrid.llm import sql
+from tracegrid.llm.alignment import align_tokens
 from tracegrid.llm.bit_sliced import top_k
+from tracegrid.llm.embedding_dedup import near_duplicate_vectors
+from tracegrid.llm.fill_in_middle import fill_in_middle, restored
 from tracegrid.llm.jaccard_join import near_duplicates
 from tracegrid.llm.mixing import mix, taken
 from tracegrid.llm.packing import best_fit, near_copies
@@ -117,3 +120,31 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = held_out(F.col("doc_id"), 3, 1)
     scored = toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), ~out)
     return scored.select("doc_id", out.alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+
+
+@query("op11_align_tokens")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups and links of the tokens of two tokenizers, in every document."""
+    found = align_tokens(table(spark, sf_dir, "documents"), digest=True)
+    return found.withColumnRenamed("groups", "groups_sha256")
+
+
+@query("op12_fill_in_middle", sql.FILL_IN_MIDDLE)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text cut in prefix, middle and suffix, and put together again from the output."""
+    formed = fill_in_middle(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return formed.select(
+        "doc_id",
+        "n",
+        "form",
+        "prefix_chars",
+        "middle_chars",
+        F.sha2("output", 256).alias("output_sha256"),
+        F.sha2(restored(F.col("output"), F.col("form")), 256).alias("restored_sha256"),
+    )
+
+
+@query("op13_embedding_dedup", sql.EMBEDDING_DEDUP)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links, component and verdict of every vector."""
+    return near_duplicate_vectors(table(spark, sf_dir, "embeddings"))

@@ -175,3 +175,46 @@ select page_id, v.host, path, rule,
   coalesce(ruled, case when coalesce(share, 0) >= 0.8 then 'block' else 'allow' end) as verdict
 from v left join j using (host)
 """
+
+FILL_IN_MIDDLE = """
+with u as (
+  select doc_id, coalesce(text, '') as t, regexp_extract_all(coalesce(text, ''), '[^\\n]*\\n|[^\\n]+') as l,
+    sha256('7:' || coalesce(doc_id::varchar, '')) as x
+  from documents),
+h as (
+  select *, len(l) as n, ('0x' || x[1:8])::bigint as h1, ('0x' || x[9:16])::bigint as h2,
+    ('0x' || x[17:24])::bigint as h3, ('0x' || x[25:32])::bigint as h4 from u),
+f as (
+  select *, least(h1 % (n + 1), h2 % (n + 1)) as a, greatest(h1 % (n + 1), h2 % (n + 1)) as b,
+    case when t = '' or contains(t, '<P>') or contains(t, '<S>') or contains(t, '<M>') or h3 % 100 >= 100 then 'plain'
+      when h4 % 100 < 50 then 'spm' else 'psm' end as form from h),
+c as (
+  select *, array_to_string(l[1:a], '') as p, array_to_string(l[a + 1:b], '') as m, array_to_string(l[b + 1:], '') as s
+  from f)
+select doc_id, n::bigint as n, form,
+  case when form <> 'plain' then length(p)::bigint end as prefix_chars,
+  case when form <> 'plain' then length(m)::bigint end as middle_chars,
+  sha256(case form when 'plain' then t when 'psm' then '<P>' || p || '<S>' || s || '<M>' || m
+    else '<S>' || s || '<P>' || p || '<M>' || m end) as output_sha256,
+  sha256(t) as restored_sha256
+from c
+"""
+
+EMBEDDING_DEDUP = """
+with recursive v as (
+  select row_number() over () as r, vec_id, embedding::double[] as e from embeddings),
+u as (
+  select r, vec_id, case when len(e) > 0 and len([x for x in e if x is null or not isfinite(x)]) = 0
+    and len([x for x in e if x <> 0]) > 0 then [x / list_max([abs(y) for y in e]) for x in e] end as e
+  from v),
+p as (
+  select a.r as a, b.r as b from u a join u b on a.r <> b.r and len(a.e) = len(b.e)
+  where list_cosine_similarity(a.e, b.e) >= 0.9),
+w as (
+  select r as a, r as b from u union select w.a, p.b from w join p on w.b = p.a),
+n as (select a, count(*) as n from p group by a)
+select u.vec_id, coalesce(any_value(n.n), 0)::bigint as n_links, min(o.vec_id) as component_id,
+  u.vec_id is not distinct from min(o.vec_id) as kept
+from u join w on w.a = u.r join u o on o.r = w.b left join n on n.a = u.r
+group by u.r, u.vec_id
+"""
