@@ -18,8 +18,8 @@ become ranges of ranks, and collisions are counted pair by pair. A pair that mee
 several cells belongs to the first.
 
 Scale: equal vectors form one class and go on as one row with its number of copies,
-so copies cost nothing further. A cell is one task; one above ``CELL`` rows is dealt in
-parts, and each pair of parts is a task. No pairs leave a task: it returns how many
+so copies cost nothing further. A cell is one task; one far above ``CELL`` rows is dealt
+in parts, and each pair of parts is a task. No pairs leave a task: it returns how many
 vectors each of its own is linked with, and edges enough to connect what is linked.
 
 Found links are exact (none below the threshold); a link is missed with probability
@@ -50,8 +50,9 @@ SEED = 13
 PROJECTIONS = 48
 WINDOW, STRIP = 1.5, 5.0
 COUNT_RECALL, CELL_RECALL = 0.998, 0.99
-# Rows that a cell is meant to have, and above which it is dealt in parts.
-CELL = 8192
+# Rows that a cell is meant to have; one with more than some times as many is dealt in parts.
+CELL = 2048
+LARGE = 4
 # Pairs whose counts are held at a time, and pairs verified at a time.
 COUNTED, VERIFIED = 1 << 22, 1 << 15
 
@@ -243,9 +244,10 @@ def near_duplicate_vectors(
     grouped = rows.where("hash is not null").groupBy("hash", "vector").agg(F.count("*").alias("copies"), F.min("id").alias("least"))
     classes = materialize(grouped.mapInArrow(placed, schema).withColumn("key", F.monotonically_increasing_id()))
 
+    most = LARGE * cell
     # Cells of one class have nothing to join; large ones are dealt in parts that meet in pairs.
     sizes = classes.select(F.explode("cells").alias("cell")).groupBy("cell").agg(F.count("*").alias("rows")).where("rows > 1")
-    sizes = sizes.select("cell", F.when(F.col("rows") > cell, F.ceil(2 * F.col("rows") / cell)).otherwise(1).cast("int").alias("parts"))
+    sizes = sizes.select("cell", F.when(F.col("rows") > most, F.ceil(2 * F.col("rows") / most)).otherwise(1).cast("int").alias("parts"))
     dealt = classes.select("key", "copies", "vector", "cells", F.posexplode("cells").alias("table", "cell")).join(sizes, "cell")
     dealt = dealt.withColumn("part", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int"))
     dealt = dealt.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
