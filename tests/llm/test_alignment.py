@@ -1,5 +1,6 @@
 import bisect
 import hashlib
+import random
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -10,7 +11,7 @@ from tokenizers import Tokenizer
 from tests.llm.helpers import clashing, empty, messy, messy_rows
 from tracegrid.llm.alignment import BYTE_BPE, PIECE_BPE, align_tokens, common_and_links, gallop
 from tracegrid.llm.queries import QUERIES
-from tracegrid.llm.tokenizer_files import byte_bpe, piece_bpe
+from tracegrid.llm.tokenizer_files import by_words, byte_bpe, piece_bpe
 
 ODD = ["a▁b", "<|endoftext|> x <s> y </s> <unk> <0x41>", "  two  spaces \n\n tab\t", "日本語 Ünïcödé 🦆🦆", " ", "\n", "'s 've I'll", "\x00\x1f​", "क्षि ١٢٣"]
 
@@ -115,12 +116,35 @@ def test_gallop(seed):
     assert len(x) == len(np.union1d(a, b))
 
 
-def test_ids_equal_those_of_the_tokenizer():
+def test_ids_equal_those_of_the_tokenizers():
     model = Tokenizer.from_file(BYTE_BPE)
     model.encode_special_tokens = True
+    pieces_model = SentencePieceProcessor(model_file=PIECE_BPE)
     encode, pieces = byte_bpe(BYTE_BPE)
-    texts = [t or "" for t in [r[1] for r in messy_rows(5)] + ODD] + [" " * 5000, "x" * 5000, "é" * 3000 + "  "]
-    for text, ids in zip(texts, encode(texts)):
-        assert ids.tolist() == model.encode(text, add_special_tokens=False).ids
-        assert b"".join(pieces[i] for i in ids) == text.encode()
+    rng = random.Random(3)
+    letters = [" ", " ", "\n", "\t", "\r\n", "a", "bc", "Über", "日本", "▁", "\x1c", "\x85", "\u3000", "'s", "12", "<s>", "!", "🦆", "<0x0A>"]
+    texts = [r[1] or "" for r in messy_rows(5)] + ODD + [" " * 5000, "x" * 5000, "é" * 3000 + "  "]
+    texts += ["".join(rng.choice(letters) for _ in range(rng.randint(0, 12))) for _ in range(20_000)]
+    for lead in ("", " "):
+        some = [lead + t for t in texts]
+        for text, ids, want in zip(some, encode(some), model.encode_batch(some, add_special_tokens=False)):
+            assert ids.tolist() == want.ids, text
+            assert b"".join(pieces[i] for i in ids) == text.encode()
+    for text, ids, want in zip(texts, piece_bpe(PIECE_BPE)[0](texts), pieces_model.encode(texts)):
+        assert ids.tolist() == want, text
     assert piece_bpe(PIECE_BPE)[1][3:5] == [b"\x00", b"\x01"]
+
+
+def test_words_are_looked_up_and_forgotten():
+    asked = []
+
+    def spaced(texts):
+        asked.append(list(texts))
+        return [list(t.encode()) for t in texts]
+
+    encode = by_words(spaced, most=4)
+    assert [len(x) for x in encode(["ab cd", "ab\n cd", "cd  ab", ""])] == [4, 5, 6, 0]
+    assert sorted(asked[0]) == ["ab", "ab\n", "cd"] and asked[1] == ["cd  ab", ""]
+    encode(["ab x y z"])
+    assert sorted(asked[2]) == ["ab", "x", "y", "z"]
+    assert [x.tolist() for x in by_words(spaced, apart=False)(["a b", "a b"])] == [[97, 32, 98]] * 2
