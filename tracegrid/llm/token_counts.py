@@ -20,7 +20,6 @@ documents of their own; no rows give no rows.
 
 from __future__ import annotations
 
-import os
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,6 +31,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from tracegrid.functions.text import named
+from tracegrid.llm.tokenizer_files import byte_bpe
 from tracegrid.operators.storage import materialize
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
@@ -42,20 +42,6 @@ BLOCK_TOKENS = 1 << 18
 STRETCH = 4096
 
 
-# Tokenizers loaded in this process, by path.
-LOADED: dict[str, object] = {}
-
-
-def _tokenizer(path: str):
-    if path not in LOADED:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a task per core already
-        from tokenizers import Tokenizer
-
-        LOADED[path] = Tokenizer.from_file(path)
-        LOADED[path].encode_special_tokens = True  # a separator's name in a text is ordinary text
-    return LOADED[path]
-
-
 def write_token_stream(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -76,12 +62,11 @@ def write_token_stream(
     size = block_tokens * token_bytes
     dtype = f"<u{token_bytes}"
 
-    def tokens_of(texts: list[str | None]) -> bytes:
-        encoded = _tokenizer(tokenizer).encode_batch_fast([t or "" for t in texts], add_special_tokens=False)
-        return b"".join(np.asarray([*e.ids, end], dtype=dtype).tobytes() for e in encoded)
+    closing = np.array([end], dtype=dtype).tobytes()
 
     def files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, block, doc, left = TaskContext.get().partitionId(), 0, 0, b""
+        encode, _ = byte_bpe(tokenizer)
 
         def cut(data: bytes) -> pa.RecordBatch:
             row = [pa.array([x], f.type) for x, f in zip((number, block, data, None, None), arrow, strict=True)]
@@ -95,7 +80,8 @@ def write_token_stream(
             yield pa.RecordBatch.from_arrays([numbers, none, pa.nulls(n, pa.binary()), docs_here, batch.column(0)], schema=arrow)
             doc += n
             for i in range(0, n, 64):
-                left += tokens_of(batch.column(1).slice(i, 64).to_pylist())
+                texts = [t or "" for t in batch.column(1).slice(i, 64).to_pylist()]
+                left = b"".join([left, *(x for ids in encode(texts) for x in (ids.astype(dtype).tobytes(), closing))])
                 while len(left) >= size:
                     yield cut(left[:size])
                     block, left = block + 1, left[size:]
