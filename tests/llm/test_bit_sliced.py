@@ -33,7 +33,6 @@ def rows_of(n, width, seed, ties=False):
 @pytest.mark.parametrize("ties", [False, True])
 def test_brute_force(spark, monkeypatch, ties):
     monkeypatch.setattr(bit_sliced, "BLOCK_ROWS", 70)
-    monkeypatch.setattr(bit_sliced, "CHUNK_QUERIES", 10)
     rows = rows_of(300, 9, 3, ties)
     got = top_k(spark.createDataFrame(rows, VECTORS), F.col("vec_id") % 5 == 0, 7).collect()
     assert {tuple(r) for r in got} == plain(rows, 7, 5)
@@ -52,6 +51,26 @@ def test_edges(spark):
     assert top_k(spark.createDataFrame([], VECTORS), F.col("vec_id") % 5 == 0).count() == 0
 
 
+def test_large_components(spark):
+    """Exact far beyond any usual component; refused where 64 bits would not do."""
+    rows = [(0, [1.0, 0.0], 0), (1, [300_000.0, 0.0], 0), (2, [270_000.0, 0.0], 0), (3, [-1.5e7, 2e7], 0), (5, [2e7, 1.9e7], 0)]
+    frame = spark.createDataFrame(rows, VECTORS)
+    got = {tuple(r) for r in top_k(frame, F.col("vec_id") % 5 == 0, 4).collect()}
+    assert got == plain(rows, 4, 5)
+    assert (0, 2, 1, 1_228_800_000) in got and (0, 3, 2, 1_105_920_000) in got
+    with pytest.raises(ValueError, match="64 bits"):
+        top_k(spark.createDataFrame([*rows, (6, [3e38, 1.0], 0)], VECTORS), F.col("vec_id") == 0)
+
+
+def test_rows_move_once(spark, monkeypatch):
+    """Every row is dealt to one block; only queries are copied."""
+    monkeypatch.setattr(bit_sliced, "BLOCK_ROWS", 50)
+    found = top_k(spark.createDataFrame(rows_of(400, 4, 7), VECTORS), F.col("vec_id") % 20 == 0, 3)
+    plan = found._jdf.queryExecution().toString()
+    assert plan.count("explode(") > 0 and "FlatMapCoGroups" not in plan
+    assert {tuple(r) for r in found.collect()} == plain(rows_of(400, 4, 7), 3, 20)
+
+
 def test_repeated_rows(spark):
     """Rows of a query's own id are no candidates; other repeated rows count one by one."""
     rows = rows_of(12, 3, 2) + [(11, rows_of(12, 3, 2)[11][1], 0)] * 30

@@ -9,14 +9,14 @@ weight are summed by full adders, three bitmaps at a time, 64 rows a word. The
 result is again bit-sliced, and the best rows are found from the highest slice
 down; rows that tie at the boundary are resolved exactly, by score and then id.
 
-Scale: a task holds one block of rows and one chunk of queries, both bounded.
-Blocks meet chunks by an equal join on generated numbers; each block keeps its
-own ``k`` best per query, and only those are shuffled again.
+Scale: rows are dealt to blocks of bounded size and move once; a task builds the
+index of its block and then takes the queries as they come, a batch at a time. Each
+block keeps its own ``k`` best per query, and only those are shuffled again.
 
 Defined results: vectors that are null or hold a null or non-finite component
-take no part; only vectors of equal width are compared; components beyond
-+-2**24 after scaling count as that; a row is no candidate for a query of its
-own id; equal queries are answered once; no rows give no rows.
+take no part; only vectors of equal width are compared; a row is no candidate for a
+query of its own id; equal queries are answered once; no rows give no rows. Scores
+are exact: vectors so long that an inner product might not fit in 64 bits are an error.
 """
 
 from __future__ import annotations
@@ -32,9 +32,9 @@ from pyspark.sql import functions as F
 from tracegrid.functions.text import named
 
 SCALE = 64
-LIMIT = 1 << 24
-BLOCK_ROWS = 32768
-CHUNK_QUERIES = 512
+# No inner product of vectors of at most this squared length leaves 64 bits, nor a component 32.
+LONGEST = float(1 << 62)
+BLOCK_ROWS = 16384
 
 
 class Slices:
@@ -108,73 +108,101 @@ class Slices:
         return self.rows_of(sure), self.rows_of(tied)
 
 
-def block_best(ids: np.ndarray, rows: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int) -> Iterator[tuple]:
-    """For each query: (its position, ids, scores) of its k best rows of the block, ties to the smaller id."""
-    index = Slices(rows)
-    place = {}
-    for i, x in enumerate(ids.tolist()):
-        place.setdefault(x, []).append(i)
-    for i, (own, query) in enumerate(zip(query_ids.tolist(), queries, strict=True)):
-        among = index.all
-        if own in place:
-            mask = np.ones(index.n, np.uint8)
-            mask[place[own]] = 0
-            among = among & index.bitmap(mask)
-        sure, tied = index.best(index.score(query), k, among)
-        left = k - len(sure)
-        tied = tied[np.lexsort((tied, ids[tied]))[:left]]
-        chosen = np.concatenate([sure, tied]).astype(np.int64)
-        yield i, ids[chosen], rows[chosen] @ query
-
-
-def _block(table: pa.Table, width: int) -> tuple[np.ndarray, np.ndarray]:
-    ids = table.column("id").to_numpy()
-    flat = table.column("ints").combine_chunks()
-    flat = (flat.flatten() if isinstance(flat, pa.ListArray) else pa.concat_arrays([c.flatten() for c in flat.chunks])).to_numpy()
-    return ids, flat.reshape(len(ids), width).astype(np.int64)
+class Block:
+    """The index of some rows."""
+
+    def __init__(self, ids: np.ndarray, rows: np.ndarray):
+        self.ids, self.rows, self.index = ids, rows, Slices(rows)
+        self.place: dict[int, list[int]] = {}
+        for i, x in enumerate(ids.tolist()):
+            self.place.setdefault(x, []).append(i)
+
+    def best(self, query_ids: np.ndarray, queries: np.ndarray, k: int) -> Iterator[tuple]:
+        """For each query: (its position, ids, scores) of its k best rows, ties to the smaller id."""
+        for i, (own, query) in enumerate(zip(query_ids.tolist(), queries, strict=True)):
+            among = self.index.all
+            if own in self.place:
+                mask = np.ones(self.index.n, np.uint8)
+                mask[self.place[own]] = 0
+                among = among & self.index.bitmap(mask)
+            sure, tied = self.index.best(self.index.score(query), k, among)
+            left = k - len(sure)
+            tied = tied[np.lexsort((tied, self.ids[tied]))[:left]]
+            chosen = np.concatenate([sure, tied]).astype(np.int64)
+            yield i, self.ids[chosen], self.rows[chosen] @ query
+
+
+def _scaled(vector: Column) -> Column:
+    return F.transform(vector, lambda x: F.floor(x.cast("double") * SCALE).cast("double"))
+
+
+def _fit(vector: Column) -> Column:
+    return F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) < float("inf")))
 
 
 def whole_numbers(vector: Column) -> Column:
     """floor(64 x) of each component as a double; null for a vector that takes no part."""
-    scaled = F.transform(vector, lambda x: x.cast("double") * SCALE)
-    fit = F.forall(scaled, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    held = F.transform(scaled, lambda x: F.floor(F.least(F.greatest(x, F.lit(-float(LIMIT))), F.lit(float(LIMIT)))).cast("int"))
-    return F.when(fit, held)
+    return F.when(_fit(vector), F.transform(vector, lambda x: F.floor(x.cast("double") * SCALE).cast("int")))
+
+
+def _held(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, bool, np.ndarray, np.ndarray]]:
+    """Runs of equal block and kind: ((width, block), asks, ids, vectors)."""
+    for batch in batches:
+        width, block, asks = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("width", "block", "asks"))
+        ids = batch.column("id").to_numpy()
+        new = np.flatnonzero((width[1:] != width[:-1]) | (block[1:] != block[:-1]) | (asks[1:] != asks[:-1])) + 1
+        bounds = [0, *new.tolist(), len(batch)] if len(batch) else []
+        for a, b in zip(bounds[:-1], bounds[1:]):
+            own = batch.column("ints").slice(a, b - a).flatten().to_numpy().reshape(b - a, int(width[a])).astype(np.int64)
+            yield (int(width[a]), int(block[a])), bool(asks[a]), ids[a:b], own
 
 
 def top_k(
     vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding"
 ) -> DataFrame:
     """The ``k`` best rows of each query: ``query_id``, ``rank``, the row's id, ``score``."""
-    rows = vectors.select(
-        named(id_col).cast("long").alias("id"), whole_numbers(named(vector_col)).alias("ints"), is_query.alias("asks")
+    vector = named(vector_col)
+    rows = vectors.where(named(id_col).isNotNull() & _fit(vector)).select(
+        named(id_col).cast("long").alias("id"), vector.alias("vector"), F.size(vector).alias("width"), is_query.alias("asks")
     )
-    rows = rows.where(F.col("ints").isNotNull() & F.col("id").isNotNull()).withColumn("width", F.size("ints"))
-    n, asked = rows.agg(F.count("*"), F.count_if("asks")).first()
-    blocks, chunks = max(1, -(-n // BLOCK_ROWS)), max(1, -(-asked // CHUNK_QUERIES))
-    numbers = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
+    length = F.aggregate(_scaled(F.col("vector")), F.lit(0.0), lambda a, x: a + x * x)
+    n, longest = rows.agg(F.count("*"), F.max(length)).first()
+    if longest is not None and not longest < LONGEST:
+        raise ValueError(f"vectors as long as {longest**0.5 / SCALE:g}: an inner product may not fit in 64 bits")
+    rows = rows.withColumn("ints", whole_numbers(F.col("vector"))).drop("vector")
+    blocks = max(1, -(-n // BLOCK_ROWS))
     # Rows of one id are spread too: which block a row is in doesn't change the result.
     dealt = rows.withColumn("block", F.pmod(F.xxhash64("id", F.monotonically_increasing_id()), F.lit(blocks)).cast("int"))
     queries = rows.where("asks").select("id", "ints", "width").distinct()
-    queries = queries.withColumn("chunk", F.pmod(F.xxhash64("id", "ints"), F.lit(chunks)).cast("int"))
-    left = queries.withColumn("block", numbers(blocks)).groupBy("width", "block", "chunk")
-    right = dealt.select("id", "ints", "width", "block").withColumn("chunk", numbers(chunks)).groupBy("width", "block", "chunk")
-
-    def meet(key: tuple, asks: pa.Table, held: pa.Table) -> pa.Table:
-        width = key[0].as_py()
-        out: list[list] = [[], [], [], []]
-        if len(asks) and len(held):
-            query_ids, query_rows = _block(asks, width)
-            ids, rows = _block(held, width)
-            for i, found, scores in block_best(ids, rows, query_ids, query_rows, k):
-                out[0].append(np.full(len(found), query_ids[i]))
-                out[1].append(np.full(len(found), _digest(query_rows[i])))
+    queries = queries.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    columns = ["width", "block", "asks", "id", "ints"]
+    both = dealt.withColumn("asks", F.lit(False)).select(*columns).unionByName(queries.withColumn("asks", F.lit(True)).select(*columns))
+    shuffles = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # Within a block its rows come first, then the queries.
+    tasks = both.repartition(max(shuffles, min(blocks, 1 << 15)), "width", "block").sortWithinPartitions("width", "block", "asks")
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here, held, index = None, [], None
+        for place, asks, ids, own in _held(batches):
+            if place != here:
+                here, held, index = place, [], None
+            if not asks:
+                held.append((ids, own))
+                continue
+            if index is None and held:
+                index, held = Block(*(np.concatenate(x) for x in zip(*held, strict=True))), []
+            if index is None:
+                continue
+            out: list[list] = [[], [], [], []]
+            for i, found, scores in index.best(ids, own, k):
+                out[0].append(np.full(len(found), ids[i]))
+                out[1].append(np.full(len(found), _digest(own[i])))
                 out[2].append(found)
                 out[3].append(scores)
-        arrays = [pa.array(np.concatenate(o) if o else np.zeros(0, np.int64), pa.int64()) for o in out]
-        return pa.Table.from_arrays(arrays, names=["query_id", "query", "id", "score"])
+            arrays = [pa.array(np.concatenate(o), pa.int64()) for o in out]
+            yield pa.RecordBatch.from_arrays(arrays, names=["query_id", "query", "id", "score"])
 
-    found = left.cogroup(right).applyInArrow(meet, "query_id bigint, query bigint, id bigint, score bigint")
+    found = tasks.mapInArrow(meet, "query_id bigint, query bigint, id bigint, score bigint")
     order = Window.partitionBy("query_id", "query").orderBy(F.col("score").desc(), "id")
     ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", F.col("id").alias(id_col), "score")
