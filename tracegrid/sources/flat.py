@@ -7,12 +7,13 @@ from collections.abc import Iterator, Mapping, Sequence
 
 import pandas as pd
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tracegrid.functions.text import blank_to_null, clean_str, named, py_strip
 from tracegrid.operators.ordered import ordered_scan
 from tracegrid.operators.storage import empty_frame
+from tracegrid.sources.records import csv_records
 
 
 def clean_header(name: str) -> str:
@@ -38,7 +39,6 @@ def clean_headers(names: Sequence[str]) -> list[str]:
 
 
 CSV = {"escape": '"', "enforceSchema": "true"}
-RAW = "__record"
 
 
 def _csv_header(spark: SparkSession, path: str, header_row: int) -> tuple[list[str], int]:
@@ -51,34 +51,45 @@ def _csv_header(spark: SparkSession, path: str, header_row: int) -> tuple[list[s
     return clean_headers(records[-1]), len(records)
 
 
-def _csv_records(spark: SparkSession, path: str, names: Sequence[str], skip: int) -> DataFrame:
-    """Records as text columns ``c0``, ... and, where the width is not the header's, the raw record."""
-    fields = ", ".join(f"c{i} string" for i, _ in enumerate(names)) + f", {RAW} string"
-    options = CSV | {"multiLine": "true", "columnNameOfCorruptRecord": RAW}
-    if skip == 1:
-        return spark.read.csv(path, schema=fields, header=True, **options)
-    # A file is read by one task, in order, so that its first records have the smallest numbers.
-    rows = spark.read.csv(path, schema=fields, **options).select("*", F.col("_metadata.file_path").alias("__file"))
-    rows = rows.withColumn("__n", F.monotonically_increasing_id())
-    first = rows.groupBy("__file").agg(F.min("__n").alias("__first"))
-    return rows.join(first, "__file").where(F.col("__n") >= F.col("__first") + skip).drop("__file", "__n", "__first")
+def _parsed(records: DataFrame, names: Sequence[str]) -> DataFrame:
+    """Records as text columns ``c0``, ...; a record wider than the header is cut to it."""
+    fields = ", ".join(f"c{i} string" for i, _ in enumerate(names))
+    return records.withColumn("__r", F.from_csv("record", fields, {"escape": '"'})).select("position", "record", "__r.*")
+
 
+def _numbered(found: DataFrame, position: str) -> DataFrame:
+    """Rows of Parquet files with their place in file order."""
+    placed = found.select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__at"))
+    counts = placed.groupBy("__file").agg(F.count("*").alias("__rows"))
+    # One row per file.
+    earlier = Window.orderBy("__file").rowsBetween(Window.unboundedPreceding, -1)
+    before = counts.select("__file", F.coalesce(F.sum("__rows").over(earlier), F.lit(0)).alias("__before"))
+    place = (F.col("__before") + F.col("__at") + 1).alias(position)
+    return placed.join(before, "__file").select(place, *map(named, found.columns))
 
-def read_flat(spark: SparkSession, path: str, header_row: int = 1, multi_line: bool = True) -> DataFrame:
+
+def read_flat(
+    spark: SparkSession, path: str, header_row: int = 1, multi_line: bool = True, position: str | None = None
+) -> DataFrame:
     """A Parquet table as it is, or CSV files as text columns with cleaned headers.
 
     ``header_row`` is 1-based; lines before it are skipped. Short rows are padded
     with nulls; records wider than the header are cut to it, and ``surplus_rows``
-    returns them. Quoted cells may span lines, for which Spark reads each file in
-    one task: with ``multi_line=False``, for large files with a record on every
-    line, files are split.
+    returns them. Quoted cells may span lines, and files are split all the same
+    (``records``); ``multi_line=False``, for files with a record on every line,
+    saves writing the lines once. ``position`` names a first column with the place
+    of each record among all of them, from 1: files by path, records as they stand.
     """
     if not path.rstrip("/").lower().endswith((".csv", ".csv.gz")):
         found = spark.read.parquet(path)
-        return found.toDF(*clean_headers(found.columns))
+        names = clean_headers(found.columns)
+        return _numbered(found, position).toDF(position, *names) if position else found.toDF(*names)
     names, skip = _csv_header(spark, path, header_row)
-    if multi_line:
-        return _csv_records(spark, path, names, skip).drop(RAW).toDF(*names)
+    if position in names:
+        raise ValueError(f"a column is named {position} already")
+    if multi_line or position:
+        rows = _parsed(csv_records(spark, path, skip), names).drop("record")
+        return rows.toDF(position, *names) if position else rows.drop("position").toDF(*names)
     fields = ", ".join(f"c{i} string" for i, _ in enumerate(names))
     if header_row == 1:
         return spark.read.csv(path, schema=fields, header=True, **CSV).toDF(*names)
@@ -103,12 +114,10 @@ def read_flat(spark: SparkSession, path: str, header_row: int = 1, multi_line: b
 def surplus_rows(spark: SparkSession, path: str, header_row: int = 1) -> DataFrame:
     """The raw ``record`` of each CSV row with more cells than the header, and its ``cells`` beyond it."""
     names, skip = _csv_header(spark, path, header_row)
-    # A raw record is never shorter than its cells; Spark asks that some cell is read beside it.
-    cells = F.concat_ws(",", *[F.col(f"c{i}") for i, _ in enumerate(names)])
-    odd = _csv_records(spark, path, names, skip).where(F.length(RAW) >= F.length(cells)).select(F.col(RAW).alias("record"))
+    records = csv_records(spark, path, skip).select("record")
     wide = ", ".join(f"c{i} string" for i in range(len(names) + 1))
     beyond = F.from_csv("record", wide, {"escape": '"'})[f"c{len(names)}"]
-    return odd.select("record", beyond.alias("cells")).where("cells is not null")
+    return records.select("record", beyond.alias("cells")).where("cells is not null")
 
 
 # Fixed value: what parses as a number.
