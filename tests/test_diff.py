@@ -121,3 +121,28 @@ def test_any_column_name(spark):
     hybrid = d.hybrid_diff(left, right, ["Sect. No"], names[1:])
     found = {(r["Sect. No"], r.change_type): r.changed_fields for r in hybrid.collect() if r["Sect. No"]}
     assert set(found) == {(1, "Modified"), (2, "Deleted"), (3, "Inserted")} and found[1, "Modified"] == "Rate `ms`"
+
+
+def test_rows_in_text_order_are_filled_as_numbers(spark):
+    """Row 10 comes after row 9 though its text sorts before."""
+    from tracegrid.plans.compare import diff_and_report
+
+    rows = [(str(i), {1: "A", 9: "B"}.get(i)) for i in range(1, 13)]
+    left = spark.createDataFrame(rows, "row string, name string")
+    right = spark.createDataFrame([(r, "A" if int(r) < 9 else "B") for r, _ in rows], "nr string, label string")
+    done = diff_and_report(left, right, {"row": "nr", "name": "label"}, ["row"], ["row"], ["name"])
+    assert {r._merge for r in done.rows.collect()} == {"equal"}
+    assert done.casts.collect() == [("left", "row", 0), ("right", "nr", 0)]
+
+
+def test_files_are_compared_in_their_own_order(spark, tmp_path):
+    from tracegrid.plans.compare import compare_files
+
+    (tmp_path / "l.csv").write_text('id,group,note,size\nz,G1,"a\nb",1\ny,,c,2\nx,G2,,3x\n')
+    (tmp_path / "r.csv").write_text('key,g,n,s\nz,G1,"a\nb",1.0\nx,G2,,3x\ny,,c,2\n')
+    mapping = {"id": "key", "group": "g", "note": "n", "size": "s"}
+    done = compare_files(spark, str(tmp_path / "l.csv"), str(tmp_path / "r.csv"), mapping, ["id"], ["group"])
+    got = {r["id"]: (r.group, r.group_right, r.note, r.changed_columns) for r in done.rows.collect()}
+    assert got == {"z": ("G1", "G1", "a\nb", "size"), "y": ("G1", "G2", "c", "group"), "x": ("G2", "G2", None, "")}
+    assert {(r.side, r.column_name, r.cast_errors) for r in done.casts.collect()} == {("left", "size", 1), ("right", "s", 1)}
+    assert not [c for c in done.rows.columns if "position" in c]

@@ -13,7 +13,7 @@ from tracegrid.fixtures import fixture
 from tracegrid.operators import ingest as i
 from tracegrid.operators.matching import fuzzy_best_match
 from tracegrid.operators.storage import empty_frame, shared_folder
-from tracegrid.plans.compare import diff_and_report
+from tracegrid.plans.compare import compare_files, diff_and_report
 from tracegrid.plans.retrieval import rag_ingest
 from tracegrid.sources import flat, sinks
 from tracegrid.streaming.ingest import current_chunks, stream_ingest
@@ -298,6 +298,22 @@ def _(spark, sf):
     return flat.read_flat(spark, path)
 
 
+def in_files(df, path, order, files=40):
+    """CSV files that hold the rows in order, the first rows in the first file."""
+    df.repartitionByRange(files, order).sortWithinPartitions(order).write.csv(path, header=True, escape='"', emptyValue="")
+
+
+@check(
+    "read_flat_positions",
+    """select row_number() over (order by doc_id) as n, cast(doc_id as varchar) as doc_id, nullif(text, '') as text from documents""",
+)
+def _(spark, sf):
+    """Records numbered as they stand in many files, whose cells span lines."""
+    path = folder(spark, "numbered.csv")
+    in_files(fixture(spark, sf, "documents").select("doc_id", "text"), path, "doc_id")
+    return flat.read_flat(spark, path, position="n")
+
+
 @check(
     "export_csv",
     "select cast(doc_id as varchar) as doc_id, text from documents",
@@ -383,6 +399,34 @@ def _(spark, sf):
     return done.tree()
 
 
+FILLED = """
+l as (select event_id, last_value(nullif(trim(event_type), '') ignore nulls) over (order by event_id rows unbounded preceding) as event_type,
+        last_value(value ignore nulls) over (order by event_id rows unbounded preceding) as value from events_sparse),
+r as (select event_id as id, last_value(nullif(trim(event_type), '') ignore nulls) over (order by event_id rows unbounded preceding) as kind,
+        last_value(case when event_id % 10 = 3 then value + 1 else value end ignore nulls) over (order by event_id rows unbounded preceding) as val
+      from events_sparse where event_id % 50 <> 8)"""
+
+
+@check(
+    "diff_and_report_filled",
+    f"""with {FILLED}
+select coalesce(event_id, id) as event_id, event_type, kind as event_type_right, value, val as value_right,
+       case when id is null then 'left_only' when event_type is distinct from kind or value is distinct from val then 'changed' else 'equal' end as _merge
+from l full join r on event_id = id""",
+)
+def _(spark, sf):
+    """Two folders of files with gaps, filled in the order of their records, and compared."""
+    left, right = folder(spark, "left.csv"), folder(spark, "right.csv")
+    events = fixture(spark, sf, "events_sparse")
+    in_files(events.select("event_id", "event_type", "value"), left, "event_id")
+    changed = F.when(F.col("event_id") % 10 == 3, F.col("value") + 1).otherwise(F.col("value"))
+    other = events.where("event_id % 50 <> 8").select(F.col("event_id").alias("id"), F.col("event_type").alias("kind"), changed.alias("val"))
+    in_files(other, right, "id")
+    mapping = {"event_id": "id", "event_type": "kind", "value": "val"}
+    done = compare_files(spark, left, right, mapping, ["event_id"], ["event_type", "value"])
+    return done.rows.select(F.col("event_id").cast("long").alias("event_id"), "event_type", "event_type_right", "value", "value_right", "_merge")
+
+
 @check(
     "diff_and_report_rows",
     """with l as (select o_orderkey, case when o_orderkey <= 200 then cast(o_custkey as varchar) else 'c' || o_custkey end as mixed, o_orderstatus from orders_left),
