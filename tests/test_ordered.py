@@ -90,3 +90,40 @@ def test_parts_of_group(spark):
     df = spark.range(10).select("id", F.lit("g").alias("g"))
     parts = rows(o.parts_of_group(df, ["g"], ["id"], 4).groupBy("part").agg(F.collect_set("id").alias("ids")), "part")
     assert [sorted(p["ids"]) for p in parts] == [[0, 1, 2, 3], [4, 5, 6, 7], [8, 9]]
+
+
+def test_distinct_first_by_any_order(spark):
+    """Nulls come first; numbers, dates and texts in the order; ties of the first column; no rows."""
+    data = [
+        ("a", None, 9, "late", "x"), ("a", 1, 2, "early", "y"), ("b", 2, 1, "z", "p"), ("b", 2, -5, "a", "q"),
+        ("b", -3, 7, "m", "r"), (None, 2**62, 1, "k", "s"), (None, -(2**62), None, "j", "t"),
+    ]
+    df = spark.createDataFrame(data, "k string, n bigint, m int, s string, v string")
+    small = lambda x: (x is not None, x)
+    for order in (["n"], ["n", "m"], ["m", "n"], ["s"], ["s", "n"], ["n", "m", "s"]):
+        at = [["k", "n", "m", "s", "v"].index(c) for c in order]
+        want = {}
+        for r in sorted(data, key=lambda r: [small(r[i]) for i in at], reverse=True):
+            want[r[0]] = r
+        if order == ["n"]:
+            df_, want = df.where("not (k <=> 'b' and m <=> 1)"), {**want, "b": data[4]}
+        else:
+            df_ = df
+        got = {r.k: tuple(r) for r in o.distinct_first(df_, ["k"], order).collect()}
+        assert got == want, order
+    dated = df.selectExpr("k", "date_add(date'1960-01-01', coalesce(m, 0)) as d", "timestamp_micros(n) as t", "v")
+    assert {r.v for r in o.distinct_first(dated.where("v <> 'p'"), ["k"], ["d", "t"]).select("v").collect()} == {"y", "q", "t"}
+    assert o.distinct_first(df.where("false"), ["k"], ["n", "m"]).count() == 0
+
+
+def test_distinct_first_sorts_nothing(spark):
+    df = spark.range(1000).selectExpr("cast(id % 7 as string) as k", "id as i", "cast(id as int) as j", "repeat('x', 50) as wide")
+    plan = o.distinct_first(df, ["k"], ["i", "j"])._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan and "HashAggregate" in plan
+
+
+def test_an_order_of_one_key_is_an_error(spark):
+    same = spark.range(2).selectExpr("1 as i", "id as v")
+    with pytest.raises(ValueError, match="unique"):
+        o.row_number(same, ["i"], "n")
+    assert o.row_number(same.limit(1), ["i"], "n").select("n").collect() == [(1,)]

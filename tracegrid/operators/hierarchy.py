@@ -9,13 +9,14 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracegrid.functions.text import label, named
+from tracegrid.functions.text import blank_to_null, label, named
 from tracegrid.operators.hierarchy_columns import DEFAULT_COLUMNS, KEYS
-from tracegrid.operators.ordered import distinct_first, fill_columns, fill_down
+from tracegrid.operators.ordered import fill_columns, ordered_scan
 from tracegrid.operators.storage import materialize
 from tracegrid.sources.flat import clean_header, clean_headers
 
 TABLES = tuple(KEYS)
+PLACE = "__place"
 HIERARCHY = ("System_LOID", "PhysicalPort_LOID", "OutputPort_LOID", "Wordstring_LOID")
 
 
@@ -65,20 +66,23 @@ def normalize_tables(
     candidates = [*wanted, *(raw_of[c] for c in HIERARCHY if c in raw_of)]
     inferred = fill_columns(df, candidates, order_by) if infer else []
     wanted = [c for c in dict.fromkeys([*wanted, *inferred]) if c not in order_by]
-    flat = materialize(fill_down(df, wanted, order_by))
+    # The place in the order comes out of the same scan as the fills.
+    fills = {f"__f_{c}": blank_to_null(c) for c in wanted if c in df.columns}
+    scanned = ordered_scan(df, order_by, fills=fills, sums={PLACE: F.lit(1).cast("long")})
+    filled = [named(f"__f_{c}").alias(c) if f"__f_{c}" in fills else named(c) for c in df.columns]
+    kept = materialize(scanned.select(*filled, PLACE))
 
     tables: dict[str, DataFrame] = {}
-    order = [f"__o{i}" for i, _ in enumerate(order_by)]
     for name, cols in maps.items():
-        there = {n: raw for n, raw in cols.items() if raw in flat.columns}
-        picked = flat.select(
-            *[F.col(f"`{raw}`").alias(n) for n, raw in there.items()], *[named(c).alias(o) for c, o in zip(order_by, order)]
-        )
+        there = {n: raw for n, raw in cols.items() if raw in df.columns}
+        picked = kept.select(PLACE, *[F.col(f"`{raw}`").alias(n) for n, raw in there.items()])
         keys = list(KEYS.get(name, ()))
         if keys:
-            picked = distinct_first(picked, keys, order).drop(*order).orderBy(*keys)
-        tables[name] = picked.drop(*order)
-    return Normalized(tables, flat, df, wanted, inferred)
+            # The first place per key, an aggregate over numbers; then the rows in these places.
+            firsts = picked.groupBy(*keys).agg(F.min(PLACE).alias(PLACE)).select(PLACE)
+            picked = picked.join(firsts, PLACE, "left_semi").orderBy(*keys)
+        tables[name] = picked.drop(PLACE)
+    return Normalized(tables, kept.drop(PLACE), df, wanted, inferred)
 
 
 def table_counts(tables: Mapping[str, DataFrame]) -> DataFrame:

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Mapping, Sequence
+from decimal import Decimal
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -22,8 +23,6 @@ from tracegrid.functions.text import blank_to_null, named
 RANGE = "__range"
 # Spark's own range partitioner also samples some twenty keys per output range.
 SAMPLE_PER_RANGE = 20
-# Rows without any boundary among them that are still taken in one range.
-MOST_IN_ONE_RANGE = 100_000
 
 
 def _shuffle_partitions(df: DataFrame) -> int:
@@ -36,20 +35,21 @@ def assign_ranges(df: DataFrame, order_by: Sequence[str], ranges: int | None = N
     The boundaries come from a sample of bounded size chosen by a hash of the
     key, and each row finds its slice by binary search among them. By default as
     many slices as there are shuffle partitions, fewer where there are fewer keys.
+    Several rows whose sampled keys are all one are an error, at any size.
     """
     key = F.struct(*[named(c) for c in order_by])
     keys = df.select(key.alias("key"))
-    total = keys.count()
     wanted = ranges or _shuffle_partitions(df)
-    keep_one_in = max(1, total // (wanted * SAMPLE_PER_RANGE))
-    sample = keys.where(F.pmod(F.xxhash64("key"), F.lit(keep_one_in)) == 0).distinct()
-    rows = sample.orderBy("key").select(F.to_json("key", {"ignoreNullFields": "false"}).alias("j")).collect()
+    # The keys with the smallest hashes: a sample of the same size whatever the input, in one pass.
+    drawn = keys.select("key", F.xxhash64("key").alias("h")).orderBy("h").limit(wanted * SAMPLE_PER_RANGE)
+    sample = drawn.orderBy("key").select(F.to_json("key", {"ignoreNullFields": "false"}).alias("j")).collect()
+    rows = list(dict.fromkeys(r.j for r in sample))
+    if len(sample) > 1 and len(rows) == 1:
+        raise ValueError(f"{len(sample)} rows or more have one key in {', '.join(order_by)}: the order must be unique")
     step = len(rows) / wanted
-    cuts = [rows[math.floor(i * step)].j for i in range(1, wanted) if len(rows) > 1]
+    cuts = [rows[math.floor(i * step)] for i in range(1, wanted) if len(rows) > 1]
     cuts = list(dict.fromkeys(cuts))
     if not cuts:
-        if total > MOST_IN_ONE_RANGE:
-            raise ValueError(f"{total} rows have one key in {', '.join(order_by)}: the order must be unique")
         return df.withColumn(RANGE, F.lit(0))
     schema = T.ArrayType(keys.schema["key"].dataType)
     bounds = F.sort_array(F.from_json(F.lit("[" + ",".join(cuts) + "]"), schema))
@@ -187,15 +187,45 @@ def row_number(df: DataFrame, order_by: Sequence[str], out: str, partition_by: S
     return ordered_scan(df, order_by, partition_by, sums={out: F.lit(1).cast("long")}, ranges=ranges)
 
 
+# Bits of the types whose values are whole numbers.
+WHOLE = {"boolean": 1, "tinyint": 8, "smallint": 16, "int": 32, "date": 32, "bigint": 64, "timestamp": 64}
+MOST_BITS = 120
+
+
+def _whole(column: Column, kind: str) -> Column:
+    number = {"date": F.unix_date, "timestamp": F.unix_micros, "boolean": lambda c: c.cast("int")}.get(kind, lambda c: c)(column)
+    # From 0 up, for null, the smallest.
+    return F.coalesce(number.cast("decimal(38,0)") + F.lit(Decimal((1 << WHOLE[kind] - 1) + 1)), F.lit(Decimal(0)))
+
+
+def order_value(df: DataFrame, order_by: Sequence[str]) -> Column:
+    """One value per row that sorts as ``order_by`` does: a number, where the columns hold whole numbers, else a struct.
+
+    Spark aggregates numbers by hash in place; anything wider it sorts.
+    """
+    kinds = [df.schema[c].dataType.simpleString() for c in order_by]
+    if not kinds or any(k not in WHOLE for k in kinds) or sum(WHOLE[k] + 1 for k in kinds) > MOST_BITS:
+        return F.struct(*map(named, order_by))
+    if len(kinds) == 1 and not df.schema[order_by[0]].nullable:
+        return named(order_by[0])
+    value = F.lit(Decimal(0))
+    for c, k in zip(order_by, kinds, strict=True):
+        value = (value * F.lit(Decimal(1 << WHOLE[k] + 1)) + _whole(named(c), k)).cast("decimal(38,0)")
+    return value
+
+
 def distinct_first(df: DataFrame, keys: Sequence[str], order_by: Sequence[str]) -> DataFrame:
-    """The first row per key by the order; a null key is a key of its own.
+    """The first row per key by the order, which must be unique within a key; a null key is a key of its own.
 
-    An aggregate, so duplicates collapse before the shuffle and a hot key is cheap.
+    The first place per key is an aggregate over keys and places alone, so duplicates
+    collapse before the shuffle and a hot key is cheap; then the rows in these places
+    are fetched.
     """
-    rest = [c for c in df.columns if c not in keys]
-    row = F.struct(*[named(c) for c in rest])
-    picked = df.groupBy(*[named(c) for c in keys]).agg(F.min_by(row, F.struct(*order_by)).alias("first"))
-    return picked.select(*[named(c) if c in keys else F.col("first")[c].alias(c) for c in df.columns])
+    placed = df.withColumn("__place", order_value(df, order_by))
+    names = [f"__k{i}" for i, _ in enumerate(keys)]
+    firsts = placed.groupBy(*[named(c).alias(n) for c, n in zip(keys, names, strict=True)]).agg(F.min("__place").alias("__first"))
+    same = [named(c).eqNullSafe(F.col(n)) for c, n in zip(keys, names, strict=True)]
+    return placed.join(firsts, reduce(Column.__and__, same, F.col("__place") == F.col("__first")), "left_semi").drop("__place")
 
 
 def parts_of_group(
