@@ -234,6 +234,33 @@ def _(spark, sf):
     )
 
 
+@check(
+    "merge_duplicates_parts",
+    """with v as (
+  select flag, 't' as kind, used as value, min((l_orderkey, l_linenumber, 0)) as spot from uses group by flag, used
+  union all
+  select flag, 'i', value, min((l_orderkey, l_linenumber, pos)) from (
+    select flag, l_orderkey, l_linenumber, unnest([format('ORDER-{:05d}', l_orderkey), 'ORDER-00007']) as value, unnest([0, 1]) as pos
+    from uses where cited is not null) group by flag, value),
+p as (select *, cast(floor((row_number() over (partition by flag, kind order by spot, value) - 1) / 100) as int) + 1 as part from v),
+m as (
+  select flag, part, string_agg(value, ' | ' order by spot, value) filter (where kind = 't') as used,
+         string_agg(value, ', ' order by spot, value) filter (where kind = 'i') as cited from p group by flag, part),
+g as (select flag, count(*) as group_rows, min((l_orderkey, l_linenumber)) as f from uses group by flag)
+select flag, f[1] as l_orderkey, f[2] as l_linenumber, group_rows, part, max(part) over (partition by flag) as parts,
+       coalesce(used, '') as used, coalesce(cited, '') as cited from g join m using (flag)""",
+)
+def _(spark, sf):
+    """Three groups that hold all rows, in parts of a hundred values."""
+    merged = r.merge_duplicates(
+        fixture(spark, sf, "uses"), ["flag"], ["l_orderkey", "l_linenumber"], ["cited"], ["used"], part_size=100
+    )
+    return merged.select(
+        "flag", "l_orderkey", "l_linenumber", "group_rows", "part", "parts",
+        F.col("texts")["used"].alias("used"), F.array_join(F.col("ids")["cited"], ", ").alias("cited"),
+    )
+
+
 @check(
     "normalize_srs",
     f"""with {SRS_SQL}

@@ -142,6 +142,13 @@ select doc_id as d, concat(cast(doc_id % 5 + 1 as varchar(20)), '.', cast(doc_id
 from documents
 """
 
+# Three large groups whose distinct values grow with the data.
+FIXTURES["uses"] = """
+select l_orderkey, l_linenumber, l_returnflag as flag, concat('part-', cast(l_partkey as varchar(20))) as used,
+       case when l_partkey % 3 = 0 then concat('order-', cast(l_orderkey as varchar(20)), ',order-7') end as cited
+from lineitem
+"""
+
 FIXTURES["ssg_rows"] = """
 select doc_id as d, case when doc_id % 29 = 3 then '' else concat('ssg-', cast(doc_id as varchar(20))) end as req,
        case doc_id % 7 when 0 then 'Info' when 1 then 'Title' when 2 then 'Note' end as kind,

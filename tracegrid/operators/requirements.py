@@ -20,7 +20,7 @@ from tracegrid.functions.text import (
     named,
     text,
 )
-from tracegrid.operators.ordered import distinct_first, ordered_scan, row_number
+from tracegrid.operators.ordered import distinct_first, order_value, ordered_scan, parts_of_group, row_number
 from tracegrid.operators.storage import materialize
 
 # Requirement types read as section headers, and object types never kept.
@@ -429,20 +429,48 @@ def merge_duplicates(
     order_by: Sequence[str],
     id_columns: Sequence[str] = (),
     text_columns: Sequence[str] = (),
+    part_size: int | None = None,
 ) -> DataFrame:
     """One row per group: its first row, plus maps of merged id and text columns.
 
     ``ids[c]``: distinct ids of column c over the group's rows in order.
     ``texts[c]``: distinct non-blank values. Values are made distinct before
-    they are collected, so a group of many copies stays small.
+    they are collected, so a group of many copies stays small. With ``part_size``
+    a group whose columns have more distinct values comes in several rows, ``part``
+    1, 2, ... of ``parts``, each with at most so many values of a column, in order:
+    no cell and no task grows with a group.
     """
     gid = F.sha2(F.to_json(F.struct(*[text(f"`{c}`").alias(f"g{i}") for i, c in enumerate(group_cols)])), 256)
-    keyed = df.withColumn("__gid", gid)
+    keyed = df.withColumn("__gid", gid).withColumn("__place", order_value(df, order_by))
     ids = [c for c in id_columns if c in df.columns]
     texts = [c for c in text_columns if c in df.columns]
+    firsts = keyed.groupBy("__gid").agg(F.min("__place").alias("__place"), F.count("*").alias("group_rows"))
+    base = keyed.join(firsts, ["__gid", "__place"])
+    known = base.drop("__place").withColumn("m", F.lit(None).cast("map<string,array<string>>"))
+    if part_size:
+        known = known.withColumn("part", F.lit(1)).withColumn("parts", F.lit(1))
+    if ids or texts:
+        maps = _merged_values(keyed, order_by, ids, texts, part_size)
+        known = base.drop("__place").join(maps, "__gid", "left")
+        if part_size:
+            known = known.withColumns({c: F.coalesce(c, F.lit(1)) for c in ("part", "parts")})
+    none = F.array().cast("array<string>")
+    return known.select(
+        *map(named, df.columns),
+        "group_rows",
+        *(["part", "parts"] if part_size else []),
+        F.create_map(*[x for c in ids for x in (F.lit(c), F.coalesce(F.col("m")[f"i:{c}"], none))]).alias("ids")
+        if ids else F.create_map().cast("map<string,array<string>>").alias("ids"),
+        F.create_map(*[x for c in texts for x in (F.lit(c), F.array_join(F.coalesce(F.col("m")[f"t:{c}"], none), " | "))]).alias("texts")
+        if texts else F.create_map().cast("map<string,string>").alias("texts"),
+    )
+
+
+def _merged_values(keyed: DataFrame, order_by: Sequence[str], ids: Sequence[str], texts: Sequence[str], part_size: int | None) -> DataFrame:
+    """Per group, and part, the map ``m`` from ``i:`` or ``t:`` and column to its distinct values in order."""
 
     def entry(name: str, pos: Column, value: Column) -> Column:
-        return F.struct(F.lit(name).alias("name"), pos.alias("pos"), value.alias("value"))
+        return F.struct(F.lit(name).alias("name"), pos.cast("int").alias("__pos"), value.alias("value"))
 
     def id_entries(c: str) -> Column:
         return F.transform(I.parse_id_list(f"`{c}`"), lambda v, i: entry(f"i:{c}", i, v))
@@ -450,28 +478,23 @@ def merge_duplicates(
     lists = [id_entries(c) for c in ids]
     if texts:
         lists.append(F.array(*[entry(f"t:{c}", F.lit(0), clean_str(f"`{c}`")) for c in texts]))
-    base = keyed.groupBy("__gid").agg(
-        F.min_by(F.struct(*[named(c) for c in df.columns]), F.struct(*order_by)).alias("first"), F.count("*").alias("group_rows")
-    )
-    if lists:
-        values = keyed.select("__gid", F.struct(*order_by).alias("o"), F.inline(F.concat(*lists))).where("value <> ''")
-        firsts = values.groupBy("__gid", "name", "value").agg(F.min(F.struct("o", "pos")).alias("at"))
-        joined = firsts.groupBy("__gid", "name").agg(F.array_sort(F.collect_list(F.struct("at", "value"))).alias("v"))
-        maps = joined.groupBy("__gid").agg(
-            F.map_from_entries(F.collect_list(F.struct("name", F.transform("v", lambda x: x["value"]).alias("v")))).alias("m")
-        )
-        base = base.join(maps, "__gid", "left")
-    else:
-        base = base.withColumn("m", F.lit(None).cast("map<string,array<string>>"))
-    none = F.array().cast("array<string>")
-    return base.select(
-        *[F.col("first")[c].alias(c) for c in df.columns],
-        "group_rows",
-        F.create_map(*[x for c in ids for x in (F.lit(c), F.coalesce(F.col("m")[f"i:{c}"], none))]).alias("ids")
-        if ids else F.create_map().cast("map<string,array<string>>").alias("ids"),
-        F.create_map(*[x for c in texts for x in (F.lit(c), F.array_join(F.coalesce(F.col("m")[f"t:{c}"], none), " | "))]).alias("texts")
-        if texts else F.create_map().cast("map<string,string>").alias("texts"),
-    )
+    order = [f"__o{i}" for i, _ in enumerate(order_by)]
+    places = [named(c).alias(o) for c, o in zip(order_by, order, strict=True)]
+    values = keyed.select("__gid", *places, F.inline(F.concat(*lists))).where("value <> ''")
+    values = values.withColumn("at", order_value(values, [*order, "__pos"]))
+    firsts = values.groupBy("__gid", "name", "value").agg(F.min("at").alias("at"))
+    part = []
+    if part_size:
+        # Values of one place in two texts of a column, as ids have, keep their order by place and value.
+        firsts = parts_of_group(materialize(firsts), ["__gid", "name"], ["at", "value"], part_size)
+        part = ["part"]
+    joined = firsts.groupBy("__gid", "name", *part).agg(F.array_sort(F.collect_list(F.struct("at", "value"))).alias("v"))
+    entries = F.collect_list(F.struct("name", F.transform("v", lambda x: x["value"]).alias("v")))
+    maps = joined.groupBy("__gid", *part).agg(F.map_from_entries(entries).alias("m"))
+    if not part_size:
+        return maps
+    maps = materialize(maps)
+    return maps.join(maps.groupBy(F.col("__gid").alias("__of")).agg(F.max("part").alias("parts")), F.col("__gid") == F.col("__of")).drop("__of")
 
 
 def normalize_merged(
