@@ -117,6 +117,27 @@ def _(spark, sf):
     )
 
 
+@check(
+    "stream_ingest_compacted",
+    f"""with recursive src as (select '/docs/' || doc_id as source_path, {sql_strip('text')} as t from documents),
+{sql_cut('src', 'source_path')}
+select source_path, idx as chunk_index, chunk as text, sha256(chunk) as chunk_sha256 from pieces""",
+)
+def _(spark, sf):
+    """Older texts first, then all of them, in five batches of a file each with a compaction after every second."""
+    base = folder(spark, "stream")
+    path = F.concat(F.lit("/docs/"), F.col("doc_id").cast("string"))
+    docs = fixture(spark, sf, "documents").select("doc_id", "text")
+    older = docs.where("doc_id % 3 = 0").withColumn("text", F.concat(F.lit("an older text "), "text"))
+    for rows, files in ((older, 1), (docs, 4)):
+        rows.repartition(files, "doc_id").write.mode("append").parquet(f"{base}/in")
+        stream_ingest(
+            spark, f"{base}/in", "doc_id bigint, text string", f"{base}/store", f"{base}/checkpoint", path=path,
+            max_files_per_trigger=1, compact_every=2,
+        )
+    return current_chunks(spark, f"{base}/store").select("source_path", "chunk_index", "text", "chunk_sha256")
+
+
 def two_chunks(df, text, second):
     pieces = F.array(
         *[F.struct(F.lit(n).alias("chunk_index"), c.alias("chunk")) for n, c in enumerate((text, second))]
