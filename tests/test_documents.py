@@ -1,6 +1,7 @@
 import math
 import uuid
 
+import numpy as np
 import pytest
 from conftest import rows
 from pyspark.sql import functions as F
@@ -131,7 +132,7 @@ def test_nearest_with_copies_and_zero_vectors(spark):
 
 
 def test_several_chunks_and_blocks(spark, monkeypatch):
-    monkeypatch.setattr(t, "QUERIES_PER_CHUNK", 2)
+    monkeypatch.setattr(t, "QUERIES_AT_ONCE", 2)
     monkeypatch.setattr(t, "LEAST_ROWS", 3)
     corpus = spark.range(20).selectExpr("id", "array(cast(cos(id) as float), cast(sin(id) as float)) as embedding")
     queries = corpus.where("id < 5").withColumnRenamed("id", "query_id")
@@ -139,6 +140,34 @@ def test_several_chunks_and_blocks(spark, monkeypatch):
     assert [(g["query_id"], g["id"]) for g in got] == [(n, n) for n in range(5)]
 
 
+def test_blocks_that_cannot_hold_a_nearest_are_skipped(spark, monkeypatch):
+    """Exact on clustered vectors, with far fewer pairs compared than there are."""
+    monkeypatch.setattr(t, "LEAST_ROWS", 20)
+    monkeypatch.setattr(t, "BLOCK_ROWS", 100)
+    rng = np.random.default_rng(2)
+    centres = rng.standard_normal((20, 16))
+    vectors = np.repeat(centres, 150, axis=0) + 0.08 * rng.standard_normal((3000, 16))
+    vectors[:200] = vectors[0]  # copies, more than a block holds
+    corpus = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "id int, embedding array<double>").repartition(5)
+    some = list(range(0, 3000, 60))
+    queries = spark.createDataFrame([(i, vectors[i].tolist()) for i in some], "query_id int, embedding array<double>")
+    got = {}
+    for r in t.vector_top_k(corpus, queries, 25).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.id))
+    units = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    for i in some:
+        far = np.round(1 - units @ units[i], 12)
+        assert [x for _, x in sorted(got[i])] == np.lexsort((np.arange(3000), far))[:25].tolist()
+    held = corpus.select("id", F.col("embedding").alias("v"), F.size("embedding").alias("width"))
+    asked = queries.select(F.col("query_id").alias("q"), F.col("embedding").alias("v"), F.size("embedding").alias("width"))
+    pivots = t._pivots(held, 3000)
+    blocks = t._blocks(held, pivots)
+    sizes = t._Sizes(blocks, pivots, 3000, 8)
+    dealt = blocks.withColumn("part", F.pmod("deal", sizes.parts()).cast("int")).groupBy("width", "pivot", "part").count()
+    compared = t.placed_queries(asked, sizes, 25).join(dealt, ["width", "pivot", "part"]).agg(F.sum("count")).first()[0]
+    assert compared < 0.5 * len(some) * 3000
+
+
 def test_vectors_of_several_widths(spark):
     """A query meets the vectors of its own width; null vectors and components take no part."""
     vectors = [(1, [1.0, 0.0]), (2, [1.0, 0.0, 0.0]), (3, [0.0, 1.0]), (4, None), (5, [None, 1.0]), (6, [0.0, 0.0, 2.0])]
