@@ -29,6 +29,64 @@ def small_network(seed=0):
     return Network(p, Lookup(words), Lookup(np.array([11, 12], np.uint64)))
 
 
+def test_lookup_loses_nothing():
+    """Also of hashes that agree in many bits, and of as many as a corpus brings."""
+    rng = np.random.default_rng(2)
+    for hashes in (
+        rng.integers(0, 1 << 63, 90_000, dtype=np.uint64),
+        np.arange(500, dtype=np.uint64) << np.uint64(44),
+        np.array([0, 1 << 63, 1, (1 << 63) | 1], dtype=np.uint64),
+        np.zeros(0, np.uint64),
+    ):
+        hashes = np.unique(hashes)
+        lookup = Lookup(hashes)
+        assert (lookup(hashes) == np.arange(1, len(hashes) + 1)).all()
+        others = np.setdiff1d(rng.integers(0, 1 << 63, 10_000, dtype=np.uint64), hashes)
+        assert not lookup(others).any()
+
+
+def plain_logit(p, inputs):
+    """One window, step by step: gated units in both directions, attention over the steps, one weighted sum."""
+    h = gru.HIDDEN
+    sigmoid = lambda x: 1 / (1 + np.exp(-x))
+    sides = []
+    for side, order in (("f", inputs), ("b", inputs[::-1])):
+        columns = slice(0, 3 * h) if side == "f" else slice(3 * h, 6 * h)
+        state, states = np.zeros(h), []
+        for x in order:
+            a, g = (x @ p["W"] + p["b"])[columns], state @ p["U" + side]
+            z, r = sigmoid(a[:h] + g[:h]), sigmoid(a[h : 2 * h] + g[h : 2 * h])
+            new = np.tanh(a[2 * h :] + r * g[2 * h :])
+            state = z * state + (1 - z) * new
+            states.append(state)
+        sides.append(states if side == "f" else states[::-1])
+    both = [np.concatenate(s) for s in zip(*sides)]
+    weight = np.exp([s @ p["att"] for s in both])
+    return float((weight / weight.sum()) @ [s @ p["out"] for s in both] + p["bias"][0])
+
+
+def test_scores_equal_a_plain_forward_pass():
+    """Whole texts: words and n-grams looked up, every window scored one by one, the highest taken."""
+    texts = [t or "" for t in messy_texts(4)][:60] + ["one", "two three"]
+    net = train(texts, [i % 3 == 0 for i in range(len(texts))], epochs=1)
+    p = {k: v.astype(np.float64) for k, v in net.p.items()}
+    for text, score in zip(texts, net.score_texts(pa.array(texts))):
+        raw = np.frombuffer(text.encode(), dtype=np.uint8)
+        starts, ends, _ = letter_words(raw, np.array([0, len(raw)]))
+        best = p["bias"][0]
+        if len(starts):
+            words, at = gru.distinct_words(raw, starts, ends)
+            rows = []
+            for i in range(len(words.hashes)):
+                grams = [n for n in net.known_grams(words.grams[words.bounds[i] : words.bounds[i + 1]]) if n]
+                chars = sum((p["gram"][n] for n in grams), np.zeros(gru.CHAR_DIM)) / np.sqrt(max(1, len(grams)))
+                rows.append(np.concatenate([p["word"][net.known_words(words.hashes[i : i + 1])[0]], chars]))
+            many = len(starts)
+            firsts = sorted({min(k, max(0, many - gru.WINDOW)) for k in range(0, max(1, many - gru.WINDOW + gru.STRIDE), gru.STRIDE)})
+            best = max(plain_logit(p, [rows[at[j]] for j in range(f, min(many, f + gru.WINDOW))]) for f in firsts)
+        assert score == pytest.approx(1 / (1 + np.exp(-best)), abs=2e-4), text[:50]
+
+
 def test_gradients_are_right():
     """Against finite differences of the loss, also with windows shorter than full ones."""
     net = small_network()

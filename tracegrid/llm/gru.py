@@ -96,21 +96,37 @@ class Known:
 
 
 class Lookup:
-    """Numbers of known hashes from a table addressed by their low bits; 0 for all others."""
+    """Numbers of known hashes, 0 for all others.
 
-    def __init__(self, hashes: np.ndarray):
-        size = 1 << max(8, int(4 * len(hashes) + 1).bit_length())
-        self.mask = np.uint64(size - 1)
+    A hash has a place in a table, by some of its bits. Where several known ones share a
+    place one stays there; the others are in a table of their own, by other bits, which
+    is asked about such places only.
+    """
+
+    def __init__(self, hashes: np.ndarray, numbers: np.ndarray | None = None, depth: int = 0):
+        numbers = np.arange(1, len(hashes) + 1) if numbers is None else numbers
+        size = 1 << depth + max(8, int(4 * len(hashes) + 1).bit_length())
+        self.mask, self.shift = np.uint64(size - 1), np.uint64(11 * depth % 44)
         self.held = np.zeros(size, dtype=np.uint64)
         self.number = np.zeros(size, dtype=np.int32)
-        # Of hashes with the same place the last stays; the others count as unknown.
-        place = (hashes & self.mask).astype(np.int64)
-        self.held[place] = hashes
-        self.number[place] = np.arange(1, len(hashes) + 1)
+        place = self._place(hashes)
+        self.held[place], self.number[place] = hashes, numbers
+        stays = self.number[place] == numbers
+        self.shared = np.zeros(size, dtype=bool)
+        self.shared[place[~stays]] = True
+        self.others = None if stays.all() else Lookup(hashes[~stays], numbers[~stays], depth + 1)
+
+    def _place(self, hashes: np.ndarray) -> np.ndarray:
+        return ((hashes >> self.shift) & self.mask).astype(np.int64)
 
     def __call__(self, hashes: np.ndarray) -> np.ndarray:
-        place = (hashes & self.mask).astype(np.int64)
-        return np.where(self.held[place] == hashes, self.number[place], 0)
+        place = self._place(hashes)
+        found = np.where(self.held[place] == hashes, self.number[place], 0)
+        if self.others is not None:
+            open_ = np.flatnonzero((found == 0) & self.shared[place])
+            if len(open_):
+                found[open_] = self.others(hashes[open_])
+        return found
 
 
 def windows(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -314,8 +330,8 @@ def train(
     """Learn window scores from labels of whole texts.
 
     A text's logit is the mean of its windows', weighted towards the highest, so
-    what is learned from a toxic text comes from the windows that stand out. Of a
-        """
+    what is learned from a toxic text comes from the windows that stand out.
+    """
     rng = np.random.default_rng(seed)
     y_all = np.asarray(labels, dtype=np.float32)
     found = list(_prepared(texts))
