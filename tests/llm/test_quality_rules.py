@@ -69,3 +69,30 @@ def test_clean_documents_stay(spark):
     counts = {(r.quality, r.kept): r["count"] for r in seen.groupBy("quality", "kept").count().collect()}
     assert counts.get((1, False), 0) <= 0.01 * counts[(1, True)]
     assert counts.get((0, True), 0) <= 0.1 * counts[(0, False)]
+
+
+def test_no_step_and_the_sql_form(spark):
+    """Fences move little from 199 to 201 documents of a group, and are those of the SQL form."""
+    import duckdb
+
+    from tracegrid.llm.quality_rules import fences
+    from tracegrid.llm.sql import QUALITY_RULES
+
+    rows = []
+    for size in (3, 199, 200, 201):
+        for i in range(size):
+            marks = "*" * (i % 7) if i % 5 else ""
+            rows.append((len(rows), " ".join(f"word{(i * 7 + k) % 911}{marks}" for k in range(60 + i % 9)), "en", f"g{size}", 0))
+    rows += [(len(rows) + i, " ".join(f"mot{i + k}" for k in range(70)), "fr", "g3", 0) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    limits = {(r["__lang"], r["__source"]): r for r in fences(document_counts(docs)).collect()}
+    for name in ("__max_symbol_share", "__max_word_length", "__min_word_length"):
+        a, b, c = (limits["en", f"g{n}"][name] for n in (199, 200, 201))
+        assert abs(a - b) < 0.02 * abs(b) + 1e-9 and abs(c - b) < 0.02 * abs(b) + 1e-9
+    con = duckdb.connect()
+    con.register("documents", docs.toPandas())
+    cursor = con.execute(QUALITY_RULES)
+    names = [d[0] for d in cursor.description]
+    want = {r[0]: dict(zip(names, r)) for r in cursor.fetchall()}
+    for r in quality_rules(docs).collect():
+        assert (r.base_failed, r.kept) == (want[r.doc_id]["base_failed"], want[r.doc_id]["kept"])

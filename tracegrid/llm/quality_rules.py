@@ -2,10 +2,11 @@
 
 Fixed cutoffs fit one kind of text and fail others. Here each statistic of a
 document is compared with a fence around the middle of its own language and
-source, taken from quantile sketches that merge: a source with few documents
-falls back on the merged sketch of its language, a language with few on that of
-all documents. Every document takes part in the sketches, and each sketch is a
-few kilobytes whatever its group holds.
+source, taken from quantile sketches that merge. A group's quartiles are blended
+with those of its language, and a language's with those of all documents, by n
+against a constant, so that a small group leans on its parent and no document more
+or less makes a step. Every document that passes the base rule takes part in the
+sketches, and each sketch is a few kilobytes whatever its group holds.
 
 Defined results: a null or empty text has zero counts and fails the base rule;
 null languages and sources form groups of their own; repeated rows are judged
@@ -31,8 +32,8 @@ MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 # Items a sketch holds in its first level: small groups stay exact.
 SKETCH_SIZE = 4096
-# Documents below which a group's own sketch is not trusted.
-MIN_GROUP = 200
+# Documents that a group's parent counts for beside the group's own.
+PARENT_WEIGHT = 10
 # How far beyond the middle half of its group a statistic may lie, in widths of that half.
 WIDTHS = 6.0
 
@@ -115,16 +116,22 @@ def fences(counted: DataFrame, lang_col: str = "lang", source_col: str = "source
     every = materialize(merged(lang, "__all"))
     a, b, c = group.alias("a"), lang.alias("b"), every.alias("c")
     rows = a.join(b, F.col("a.__lang").eqNullSafe(F.col("b.__lang"))).join(c, F.col("a.__all") == F.col("c.__all"))
-    chosen = lambda n: (
-        F.when(F.col("a.n") >= MIN_GROUP, F.col(f"a.{n}"))
-        .when(F.col("b.n") >= MIN_GROUP, F.col(f"b.{n}"))
-        .otherwise(F.col(f"c.{n}"))
-    )
-    rows = rows.select(F.col("a.__lang"), F.col("a.__source"), *[chosen(n).alias(n) for n in stats])
     quartiles = F.array(F.lit(0.25), F.lit(0.75))
-    rows = rows.select(
-        "__lang", "__source", *[F.kll_sketch_get_quantile_double(n, quartiles).alias(n) for n in stats]
+    levels = rows.select(
+        F.col("a.__lang"),
+        F.col("a.__source"),
+        F.col("a.n").alias("n_a"),
+        F.col("b.n").alias("n_b"),
+        *[F.kll_sketch_get_quantile_double(F.col(f"{x}.{n}"), quartiles).alias(f"{x}_{n}") for n in stats for x in "abc"],
     )
+
+    def blend(own: Column, n: str, parent: Column) -> Column:
+        return (F.col(n) * own + PARENT_WEIGHT * parent) / (F.col(n) + PARENT_WEIGHT)
+
+    def quartile(n: str, i: int) -> Column:
+        return blend(F.col(f"a_{n}")[i], "n_a", blend(F.col(f"b_{n}")[i], "n_b", F.col(f"c_{n}")[i]))
+
+    rows = levels.select("__lang", "__source", *[F.array(quartile(n, 0), quartile(n, 1)).alias(n) for n in stats])
     reach = lambda n, slack: F.greatest(F.lit(slack), WIDTHS * (F.col(n)[1] - F.col(n)[0]))
     return rows.select(
         "__lang",
