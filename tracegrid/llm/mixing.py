@@ -1,9 +1,10 @@
 """Mixing sources to target weights by Sainte-Lague apportionment (native).
 
-The corpus is cut into blocks of equally many words, or into single words where a
-source is too small for such blocks. The blocks of the mix are
+The corpus is cut into blocks of equally many words. The blocks of the mix are
 awarded to sources one after another by the highest quotient target / (2k - 1),
-k being the number of the award within its source. A highest-quotient method is
+k being the number of the award within its source, until every source has as many as
+its target fills; the last award of a source ends at its target. So small sources get
+theirs too, in the later shards. A highest-quotient method is
 monotone in the number of awards, so the awards up to the end of output shard j
 less those up to shard j - 1 are the integer quota of each source in that shard.
 A source's documents are laid end to end in an order drawn from a seed; its
@@ -13,7 +14,8 @@ head when the stream is used up.
 Scale: only one row per source passes through a single task (targets, awards).
 The place of a document in its source's stream is the sum of whole slices of the
 stream before it plus a running sum within its slice; a source is cut into 4096
-slices, so a source with a third of all rows is spread like the rest.
+slices by id and size, so a source with a third of all rows is spread like the rest.
+(Only rows that repeat both, id and size, share a slice.)
 
 Defined results: a null text has no words and is never taken; null sources form
 one source, ranked last; repeated rows are documents of their own; no rows give
@@ -30,10 +32,8 @@ from pyspark.sql import functions as F
 from tracegrid.functions.text import named
 from tracegrid.llm.words import word_count
 
-# Awards in all: a target is met to within one award.
+# Blocks that the words of all sources come to.
 BLOCKS = 65536
-# Blocks that the smallest target must come to; where it does not, an award is one word.
-LEAST_BLOCKS = 64
 SHARDS = 16
 MAX_EPOCHS = 3
 SEED = "mix-1"
@@ -74,30 +74,25 @@ def source_targets(
     return leveled.select("source", "size", "rank", F.coalesce(target, F.lit(0.0)).alias("target"), "cap")
 
 
-def block_quotas(targets: DataFrame, blocks: int = BLOCKS, shards: int = SHARDS, least_blocks: int = 0) -> DataFrame:
+def block_quotas(targets: DataFrame, blocks: int = BLOCKS, shards: int = SHARDS) -> DataFrame:
     """Awards up to the end of each shard: ``source``, ``size``, ``target``, ``block``, ``ends`` (words, one per shard).
 
-    Where some positive target is under ``least_blocks`` blocks, a block is one word.
     Rounding each source's exact share misses the number of awards by less than
-    one per source, spread over the sources by their shares; so only the
-    quotients around the exact share are compared, some four rows per source.
+    one per source, spread over the sources by their shares, and sources that have all
+    theirs leave no more than that to the others; so only the quotients around the
+    exact share are compared, some six rows per source.
     """
     total = Window.partitionBy()
-    base = targets.select(
-        "*",
-        F.sum("size").over(total).alias("total"),
-        F.count("*").over(total).alias("sources"),
-        F.min(F.when(F.col("target") > 0, F.col("target"))).over(total).alias("smallest"),
-    ).withColumn("block", F.greatest(F.lit(1).cast("long"), F.floor(F.col("total") / blocks)))
-    fits = F.coalesce(F.col("smallest") >= least_blocks * F.col("block"), F.lit(True))
-    base = base.withColumn("block", F.when(fits, F.col("block")).otherwise(F.lit(1).cast("long")))
-    awards = F.floor(F.col("total") / F.col("block"))
-    houses = base.withColumn("most", F.floor(F.col("cap") / F.col("block"))).select(
-        "*", F.explode(F.sequence(F.lit(1), F.lit(shards))).alias("shard")
-    ).withColumn("house", F.floor(awards * F.col("shard") / shards))
+    base = targets.select("*", F.sum("size").over(total).alias("total"), F.count("*").over(total).alias("sources"))
+    base = base.withColumn("block", F.greatest(F.lit(1).cast("long"), F.floor(F.col("total") / blocks)))
+    base = base.withColumn("most", F.ceil(F.col("target") / F.col("block")))
+    base = base.withColumn("quota", F.least("cap", F.floor(F.col("target") + 0.5))).withColumn("awards", F.sum("most").over(total))
+    houses = base.select("*", F.explode(F.sequence(F.lit(1), F.lit(shards))).alias("shard")).withColumn(
+        "house", F.floor(F.col("awards") * F.col("shard") / shards)
+    )
     share = F.when(F.col("total") > 0, F.col("target") / F.col("total")).otherwise(F.lit(0.0))
     near = F.floor(share * F.col("house") + 0.5)
-    slack = F.ceil(share * F.col("sources")) + 1
+    slack = F.ceil(share * F.col("sources")) + 2
     bounds = houses.select(
         "*",
         F.least(F.col("most"), F.greatest(F.lit(0), near - slack)).alias("low"),
@@ -112,7 +107,7 @@ def block_quotas(targets: DataFrame, blocks: int = BLOCKS, shards: int = SHARDS,
     order = Window.partitionBy("shard").orderBy((F.col("target") / (2 * k - 1)).desc(), "rank", "k")
     won = candidates.withColumn("place", F.row_number().over(order)).where("place <= open").groupBy("rank", "shard").count()
     ended = open_awards.join(won, ["rank", "shard"], "left").withColumn(
-        "end", (F.col("low") + F.coalesce("count", F.lit(0))) * F.col("block")
+        "end", F.least("quota", (F.col("low") + F.coalesce("count", F.lit(0))) * F.col("block"))
     )
     return ended.groupBy("rank", "source", "size", "target", "block").agg(
         F.transform(F.sort_array(F.collect_list(F.struct("shard", "end"))), lambda e: e["end"]).alias("ends")
@@ -154,7 +149,6 @@ def mix(
         source_targets(slices.select(F.col("__source").alias("source"), F.col("__words").alias("size")), weight),
         blocks,
         shards,
-        LEAST_BLOCKS,
     )
     before = Window.partitionBy("__source").orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
     heads = slices.select(

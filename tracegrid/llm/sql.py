@@ -43,11 +43,11 @@ q as (
   from s where not base_failed group by grouping sets ((lang, source), (lang), ())),
 lim as (
   select a.lang, a.source,
-    case when a.n >= 200 then a.q1 when b.n >= 200 then b.q1 else e.q1 end as q1,
-    case when a.n >= 200 then a.q2 when b.n >= 200 then b.q2 else e.q2 end as q2,
-    case when a.n >= 200 then a.q3 when b.n >= 200 then b.q3 else e.q3 end as q3,
-    case when a.n >= 200 then a.q4 when b.n >= 200 then b.q4 else e.q4 end as q4,
-    case when a.n >= 200 then a.q5 when b.n >= 200 then b.q5 else e.q5 end as q5
+    [(a.n * a.q1[1] + 10 * ((b.n * b.q1[1] + 10 * e.q1[1]) / (b.n + 10))) / (a.n + 10), (a.n * a.q1[2] + 10 * ((b.n * b.q1[2] + 10 * e.q1[2]) / (b.n + 10))) / (a.n + 10)] as q1,
+    [(a.n * a.q2[1] + 10 * ((b.n * b.q2[1] + 10 * e.q2[1]) / (b.n + 10))) / (a.n + 10), (a.n * a.q2[2] + 10 * ((b.n * b.q2[2] + 10 * e.q2[2]) / (b.n + 10))) / (a.n + 10)] as q2,
+    [(a.n * a.q3[1] + 10 * ((b.n * b.q3[1] + 10 * e.q3[1]) / (b.n + 10))) / (a.n + 10), (a.n * a.q3[2] + 10 * ((b.n * b.q3[2] + 10 * e.q3[2]) / (b.n + 10))) / (a.n + 10)] as q3,
+    [(a.n * a.q4[1] + 10 * ((b.n * b.q4[1] + 10 * e.q4[1]) / (b.n + 10))) / (a.n + 10), (a.n * a.q4[2] + 10 * ((b.n * b.q4[2] + 10 * e.q4[2]) / (b.n + 10))) / (a.n + 10)] as q4,
+    [(a.n * a.q5[1] + 10 * ((b.n * b.q5[1] + 10 * e.q5[1]) / (b.n + 10))) / (a.n + 10), (a.n * a.q5[2] + 10 * ((b.n * b.q5[2] + 10 * e.q5[2]) / (b.n + 10))) / (a.n + 10)] as q5
   from q a join q b on a.lang is not distinct from b.lang and b.gl = 0 and b.gs = 1 join q e on e.gl = 1
   where a.gl = 0 and a.gs = 0)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
@@ -71,24 +71,18 @@ l as (
     / sum(weight) over (order by cap / weight, rank rows between current row and unbounded following) as level from w),
 t as (
   select *, least(cap, coalesce((select min_by(level, cap / weight) from l where cap / weight > level), 0) * weight)::double
-    as target, greatest(1, total // 65536) as block from l),
-q as (
-  select rank, target / (2 * k - 1) as quotient, k from (
-    select rank, target, unnest(range(1, (cap // block + 1)::bigint)) as k from t where size > 0)),
+    as target from l),
 a as (
-  select rank, count(*) as seats from (
-    select rank, row_number() over (order by quotient desc, rank, k) as place from q)
-  where place <= (select max(total // block) from t) group by rank),
+  select rank, least(cap, floor(target + 0.5))::bigint as quota from t),
 o as (
   select d.*, s.rank, coalesce(sum(d.size) over (partition by d.source
     order by md5(concat_ws('|', 'mix-1', doc_id::varchar, d.size::varchar)), doc_id, d.size
     rows between unbounded preceding and 1 preceding), 0)::bigint as start
   from d join s on d.source is not distinct from s.source)
 select doc_id, o.size, t.size as source_size, target,
-  (greatest(0, least(coalesce(seats, 0) * block - start, o.size))
-  + greatest(0, least(coalesce(seats, 0) * block - start - t.size, o.size))
-  + greatest(0, least(coalesce(seats, 0) * block - start - 2 * t.size, o.size)))::bigint as taken
-from o join t using (rank) left join a using (rank)
+  (greatest(0, least(quota - start, o.size)) + greatest(0, least(quota - start - t.size, o.size))
+  + greatest(0, least(quota - start - 2 * t.size, o.size)))::bigint as taken
+from o join t using (rank) join a using (rank)
 """
 
 JACCARD_JOIN = rf"""
