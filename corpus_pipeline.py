@@ -7,8 +7,9 @@ are called: a document travels as one struct beside what a stage works out.
 
 No stage needs ids to be unique or filled: the near-duplicate stage, the only one
 that looks documents up again, tells rows apart by file and row in the Parquet files
-it reads. Documents without words are removed by the quality rules. The two quality
-stages read texts twice rather than write them a second time.
+it reads. Documents without words are removed by the quality rules, which write
+documents beside their counts, for counting costs far more than writing; the
+classifier reads texts twice rather than write them once more.
 """
 
 from __future__ import annotations
@@ -55,7 +56,7 @@ def _documents(rows: DataFrame, keep: Column) -> DataFrame:
 
 def by_quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rule and the fences of their language and source let pass."""
-    judged = quality_rules(_beside(docs, "text", "lang", "source"), carry=["__doc", "lang", "source"], keep_counts=False)
+    judged = quality_rules(_beside(docs, "text", "lang", "source"), carry=["__doc", "lang", "source"])
     return _documents(judged, F.col("kept"))
 
 
