@@ -1,12 +1,15 @@
 """Hierarchical tables from the sparse export."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tracegrid.checks import check
 from tracegrid.checks.ordered import _filled
 from tracegrid.fixtures import fixture
 from tracegrid.operators import hierarchy as h
-from tracegrid.operators.storage import materialize
+from tracegrid.operators.storage import materialize, shared_folder
+from tracegrid.sources.sinks import write_normalized
 
 ORDER = ["reg", "nat", "sup", "ord", "line"]
 
@@ -97,6 +100,23 @@ def _(spark, sf):
     return one_list(normalized(spark, sf).tables)
 
 
+@check(
+    "write_normalized_tables",
+    f"with {TABLES_SQL}, l as ({sql_list()}) select 'parquet' as format, * from l union all select 'csv', * from l",
+)
+def _(spark, sf):
+    """Every table written and read again, as Parquet and as CSV."""
+    done = normalized(spark, sf)
+    path = f"{shared_folder(spark).rstrip('/')}/tracegrid/{uuid.uuid4().hex}"
+    lists = []
+    for fmt in ("parquet", "csv"):
+        write_normalized(done.tables, done.flat, f"{path}/{fmt}", fmt)
+        reader = spark.read.format(fmt).options(**({"header": True, "escape": '"'} if fmt == "csv" else {}))
+        back = {n: reader.schema(df.schema).load(f"{path}/{fmt}/{n}") for n, df in done.tables.items() if df.columns}
+        lists.append(one_list(back).select(F.lit(fmt).alias("format"), "*"))
+    return lists[0].unionByName(lists[1])
+
+
 @check(
     "normalization_report",
     f"""with {TABLES_SQL}

@@ -400,6 +400,32 @@ def _(spark, sf):
     return counts[0].unionByName(counts[1]).unionByName(counts[2])
 
 
+@check(
+    "publish_catalog_rows",
+    f"""with {DIFF_SQL}
+select 'old' as name, o_orderkey as key, o_orderstatus as status from orders_left
+union all select 'new', r_key, r_status from orders_right union all select 'diff', o_orderkey, _merge from diffed""",
+)
+def _(spark, sf):
+    """All three tables as first published: a second publication fails while it writes the last one."""
+    prefix = f"check_{uuid.uuid4().hex[:12]}_"
+    left, right = fixture(spark, sf, "orders_left"), fixture(spark, sf, "orders_right")
+    diff = orders_diff(spark, sf)
+    sinks.publish_catalog(spark, left, right, diff, prefix)
+    broken = diff.withColumn("_merge", F.when(F.col("o_orderkey") < 0, "x").otherwise(F.raise_error(F.lit("stopped"))))
+    try:
+        sinks.publish_catalog(spark, left.limit(1), right.limit(1), broken, prefix)
+    except Exception as e:  # noqa: BLE001 - whatever the writer makes of it
+        if "stopped" not in str(e):
+            raise
+    columns = {"old": ("o_orderkey", "o_orderstatus"), "new": ("r_key", "r_status"), "diff": ("o_orderkey", "_merge")}
+    rows = [
+        spark.table(f"{prefix}dataset_{n}").select(F.lit(n).alias("name"), F.col(k).alias("key"), F.col(s).alias("status"))
+        for n, (k, s) in columns.items()
+    ]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2])
+
+
 @check(
     "diff_and_report",
     f"""with {DIFF_SQL}

@@ -55,13 +55,26 @@ def write_grouped_json(
 
 
 def publish_catalog(spark: SparkSession, old: DataFrame, new: DataFrame, diff: DataFrame, prefix: str = "") -> None:
-    """Replace the tables of the old rows, the new rows and their difference."""
-    old.write.mode("overwrite").saveAsTable(f"{prefix}dataset_old")
-    new.write.mode("overwrite").saveAsTable(f"{prefix}dataset_new")
-    if diff.isEmpty():
-        spark.sql(f"drop table if exists {prefix}dataset_diff")
-    else:
-        diff.write.mode("overwrite").saveAsTable(f"{prefix}dataset_diff")
+    """Replace the tables of the old rows, the new rows and their difference; an empty difference has no table.
+
+    All three are written under other names first, each once, and take their names
+    only when all are there: a write that fails leaves the former tables as they were.
+    """
+    frames = {"old": old, "new": new, "diff": diff}
+    staged = {name: f"{prefix}dataset_{name}__staged" for name in frames}
+    try:
+        for name, df in frames.items():
+            df.write.mode("overwrite").saveAsTable(staged[name])
+    except Exception:
+        for table in staged.values():
+            spark.sql(f"drop table if exists {table}")
+        raise
+    for name, table in staged.items():
+        spark.sql(f"drop table if exists {prefix}dataset_{name}")
+        if name == "diff" and spark.table(table).isEmpty():
+            spark.sql(f"drop table {table}")
+        else:
+            spark.sql(f"alter table {table} rename to {prefix}dataset_{name}")
 
 
 def export_csv(df: DataFrame, path: str, columns: Sequence[str] | None = None) -> None:
