@@ -14,10 +14,12 @@ from tracegrid.operators.diff import hierarchy_value
 def write_normalized(
     tables: Mapping[str, DataFrame], flat: DataFrame, path: str, fmt: str = "parquet", mode: str = "overwrite"
 ) -> None:
-    """One dataset per table under ``path``, and the filled flat table."""
+    """One dataset per table that has columns under ``path``, and the filled flat table."""
     if fmt not in ("parquet", "csv"):
         raise ValueError(f"unknown format: {fmt}")
     for name, df in {**tables, "flat_filled": flat}.items():
+        if not df.columns:
+            continue  # no column of the input belongs to this table
         writer = df.write.mode(mode)
         if fmt == "csv":
             writer.option("header", True).option("escape", '"').csv(f"{path}/{name}")
