@@ -28,6 +28,8 @@ from tracegrid.llm.quality_rules import quality_rules
 from tracegrid.operators.storage import materialize
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+# Documents in one Arrow batch, in this session from the classifier on.
+BATCH_ROWS = 1000
 
 
 def _beside(docs: DataFrame, *columns: str) -> DataFrame:
@@ -49,6 +51,11 @@ def _placed(docs: DataFrame) -> DataFrame:
     return docs.select(F.struct(*map(named, docs.columns)).alias("__doc"), named("doc_id"), named("text"), row.alias("__row"))
 
 
+def _small_batches(spark: SparkSession) -> None:
+    """Whole documents pass to Python beside their texts: by default ten thousand at a time, which a task need not hold."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
 def _documents(rows: DataFrame, keep: Column) -> DataFrame:
     return rows.where(keep).select("__doc.*")
 
@@ -64,6 +71,7 @@ def by_quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
     It learns from the labelled rows of the whole table: the rules before it leave few bad ones.
     """
+    _small_batches(spark)
     table, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
     scored = quality_scores(_beside(docs, "doc_id", "text"), labels, carry=["__doc"], keep_stats=False, learn_from=table)
     return _documents(scored, F.col("predicted") == 1)
@@ -71,6 +79,7 @@ def by_quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies the document with the smallest id."""
+    _small_batches(spark)
     rows = _placed(docs)
     found = near_duplicates(rows.select(F.struct("doc_id", "__row").alias("id"), "text"), "id")
     others = materialize(found.where(F.col("id") != F.col("component_id")).select(F.col("id.__row").alias("__other")))
