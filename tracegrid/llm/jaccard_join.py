@@ -14,8 +14,9 @@
    connected the cluster, every other pair of parts.
 5. Links connect classes; a document's component is the smallest id in it.
 
-What moves: every token once (8 bytes and its share of a pack), shared tokens
-once more. The sets of classes that stay candidates move once, or once per part
+What moves: every token once (6 bytes and its share of a pack), shared tokens
+once more. A pack is all that goes from one run of texts to one task, so a class
+is named once there, however many of its tokens go along. The sets of classes that stay candidates move once, or once per part
 of an oversized cluster. Nothing is broadcast or collected.
 
 Defined results: null, empty or blank texts have an empty set, link with nothing
@@ -47,11 +48,11 @@ from tracegrid.operators.storage import materialize
 WIDTH = 5
 # Threshold as a fraction, so that it is tested in whole numbers.
 NUM, DEN = 3, 4
-# Packs per shuffle partition: a few, so that hashing spreads them evenly.
-PACKS = 3
 # A cluster up to this many sets is joined in one task; a larger one in parts of half as many.
 CLUSTER = 4000
 
+# A token keeps this many bits and the number of its pack.
+TOKEN_BITS = np.uint64(48)
 # Odd, so that the size changes every key.
 BASE_OF_SIZE = 0xD1342543DE82EF95
 
@@ -68,6 +69,24 @@ def _binary(a: np.ndarray, kind: str) -> bytes:
     return np.ascontiguousarray(a, dtype=kind).tobytes()
 
 
+def _planes(a: np.ndarray, kind: str) -> bytes:
+    """The values byte by byte, the lowest bytes of all first: alike bytes stand together, so compression drops them."""
+    values = np.ascontiguousarray(a, dtype=kind)
+    return values.view(np.uint8).reshape(len(values), values.itemsize).T.tobytes()
+
+
+def _values(columns: list[bytes], kind: str) -> np.ndarray:
+    """The values of some ``_planes``, one after another."""
+    width = np.dtype(kind).itemsize
+    out = np.empty((sum(map(len, columns)) // width, width), dtype=np.uint8)
+    at = 0
+    for raw in columns:
+        n = len(raw) // width
+        out[at : at + n] = np.frombuffer(raw, dtype=np.uint8).reshape(width, n).T
+        at += n
+    return out.view(kind).ravel()
+
+
 def _packs(batches: Iterator[pa.RecordBatch], packs: int, width: int, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
     """One row per text, and the tokens of the classes seen, dealt to packs by hash."""
     seen: set[int] = set()
@@ -101,7 +120,9 @@ def _packs(batches: Iterator[pa.RecordBatch], packs: int, width: int, schema: pa
             tokens, owner = tokens[use], owner[use]
             if not len(tokens):
                 continue
-            pack = ((tokens >> np.uint64(11)) % np.uint64(packs)).astype(np.int32)
+            pack = ((tokens >> np.uint64(32)) * np.uint64(packs) >> np.uint64(32)).astype(np.int32)
+            low = tokens & ((np.uint64(1) << TOKEN_BITS) - np.uint64(1))
+            tokens = low | (pack.astype(np.uint64) << TOKEN_BITS)
             order = np.argsort(pack, kind="stable")  # within a pack still by text
             tokens, owner, pack = tokens[order], owner[order], pack[order]
             rows: list[list] = [[], [], [], [], []]
@@ -109,9 +130,9 @@ def _packs(batches: Iterator[pa.RecordBatch], packs: int, width: int, schema: pa
                 texts_in, counts = np.unique(owner[a:b], return_counts=True)
                 rows[0].append(int(pack[a]))
                 rows[1].append(_binary(signed[texts_in], "<i8"))
-                rows[2].append(_binary(sizes[texts_in], "<i4"))
-                rows[3].append(_binary(counts, "<i4"))
-                rows[4].append(_binary(tokens[a:b], "<u8"))
+                rows[2].append(_planes(sizes[texts_in], "<i4"))
+                rows[3].append(_planes(counts, "<i4"))
+                rows[4].append(_planes(tokens[a:b], "<u8"))
             m = len(rows[0])
             arrays = [pa.array(rows[0], pa.int32()), pa.nulls(m, schema.field(1).type), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int32())]
             yield pa.RecordBatch.from_arrays(arrays + [pa.array(r, pa.binary()) for r in rows[1:]], schema=schema)
@@ -133,7 +154,7 @@ def _shared(batches: Iterator[pa.RecordBatch], packs: int, schema: pa.Schema) ->
         held_here = batch.filter(pc.is_null(batch.column("key")))
         for name, got in parts.items():
             got.extend(held_here.column(name).to_pylist())
-    tokens = _joined(parts["tokens"], "<u8")
+    tokens = _values(parts.pop("tokens"), "<u8")
     if not len(tokens):
         return
     # Most tokens stand alone: only the others are given their classes.
@@ -142,9 +163,9 @@ def _shared(batches: Iterator[pa.RecordBatch], packs: int, schema: pa.Schema) ->
     again = tokens[1:] == tokens[:-1]
     several = np.append(again, False) | np.append(False, again)
     tokens, order = tokens[several], order[several]
-    counts = _joined(parts["counts"], "<i4")
+    counts = _values(parts["counts"], "<i4")
     owner = np.repeat(np.arange(len(counts), dtype=np.int32), counts)[order]
-    keys, sizes = _joined(parts["keys"], "<i8")[owner], _joined(parts["sizes"], "<i4")[owner]
+    keys, sizes = _joined(parts["keys"], "<i8")[owner], _values(parts["sizes"], "<i4")[owner]
     del parts, order, owner
     order = np.lexsort((keys, tokens))
     tokens, keys, sizes = tokens[order], keys[order], sizes[order]
@@ -161,7 +182,8 @@ def _shared(batches: Iterator[pa.RecordBatch], packs: int, schema: pa.Schema) ->
     for a, b in _runs(pack):
         heads = _heads(keys[a:b]) + a
         counts = np.diff(np.append(heads, b))
-        arrays = [_binary(x, k) for x, k in ((keys[heads], "<i8"), (sizes[heads], "<i4"), (counts, "<i4"), (tokens[a:b], "<u8"), (held[a:b], "<u4"))]
+        arrays = [_binary(keys[heads], "<i8"), _planes(sizes[heads], "<i4"), _planes(counts, "<i4")]
+        arrays += [_planes(tokens[a:b], "<u8"), _planes(held[a:b], "<u4")]
         row = [pa.array([int(pack[a])], pa.int32()), *(pa.nulls(1, schema.field(i).type) for i in (1, 2, 3))]
         yield pa.RecordBatch.from_arrays(row + [pa.array([x], pa.binary()) for x in arrays], schema=schema)
 
@@ -179,8 +201,8 @@ def _runs(values: np.ndarray) -> list[tuple[int, int]]:
 
 def _unpacked(parts: dict[str, list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
     """Key and size of each token of some packs."""
-    counts = _joined(parts["counts"], "<i4")
-    return np.repeat(_joined(parts["keys"], "<i8"), counts), np.repeat(_joined(parts["sizes"], "<i4"), counts)
+    counts = _values(parts["counts"], "<i4")
+    return np.repeat(_joined(parts["keys"], "<i8"), counts), np.repeat(_values(parts["sizes"], "<i4"), counts)
 
 
 def _sets(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[pa.RecordBatch]:
@@ -189,7 +211,7 @@ def _sets(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[pa.
     for batch in batches:
         for name, got in parts.items():
             got.extend(batch.column(name).to_pylist())
-    tokens, held = _joined(parts["tokens"], "<u8"), _joined(parts["held"], "<u4")
+    tokens, held = _values(parts.pop("tokens"), "<u8"), _values(parts.pop("held"), "<u4")
     keys, sizes = _unpacked(parts)
     del parts
     order = np.lexsort((tokens, held, keys))
@@ -201,8 +223,8 @@ def _sets(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[pa.
             [
                 pa.array([int(keys[a]) for a, _ in some], pa.int64()),
                 pa.array([int(sizes[a]) for a, _ in some], pa.int32()),
-                pa.array([_binary(tokens[a:b], "<u8") for a, b in some], pa.binary()),
-                pa.array([_binary(held[a:b], "<u4") for a, b in some], pa.binary()),
+                pa.array([_planes(tokens[a:b], "<u8") for a, b in some], pa.binary()),
+                pa.array([_planes(held[a:b], "<u4") for a, b in some], pa.binary()),
             ],
             names=["key", "n", "tokens", "held"],
         )
@@ -213,7 +235,7 @@ def _prefix_packs(batches: Iterator[pa.RecordBatch], packs: int, num: int, den:
     for batch in batches:
         firsts, keys = [], []
         for key, n, raw in zip(*(batch.column(c).to_pylist() for c in ("key", "n", "tokens")), strict=True):
-            shared = np.frombuffer(raw, dtype="<u8")
+            shared = _values([raw], "<u8")
             alone = n - len(shared)
             first = shared[: max(0, n - -(-num * n // den) + 1 - alone)]
             firsts.append(first)
@@ -270,13 +292,12 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _join_cluster(rows: list[tuple], num: int, den: int, every: bool) -> list[tuple[int, int]]:
     """The links among the sets of one task: (key, n, tokens, held)."""
     keys = [r[0] for r in rows]
-    tokens = [np.frombuffer(r[2], dtype="<u8") for r in rows]
-    flat = np.concatenate(tokens)
-    held = np.frombuffer(b"".join(r[3] for r in rows), dtype="<u4").astype(np.int64)
+    flat = _values([r[2] for r in rows], "<u8")
+    held = _values([r[3] for r in rows], "<u4").astype(np.int64)
     ids, first, at = np.unique(flat, return_index=True, return_inverse=True)
     rank = np.empty(len(ids), dtype=np.int64)
     rank[np.lexsort((ids, -held[first]))] = np.arange(len(ids))
-    ranks = np.split(rank[at], np.cumsum([len(t) for t in tokens])[:-1])
+    ranks = np.split(rank[at], np.cumsum([len(r[2]) // 8 for r in rows])[:-1])
     sets = [np.sort(r) for r in ranks]
     sizes = np.array([r[1] for r in rows], dtype=np.int64)
     return [(keys[i], keys[j]) for i, j in trie_links(sets, sizes, num, den, every)]
@@ -315,9 +336,9 @@ def similar_links(sets: DataFrame, num: int = NUM, den: int = DEN, every: bool =
     By default as many as connect all that is connected; with ``every`` all of
     them, whose number grows with the square of a group of near copies.
     """
-    packs = PACKS * _shuffles(sets)
+    packs = _shuffles(sets)
     prefixes = sets.mapInArrow(lambda b: _prefix_packs(b, packs, num, den), "pack int, keys binary, tokens binary")
-    near = prefixes.repartition(_shuffles(sets), "pack").mapInArrow(_neighbours, "a bigint, b bigint")
+    near = prefixes.repartitionById(packs, "pack").mapInArrow(_neighbours, "a bigint, b bigint")
     clusters = components(near)
     sizes = clusters.groupBy("component").agg(F.count("*").alias("members"))
     placed = sets.join(clusters.join(sizes, "component").withColumnRenamed("node", "key"), "key")
@@ -362,15 +383,15 @@ def shingle_classes(docs: DataFrame, id_col: str, text_col: str, width: int = WI
     packed = to_arrow_schema(schema)
     out = T.StructType.fromDDL(PACK.format(id=kind.simpleString()) + ", held binary")
     shared = to_arrow_schema(out)
-    packs = PACKS * _shuffles(docs)
+    packs = _shuffles(docs)
     texts = docs.select(named(id_col).alias("id"), named(text_col).alias("text"))
-    dealt = texts.mapInArrow(lambda b: _packs(b, packs, width, packed), schema).repartition(_shuffles(docs), "pack")
+    dealt = texts.mapInArrow(lambda b: _packs(b, packs, width, packed), schema).repartitionById(packs, "pack")
     return materialize(dealt.mapInArrow(lambda b: _shared(b, packs, shared), out))
 
 
 def candidate_sets(classes: DataFrame, num: int = NUM, den: int = DEN) -> DataFrame:
     """The classes that share enough tokens to have a similar one: ``key``, ``n``, ``tokens``, ``held``."""
-    packs = classes.where(F.col("key").isNull()).select("pack", *PACKED).repartition(_shuffles(classes), "pack")
+    packs = classes.where(F.col("key").isNull()).select("pack", *PACKED).repartitionById(_shuffles(classes), "pack")
     return materialize(packs.mapInArrow(lambda b: _sets(b, num, den), "key bigint, n int, tokens binary, held binary"))
 
 
