@@ -107,3 +107,14 @@ def test_edges(spark):
     assert near_duplicates(empty(spark)).count() == 0
     out = near_duplicates(clashing(spark))
     assert sorted(map(tuple, out.collect()), key=str) == plain_components(messy_rows(1, 60))
+
+
+@pytest.mark.parametrize("kind", ["<u8", "<i8", "<i4", "<u4"])
+def test_byte_planes(kind):
+    """Several runs of values, empty ones too, come back in order."""
+    rng = np.random.default_rng(4)
+    info = np.iinfo(kind)
+    runs = [rng.integers(info.min, info.max, n, dtype=kind, endpoint=True) for n in (5, 0, 1, 300)]
+    got = jaccard_join._values([jaccard_join._planes(r, kind) for r in runs], kind)
+    assert got.dtype == np.dtype(kind) and got.tolist() == np.concatenate(runs).tolist()
+    assert len(jaccard_join._values([], kind)) == 0
