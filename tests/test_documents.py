@@ -287,3 +287,28 @@ def test_sparse_export(spark):
     assert cascade_filter(named, physport="none", outputport="O")["word"].count() == 3
     with pytest.raises(ValueError, match="missing required"):
         normalize_tables(df.drop("Seq"), ["n"], MAPPING)
+
+
+def test_hierarchy_tables_are_found_without_a_join(spark):
+    """First rows by one shuffle on the keys, also where keys repeat, are blank or come before any value."""
+    mapping = {"system": {"System_LOID": "s", "System_Name": "t"}, "word": {"Wordstring_LOID": "w", "Word_Seq_Num": "q"}}
+    data = [(1, "", "t0", " ", "1"), (2, "S1", "t1", "W1", "1"), (3, "", "", "", "2"), (4, "S2", "", "W1", "1"), (5, "S1", "t5", "W2", "")]
+    done = normalize_tables(spark.createDataFrame(data, "n int, s string, t string, w string, q string"), ["n"], mapping)
+    assert [tuple(r) for r in done.tables["system"].collect()] == [(None, "t0"), ("S1", "t1"), ("S2", "t1")]
+    assert [tuple(r) for r in done.tables["word"].collect()] == [(None, "1"), ("W1", "1"), ("W1", "2"), ("W2", "1")]
+    assert done.inferred == ["s", "t", "w", "q"]
+    plan = done.tables["word"]._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftSemi" not in plan
+
+
+def test_index_keeps_parameters_of_a_port_without_a_row(spark):
+    tables = {
+        "system": spark.createDataFrame([("S1", "s")], "System_LOID string, System_Name string"),
+        "physport": spark.createDataFrame([("P1", "S1")], "PhysicalPort_LOID string, System_LOID string"),
+        "outputport": spark.createDataFrame([("O1", "P1"), (None, "P1")], "OutputPort_LOID string, PhysicalPort_LOID string"),
+        "wordstring": spark.createDataFrame([("W1", "O1"), ("W2", "O2"), ("W3", None)], "Wordstring_LOID string, OutputPort_LOID string"),
+        "word": spark.createDataFrame([("W2", 1)], "Wordstring_LOID string, Word_Seq_Num int"),
+        "parameter": spark.createDataFrame([("A", "O2"), ("B", "O2"), ("C", None)], "Parameter_LOID string, OutputPort_LOID string"),
+    }
+    got = {r["Wordstring_LOID"]: (r["System_Name"], r["word_count"], r["parameter_count"]) for r in hierarchy_index(tables).collect()}
+    assert got == {"W1": ("s", 0, 0), "W2": (None, 1, 2), "W3": (None, 0, 0)}

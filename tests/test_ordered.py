@@ -8,6 +8,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from tracegrid.functions.text import blank_to_null
 from tracegrid.operators import ordered as o
 
 ROWS = st.lists(
@@ -127,3 +128,24 @@ def test_an_order_of_one_key_is_an_error(spark):
     with pytest.raises(ValueError, match="unique"):
         o.row_number(same, ["i"], "n")
     assert o.row_number(same.limit(1), ["i"], "n").select("n").collect() == [(1,)]
+
+
+@pytest.mark.parametrize("parts", [1, 5])
+def test_kept_scan_equals_loop(spark, parts):
+    spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+    try:
+        data = [(i, None if i % 7 else f"v{i}", "  " if i % 3 else f"w{i}") for i in range(1, 60)]
+        df = spark.createDataFrame(random.Random(1).sample(data, len(data)), "n int, a string, b string")
+        fills = {c: blank_to_null(c) for c in ("a", "b")}
+        got = rows(o.kept_scan(df, ["n"], fills, "place", {"a": "own"}), "n")
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+    a = b = None
+    for place, ((n, x, y), r) in enumerate(zip(data, got, strict=True), 1):
+        a, b = x or a, y.strip() or b
+        assert r == {"n": n, "a": a, "b": b, "place": place, "own": x is not None}
+
+
+def test_kept_scan_of_no_rows(spark):
+    df = spark.createDataFrame([], "n int, a string")
+    assert rows(o.kept_scan(df, ["n"], {"a": F.col("a")}, "place")) == []
