@@ -312,3 +312,12 @@ def test_index_keeps_parameters_of_a_port_without_a_row(spark):
     }
     got = {r["Wordstring_LOID"]: (r["System_Name"], r["word_count"], r["parameter_count"]) for r in hierarchy_index(tables).collect()}
     assert got == {"W1": ("s", 0, 0), "W2": (None, 1, 2), "W3": (None, 0, 0)}
+
+
+def test_headings_scan_carries_no_digest_of_chunks(spark):
+    """Chunks of one place are told apart by a number, not by 64 characters a row."""
+    chunks = spark.createDataFrame([("a", 1, "x"), ("a", 5, "y"), ("a", 5, "z")], "doc string, start int, t string")
+    headings = spark.createDataFrame([("a", 3, "H")], "doc string, pos int, heading_path string")
+    done = c.heading_at_offset(chunks, headings, "doc", "start", "pos")
+    assert [tuple(r) for r in done.orderBy("start", "t").collect()] == [("a", 1, "x", "H"), ("a", 5, "y", "H"), ("a", 5, "z", "H")]
+    assert "sha2" not in done._jdf.queryExecution().optimizedPlan().toString()

@@ -384,13 +384,14 @@ def heading_at_offset(chunks: DataFrame, headings: DataFrame, doc: str, start: s
     fields = [c for c in headings.columns if c not in (doc, position)]
     mark = F.struct(*fields)
     both = headings.select(
-        doc, F.col(position).alias("__at"), F.lit(0).alias("__kind"), F.col(position).cast("string").alias("__tie"), mark.alias("__head")
+        doc, F.col(position).alias("__at"), F.lit(0).alias("__kind"), F.lit(0).cast("long").alias("__tie"), mark.alias("__head")
     ).unionByName(
         chunks.select(
             doc,
             F.col(start).alias("__at"),
             F.lit(1).alias("__kind"),
-            F.sha2(F.to_json(F.struct(*chunks.columns)), 256).alias("__tie"),
+            # Chunks of one place see the same heading: the number only spreads them over ranges.
+            F.xxhash64(F.to_json(F.struct(*chunks.columns))).alias("__tie"),
             F.struct(*chunks.columns).alias("__row"),
         ),
         allowMissingColumns=True,
