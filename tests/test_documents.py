@@ -321,3 +321,16 @@ def test_headings_scan_carries_no_digest_of_chunks(spark):
     done = c.heading_at_offset(chunks, headings, "doc", "start", "pos")
     assert [tuple(r) for r in done.orderBy("start", "t").collect()] == [("a", 1, "x", "H"), ("a", 5, "y", "H"), ("a", 5, "z", "H")]
     assert "sha2" not in done._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_documents_pass_to_python_a_few_hundred_at_a_time(spark):
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    docs = spark.createDataFrame([("a.md", "# H\nbody")], "path string, md string")
+    try:
+        for asked, held in (("10000", "500"), ("0", "500"), ("7", "7")):
+            spark.conf.set(key, asked)
+            assert c.chunk_documents(docs, "path", "md").count() == 1
+            assert spark.conf.get(key) == held
+    finally:
+        spark.conf.set(key, before)
