@@ -19,6 +19,7 @@ from tracegrid.functions.text import (
     filled,
     first_filled,
     heading_block,
+    named,
     single_line,
     slugify,
     text,
@@ -30,16 +31,17 @@ from tracegrid.operators.storage import materialize
 from tracegrid.operators.trace import (
     link_context,
     own_title,
-    req_index,
     resolve_number,
     section_titles,
     with_section_title,
 )
 from tracegrid.operators.views import (
+    ANCHOR,
     anchor,
     bucket_blocks,
     row_sort_key,
-    section_neighbours,
+    neighbour_value,
+    section_member,
     section_order,
     unique_names,
 )
@@ -242,28 +244,72 @@ def _numbered(side: int):
     return lambda rid, i: F.struct(L(side).alias("side"), i.alias("pos"), rid.alias("rid"))
 
 
-def trace_snippets(reqs: DataFrame, order_by: Sequence[str], include_text: bool) -> DataFrame:
-    """Add ``parent_snippets`` and ``child_snippets``: linked ids, with their text where asked."""
-    sides = {"parent_snippets": I.split_ids("Parent_Req_IDs"), "child_snippets": I.split_ids("Child_Req_IDs")}
-    if not include_text:
-        return reqs.withColumns(sides)
+def _trace_lists(kept: DataFrame, short: DataFrame, order: Sequence[str]) -> DataFrame:
+    """Per row of ``short`` (as ``__to``) its linked ids, each with the text of the first row of that id.
+
+    Rows and their link targets meet by row number first; a text then travels once
+    to where it is read and once per link to the row that shows it.
+    """
+    entries = [F.transform(I.split_ids(c), _numbered(n)) for n, c in enumerate(("Parent_Req_IDs", "Child_Req_IDs"))]
+    links = short.select(*order, F.inline(F.concat(*entries)))
+    named_id = clean_str("Req_ID")
+    first = short.where(named_id != "").groupBy(named_id.alias("__id")).agg(F.min_by("__at", F.struct(*order)).alias("__first"))
+    # Ids no row carries keep apart by a number no row has.
+    unknown = F.lit(-1) - F.pmod(F.xxhash64("rid"), F.lit(1 << 40))
+    met = (
+        links.join(short.select(*order, F.col("__at").alias("__to")), list(order))
+        .join(first, F.col("rid") == F.col("__id"), "left")
+        .select("__to", "side", "pos", "rid", F.coalesce("__first", unknown).alias("__from"))
+    )
+    texts = kept.select(F.col("__at").alias("__from"), single_line("Requirement_Text").alias("__text"))
+    line = F.when(F.col("__text") != "", F.concat("rid", L(": "), F.col("__text"))).otherwise(F.col("rid"))
+    found = met.join(texts, "__from", "left").select("__to", "side", "pos", line.alias("line"))
+    return found.groupBy("__to").agg(F.array_sort(F.collect_list(F.struct("side", "pos", "line"))).alias("__links"))
+
+
+# Columns that say where a requirement stands and what it links to; its texts are not among them.
+SHORT_COLUMNS = (
+    "Req_ID", "Doc_Name", "Doc_Type", "Object_Number", "Section_Number", "SRS_Section", "Section", "Section_Title",
+    "SRS_Title", "SectionTitle", "Parent_Req_IDs", "Child_Req_IDs",
+)
+
+
+def _with_surroundings(
+    reqs: DataFrame, order_by: Sequence[str], k_prev: int, k_next: int, hierarchical: bool, include_trace_text: bool
+) -> DataFrame:
+    """Add section title, place, file name, neighbours and trace snippets.
+
+    Sections, places and names are worked out on the short columns alone. A text
+    moves once to meet them and once to its section, whatever is added to its row.
+    """
     order = list(order_by)
-    entries = [
-        F.transform(e, _numbered(n)) for n, e in enumerate(sides.values())
-    ]
-    links = reqs.select(*order, F.inline(F.concat(*entries)))
-    index = req_index(reqs, order, ["Requirement_Text"]).withColumnRenamed("Req_ID", "__id")
-    line = single_line("Requirement_Text")
-    found = links.join(index, F.col("rid") == F.col("__id"), "left").select(
-        *order, "side", "pos", F.when(line != "", F.concat("rid", L(": "), line)).otherwise(F.col("rid")).alias("line")
+    kept = materialize(reqs.withColumns({"__at": F.monotonically_increasing_id(), "__member": section_member(reqs)}))
+    wanted = {c.lower() for c in (*SHORT_COLUMNS, *order, "__at", "__member")}
+    short = kept.select(*[named(c) for c in kept.columns if c.lower() in wanted])
+    titled = with_section_title(short, order)
+    titled = materialize(titled.withColumns({**anchor(titled), "__sort": row_sort_key(titled)}))
+    members = titled.where("__member").select("__at", *ANCHOR, "__sort", *order)
+    places = ordered.row_number(members, ["__sort", *order], "__rn", ANCHOR).select("__at", "__rn")
+    # Rows that share their order share their names, as a join by the order gives them.
+    names = _placed(titled.drop("__sort"), order, hierarchical, "md").groupBy("__at").agg(
+        F.collect_list(F.struct("doc_slug", "folder", "file_name", "__row")).alias("__names")
     )
-    lists = found.groupBy(*order).agg(F.array_sort(F.collect_list(F.struct("side", "pos", "line"))).alias("l"))
-    joined = reqs.join(lists, order, "left")
-    none = F.array().cast("array<string>")
-    parents = F.transform(F.filter("l", lambda x: x["side"] == 0), lambda x: x["line"])
-    children = F.transform(F.filter("l", lambda x: x["side"] == 1), lambda x: x["line"])
-    mine = {"parent_snippets": F.coalesce(parents, none), "child_snippets": F.coalesce(children, none)}
-    return joined.withColumns(mine).drop("l")
+    about = titled.select("__at", *ANCHOR, "resolved_number", "resolved_title").join(places, "__at", "left").join(names, "__at", "left")
+    about = about.withColumn("__rn", F.coalesce("__rn", F.lit(-1) - F.col("__at")))
+    rows = kept.join(about, "__at")
+    sides = ("parent_snippets", "child_snippets")
+    if include_trace_text:
+        lists = _trace_lists(kept, short, order)
+        rows = rows.join(lists, F.col("__at") == F.col("__to"), "left").drop("__to")
+    around = ordered.around_numbered(rows, ANCHOR, neighbour_value(), k_prev, k_next)
+    if include_trace_text:
+        none = F.array().cast("array<string>")
+        parents = F.transform(F.filter("__links", lambda x: x["side"] == 0), lambda x: x["line"])
+        children = F.transform(F.filter("__links", lambda x: x["side"] == 1), lambda x: x["line"])
+        shown = dict(zip(sides, (F.coalesce(parents, none), F.coalesce(children, none)), strict=True))
+    else:
+        shown = dict(zip(sides, (I.split_ids("Parent_Req_IDs"), I.split_ids("Child_Req_IDs")), strict=True))
+    return around.withColumns(shown).select("*", F.inline("__names")).drop("__names", "__links", "__at", "__member", "__rn")
 
 
 def neighbour_markdown(
@@ -276,8 +322,7 @@ def neighbour_markdown(
     include_text: bool = False,
 ) -> DataFrame:
     """Each requirement with the ones around it in its section and what it traces to."""
-    around = with_section_title(section_neighbours(reqs, order_by, k_prev, k_next), order_by)
-    df = _placed(materialize(trace_snippets(around, order_by, include_trace_text)), order_by, hierarchical, "md")
+    df = _with_surroundings(reqs, order_by, k_prev, k_next, hierarchical, include_trace_text)
     get = lambda *names: cell(df, *names)
     req_id = F.coalesce(filled("Req_ID"), F.concat(L("row_"), F.col("__row").cast("string")))
     doc = F.coalesce(filled("Doc_Name"), L("UNKNOWN"))

@@ -189,20 +189,28 @@ def row_sort_key(reqs: DataFrame) -> Column:
     return F.struct(I.natural_key(candidate).alias("natural"), F.lower(candidate).alias("word"))
 
 
+ANCHOR = ["anchor_doc", "anchor_type", "anchor_base"]
+
+
+def section_member(reqs: DataFrame) -> Column:
+    """Is the row one of its section: no header, with a section, an id and a text."""
+    header = F.coalesce(F.col("Is_Section_Header"), F.lit(False))
+    placed = anchor(reqs)["anchor_base"] != ""
+    return placed & ~header & (clean_str("Req_ID") != "") & (clean_str("Requirement_Text") != "")
+
+
+def neighbour_value() -> Column:
+    return F.struct(clean_str("Req_ID").alias("id"), normalize_title("Requirement_Text").alias("text"))
+
+
 def section_neighbours(reqs: DataFrame, order_by: Sequence[str], k_prev: int = 2, k_next: int = 2) -> DataFrame:
     """Add ``prev`` and ``next``: ids and one-line texts of the rows around in the same section.
 
     Headers and rows without id or text are no members and get empty lists.
     """
     keyed = reqs.withColumns({**anchor(reqs), "__sort": row_sort_key(reqs)})
-    header = F.coalesce(F.col("Is_Section_Header"), F.lit(False))
-    member = (
-        (F.col("anchor_base") != "") & ~header & (clean_str("Req_ID") != "") & (clean_str("Requirement_Text") != "")
-    )
-    value = F.struct(clean_str("Req_ID").alias("id"), normalize_title("Requirement_Text").alias("text"))
-    inside = ordered.neighbours(
-        keyed.where(member), ["anchor_doc", "anchor_type", "anchor_base"], ["__sort", *order_by], value, k_prev, k_next
-    )
+    member = section_member(reqs)
+    inside = ordered.neighbours(keyed.where(member), ANCHOR, ["__sort", *order_by], neighbour_value(), k_prev, k_next)
     empty = F.array().cast(inside.schema["prev"].dataType)
     outside = keyed.where(~member).withColumn("prev", empty).withColumn("next", empty)
     return inside.unionByName(outside).drop("__sort")
