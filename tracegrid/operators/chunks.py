@@ -93,8 +93,9 @@ def chunk_text(df: DataFrame, text_col: str, max_chars: int = 1200, overlap: int
 
 _LINE_BLANKS = "[" + BLANKS.replace("\n", "") + "]*"
 # The first line is ``---`` alone, or (loose) begins with it.
-_FRONT = rf"(?smd)\A{_LINE_BLANKS}---{_LINE_BLANKS}$\n(.*?)^{_LINE_BLANKS}---{_LINE_BLANKS}$\n?(.*)\z"
-_LOOSE_FRONT = rf"(?smd)\A---.*?$\n(.*?)^{_LINE_BLANKS}---{_LINE_BLANKS}$\n?(.*)\z"
+_CLOSING = rf"(.*?)^{_LINE_BLANKS}---{_LINE_BLANKS}$\n?"
+_FRONT = rf"(?smd)\A{_LINE_BLANKS}---{_LINE_BLANKS}$\n{_CLOSING}"
+_LOOSE_FRONT = rf"(?smd)\A---[^\n]*+\n{_CLOSING}"
 _ITEM = rf"\A{_LINE_BLANKS}-[ \t]+"
 _FLOW_LIST = r"(?s)\A\[(.*)\]\z"
 
@@ -110,11 +111,28 @@ def front_matter(c, loose: bool = False) -> tuple[Column, Column]:
     as ``[a, b]``, is kept as a JSON array. Quotes around values are dropped, a key
     said twice keeps its last value, and an unclosed block is no front matter.
     """
-    whole = text(c)
+    head = front_head(c, loose)
+    return front_entries(head, loose), front_body(c, head)
+
+
+def front_head(c, loose: bool = False) -> Column:
+    """The lines up to the second ``---``, itself included; empty where the text has no front matter."""
+    return F.regexp_extract(text(c), _LOOSE_FRONT if loose else _FRONT, 0)
+
+
+def front_body(c, head) -> Column:
+    """The text after its head, without a last line break; a text without a head as it is."""
+    rest = F.substr(text(c), F.char_length(_col(head)) + 1)
+    cut = F.when(F.endswith(rest, F.lit("\n")), F.substr(rest, F.lit(1), F.char_length(rest) - 1)).otherwise(rest)
+    return F.when(_col(head) != "", cut).otherwise(text(c))
+
+
+def front_entries(head, loose: bool = False) -> Column:
+    """The entries of a head as a map."""
+    head = _col(head)
     pattern = _LOOSE_FRONT if loose else _FRONT
-    has = whole.rlike(pattern)
     is_item = lambda x: x.rlike(_ITEM)
-    lines = F.filter(F.split(F.regexp_extract(whole, pattern, 1), "\n"), lambda x: is_item(x) | F.contains(x, F.lit(":")))
+    lines = F.filter(F.split(F.regexp_extract(head, pattern, 1), "\n"), lambda x: is_item(x) | F.contains(x, F.lit(":")))
 
     def entry(line: Column) -> Column:
         key = py_strip(F.split_part(line, F.lit(":"), F.lit(1)))
@@ -145,9 +163,7 @@ def front_matter(c, loose: bool = False) -> tuple[Column, Column]:
         shown,
         lambda e, i: ~F.array_contains(F.slice(keys, i + 2, F.greatest(F.size(keys), F.lit(1))), e["key"]),
     )
-    body = F.regexp_replace(F.regexp_extract(whole, pattern, 2), r"\n\z", "")
-    none = F.create_map().cast("map<string,string>")
-    return F.when(has, F.map_from_entries(last)).otherwise(none), F.when(has, body).otherwise(whole)
+    return F.when(head != "", F.map_from_entries(last)).otherwise(F.create_map().cast("map<string,string>"))
 
 
 RULE_LINE = "---"

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracegrid.functions.text import content_sha, fingerprint, metadata_from_name, text
-from tracegrid.operators.chunks import file_name, file_stem, front_matter
+from tracegrid.operators.chunks import file_name, file_stem, front_body, front_entries, front_head
 
 
 @dataclass(frozen=True)
@@ -72,22 +72,28 @@ def package_documents(docs: DataFrame, path_col: str, text_col: str, rule: Packa
     Metadata comes from the defaults, then the file name, then the front
     matter, a later source overriding an earlier one.
     """
-    path, raw = F.col(path_col), text(text_col)
-    name = file_name(path)
-    front, body = front_matter(raw, loose=True) if rule.read_front_matter else (F.create_map().cast("map<string,string>"), raw)
+    # Each step reads columns of the step before several times, which keeps Spark from working a column out per use.
+    read = docs.select(F.col(path_col).alias("path"), text(text_col).alias("__raw"))
+    path, name = F.col("path"), file_name(F.col("path"))
+    if rule.read_front_matter:
+        read = read.withColumn("__head", front_head("__raw", loose=True))
+        read = read.withColumns({"__body": front_body("__raw", "__head"), "__front": front_entries("__head", loose=True)})
+    else:
+        read = read.withColumns({"__body": F.col("__raw"), "__front": F.create_map().cast("map<string,string>")})
     named = [_entry(k, v) for k, v in metadata_from_name(name, rule.name_patterns).items()]
     found = F.filter(F.array(*named), lambda e: e["value"].isNotNull()) if named else None
     defaults = F.array(*[_entry(k, v) for k, v in rule.defaults.items()]) if rule.defaults else None
-    own = F.transform(F.map_entries(front), lambda e: _entry(e["key"], e["value"]))
+    own = F.transform(F.map_entries("__front"), lambda e: _entry(e["key"], e["value"]))
     entries = F.concat(*[e for e in (defaults, found, own) if e is not None], F.array(_entry("filename", name)))
-    has_source = F.exists(entries, lambda e: e["key"] == "source")
-    entries = F.when(has_source, entries).otherwise(F.concat(entries, F.array(_entry("source", path))))
-    merged = docs.select(path.alias("path"), raw.alias("__raw"), body.alias("__body"), _last_of_each(entries).alias("__m"))
+    gathered = read.select("path", "__raw", "__body", entries.alias("__e"))
+    has_source = F.exists("__e", lambda e: e["key"] == "source")
+    sourced = F.when(has_source, F.col("__e")).otherwise(F.concat("__e", F.array(_entry("source", path))))
+    merged = gathered.withColumn("__e", sourced).withColumn("__m", _last_of_each(F.col("__e"))).drop("__e")
 
     req_id = F.element_at(F.map_from_entries("__m"), "req_id") if rule.fingerprint_by_req_id else F.lit(None).cast("string")
     printed = merged.withColumn("fingerprint", fingerprint("path", "__raw", req_id))
-    full = _last_of_each(F.concat("__m", F.array(_entry(rule.fingerprint_field, F.col("fingerprint")))))
-    marked = printed.withColumn("__all", full)
+    every = F.concat("__m", F.array(_entry(rule.fingerprint_field, F.col("fingerprint"))))
+    marked = printed.withColumn("__every", every).withColumn("__all", _last_of_each(F.col("__every")))
     shown = F.col("__all")
     if rule.header_fields:
         shown = F.filter(shown, lambda e: e["key"].isin(*rule.header_fields))
@@ -110,19 +116,22 @@ def package_documents(docs: DataFrame, path_col: str, text_col: str, rule: Packa
     ).withColumn("packaged_sha256", content_sha("text"))
     if not rule.companion:
         return done
-    title = F.concat(F.coalesce(F.col("metadata")["title"], file_stem(F.col("path"))), F.lit(" (summary)"))
+    title = F.concat(F.coalesce(F.col("metadata")["title"], file_stem(path)), F.lit(" (summary)"))
     excerpt = F.concat(
-        F.lit("Companion summary for "), file_name(F.col("path")), F.lit("\n\nFingerprint: "), "fingerprint",
+        F.lit("Companion summary for "), name, F.lit("\n\nFingerprint: "), "fingerprint",
         F.lit("\n\nExcerpt:\n"), F.col("text") if rule.excerpt_chars is None else F.substring("text", 1, rule.excerpt_chars),
     )
     rest = F.map_filter("metadata", lambda k, _: k != "title")
-    summary = done.select(
-        "path",
-        excerpt.alias("text"),
-        F.map_concat(rest, F.create_map(F.lit("title"), title)).alias("metadata"),
-        "fingerprint",
-        content_sha(excerpt).alias("original_sha256"),
-        F.lit("summary").alias("kind"),
-        content_sha(excerpt).alias("packaged_sha256"),
-    )
-    return done.unionByName(summary)
+    # Both rows of a document come out of one pass over its text.
+    paired = done.withColumn("__excerpt", excerpt).withColumn("__sha", content_sha("__excerpt"))
+    summary = {
+        "path": path,
+        "text": F.col("__excerpt"),
+        "metadata": F.map_concat(rest, F.create_map(F.lit("title"), title)),
+        "fingerprint": F.col("fingerprint"),
+        "original_sha256": F.col("__sha"),
+        "kind": F.lit("summary"),
+        "packaged_sha256": F.col("__sha"),
+    }
+    both = F.array(F.struct(*map(F.col, done.columns)), F.struct(*[summary[c].alias(c) for c in done.columns]))
+    return paired.select(F.inline(both))
