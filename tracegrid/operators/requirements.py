@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -20,7 +20,7 @@ from tracegrid.functions.text import (
     named,
     text,
 )
-from tracegrid.operators.ordered import distinct_first, order_value, ordered_scan, parts_of_group, row_number
+from tracegrid.operators.ordered import distinct_first, order_spans, order_value, ordered_scan, parts_of_group, row_number
 from tracegrid.operators.storage import materialize
 
 # Requirement types read as section headers, and object types never kept.
@@ -157,9 +157,12 @@ def section_context(
     order_by: Sequence[str],
     partition_by: Sequence[str] = (),
     source_columns: Sequence[str] | None = None,
+    counted: Mapping[str, Column] | None = None,
 ) -> DataFrame:
     """Add the section each row stands in, plus header flag, header count and row index.
 
+    ``counted`` adds running counts of the rows where a condition, of the row alone, holds.
+
     A header assigns title, number and type; columns named after sections
     override it; every other row inherits. An assigned empty number is a value
     and resets what was inherited. Where several section number columns are
@@ -180,6 +183,7 @@ def section_context(
         "ctx_type": assigned(type_columns, parts["type"]),
     }
     sums = {"ctx_headers": F.when(header, 1).otherwise(0).cast("long"), "ctx_row": F.lit(1).cast("long")}
+    sums |= {n: F.when(c, 1).otherwise(0).cast("long") for n, c in (counted or {}).items()}
     if type_columns:
         df, fills["ctx_type"] = _type_runs(df, header, parts["type"], type_columns, order_by, partition_by)
     done = ordered_scan(df.withColumn("ctx_is_header", header), order_by, partition_by, fills, sums)
@@ -336,14 +340,15 @@ def normalize_traceable(
     partition_by: Sequence[str] = (),
     source_columns: Sequence[str] | None = None,
     dedupe_links: bool = True,
+    place: str | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Sheets with one row per requirement and section headers in between.
 
     Returns the accepted rows and the rejections. ``dedupe_links=False`` keeps
-    an id that appears in two trace columns twice.
+    an id that appears in two trace columns twice. ``place`` names a column for the
+    1-based number of an accepted row among those of its sheet, counted in the same scan.
     """
     rule = kind.sections or SectionRule(kind.texts)
-    ctx = section_context(df, rule, order_by, partition_by, source_columns)
     id_cell = clean_str(kind.ids[0]) if kind.ids[0] in df.columns else F.lit("")
     number_known = rule.object_number_column in df.columns
     number = clean_str(rule.object_number_column) if number_known else F.lit("")
@@ -351,6 +356,8 @@ def normalize_traceable(
     reason = F.when(~header & (F.size("__ids") == 0), "missing_requirement_id").when(
         ~header & (number == ""), "missing_object_number"
     )
+    taken = header_parts(df, rule)["header"] | ((F.size(I.normalized_ids(id_cell)) > 0) & (number != ""))
+    ctx = section_context(df, rule, order_by, partition_by, source_columns, {place: taken} if place else None)
     parsed = {
         "__ids": I.normalized_ids(id_cell),
         "__parents": _id_list(df, kind.parents, dedupe_links),
@@ -418,6 +425,7 @@ def normalize_traceable(
         *[F.when(~header, clean_str(f"`{c}`")).alias(c.replace(" ", "_")) for c in optional],
         *[F.col(f"ctx_{k}") for k in ("title", "number", "type")],
         "Row_Index",
+        *([place] if place else []),
     )
     context = {k: F.col(f"ctx_{k}") for k in ("title", "number", "type")}
     return infer_sections(accepted, kind.infer, context).drop("ctx_title", "ctx_number", "ctx_type"), rejected
@@ -441,7 +449,8 @@ def merge_duplicates(
     no cell and no task grows with a group.
     """
     gid = F.sha2(F.to_json(F.struct(*[text(f"`{c}`").alias(f"g{i}") for i, c in enumerate(group_cols)])), 256)
-    keyed = df.withColumn("__gid", gid).withColumn("__place", order_value(df, order_by))
+    spans = order_spans(df, order_by)
+    keyed = df.withColumn("__gid", gid).withColumn("__place", order_value(df, order_by, spans))
     ids = [c for c in id_columns if c in df.columns]
     texts = [c for c in text_columns if c in df.columns]
     firsts = keyed.groupBy("__gid").agg(F.min("__place").alias("__place"), F.count("*").alias("group_rows"))
@@ -450,7 +459,7 @@ def merge_duplicates(
     if part_size:
         known = known.withColumn("part", F.lit(1)).withColumn("parts", F.lit(1))
     if ids or texts:
-        maps = _merged_values(keyed, order_by, ids, texts, part_size)
+        maps = _merged_values(keyed, order_by, ids, texts, part_size, spans)
         known = base.drop("__place").join(maps, "__gid", "left")
         if part_size:
             known = known.withColumns({c: F.coalesce(c, F.lit(1)) for c in ("part", "parts")})
@@ -466,7 +475,9 @@ def merge_duplicates(
     )
 
 
-def _merged_values(keyed: DataFrame, order_by: Sequence[str], ids: Sequence[str], texts: Sequence[str], part_size: int | None) -> DataFrame:
+def _merged_values(
+    keyed: DataFrame, order_by: Sequence[str], ids: Sequence[str], texts: Sequence[str], part_size: int | None, spans: Mapping[str, tuple[int, int]]
+) -> DataFrame:
     """Per group, and part, the map ``m`` from ``i:`` or ``t:`` and column to its distinct values in order."""
 
     def entry(name: str, pos: Column, value: Column) -> Column:
@@ -481,7 +492,8 @@ def _merged_values(keyed: DataFrame, order_by: Sequence[str], ids: Sequence[str]
     order = [f"__o{i}" for i, _ in enumerate(order_by)]
     places = [named(c).alias(o) for c, o in zip(order_by, order, strict=True)]
     values = keyed.select("__gid", *places, F.inline(F.concat(*lists))).where("value <> ''")
-    values = values.withColumn("at", order_value(values, [*order, "__pos"]))
+    known = {o: spans[c] for c, o in zip(order_by, order, strict=True) if c in spans} | {"__pos": (0, (1 << 31) - 1)}
+    values = values.withColumn("at", order_value(values, [*order, "__pos"], known))
     firsts = values.groupBy("__gid", "name", "value").agg(F.min("at").alias("at"))
     part = []
     if part_size:
@@ -571,9 +583,12 @@ def normalize_guideline(
     order_by: Sequence[str],
     partition_by: Sequence[str] = (),
     skip_object_types: Sequence[str] = (),
+    place: str | None = None,
 ) -> tuple[DataFrame, DataFrame]:
-    """Guideline sheets: no sections, rows of some object types are filtered out."""
-    numbered = row_number(df, order_by, "Row_Index", partition_by).withColumn("Row_Index", F.col("Row_Index") - 1)
+    """Guideline sheets: no sections, rows of some object types are filtered out.
+
+    ``place`` names a column for the 1-based number of an accepted row among those of its sheet.
+    """
     id_cell = clean_str(f"`{kind.ids[0]}`") if kind.ids[0] in df.columns else F.lit("")
     body = clean_str(f"`{kind.texts[0]}`") if kind.texts[0] in df.columns else F.lit("")
     object_type = clean_str("`Object Type`") if "Object Type" in df.columns else F.lit("")
@@ -585,6 +600,10 @@ def normalize_guideline(
     reason = F.when(F.size("__ids") == 0, F.lit("missing_requirement_id")).when(
         dropped, F.concat(F.lit("filtered_object_type:"), object_type)
     )
+    sums = {"Row_Index": F.lit(1).cast("long")}
+    if place:
+        sums[place] = F.when((F.size(I.normalized_ids(id_cell)) > 0) & ~dropped, 1).otherwise(0).cast("long")
+    numbered = ordered_scan(df, order_by, partition_by, sums=sums).withColumn("Row_Index", F.col("Row_Index") - 1)
     marked = materialize(numbered.withColumn("__ids", I.normalized_ids(id_cell)).withColumn("__reason", reason))
     names = doc.columns()
     primary, aliases = I.first_id("__ids"), I.other_ids("__ids")
@@ -609,6 +628,7 @@ def normalize_guideline(
         F.lit("").alias("Parent_Req_IDs"),
         F.lit("").alias("Child_Req_IDs"),
         "Row_Index",
+        *([place] if place else []),
     )
     return infer_sections(accepted, kind.infer), _reject(marked, doc, id_cell, number)
 
