@@ -30,6 +30,9 @@ class Sheet:
         return r.Document(self.name, self.kind.doc_type, self.level)
 
 
+# Where a normaliser's scan numbers its accepted rows on the way; for one that does not, they are numbered after.
+PLACE = "__place_in_sheet"
+
 Normalizer = Callable[[Sheet], tuple[DataFrame, DataFrame | None, DataFrame | None]]
 
 
@@ -37,7 +40,7 @@ def _traceable(dedupe: bool) -> Normalizer:
     def run(s: Sheet):
         sheet_columns = [c for c in s.rows.columns if c not in s.order_by]
         accepted, rejected = r.normalize_traceable(
-            s.rows, s.kind, s.document, s.order_by, (), sheet_columns, dedupe_links=dedupe
+            s.rows, s.kind, s.document, s.order_by, (), sheet_columns, dedupe_links=dedupe, place=PLACE
         )
         return accepted, rejected, None
 
@@ -51,7 +54,7 @@ def _merged(s: Sheet):
 
 def _guideline(s: Sheet):
     accepted, rejected = r.normalize_guideline(
-        s.rows, s.kind, s.document, s.order_by, (), s.skip_object_types
+        s.rows, s.kind, s.document, s.order_by, (), s.skip_object_types, place=PLACE
     )
     return accepted, rejected, None
 
@@ -118,12 +121,16 @@ def build_requirements(
 ) -> Requirements:
     """Normalise each complete sheet and stack the results; incomplete ones are reported."""
     missing = r.validate_columns([(s.name, s.rows, s.kind) for s in sheets])
-    accepted, rejected, collapsed, totals = [], [], [], []
-    for number, s in enumerate(sheets):
+    accepted, rejected, collapsed, totals, before = [], [], [], [], 0
+    for s in sheets:
         if r.missing_columns(s.rows, s.kind):
             continue
         rows, bad, merged = normalizer_of(s.kind, registry)(s)
-        accepted.append(rows.withColumn("doc_seq", F.lit(number)))
+        if PLACE not in rows.columns:
+            rows = row_number(rows, ["Row_Index"], PLACE)
+        # One number per sheet comes to the driver, none of its rows.
+        accepted.append(rows.withColumn("row_idx", F.col(PLACE) - 1 + F.lit(before).cast("long")).drop(PLACE))
+        before += rows.count()
         totals.append(s.rows.agg(F.count("*").alias("total_rows")).select(
             F.lit(s.name).alias("Doc_Name"), F.lit(s.kind.doc_type).alias("Doc_Type"), "total_rows"
         ))
@@ -132,8 +139,7 @@ def build_requirements(
     if not accepted:
         raise ValueError("no sheet has all of its required columns")
     stacked = r.flag_header_types(union_all(accepted)).withColumn("Schema_Version", F.lit(version))
-    numbered = row_number(stacked, ["doc_seq", "Row_Index"], "row_idx").withColumn("row_idx", F.col("row_idx") - 1)
-    rows = materialize(numbered.drop("doc_seq"))
+    rows = materialize(stacked)
     none = empty_frame(
         rows.sparkSession,
         "Doc_Name string, Doc_Type string, Level string, Reason string, Raw_Requirement_ID string, "
