@@ -364,7 +364,7 @@ def normalize_traceable(
         "__children": _id_list(df, kind.children, dedupe_links),
     }
     # Both results read the scanned sheet, so it is kept, with its id lists parsed once.
-    marked = materialize(ctx.withColumns(parsed).withColumn("__reason", reason))
+    marked = materialize(ctx.withColumns(parsed).withColumn("__reason", reason), "zstd")
     rejected = _reject(marked, doc, id_cell, number)
 
     names = doc.columns()
@@ -604,7 +604,7 @@ def normalize_guideline(
     if place:
         sums[place] = F.when((F.size(I.normalized_ids(id_cell)) > 0) & ~dropped, 1).otherwise(0).cast("long")
     numbered = ordered_scan(df, order_by, partition_by, sums=sums).withColumn("Row_Index", F.col("Row_Index") - 1)
-    marked = materialize(numbered.withColumn("__ids", I.normalized_ids(id_cell)).withColumn("__reason", reason))
+    marked = materialize(numbered.withColumn("__ids", I.normalized_ids(id_cell)).withColumn("__reason", reason), "zstd")
     names = doc.columns()
     primary, aliases = I.first_id("__ids"), I.other_ids("__ids")
     optional = [c for c in kind.optional if c in df.columns]

@@ -139,7 +139,7 @@ def build_requirements(
     if not accepted:
         raise ValueError("no sheet has all of its required columns")
     stacked = r.flag_header_types(union_all(accepted)).withColumn("Schema_Version", F.lit(version))
-    rows = materialize(stacked)
+    rows = materialize(stacked, "zstd")
     none = empty_frame(
         rows.sparkSession,
         "Doc_Name string, Doc_Type string, Level string, Reason string, Raw_Requirement_ID string, "
