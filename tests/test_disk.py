@@ -3,8 +3,13 @@
 import csv
 import glob
 import gzip
+import os
+import random
+
+from pyspark.sql import functions as F
 
 from tracegrid import checks
+from tracegrid.operators import render, trace
 from tracegrid.operators.storage import FREE_SHUFFLES, materialize
 from tracegrid.sources.sinks import write_normalized
 
@@ -13,7 +18,8 @@ checks.load_all()
 
 def shuffle_files(spark):
     files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
-    return {files.apply(i).getName() for i in range(files.size()) if files.apply(i).getName().startswith("shuffle_")}
+    paths = [files.apply(i).getPath() for i in range(files.size())]
+    return {p for p in paths if os.path.basename(p).startswith("shuffle_")}
 
 
 def flat_input(spark, folder):
@@ -63,3 +69,57 @@ def test_kept_result_frees_its_shuffle(spark):
     before = shuffle_files(spark)
     kept = materialize(spark.range(50).groupBy("id").count(), free=True)
     assert shuffle_files(spark) <= before and kept.count() == 50
+
+
+def requirements(spark, n, text):
+    rows = [
+        (i, f"REQ-{i:05d}", f"D {i % 2}", f"{i % 3 + 1}.{i % 5}-{i}", text(i), f"{i % 3 + 1}.{i % 5}", "Area" if i % 4 else "")
+        for i in range(n)
+    ]
+    return spark.createDataFrame(
+        rows, "i int, Req_ID string, Doc_Name string, Object_Number string, Requirement_Text string, Section_Number string, Section_Title string"
+    )
+
+
+def test_merged_sections_move_a_text_three_times(spark, tmp_path):
+    """Once to its id, to its row and in its block to its section, whatever is joined; no other shuffle files stay."""
+    draw, held = random.Random(3), spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    alphabet = "".join(chr(c) for c in range(33, 127))
+    texts = ["".join(draw.choices(alphabet, k=4000)) for _ in range(300)]
+    requirements(spark, 300, lambda i: texts[i]).write.parquet(f"{tmp_path}/r")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        before = shuffle_files(spark)
+        done = render.merged_sections(render.rag_blocks(spark.read.parquet(f"{tmp_path}/r"), ["i"]), ["i"], max_per=3)
+        sizes = {p: os.path.getsize(p) for p in shuffle_files(spark) - before if os.path.exists(p)}
+        merged = done.collect()
+        sizes |= {p: os.path.getsize(p) for p in shuffle_files(spark) - before if os.path.exists(p)}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
+    moved = sum(sizes.values())
+    assert moved < 4 * sum(map(len, texts))
+    content = {(r.doc_slug, r.bucket): r.content for r in merged}
+    assert sum(r.blocks for r in merged) == 300 and len(content) == len(merged)
+    assert sum(t in c for t in texts for c in content.values()) == 300
+    slugs = [r.doc_slug for r in merged]
+    assert slugs == sorted(slugs) and len(set(slugs)) == 2
+
+
+def test_links_of_rows_that_share_their_order(spark):
+    """Rows with one order show the lines of all of them; a row without order none; a column without type stays."""
+    rows = [
+        (1, "REQ-00001", "see REQ-2, REQ-9", "REQ-00002"), (2, "REQ-00002", "two", ""), (2, "REQ-00003", "see REQ-1", "REQ-00001"),
+        (None, "REQ-00004", "see REQ-1", "REQ-00001"),
+    ]
+    df = spark.createDataFrame(rows, "i int, Req_ID string, Requirement_Text string, up string").withColumns(
+        {"Doc_Name": F.lit("D"), "resolved_title": F.lit(""), "none": F.lit(None)}
+    )
+    done = trace.link_context(df, ["i"], F.col("up"), F.lit(""))
+    got = {r.Req_ID: (r.linked_lines, r.referenced_lines, r.none) for r in done.collect()}
+    two, one = "- [in] REQ-00002 (D, N/A): two", "- [in] REQ-00001 (D, N/A): see REQ-2, REQ-9"
+    shared = ([one], ["Referenced REQ-00001: see REQ-2, REQ-9"], None)
+    assert got["REQ-00001"] == (
+        [two, "- [text] REQ-00009: N/A"], ["Referenced REQ-00002: two", "Referenced REQ-00009: N/A"], None
+    )
+    assert got["REQ-00002"] == got["REQ-00003"] == shared
+    assert got["REQ-00004"] == ([], [], None)

@@ -647,21 +647,30 @@ def rag_blocks(
 
 
 def merged_sections(blocks: DataFrame, order_by: Sequence[str], max_per: int = 250) -> DataFrame:
-    """Blocks of a document merged per section bucket, at most ``max_per`` in each."""
-    bucketed = bucket_blocks(materialize(blocks), order_by, ["Doc_Name"], max_per)
-    gathered = bucketed.groupBy("Doc_Name", "bucket").agg(
+    """Blocks of a document merged per section bucket, at most ``max_per`` in each.
+
+    Numbers are read first, for the buckets, and blocks after them: keep blocks that
+    are costly to compute. A block moves to its order, where it finds its bucket
+    (not at all where it comes from there, as from ``rag_blocks``), and once to its
+    section, in the order of the result.
+    """
+    bucketed = bucket_blocks(blocks, order_by, ["Doc_Name"], max_per)
+    named_buckets = bucketed.select(
+        slugify("Doc_Name").alias("doc_slug"), I.natural_key("bucket").alias("__natural"), "Doc_Name", "bucket", *order_by, "block"
+    )
+    place = ["doc_slug", "__natural"]
+    gathered = named_buckets.repartitionByRange(*place).groupBy(*place, "Doc_Name", "bucket").agg(
         F.count("*").alias("blocks"),
         F.array_sort(F.collect_list(F.struct(F.struct(*order_by).alias("o"), "block"))).alias("b"),
     )
     body = clean_str(F.array_join(F.transform("b", lambda x: x["block"]), "\n\n---\n\n"))
-    slug = slugify("Doc_Name")
-    return gathered.select(
-        slug.alias("doc_slug"),
+    return gathered.orderBy(*place).select(
+        "doc_slug",
         "bucket",
         "blocks",
-        F.concat(slug, L("__"), slugify("bucket"), L(".md")).alias("file_name"),
+        F.concat("doc_slug", L("__"), slugify("bucket"), L(".md")).alias("file_name"),
         F.when(body != "", F.concat(body, L("\n"))).otherwise("").alias("content"),
-    ).orderBy("doc_slug", I.natural_key("bucket"))
+    )
 
 
 def block_size_stats(blocks: DataFrame, group: Sequence[str] = ("Doc_Name",), block_col: str = "block") -> DataFrame:

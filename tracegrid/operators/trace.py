@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -89,6 +89,10 @@ def link_context(
             "inline_ids": first_links(I.extract_link_ids("Requirement_Text")),
         }
     )
+    # Texts are searched and titles joined once; what follows reads them three times, by column. No file holds a column without type.
+    typeless = [c for c, kind in lists.dtypes if kind == "void"]
+    kept = materialize(lists.drop(*typeless), "zstd", free=True)
+    lists = kept.withColumns({c: F.lit(None) for c in typeless}).select(*lists.columns) if typeless else kept
 
     def entries(side: int, tag: str, ids: str) -> Column:
         return F.transform(
@@ -100,37 +104,40 @@ def link_context(
     every = F.concat(entries(0, "in", "in_ids"), entries(1, "out", "out_ids"), entries(2, "text", "inline_ids"))
     # The outer form: the plain one would add a filter that searches every text twice.
     links = lists.select(*order, linked.alias("linked"), F.inline_outer(every)).where("rid is not null")
+    shown = (F.col("side") < 2) | ~F.array_contains(F.col("linked"), F.col("rid"))
+    links = links.select(*order, "side", "pos", "tag", "rid", shown.alias("shown"))
     shown_text = value_or_na("Requirement_Text")
-    cut = reqs.withColumn("Requirement_Text", shown_text if limit is None else truncate_text(shown_text, limit))
+    cut = lists.withColumn("Requirement_Text", shown_text if limit is None else truncate_text(shown_text, limit))
     index = req_index(cut, order, ["Requirement_Text", "Doc_Name", "resolved_title"]).withColumnRenamed("Req_ID", "__id")
     found = links.join(index, F.col("rid") == F.col("__id"), "left")
-    snippet = F.coalesce("Requirement_Text", F.lit("N/A"))
-    where = F.concat(
-        F.lit(" ("), value_or_na("Doc_Name"), F.lit(", "), value_or_na("resolved_title"), F.lit("): "), snippet
-    )
-    line = F.concat(
-        F.lit("- ["), "tag", F.lit("] "), "rid", F.when(F.col("__id").isNull(), F.lit(": N/A")).otherwise(where)
+    where = F.concat(F.lit(" ("), value_or_na("Doc_Name"), F.lit(", "), value_or_na("resolved_title"), F.lit("): "))
+    # A text goes once to the row that shows it; both kinds of lines are made of it there.
+    entry = F.struct(
+        F.struct("side", "pos").alias("at"),
+        F.col("tag"),
+        F.col("rid"),
+        F.col("shown"),
+        F.when(F.col("__id").isNotNull(), where).alias("where"),
+        F.coalesce("Requirement_Text", F.lit("N/A")).alias("snippet"),
     )
-    shown = (F.col("side") < 2) | ~F.array_contains(F.col("linked"), F.col("rid"))
-    at = F.struct("side", "pos")
-    lines = found.groupBy(*order).agg(
-        F.array_sort(F.collect_list(F.when(shown, F.struct(at.alias("at"), line.alias("line"))))).alias("l"),
-        F.array_sort(
-            F.collect_list(
-                F.when(
-                    F.col("side") == 2,
-                    F.struct(at.alias("at"), F.concat(F.lit("Referenced "), "rid", F.lit(": "), snippet).alias("line")),
-                )
-            )
-        ).alias("r"),
+    entries_of = found.groupBy(*order).agg(F.collect_list(entry).alias("__entries"))
+    joined = lists.join(entries_of, order, "left")
+
+    def listed(of: Callable[[Column], Column], line: Callable[[Column], Column]) -> Column:
+        """The lines of these entries in their places."""
+        placed = F.transform(F.filter("__entries", of), lambda x: F.struct(x["at"].alias("at"), line(x).alias("line")))
+        return F.coalesce(F.transform(F.array_sort(placed), lambda x: x["line"]), F.array().cast("array<string>"))
+
+    shown_lines = listed(
+        lambda x: x["shown"],
+        lambda x: F.concat(
+            F.lit("- ["), x["tag"], F.lit("] "), x["rid"], F.coalesce(F.concat(x["where"], x["snippet"]), F.lit(": N/A"))
+        ),
     )
-    none = F.array().cast("array<string>")
-    joined = lists.join(lines, order, "left")
-    return joined.select(
-        *lists.columns,
-        F.coalesce(F.transform("l", lambda x: x["line"]), none).alias("linked_lines"),
-        F.coalesce(F.transform("r", lambda x: x["line"]), none).alias("referenced_lines"),
+    referenced = listed(
+        lambda x: x["at"]["side"] == 2, lambda x: F.concat(F.lit("Referenced "), x["rid"], F.lit(": "), x["snippet"])
     )
+    return joined.select(*lists.columns, shown_lines.alias("linked_lines"), referenced.alias("referenced_lines"))
 
 
 # --- trace graph --------------------------------------------------------------
